@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from lodemap.llm import simhash
+from lodemap.llm import licenses, sharding, simhash
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op3_license_scan": licenses.op3_license_scan,
+    "op10_external_shuffle": sharding.op10_external_shuffle,
+}
+ORACLES = {
+    "op3_license_scan": licenses.oracle_sql(),
 }
-ORACLES: dict[str, str] = {}
