@@ -88,23 +88,37 @@ Permission is granted to anyone to use this software for any purpose, including
 
 #: Lines that only name an owner: they differ between copies of one licence.
 COPYRIGHT_LINE = r"(?m)^[\t ]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
-WORD_GAP = r"[^\p{L}\p{N}]+"
+#: What stands between words, line ends apart.
+WORD_GAP = r"[^\p{L}\p{N}\n]+"
 #: Known digests are broadcast up to this many rows; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Lines are told apart by shape before their digest where known texts have so many shapes at most.
+MOST_SHAPES = 1_000
 
 
-def canonical(text: Column) -> Column:
-    """Words of a text in lower case, single blanks between them, without copyright lines, in one spelling; null stays null."""
-    words = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, ""), WORD_GAP, " "), F.lit(" "))
-    for variant, spelling in SPELLINGS:
-        words = F.replace(words, F.lit(f" {variant} "), F.lit(f" {spelling} "))
-    return F.trim(F.regexp_replace(words, " +", " "))
+def worded(text: Column) -> Column:
+    """Lines of words in lower case with single blanks, without copyright lines; null stays null."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, ""), WORD_GAP, " ")
+
+
+def spelled(line: Column) -> Column:
+    """Words joined by single blanks, each in one spelling; `line` is of `worded`."""
+    spelling = F.create_map(*[F.lit(x) for pair in SPELLINGS for x in pair])
+    words = F.transform(F.split(F.trim(line), "[ \n]+"), lambda w: F.when(w.isin([v for v, _ in SPELLINGS]), F.element_at(spelling, w)).otherwise(w))
+    return F.array_join(words, " ")
+
+
+def _shape(line: Column) -> Column:
+    """What equal texts share in any spelling: the number of words and the first two letters. It spares digests of lines."""
+    line = F.trim(line)
+    return F.concat_ws(":", F.length(line) - F.length(F.replace(line, F.lit(" "))), F.left(line, F.lit(2)))
 
 
 def known_digests(spark, texts: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(digest, license) of licence texts; one row for a digest, the smallest name for equal texts."""
-    rows = spark.createDataFrame(texts, "license string, text string")
-    return rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license").alias("license"))
+    """(digest, license, shape) of licence texts; one row for a digest, the smallest name for equal texts."""
+    rows = spark.createDataFrame(texts, "license string, text string").select("license", F.translate(worded(F.col("text")), "\n", " ").alias("words"))
+    rows = rows.select("license", F.regexp_replace("words", " +", " ").alias("words"))
+    return rows.groupBy(F.sha2(spelled(F.col("words")), 256).alias("digest")).agg(F.min("license").alias("license"), F.min(_shape(F.col("words"))).alias("shape"))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -116,16 +130,22 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     ignored. Only lines that match move, so a hot document or source costs no skew.
     """
     few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    known = F.broadcast(known) if few else known
-    rows = docs.select("doc_id", "text", F.sha2(canonical(F.col("text")), 256).alias("digest"))
-    lines = rows.select("doc_id", F.col("digest").alias("of"), F.posexplode(F.split("text", "\n")).alias("line", "part"))
-    lines = lines.select("doc_id", "of", "line", F.sha2(canonical(F.col("part")), 256).alias("digest"))
-    hits = lines.join(known, "digest").groupBy("doc_id", "of").agg(
-        F.count_distinct("line").alias("license_lines"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"))
-    whole = rows.select("doc_id", "digest").join(known, "digest", "left")
-    same = F.col("w.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("w.digest") == F.col("h.of"))
-    return whole.alias("w").join(hits.alias("h"), same, "left").select(
-        "w.doc_id", "w.digest", "w.license", F.coalesce("license_lines", F.lit(0)).cast("long").alias("license_lines"), "line_licenses")
+    small = F.broadcast if few else lambda df: df
+    shapes = [r["shape"] for r in known.select("shape").distinct().limit(MOST_SHAPES + 1).collect()]
+    # One pass over the texts: each row with the digests of its lines, or of those that have the shape of a known text.
+    nothing = F.lit("")  # joins on keys that cannot be null compute each key once
+    rows = docs.select("doc_id", worded(F.col("text")).alias("words"))
+    parts = F.transform(F.split("words", "\n"), F.trim)
+    if len(shapes) <= MOST_SHAPES:
+        parts = F.filter(parts, lambda line: _shape(line).isin(shapes))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(F.sha2(spelled(F.col("words")), 256), nothing).alias("key"), F.transform(parts, lambda line: F.sha2(spelled(line), 256)).alias("parts"))
+    lines = rows.select("row", "doc_id", "key", F.explode_outer("parts").alias("part")).withColumn("part", F.coalesce("part", nothing))
+    named = lines.join(small(known.select(F.coalesce("digest", nothing).alias("part"), F.col("license").alias("line_license"))), "part", "left")
+    found = named.groupBy("row", "doc_id", "key").agg(
+        F.count("line_license").alias("license_lines"), F.array_join(F.array_sort(F.collect_set("line_license")), ",").alias("names"))
+    whole = small(known.select(F.coalesce("digest", nothing).alias("key"), "license"))
+    return found.join(whole, "key", "left").select(
+        "doc_id", F.nullif("key", nothing).alias("digest"), "license", "license_lines", F.nullif("names", nothing).alias("line_licenses"))
 
 
 def op3_license_scan(spark, sf_dir: str) -> DataFrame:
@@ -137,19 +157,17 @@ def oracle_sql() -> str:
     """The same scan in DuckDB SQL."""
 
     def canon(x: str) -> str:
-        gap = WORD_GAP.replace("'", "''")
-        words = f"' ' || regexp_replace(regexp_replace(lower({x}), '{COPYRIGHT_LINE}', '', 'g'), '{gap}', ' ', 'g') || ' '"
-        for variant, spelling in SPELLINGS:
-            words = f"replace({words}, ' {variant} ', ' {spelling} ')"
-        return f"trim(regexp_replace({words}, ' +', ' ', 'g'))"
+        words = f"regexp_replace(regexp_replace(lower({x}), '{COPYRIGHT_LINE}', '', 'g'), '{WORD_GAP}', ' ', 'g')"
+        cases = " ".join(f"WHEN '{v}' THEN '{s}'" for v, s in SPELLINGS)
+        return f"array_to_string(list_transform(regexp_split_to_array(trim({words}, ' '), '[ \\n]+'), lambda w : CASE w {cases} ELSE w END), ' ')"
 
     values = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in KNOWN)
     return f"""
 WITH known AS (SELECT sha256({canon('text')}) AS digest, min(license) AS license FROM (VALUES {values}) v(license, text) GROUP BY 1),
 rows AS (SELECT doc_id, text, sha256({canon('text')}) AS digest FROM documents),
 lines AS (SELECT doc_id, digest AS of, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM rows),
-hits AS (SELECT doc_id, of, count(DISTINCT line) AS license_lines, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses
-         FROM (SELECT doc_id, of, line, sha256({canon('part')}) AS digest FROM lines) l JOIN known USING (digest) GROUP BY doc_id, of)
+hits AS (SELECT doc_id, of, count(*) AS license_lines, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses
+         FROM (SELECT doc_id, of, sha256({canon('part')}) AS digest FROM lines) l JOIN known USING (digest) GROUP BY doc_id, of)
 SELECT r.doc_id, r.digest, k.license, CAST(coalesce(h.license_lines, 0) AS BIGINT) AS license_lines, h.line_licenses
 FROM rows r LEFT JOIN known k ON r.digest = k.digest LEFT JOIN hits h ON r.doc_id IS NOT DISTINCT FROM h.doc_id AND r.digest = h.of
 """
