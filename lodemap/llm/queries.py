@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from lodemap.llm import licenses, sharding, simhash
+from lodemap.llm import html_text, language, licenses, quality, sharding, simhash
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_license_scan": licenses.op3_license_scan,
+    "op6_quality_classifier": quality.op6_quality_classifier,
+    "op7_html_extraction": html_text.op7_html_extraction,
+    "op8_language_id": language.op8_language_id,
     "op10_external_shuffle": sharding.op10_external_shuffle,
 }
 ORACLES = {
