@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from lodemap.llm import html_text, language, licenses, quality, sharding, simhash
+from lodemap.llm import bpe, decontaminate, html_text, language, licenses, neighbours, quality, sharding, simhash, token_files
 
 QUERIES = {
+    "op1_nearest_neighbours": neighbours.op1_nearest_neighbours,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_license_scan": licenses.op3_license_scan,
+    "op4_token_files": token_files.op4_token_files,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_html_extraction": html_text.op7_html_extraction,
     "op8_language_id": language.op8_language_id,
+    "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_external_shuffle": sharding.op10_external_shuffle,
 }
 ORACLES = {
