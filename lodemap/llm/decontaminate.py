@@ -129,6 +129,16 @@ class Index:
         return low + begin + shift, low + begin, n, matches
 
 
+def _indexes(benchmark: DataFrame) -> Iterator[Index]:
+    """The index of each block of the benchmark (item_id, text)."""
+    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-int(size) // BLOCK_CHARS))
+    items = benchmark.select("item_id", "text").where("text is not null")
+    for b in range(blocks):
+        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        yield Index(sorted(((r["item_id"], r["text"]) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id and the overlap (doc_start, item_start, n_tokens, n_matches, item_tokens) of `docs` (doc_id, text) with `benchmark` (item_id, text).
 
@@ -136,15 +146,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Places and lengths are in tokens. Null and empty texts overlap nothing; a null item_id stays null. Texts are
     scanned whole, once for each block of the benchmark; nothing of them is shuffled.
     """
-    spark = docs.sparkSession
-    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(size) // BLOCK_CHARS))
-    items = benchmark.select("item_id", "text").where("text is not null")
     found = None
-    for b in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        index = Index(sorted(((r["item_id"], r["text"]) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
-        shared = spark.sparkContext.broadcast(index)
+    for index in _indexes(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             names = ["doc_id", *[x.split()[0] for x in OUT.split(", ")]]
@@ -160,6 +164,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found
 
 
+def flagged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """`docs` with boolean `contaminated`: whether the row's text overlaps an item of the benchmark; false for null."""
+    python_batches(docs.sparkSession)
+    out = docs.withColumn("contaminated", F.lit(False))
+    for index in _indexes(benchmark):
+        out = out.withColumn("contaminated", F.col("contaminated") | _hit(docs.sparkSession.sparkContext.broadcast(index))("text"))
+    return out
+
+
+def _hit(shared):
+    @F.pandas_udf("boolean")
+    def hit(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(x) for x in shared.value.overlaps(texts.tolist())], dtype=bool)
+
+    return hit
+
+
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
     """Every overlap of a document with a benchmark item."""
     python_batches(spark)

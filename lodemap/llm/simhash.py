@@ -117,11 +117,11 @@ def trie_join(paths: np.ndarray, depth: int, pairs: np.ndarray, budget: int, wid
         p, errors = p[~lone], errors[~lone]
         if not len(p):
             continue
-        if d == depth:  # equal paths below different roots
-            for low, high, low2, high2 in p:
-                if (low, high) != (low2, high2):
-                    a, b = np.meshgrid(np.arange(low, high), np.arange(low2, high2), indexing="ij")
-                    yield a.ravel(), b.ravel()
+        if d == depth:  # rows of equal paths
+            for low, high, low2, high2 in p.tolist():
+                for a in range(low, high):
+                    b = np.arange(a + 1, high) if (low, high) == (low2, high2) else np.arange(low2, high2)
+                    yield np.full(len(b), a), b
             continue
         if len(p) > width:
             cut = len(p) // 2
@@ -144,12 +144,23 @@ def trie_join(paths: np.ndarray, depth: int, pairs: np.ndarray, budget: int, wid
         stack.append((d + 1, np.concatenate(nodes), np.concatenate(costs)))
 
 
-def _joined(budget: int):
-    """mapInPandas function: rows (task, side, path, fp), sorted by them; a task's links as spanning edges."""
+def _least(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Of links, the `most` smallest partners below each node, as (node, partner); whether any node has more."""
+    pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
+    first = np.concatenate([[0], np.flatnonzero(pairs[1:, 0] != pairs[:-1, 0]) + 1])
+    place = np.arange(len(pairs)) - np.repeat(first, np.diff(np.append(first, len(pairs))))
+    return pairs[place < most, 0], pairs[place < most, 1], bool((place >= most).any())
+
+
+def _joined(budget: int, most: int | None):
+    """mapInPandas function: rows (task, side, path, id), sorted by them; a task's links as spanning edges.
+
+    With `most`, the links themselves: those of each node to so many smaller ones, and whether there are more.
+    """
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
         task, side = rows["task"].to_numpy(), rows["side"].to_numpy()
-        path, fp = rows["path"].to_numpy().view(np.uint64), rows["fp"].to_numpy()
+        path, ids = rows["path"].to_numpy().view(np.uint64), rows["id"].to_numpy()
         new = np.concatenate([[True], (task[1:] != task[:-1]) | (side[1:] != side[:-1])])
         low = np.flatnonzero(new)
         high = np.append(low[1:], len(rows))
@@ -159,18 +170,26 @@ def _joined(budget: int):
         i, j = np.flatnonzero(pair_next), np.flatnonzero(pair_next) + 1
         roots = np.concatenate([np.stack([low[alone], high[alone]] * 2, 1), np.stack([low[i], high[i], low[j], high[j]], 1)])
         roots = roots[(roots[:, 1] - roots[:, 0] > 1) | (roots[:, 0] != roots[:, 2])]
-        out, held = [], 0
+        out, held, full = [], 0, False
         for a, b in trie_join(path, BITS, roots, budget):
-            out.append((fp[a], fp[b]))
+            out.append((ids[a], ids[b]))
             held += len(a)
             if held > 1 << 20:
-                out, held = [spanning(out)], 0
-        return pd.DataFrame(dict(zip(("a", "b"), spanning(out))) if out else {"a": [], "b": []}, dtype="int64")
-
-    def spanning(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+                (a, b), more = fewer(out)
+                out, held, full = [(a, b)], 0, full or more
+        if not out:
+            return pd.DataFrame({"a": [], "b": [], "more": []}).astype({"a": "int64", "b": "int64", "more": "bool"})
+        (a, b), more = fewer(out)
+        return pd.DataFrame({"a": a, "b": b, "more": full or more})
+
+    def fewer(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[tuple[np.ndarray, np.ndarray], bool]:
         a, b = (np.concatenate(x) for x in zip(*parts))
+        a, b = a[a != b], b[a != b]
+        if most is not None:
+            a, b, more = _least(a, b, most)
+            return (a, b), more
         keep = _forest(a, b)
-        return a[keep], b[keep]
+        return (a[keep], b[keep]), False
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -193,36 +212,31 @@ def _joined(budget: int):
     return run
 
 
-def hamming_links(fps: DataFrame, budget: int = 3, trie_rows: int = 4096) -> DataFrame:
-    """Edges (a, b) between the distinct longs of column `fp` with at most `budget` differing bits.
+def hamming_links(fps: DataFrame, budget: int = 3, trie_rows: int = 4096, most: int | None = None) -> DataFrame:
+    """Edges (a, b) between rows (id, fp) of longs whose fingerprints differ in at most `budget` bits.
 
-    The edges have the components of all such pairs and at most a few edges for each fingerprint. `fps` must
-    hold each fingerprint once. Every trie takes part; one over `trie_rows` is met in pairs of its chunks.
+    The edges have the components of all such pairs and at most a few edges for each row; ids must be unique.
+    With `most` they are the links of each row to at most so many smaller ids in each trie, and `more` says
+    whether the trie's task saw others. Every trie takes part; one over `trie_rows` is met in pairs of its chunks.
     """
-    spark = fps.sparkSession
     parts = []
     for t, (at, width) in enumerate(_rotations(budget)):
         key = F.expr(f"shiftrightunsigned(fp, {BITS - at - width}) & {(1 << width) - 1}")
         path = F.col("fp") if at == 0 else F.expr(f"shiftleft(fp, {at}) | shiftrightunsigned(fp, {BITS - at})")
         parts.append(F.struct(F.lit(t).alias("trie"), key.alias("key"), path.alias("path")))
-    rows = fps.select("fp", F.explode(F.array(*parts)).alias("r")).select("r.*", "fp")
+    rows = fps.select("id", "fp", F.explode(F.array(*parts)).alias("r")).select("r.*", "id")
     sizes = rows.groupBy("trie", "key").agg(F.count("*").alias("n")).where("n > 1")
     large = sizes.where(F.col("n") > trie_rows)
     # A trie of few fingerprints is one task: its rows meet in one place, sorted as the trie is.
     small = rows.join(sizes.where(F.col("n") <= trie_rows), ["trie", "key"], "left_semi").select(
-        F.xxhash64("trie", "key", F.lit(0), F.lit(0)).alias("task"), F.lit(0).alias("side"), F.col("path"), "fp")
-    # Chunks of a large trie are its nodes at a depth where a node holds trie_rows / 4 in the mean, or what a
-    # seeded hash deals out of a node that holds more than trie_rows (few paths, many rows, cannot be: rows are
-    # distinct, so deeper nodes are always smaller).
+        F.xxhash64("trie", "key", F.lit(0), F.lit(0)).alias("task"), F.lit(0).alias("side"), "path", "id")
+    # Chunks of a large trie are its nodes at a depth where a node holds trie_rows / 4 in the mean; a node that
+    # still holds more is dealt into pieces by a hash.
     deep = F.least(F.lit(24), F.greatest(F.lit(1), F.ceil(F.log2(F.col("n") * 4.0 / trie_rows)))).cast("int")
     hot = rows.join(large.select("trie", "key", deep.alias("depth")), ["trie", "key"])
     width = F.element_at(F.array(*[F.lit(w) for _, w in _rotations(budget)]), F.col("trie") + 1)
     node = F.expr("shiftrightunsigned(shiftleft(path, w), 64 - depth)")
     hot = hot.withColumn("w", width).withColumn("node", node)
-    return _with_large(spark, small, hot, budget, trie_rows)
-
-
-def _with_large(spark, small: DataFrame, hot: DataFrame, budget: int, trie_rows: int) -> DataFrame:
     counted = hot.groupBy("trie", "key", "node").agg(F.count("*").alias("rows"))
     cut = counted.withColumn("pieces", F.ceil(F.col("rows") / (trie_rows // 2)).cast("int"))
     chunk = cut.select("trie", "key", "node", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
@@ -239,10 +253,10 @@ def _with_large(spark, small: DataFrame, hot: DataFrame, budget: int, trie_rows:
         F.struct(F.lit(0).alias("side"), F.col("node").alias("node"), F.col("piece").alias("piece")),
         F.struct(F.lit(1).alias("side"), F.col("node2").alias("node"), F.col("piece2").alias("piece")),
     ))).alias("e")).select("trie", "key", "task", "e.*")
-    placed = hot.join(cut, ["trie", "key", "node"]).withColumn("piece", F.pmod(F.hash("fp"), F.col("pieces")))
-    dealt = placed.join(ends, ["trie", "key", "node", "piece"]).select("task", "side", "path", "fp")
-    tasks = small.unionByName(dealt).repartition(partitions(spark), "task").sortWithinPartitions("task", "side", "path")
-    return tasks.mapInPandas(_joined(budget), "a long, b long")
+    placed = hot.join(cut, ["trie", "key", "node"]).withColumn("piece", F.pmod(F.hash("id"), F.col("pieces")))
+    dealt = placed.join(ends, ["trie", "key", "node", "piece"]).select("task", "side", "path", "id")
+    tasks = small.unionByName(dealt).repartition(partitions(fps.sparkSession), "task").sortWithinPartitions("task", "side", "path")
+    return tasks.mapInPandas(_joined(budget, most), "a long, b long, more boolean")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -284,13 +298,130 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, trie_row
     marked = written(docs.select("doc_id", simhash(F.col("text"), shingle).alias("fp")), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     python_batches(docs.sparkSession, 10_000)
-    stars = components(hamming_links(distinct, budget, trie_rows))
+    stars = components(hamming_links(distinct.select(F.col("fp").alias("id"), "fp"), budget, trie_rows))
     named = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = named.join(lowest, "component").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+# --- similar texts, for a corpus of which one of each group stays ---
+
+#: Seeds of the word-set fingerprints that bring similar texts together; any one within the budget will do.
+VIEWS = 8
+#: Texts as similar as wanted differ in far fewer bits of the shingles' fingerprint than unlike ones (32 in the mean).
+UNLIKE_BITS = 22
+#: Smaller ids that a text is compared with at first, in each trie.
+MOST = 16
+
+
+def _view(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes mixed anew, by the finalizer of SplitMix64."""
+    x = hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    seen = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _BYTE_AT).ravel(), minlength=2048).reshape(8, 256)
+    return int(np.packbits((seen @ _BIT_OF_BYTE).ravel() * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def _shingles(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)] if words else []
+    return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], dtype="<u8"))
+
+
+def marks(text: Column, shingle: int) -> Column:
+    """same (equal for equal word sequences), n (distinct shingles), fp (of shingles), views (of the word set)."""
+
+    @F.pandas_udf("same string, n int, fp long, views array<long>")
+    def marked(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            words = (t or "").encode("utf-8", "surrogatepass").lower().split()
+            if not words:
+                rows.append(("", 0, 0, [0] * VIEWS))
+                continue
+            grams = _shingles(t, shingle)
+            h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(words)], dtype="<u8")
+            views = [_majority(_view(h, k)) for k in range(VIEWS)]
+            rows.append((xxhash.xxh3_128_hexdigest(b" ".join(words)), len(grams), _majority(grams), views))
+        return pd.DataFrame(rows, columns=["same", "n", "fp", "views"])
+
+    return marked(text)
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, kept): for every doc_id of `docs` (doc_id, text) the document that stays for its group, itself or another.
+
+    Texts of equal words are copies. Other texts are linked when the Jaccard similarity of their word shingles is
+    `similarity` or more; candidates are texts with a fingerprint of the word set within 3 bits in one of the
+    views. Every document reaches the one that stays for it over links, and no two that stay are linked; the
+    smallest doc_id stays. Rows that share a doc_id are one document. Rows with a null doc_id take no part. Texts
+    without words are copies of each other.
+    """
+    spark = docs.sparkSession
+    python_batches(spark)
+    texts = docs.where("doc_id is not null").select("doc_id", "text")
+    marked = written(texts.select("doc_id", marks(F.col("text"), shingle).alias("m")).select("doc_id", "m.*"), "marks")
+    # Copies first: one node for each word sequence.
+    nodes = marked.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("views").alias("views"))
+    nodes = written(nodes.dropDuplicates(["id"]), "nodes")
+    copies = marked.join(nodes.select("same", F.col("id").alias("node")), "same").groupBy("doc_id").agg(F.min("node").alias("node"))
+    left, links, most = nodes, None, MOST
+    python_batches(spark, 10_000)
+    while True:
+        found = None
+        for k in range(VIEWS):
+            part = hamming_links(left.where("n > 0").select("id", F.col("views")[k].alias("fp")), 3, most=most)
+            found = part if found is None else found.unionByName(part)
+        found = written(found.groupBy("a", "b").agg(F.max("more").alias("more")), "candidates")
+        similar = _similar(found, left, texts, shingle, similarity)
+        new = written(similar, "similar")
+        links = new if links is None else links.unionByName(new)
+        stars = components(links)
+        more = not found.where("more").isEmpty()
+        if not more or most > MOST:
+            break
+        stay = left.join(stars.where("node <> component").select(F.col("node").alias("id")), "id", "left_anti")
+        if new.isEmpty():
+            most = 1 << 40  # dense but unlike: all of their links
+        left = written(stay, "left")
+    final = copies.join(stars.select("node", "component"), "node", "left")
+    return final.select("doc_id", F.coalesce("component", "node").alias("kept"))
+
+
+def _similar(candidates: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The candidates (a, b) whose texts' shingles have the Jaccard similarity."""
+    of = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("fp").alias(f"fp_{x}"))
+    likely = candidates.join(of("a"), "a").join(of("b"), "b").where(
+        (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= UNLIKE_BITS))
+    likely = written(likely.select("a", "b"), "likely")
+    ends = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+    @F.pandas_udf("binary")
+    def packed(column: pd.Series) -> pd.Series:
+        return pd.Series([_shingles(t, shingle).tobytes() for t in column])
+
+    @F.pandas_udf("double")
+    def jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(left, right):
+            a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(both / max(1, len(a) + len(b) - both))
+        return pd.Series(out)
+
+    sets = texts.join(ends, "doc_id", "left_semi").select("doc_id", packed(F.col("text")).alias("s"))
+    sets = written(sets.groupBy("doc_id").agg(F.max("s").alias("s")), "shingles")
+    pairs = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("s_b")), "b")
+    return pairs.where(jaccard("s_a", "s_b") >= similarity).select("a", "b")
+
+
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document's SimHash of 3-word shingles and the component of links at 3 or fewer differing bits."""
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, budget=3)
