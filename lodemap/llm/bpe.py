@@ -36,10 +36,10 @@ class Encoder:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.stays = lru_cache(maxsize=1 << 16)(self._stays)
-        self.seam = lru_cache(maxsize=1 << 16)(self._seam)
-        self.half = lru_cache(maxsize=1 << 16)(self.encode_bytes)
-        self.piece = lru_cache(maxsize=1 << 17)(self._piece)
+        self.stays = lru_cache(maxsize=1 << 18)(self._stays)
+        self.seam = lru_cache(maxsize=1 << 17)(self._seam)
+        self.half = lru_cache(maxsize=1 << 17)(self.encode_bytes)
+        self.piece = lru_cache(maxsize=1 << 16)(self._piece)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
 
     def merged(self, data: bytes) -> list[int]:
@@ -73,11 +73,16 @@ class Encoder:
         """The encoding of two stretches from theirs."""
         if not left or not right:
             return left or right
-        width = 1
+        a, b = left[-1], right[0]
+        if self.stays(a, b):
+            return left + right
+        window = self.seam(a, b)  # the window of one token on either side
+        if (len(left) == 1 or self.stays(left[-2], window[0])) and (len(right) == 1 or self.stays(window[-1], right[1])):
+            return left[:-1] + window + right[1:]
+        width = 2
         while True:
             i, j = max(0, len(left) - width), min(len(right), width)
-            ends = left[i:] + right[:j]
-            window = self.seam(*ends) if len(ends) == 2 else self.merged(b"".join(map(self.tokens.__getitem__, ends)))
+            window = self.merged(b"".join(map(self.tokens.__getitem__, left[i:] + right[:j])))
             if (i == 0 or self.stays(left[i - 1], window[0])) and (j == len(right) or self.stays(window[-1], right[j])):
                 return left[:i] + window + right[j:]
             width *= 2
@@ -88,7 +93,8 @@ class Encoder:
             return self.merged(data)
         half = len(data) // 2
         below = self.half if half < REMEMBERED else self.encode_bytes
-        return self.join(below(data[:half]), below(data[half:]))
+        left, right = below(data[:half]), below(data[half:])
+        return left + right if self.stays(left[-1], right[0]) else self.join(left, right)
 
     def _piece(self, match: str) -> list[int]:
         data = match.encode("utf-8", "replace")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lodemap.llm.common import partitions, python_batches, table, written
 
-TABLES = 24
+TABLES = 32
 PROBES = 3
 #: Rows of a bucket that one task meets at once; a larger bucket is cut into such chunks, each met by all its queries.
 CHUNK_ROWS = 4096

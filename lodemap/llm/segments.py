@@ -17,7 +17,7 @@ SEGMENT = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
 class SegmentIds:
     """Encodes texts segment by segment; what `encode` returned for a segment is kept, up to `limit` segments."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 600_000):
         self.encode, self.limit = encode, limit
         self._clear()
 
