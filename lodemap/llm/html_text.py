@@ -171,6 +171,8 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     tree = _Tree()
+    if html.rfind("<!--") > html.rfind("-->"):
+        html += "-->"  # a comment that never ends hides the rest of the page
     tree.feed(html.replace("<![", "<!-["))
     tree.close()
     found = _score(tree.root)

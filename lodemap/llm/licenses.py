@@ -104,7 +104,7 @@ def worded(text: Column) -> Column:
 def spelled(line: Column) -> Column:
     """Words joined by single blanks, each in one spelling; `line` is of `worded`."""
     spelling = F.create_map(*[F.lit(x) for pair in SPELLINGS for x in pair])
-    words = F.transform(F.split(F.trim(line), "[ \n]+"), lambda w: F.when(w.isin([v for v, _ in SPELLINGS]), F.element_at(spelling, w)).otherwise(w))
+    words = F.transform(F.split(F.btrim(line, F.lit(" \n")), "[ \n]+"), lambda w: F.when(w.isin([v for v, _ in SPELLINGS]), F.element_at(spelling, w)).otherwise(w))
     return F.array_join(words, " ")
 
 
@@ -159,7 +159,7 @@ def oracle_sql() -> str:
     def canon(x: str) -> str:
         words = f"regexp_replace(regexp_replace(lower({x}), '{COPYRIGHT_LINE}', '', 'g'), '{WORD_GAP}', ' ', 'g')"
         cases = " ".join(f"WHEN '{v}' THEN '{s}'" for v, s in SPELLINGS)
-        return f"array_to_string(list_transform(regexp_split_to_array(trim({words}, ' '), '[ \\n]+'), lambda w : CASE w {cases} ELSE w END), ' ')"
+        return f"array_to_string(list_transform(regexp_split_to_array(trim({words}, ' ' || chr(10)), '[ \\n]+'), lambda w : CASE w {cases} ELSE w END), ' ')"
 
     values = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in KNOWN)
     return f"""

@@ -82,7 +82,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def _descend(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Adam on the non-negative risk with the logistic loss. Where the negatives' risk is below 0, its gradient is reversed."""
-    w, b = np.zeros(p.shape[1]), 0.0
+    w, b = np.zeros(p.shape[1], np.float32), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for k in range(1, steps + 1):
         sp, su = _sigmoid(p @ w + b), _sigmoid(u @ w + b)
@@ -95,7 +95,7 @@ def _descend(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate:
         g = np.append(p.T @ gp + u.T @ gu + decay * w, gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
+        w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
     return w, b
 
 
@@ -125,7 +125,7 @@ def fit(positives: DataFrame, unlabelled: DataFrame, train_rows: int = TRAIN_ROW
                 yield pd.DataFrame({"doc_id": b["doc_id"], "x": [features(t).tobytes() for t in b["text"]]})
 
         found = drawn.mapInPandas(shapes, "doc_id long, x binary").orderBy("doc_id", "x").toPandas()["x"]
-        return np.stack([np.frombuffer(x, np.float32) for x in found]).astype(np.float64) if len(found) else np.zeros((0, WIDTH))
+        return np.stack([np.frombuffer(x, np.float32) for x in found]) if len(found) else np.zeros((0, WIDTH), np.float32)
 
     p, u = sample(positives), sample(unlabelled)
     if len(p) < 2 or len(u) < 2:
@@ -134,7 +134,7 @@ def fit(positives: DataFrame, unlabelled: DataFrame, train_rows: int = TRAIN_ROW
     p, u = p[rng.permutation(len(p))], u[rng.permutation(len(u))]
     prior = estimate_prior(p, u)
     w, b = _descend(p, u, prior)
-    return Model(w, b, prior)
+    return Model(w.astype(np.float64), float(b), prior)
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

@@ -13,11 +13,17 @@ _BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 #: blank, so the ids of a text are those of its segments, one after another.
 SEGMENT = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
 
+#: A segment that ends in marks after a letter or digit: the patterns end a match between the two.
+MARKED = re.compile(r"(.*[^\W_])([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+)", re.S)
+
 
 class SegmentIds:
-    """Encodes texts segment by segment; what `encode` returned for a segment is kept, up to `limit` segments."""
+    """Encodes texts segment by segment; what `encode` returned for a segment is kept, up to `limit` segments.
+
+    A worker then needs a few hundred bytes for each, whatever the table's size; beyond the limit it begins anew.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 600_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 800_000):
         self.encode, self.limit = encode, limit
         self._clear()
 
@@ -26,8 +32,22 @@ class SegmentIds:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)  # segment k has ids[starts[k]:starts[k + 1]]
 
+    def _ids(self, segment: str) -> np.ndarray:
+        k = self.known[segment]
+        return self.ids[self.starts[k] : self.starts[k + 1]]
+
     def _add(self, segments: list[str]) -> None:
-        found = self.encode(segments)
+        """Learn segments that are new: first their parts without marks and the marks, then what these make together."""
+        ends = [(s, m) for s in segments if (m := MARKED.fullmatch(s))]
+        parts = dict.fromkeys(x for _, m in ends for x in m.groups() if x not in self.known)
+        marked = {s for s, _ in ends}
+        parts.update(dict.fromkeys(s for s in segments if s not in marked))
+        if parts:
+            self._keep(list(parts), self.encode(list(parts)))
+        if ends:
+            self._keep([s for s, _ in ends], [[*self._ids(m[1]).tolist(), *self._ids(m[2]).tolist()] for _, m in ends])
+
+    def _keep(self, segments: list[str], found: list[list[int]]) -> None:
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         n, at = len(self.known), int(self.starts[len(self.known)])
         while n + len(found) + 1 > len(self.starts):

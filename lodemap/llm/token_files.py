@@ -66,7 +66,7 @@ def _coder(path: str) -> SegmentIds:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return SegmentIds(lambda segments: [e.ids for e in tokenizer.encode_batch_fast(segments, add_special_tokens=False)])
+    return SegmentIds(lambda segments: [e.ids for e in tokenizer.encode_batch_fast(segments, add_special_tokens=False)], limit=1_200_000)
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID) -> None:
