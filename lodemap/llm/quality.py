@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lodemap.llm.common import fold, python_batches, table
 
 #: Rows of each kind, P and U, that a fit takes at most, in the mean of the seeded draw.
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 4_000
 THRESHOLD = 0.7
 
 # Kinds of bytes: small letters (and all of non-ASCII), capitals, digits, blanks, line ends, each mark on its own.
@@ -92,7 +92,7 @@ def _descend(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate:
         if below < 0:
             up, down, gu = np.zeros_like(up), -down, -gu
         gp = up + down
-        g = np.append(p.T @ gp + u.T @ gu + decay * w, gp.sum() + gu.sum())
+        g = np.append(p.T @ gp.astype(np.float32) + u.T @ gu.astype(np.float32) + decay * w, gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
@@ -124,8 +124,9 @@ def fit(positives: DataFrame, unlabelled: DataFrame, train_rows: int = TRAIN_ROW
             for b in batches:
                 yield pd.DataFrame({"doc_id": b["doc_id"], "x": [features(t).tobytes() for t in b["text"]]})
 
-        found = drawn.mapInPandas(shapes, "doc_id long, x binary").orderBy("doc_id", "x").toPandas()["x"]
-        return np.stack([np.frombuffer(x, np.float32) for x in found]) if len(found) else np.zeros((0, WIDTH), np.float32)
+        found = drawn.mapInPandas(shapes, "doc_id long, x binary").orderBy("doc_id", "x").toLocalIterator()
+        rows = b"".join(bytes(r["x"]) for r in found)  # one partition after another, in order
+        return np.frombuffer(rows, np.float32).reshape(-1, WIDTH)
 
     p, u = sample(positives), sample(unlabelled)
     if len(p) < 2 or len(u) < 2:

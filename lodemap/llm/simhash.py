@@ -376,8 +376,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     python_batches(spark, 10_000)
     while True:
         found = None
-        for k in range(VIEWS):
-            part = hamming_links(left.where("n > 0").select("id", F.col("views")[k].alias("fp")), 3, most=most)
+        for k in range(VIEWS):  # a job for each view keeps plans small
+            part = written(hamming_links(left.where("n > 0").select("id", F.col("views")[k].alias("fp")), 3, most=most), "view")
             found = part if found is None else found.unionByName(part)
         found = written(found.groupBy("a", "b").agg(F.max("more").alias("more")), "candidates")
         similar = _similar(found, left, texts, shingle, similarity)
