@@ -135,12 +135,13 @@ def nearest(vectors: DataFrame, query: Column, k: int = 10, tables: int = TABLES
     good = F.col("vec_id").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = vectors.where(good).select("vec_id", "embedding").distinct()
     same = Window.partitionBy("embedding").orderBy("vec_id")
-    index = written(rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n"), "index")
+    index = rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n")
+    index = written(index.withColumn("codes", _codes(F.col("embedding"), tables, 1)), "index")
     members = written(rows.where(query).select(F.col("vec_id").alias("query_id"), "embedding"), "queries")
     keys = members.groupBy("embedding").agg(F.min("query_id").alias("vec_id"))
     n = partitions(vectors.sparkSession)
 
-    coded = index.select("vec_id", "embedding", F.explode(_codes(F.col("embedding"), tables, 1)).alias("code"))
+    coded = index.select("vec_id", "embedding", F.explode("codes").alias("code"))
     asked = keys.select("vec_id", "embedding", F.explode(_codes(F.col("embedding"), tables, probes)).alias("code"))
     sizes = coded.groupBy("code").agg(F.ceil(F.count("*") / chunk_rows).cast("long").alias("pieces"))
     first = written(_met(coded, asked, sizes, k + 1, n), "found")

@@ -213,18 +213,18 @@ def _joined(budget: int, most: int | None):
 
 
 def hamming_links(fps: DataFrame, budget: int = 3, trie_rows: int = 4096, most: int | None = None) -> DataFrame:
-    """Edges (a, b) between rows (id, fp) of longs whose fingerprints differ in at most `budget` bits.
+    """Edges (a, b) between rows (id, fps) whose fingerprints differ in at most `budget` bits in the same place of fps.
 
     The edges have the components of all such pairs and at most a few edges for each row; ids must be unique.
     With `most` they are the links of each row to at most so many smaller ids in each trie, and `more` says
     whether the trie's task saw others. Every trie takes part; one over `trie_rows` is met in pairs of its chunks.
     """
-    parts = []
-    for t, (at, width) in enumerate(_rotations(budget)):
+    cuts, parts = _rotations(budget), []
+    for t, (at, width) in enumerate(cuts):
         key = F.expr(f"shiftrightunsigned(fp, {BITS - at - width}) & {(1 << width) - 1}")
         path = F.col("fp") if at == 0 else F.expr(f"shiftleft(fp, {at}) | shiftrightunsigned(fp, {BITS - at})")
-        parts.append(F.struct(F.lit(t).alias("trie"), key.alias("key"), path.alias("path")))
-    rows = fps.select("id", "fp", F.explode(F.array(*parts)).alias("r")).select("r.*", "id")
+        parts.append(F.struct((F.col("view") * len(cuts) + t).alias("trie"), key.alias("key"), path.alias("path")))
+    rows = fps.select("id", F.posexplode("fps").alias("view", "fp")).select("id", F.explode(F.array(*parts)).alias("r")).select("r.*", "id")
     sizes = rows.groupBy("trie", "key").agg(F.count("*").alias("n")).where("n > 1")
     large = sizes.where(F.col("n") > trie_rows)
     # A trie of few fingerprints is one task: its rows meet in one place, sorted as the trie is.
@@ -234,7 +234,7 @@ def hamming_links(fps: DataFrame, budget: int = 3, trie_rows: int = 4096, most:
     # still holds more is dealt into pieces by a hash.
     deep = F.least(F.lit(24), F.greatest(F.lit(1), F.ceil(F.log2(F.col("n") * 4.0 / trie_rows)))).cast("int")
     hot = rows.join(large.select("trie", "key", deep.alias("depth")), ["trie", "key"])
-    width = F.element_at(F.array(*[F.lit(w) for _, w in _rotations(budget)]), F.col("trie") + 1)
+    width = F.element_at(F.array(*[F.lit(w) for _, w in cuts]), F.col("trie") % len(cuts) + 1)
     node = F.expr("shiftrightunsigned(shiftleft(path, w), 64 - depth)")
     hot = hot.withColumn("w", width).withColumn("node", node)
     counted = hot.groupBy("trie", "key", "node").agg(F.count("*").alias("rows"))
@@ -266,6 +266,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Every step is a join of edges with each node's smallest neighbour, so no group meets in one task.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    # Nothing changed: the same number of edges and the same sum of their hashes.
+    state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    before = state(edges)
     for _ in range(rounds):
         # Large star: every node joins its larger neighbours to its smallest neighbour, itself included.
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
@@ -275,11 +278,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         small = written(small, "edges")
-        # Done when nothing changed: the same number of edges and the same sum of their hashes.
-        state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        done = state(small) == state(edges)
-        edges = small
-        if done:
+        edges, last, before = small, before, state(small)
+        if before == last:
             break
     else:
         raise RuntimeError(f"no stars after {rounds} rounds")
@@ -298,7 +298,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, trie_row
     marked = written(docs.select("doc_id", simhash(F.col("text"), shingle).alias("fp")), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     python_batches(docs.sparkSession, 10_000)
-    stars = components(hamming_links(distinct.select(F.col("fp").alias("id"), "fp"), budget, trie_rows))
+    stars = components(hamming_links(distinct.select(F.col("fp").alias("id"), F.array("fp").alias("fps")), budget, trie_rows))
     named = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = named.join(lowest, "component").select("fp", "component_id")
@@ -375,10 +375,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     left, links, most = nodes, None, MOST
     python_batches(spark, 10_000)
     while True:
-        found = None
-        for k in range(VIEWS):  # a job for each view keeps plans small
-            part = written(hamming_links(left.where("n > 0").select("id", F.col("views")[k].alias("fp")), 3, most=most), "view")
-            found = part if found is None else found.unionByName(part)
+        found = hamming_links(left.where("n > 0").select("id", F.col("views").alias("fps")), 3, most=most)
         found = written(found.groupBy("a", "b").agg(F.max("more").alias("more")), "candidates")
         similar = _similar(found, left, texts, shingle, similarity)
         new = written(similar, "similar")

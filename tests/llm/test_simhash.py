@@ -58,14 +58,14 @@ def clustered(n, seed):
 def test_links_have_the_components_of_all_pairs(spark, trie_rows):
     fps = clustered(400, 5)
     want = groups(fps, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 3)
-    df = spark.createDataFrame([(x, x) for x in fps], "id long, fp long")
+    df = spark.createDataFrame([(x, [x]) for x in fps], "id long, fps array<long>")
     stars = simhash.components(simhash.hamming_links(df, 3, trie_rows))
     got = {x: x for x in fps} | {r.node: r.component for r in stars.collect()}
     assert got == want
 
 
 def test_rows_of_one_fingerprint_and_least_partners(spark):
-    df = spark.createDataFrame([(i, 7) for i in range(50)], "id long, fp long")
+    df = spark.createDataFrame([(i, [7]) for i in range(50)], "id long, fps array<long>")
     got = {(r.a, r.b) for r in simhash.hamming_links(df, 3, most=2).collect()}
     assert got == {(i, j) for i in range(50) for j in range(min(i, 2))}
     assert {(r.a, r.b) for r in simhash.hamming_links(df, 3, trie_rows=8, most=1 << 40).select("a", "b").distinct().collect()} == {(i, j) for i in range(50) for j in range(i)}
