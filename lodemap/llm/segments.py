@@ -7,16 +7,27 @@ from collections.abc import Callable
 
 import numpy as np
 
-# Unicode white space, as \\s of the tokenizers' patterns takes it (the separators 1C to 1F are not in it).
-_BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+# Unicode white space, as \s of the tokenizers' patterns takes it (the separators 1C to 1F are not in it).
+_BLANK = "\t-\r \x85\xa0  -     　"
 #: A run of blanks and the run of other characters after it. The patterns let no match go from a non-blank to a
 #: blank, so the ids of a text are those of its segments, one after another.
 SEGMENT = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
-
 #: A segment that ends in marks after a letter or digit: the patterns end a match between the two.
 MARKED = re.compile(r"(.*[^\W_])([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+)", re.S)
 
 
+class _Numbers(dict):
+    """Numbers of segments in the order in which they were first asked for; `new` lists those since the last `learned`."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, segment: str) -> int:
+        number = self[segment] = len(self)
+        self.new.append(segment)
+        return number
+
+
 class SegmentIds:
     """Encodes texts segment by segment; what `encode` returned for a segment is kept, up to `limit` segments.
 
@@ -28,53 +39,58 @@ class SegmentIds:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)  # segment k has ids[starts[k]:starts[k + 1]]
+        self.learned = 0
+
+    def _learn(self) -> None:
+        """Ids of new segments: those with marks are made of their parts, which are encoded alone."""
+        number, new = self.known.__getitem__, self.known.new
+        ends = {s: (m[1], m[2]) for s in list(new) if (m := MARKED.fullmatch(s))}
+        for parts in ends.values():
+            number(parts[0])
+            number(parts[1])
+        plain = [s for s in new if s not in ends]
+        fresh = dict(zip(plain, self.encode(plain))) if plain else {}
 
-    def _ids(self, segment: str) -> np.ndarray:
-        k = self.known[segment]
-        return self.ids[self.starts[k] : self.starts[k + 1]]
-
-    def _add(self, segments: list[str]) -> None:
-        """Learn segments that are new: first their parts without marks and the marks, then what these make together."""
-        ends = [(s, m) for s in segments if (m := MARKED.fullmatch(s))]
-        parts = dict.fromkeys(x for _, m in ends for x in m.groups() if x not in self.known)
-        marked = {s for s, _ in ends}
-        parts.update(dict.fromkeys(s for s in segments if s not in marked))
-        if parts:
-            self._keep(list(parts), self.encode(list(parts)))
-        if ends:
-            self._keep([s for s, _ in ends], [[*self._ids(m[1]).tolist(), *self._ids(m[2]).tolist()] for _, m in ends])
-
-    def _keep(self, segments: list[str], found: list[list[int]]) -> None:
+        def ids(part: str) -> list[int]:
+            if (found := fresh.get(part)) is not None:
+                return found
+            if part in ends:
+                return ids(ends[part][0]) + ids(ends[part][1])
+            k = number(part)
+            return self.ids[self.starts[k] : self.starts[k + 1]].tolist()
+
+        found = [ids(s) for s in new]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        n, at = len(self.known), int(self.starts[len(self.known)])
+        n, at, total = self.learned, int(self.starts[self.learned]), int(lengths.sum())
         while n + len(found) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        while at + int(lengths.sum()) > len(self.ids):
+        while at + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.starts[n + 1 : n + 1 + len(found)] = at + np.cumsum(lengths)
-        self.ids[at : at + int(lengths.sum())] = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
-        self.known.update(zip(segments, range(n, n + len(segments))))
+        self.ids[at : at + total] = [i for x in found for i in x]
+        self.learned += len(found)
+        new.clear()
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and where each text's ids begin (with the end of the last)."""
-        segments: list[str] = []
+        if len(self.known) > self.limit:
+            self._clear()
+        places: list[int] = []
         counts = np.zeros(len(texts) + 1, np.int64)
+        number = self.known.__getitem__
         for k, text in enumerate(texts):
             if text:
-                found = SEGMENT.findall(text)
-                segments += found
-                counts[k + 1] = len(found)
-        if len(self.known) > self.limit:
-            self._clear()
-        at = list(map(self.known.get, segments))
-        if None in at:
-            self._add(list(dict.fromkeys(s for s, k in zip(segments, at) if k is None)))
-            at = list(map(self.known.__getitem__, segments))
-        place = np.array(at, np.int64)
+                places += map(number, SEGMENT.findall(text))
+                counts[k + 1] = len(places)
+            else:
+                counts[k + 1] = len(places)
+        if self.known.new:
+            self._learn()
+        place = np.array(places, np.int64)
         lengths = self.starts[place + 1] - self.starts[place]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.ids[np.repeat(self.starts[place] - ends[:-1], lengths) + np.arange(ends[-1])]
-        return ids, ends[np.cumsum(counts)]
+        return ids, ends[counts]

@@ -373,10 +373,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     nodes = written(nodes.dropDuplicates(["id"]), "nodes")
     copies = marked.join(nodes.select("same", F.col("id").alias("node")), "same").groupBy("doc_id").agg(F.min("node").alias("node"))
     left, links, most = nodes, None, MOST
-    python_batches(spark, 10_000)
     while True:
+        python_batches(spark, 10_000)  # numbers only
         found = hamming_links(left.where("n > 0").select("id", F.col("views").alias("fps")), 3, most=most)
         found = written(found.groupBy("a", "b").agg(F.max("more").alias("more")), "candidates")
+        python_batches(spark)
         similar = _similar(found, left, texts, shingle, similarity)
         new = written(similar, "similar")
         links = new if links is None else links.unionByName(new)
