@@ -12,11 +12,20 @@ from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch carries to a Python worker. Texts can be very long, so batches are kept small.
 BATCH_ROWS = 256
+#: Tables whose rows take long in a task.
+TEXTS = ("documents", "pages")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table `name` of a data folder; the path may be one that only Spark can open."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The Parquet table `name` of a data folder; the path may be one that only Spark can open.
+
+    A table of texts that has fewer splits than the session has cores is dealt out to all of them.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXTS and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def python_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
