@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
-# Unicode white space, as \s of the tokenizers' patterns takes it (the separators 1C to 1F are not in it).
-_BLANK = "\t-\r \x85\xa0  -     　"
-#: A run of blanks and the run of other characters after it. The patterns let no match go from a non-blank to a
-#: blank, so the ids of a text are those of its segments, one after another.
-SEGMENT = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
-#: A segment that ends in marks after a letter or digit: the patterns end a match between the two.
-MARKED = re.compile(r"(.*[^\W_])([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+)", re.S)
+# Unicode white space, as \s of the tokenizers' patterns takes it (the separators 1C to 1F are not in it),
+# and ASCII marks.
+_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_MARK = r"!\"#$%&()'*+,\-./:;<=>?@\[\\\]^_`{|}~"
+#: The patterns let no match go from a non-blank to a blank, nor from a letter or digit to an ASCII mark, so the ids
+#: of a text are those of its segments, one after another. A segment is a run of letters and digits that ends at such
+#: a place, with the blanks and marks before it; else all up to the next blank; else blanks at the end of the text.
+SEGMENT = re.compile(rf"[{_BLANK}]*[{_MARK}]*[^\W_]++(?=[{_MARK}{_BLANK}]|\Z)|[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
 
 
 class _Numbers(dict):
-    """Numbers of segments in the order in which they were first asked for; `new` lists those since the last `learned`."""
+    """Numbers of segments in the order in which they were first asked for; `new` lists those since the last were learned."""
 
     def __init__(self):
         self.new: list[str] = []
@@ -31,9 +33,12 @@ class _Numbers(dict):
 class SegmentIds:
     """Encodes texts segment by segment; what `encode` returned for a segment is kept, up to `limit` segments.
 
-    A worker then needs a few hundred bytes for each, whatever the table's size; beyond the limit it begins anew.
+    A worker then needs about a hundred bytes for each, whatever the table's size. Beyond the limit, or beyond
+    LETTERS for each of so many segments, as texts without blanks would have, it begins anew.
     """
 
+    LETTERS = 24
+
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 800_000):
         self.encode, self.limit = encode, limit
         self._clear()
@@ -42,27 +47,12 @@ class SegmentIds:
         self.known = _Numbers()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)  # segment k has ids[starts[k]:starts[k + 1]]
-        self.learned = 0
+        self.learned = self.letters = 0
 
     def _learn(self) -> None:
-        """Ids of new segments: those with marks are made of their parts, which are encoded alone."""
-        number, new = self.known.__getitem__, self.known.new
-        ends = {s: (m[1], m[2]) for s in list(new) if (m := MARKED.fullmatch(s))}
-        for parts in ends.values():
-            number(parts[0])
-            number(parts[1])
-        plain = [s for s in new if s not in ends]
-        fresh = dict(zip(plain, self.encode(plain))) if plain else {}
-
-        def ids(part: str) -> list[int]:
-            if (found := fresh.get(part)) is not None:
-                return found
-            if part in ends:
-                return ids(ends[part][0]) + ids(ends[part][1])
-            k = number(part)
-            return self.ids[self.starts[k] : self.starts[k + 1]].tolist()
-
-        found = [ids(s) for s in new]
+        """Ids of the new segments, put after those of the others."""
+        new = self.known.new
+        found = self.encode(new)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         n, at, total = self.learned, int(self.starts[self.learned]), int(lengths.sum())
         while n + len(found) + 1 > len(self.starts):
@@ -70,13 +60,14 @@ class SegmentIds:
         while at + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.starts[n + 1 : n + 1 + len(found)] = at + np.cumsum(lengths)
-        self.ids[at : at + total] = [i for x in found for i in x]
+        self.ids[at : at + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
         self.learned += len(found)
+        self.letters += sum(map(len, new))
         new.clear()
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and where each text's ids begin (with the end of the last)."""
-        if len(self.known) > self.limit:
+        if len(self.known) > self.limit or self.letters > self.limit * self.LETTERS:
             self._clear()
         places: list[int] = []
         counts = np.zeros(len(texts) + 1, np.int64)
