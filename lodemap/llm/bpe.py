@@ -36,10 +36,8 @@ class Encoder:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.stays = lru_cache(maxsize=1 << 18)(self._stays)
         self.seam = lru_cache(maxsize=1 << 17)(self._seam)
         self.half = lru_cache(maxsize=1 << 17)(self.encode_bytes)
-        self.piece = lru_cache(maxsize=1 << 16)(self._piece)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
 
     def merged(self, data: bytes) -> list[int]:
@@ -62,28 +60,25 @@ class Encoder:
                 worth[i - 1] = none if (r := rank(parts[i - 1] + parts[i])) is None else r
         return [self.ranks[p] for p in parts]
 
-    def _seam(self, a: int, b: int) -> list[int]:
-        return self.merged(self.tokens[a] + self.tokens[b])
-
-    def _stays(self, a: int, b: int) -> bool:
-        """Whether two neighbouring tokens are the encoding of their bytes."""
-        return self.seam(a, b) == [a, b]
+    def _seam(self, a: int, b: int) -> list[int] | None:
+        """The encoding of two neighbouring tokens' bytes; None where it is these tokens, so that both stay."""
+        window = self.merged(self.tokens[a] + self.tokens[b])
+        return None if window == [a, b] else window
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of two stretches from theirs."""
         if not left or not right:
             return left or right
-        a, b = left[-1], right[0]
-        if self.stays(a, b):
+        window = self.seam(left[-1], right[0])  # one token on either side
+        if window is None:
             return left + right
-        window = self.seam(a, b)  # the window of one token on either side
-        if (len(left) == 1 or self.stays(left[-2], window[0])) and (len(right) == 1 or self.stays(window[-1], right[1])):
+        if (len(left) == 1 or self.seam(left[-2], window[0]) is None) and (len(right) == 1 or self.seam(window[-1], right[1]) is None):
             return left[:-1] + window + right[1:]
         width = 2
         while True:
             i, j = max(0, len(left) - width), min(len(right), width)
             window = self.merged(b"".join(map(self.tokens.__getitem__, left[i:] + right[:j])))
-            if (i == 0 or self.stays(left[i - 1], window[0])) and (j == len(right) or self.stays(window[-1], right[j])):
+            if (i == 0 or self.seam(left[i - 1], window[0]) is None) and (j == len(right) or self.seam(window[-1], right[j]) is None):
                 return left[:i] + window + right[j:]
             width *= 2
 
@@ -94,9 +89,9 @@ class Encoder:
         half = len(data) // 2
         below = self.half if half < REMEMBERED else self.encode_bytes
         left, right = below(data[:half]), below(data[half:])
-        return left + right if self.stays(left[-1], right[0]) else self.join(left, right)
+        return self.join(left, right)
 
-    def _piece(self, match: str) -> list[int]:
+    def piece(self, match: str) -> list[int]:
         data = match.encode("utf-8", "replace")
         whole = self.ranks.get(data)
         return [whole] if whole is not None else self.encode_bytes(data)
@@ -116,7 +111,7 @@ class Encoder:
 @lru_cache(maxsize=4)
 def _coder(path: str) -> tuple[Encoder, SegmentIds]:
     encoder = Encoder(path)
-    return encoder, SegmentIds(lambda segments: list(map(encoder.encode, segments)))
+    return encoder, SegmentIds(lambda segments: list(map(encoder.encode, segments)), limit=600_000)
 
 
 def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:

@@ -39,7 +39,7 @@ class SegmentIds:
 
     LETTERS = 24
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 800_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int):
         self.encode, self.limit = encode, limit
         self._clear()
 
