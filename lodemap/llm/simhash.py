@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodemap.llm.common import partitions, python_batches, table, written
@@ -311,8 +311,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, trie_row
 VIEWS = 8
 #: Texts as similar as wanted differ in far fewer bits of the shingles' fingerprint than unlike ones (32 in the mean).
 UNLIKE_BITS = 22
-#: Smaller ids that a text is compared with at first, in each trie.
+#: Smaller ids that a text is compared with at first, in each trie, and in each task of shared shingles.
 MOST = 16
+#: Texts of which shingles are counted, in the mean, and how many of those in HOT_TEXTS of them or more are put last.
+#: Which ones these are changes what a join costs, never what it finds.
+SAMPLE_TEXTS = 10_000
+HOT_TEXTS = 4
+HOT_SHINGLES = 100_000
+#: Texts with a common shingle that one task meets at once; more are met in pairs of pieces of half as many.
+BUCKET_ROWS = 4096
 
 
 def _view(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -335,22 +342,47 @@ def _shingles(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], dtype="<u8"))
 
 
-def marks(text: Column, shingle: int) -> Column:
-    """same (equal for equal word sequences), n (distinct shingles), fp (of shingles), views (of the word set)."""
+def _hot(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that many of a sample of `texts` have, and in how many each is."""
 
-    @F.pandas_udf("same string, n int, fp long, views array<long>")
+    @F.pandas_udf("array<long>")
+    def shingled(column: pd.Series) -> pd.Series:
+        return pd.Series([_shingles(t, shingle).view(np.int64) for t in column])
+
+    some = texts.sample(min(1.0, SAMPLE_TEXTS / max(1, texts.count())), SEED)
+    counts = some.select(F.explode(shingled(F.col("text"))).alias("h")).groupBy("h").count().where(F.col("count") >= HOT_TEXTS)
+    rows = counts.orderBy(F.desc("count"), "h").limit(HOT_SHINGLES).collect()
+    h, n = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["count"] for r in rows], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _prefix(grams: np.ndarray, similarity: float, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles in one order for all texts, rare ones first: so many that similar texts have one of them in common."""
+    size = len(grams) - int(np.ceil(similarity * len(grams) - 1e-9)) + 1
+    known, counts = hot
+    if len(known) and len(grams):
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        grams = grams[np.argsort(np.where(known[at] == grams, counts[at], 0), kind="stable")]
+    return grams[:size].view(np.int64)
+
+
+def marks(text: Column, shingle: int, similarity: float, hot) -> Column:
+    """same (equal for equal word sequences), n (distinct shingles), fp (of shingles), views (of the word set), prefix (of shingles)."""
+
+    @F.pandas_udf("same string, n int, fp long, views array<long>, prefix array<long>")
     def marked(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             words = (t or "").encode("utf-8", "surrogatepass").lower().split()
             if not words:
-                rows.append(("", 0, 0, [0] * VIEWS))
+                rows.append(("", 0, 0, [0] * VIEWS, []))
                 continue
             grams = _shingles(t, shingle)
             h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(words)], dtype="<u8")
             views = [_majority(_view(h, k)) for k in range(VIEWS)]
-            rows.append((xxhash.xxh3_128_hexdigest(b" ".join(words)), len(grams), _majority(grams), views))
-        return pd.DataFrame(rows, columns=["same", "n", "fp", "views"])
+            rows.append((xxhash.xxh3_128_hexdigest(b" ".join(words)), len(grams), _majority(grams), views, _prefix(grams, similarity, hot.value)))
+        return pd.DataFrame(rows, columns=["same", "n", "fp", "views", "prefix"])
 
     return marked(text)
 
@@ -359,45 +391,127 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     """(doc_id, kept): for every doc_id of `docs` (doc_id, text) the document that stays for its group, itself or another.
 
     Texts of equal words are copies. Other texts are linked when the Jaccard similarity of their word shingles is
-    `similarity` or more; candidates are texts with a fingerprint of the word set within 3 bits in one of the
-    views. Every document reaches the one that stays for it over links, and no two that stay are linked; the
-    smallest doc_id stays. Rows that share a doc_id are one document. Rows with a null doc_id take no part. Texts
-    without words are copies of each other.
+    `similarity` or more. Tries of the word set's fingerprints link most of them; then all texts with a common shingle
+    among their first (`_prefix`) that are not in one group yet are compared, so groups are those of all links. The
+    smallest doc_id of a group stays. Rows that share a doc_id are one document. Rows with a null doc_id take no
+    part. Texts without words are copies of each other.
     """
     spark = docs.sparkSession
     python_batches(spark)
     texts = docs.where("doc_id is not null").select("doc_id", "text")
-    marked = written(texts.select("doc_id", marks(F.col("text"), shingle).alias("m")).select("doc_id", "m.*"), "marks")
+    hot = spark.sparkContext.broadcast(_hot(texts, shingle))
+    marked = written(texts.select("doc_id", marks(F.col("text"), shingle, similarity, hot).alias("m")).select("doc_id", "m.*"), "marks")
     # Copies first: one node for each word sequence.
     nodes = marked.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("views").alias("views"))
     nodes = written(nodes.dropDuplicates(["id"]), "nodes")
     copies = marked.join(nodes.select("same", F.col("id").alias("node")), "same").groupBy("doc_id").agg(F.min("node").alias("node"))
-    left, links, most = nodes, None, MOST
-    while True:
-        python_batches(spark, 10_000)  # numbers only
-        found = hamming_links(left.where("n > 0").select("id", F.col("views").alias("fps")), 3, most=most)
-        found = written(found.groupBy("a", "b").agg(F.max("more").alias("more")), "candidates")
+    python_batches(spark, 10_000)  # numbers only
+    found = hamming_links(nodes.where("n > 0").select("id", F.col("views").alias("fps")), 3, most=MOST)
+    tried = written(found.select("a", "b").distinct(), "candidates")
+    python_batches(spark)
+    links = written(_similar(tried, nodes, texts, shingle, similarity, UNLIKE_BITS), "similar")
+    stars = components(links)
+    # What the tries did not bring together: every pair of texts of two groups that may be similar, in rounds that
+    # compare each text with more and more others, for links join groups and spare the rest of their pairs.
+    own = nodes.select("same", F.col("id").alias("doc_id"))
+    shared = _shared(marked.where("n > 0").join(own, ["same", "doc_id"], "left_semi"))
+    most, more = MOST, True
+    while more:
+        python_batches(spark, 10_000)
+        met = written(_meetings(shared, stars, similarity, most).groupBy("a", "b").agg(F.max("more").alias("more")), "candidates")
         python_batches(spark)
-        similar = _similar(found, left, texts, shingle, similarity)
-        new = written(similar, "similar")
-        links = new if links is None else links.unionByName(new)
-        stars = components(links)
-        more = not found.where("more").isEmpty()
-        if not more or most > MOST:
-            break
-        stay = left.join(stars.where("node <> component").select(F.col("node").alias("id")), "id", "left_anti")
-        if new.isEmpty():
-            most = 1 << 40  # dense but unlike: all of their links
-        left = written(stay, "left")
+        new = written(_similar(met.select("a", "b"), nodes, texts, shingle, similarity), "similar")
+        more = not met.where("more").isEmpty()
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            stars = components(links)
+        most *= 16
     final = copies.join(stars.select("node", "component"), "node", "left")
     return final.select("doc_id", F.coalesce("component", "node").alias("kept"))
 
 
-def _similar(candidates: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The candidates (a, b) whose texts' shingles have the Jaccard similarity."""
+def _shared(marked: DataFrame) -> DataFrame:
+    """(h, id, n, pos): the shingles in the prefixes of texts (doc_id, n, prefix) that are in those of others, too."""
+    rows = marked.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "h"))
+    alike = rows.withColumn("rows", F.count("*").over(Window.partitionBy("h"))).where("rows > 1")
+    return written(alike.select("h", "id", "n", "pos"), "shared")
+
+
+def _meetings(shared: DataFrame, stars: DataFrame, similarity: float, most: int) -> DataFrame:
+    """(a, b, more): pairs of texts of two groups, a > b, that share a shingle and whose sizes and places of it allow `similarity`.
+
+    Every such pair, or those of each text with its `most` smallest partners of a task and whether there are more.
+    """
+    names = stars.select(F.col("node").alias("id"), "component")
+    rows = shared.join(names, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = rows.groupBy("h").agg(F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    sizes = sizes.select("h", F.when(F.col("rows") <= BUCKET_ROWS, 1).otherwise(F.ceil(F.col("rows") * 2 / BUCKET_ROWS)).cast("int").alias("pieces"))
+    rows = rows.join(sizes, "h").withColumn("side", F.pmod(F.hash("id"), F.col("pieces")))
+    # Each row goes to the task of its piece with every other one.
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    task = F.xxhash64("h", F.least("side", "other"), F.greatest("side", "other"))
+    rows = rows.select(task.alias("task"), "h", "side", (F.col("side") == F.col("other")).alias("within"), "id", "n", "pos", "component")
+    tasks = rows.repartition(partitions(shared.sparkSession), "task").sortWithinPartitions("task")
+    return tasks.mapInPandas(_met(similarity, most), "a long, b long, more boolean")
+
+
+def _met(similarity: float, most: int):
+    """mapInPandas function: rows of `_meetings`, sorted by task; the pairs of each task."""
+    enough = similarity / (1 + similarity)
+
+    def pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        task, h, side, within, ids, n, pos, group = (rows[x].to_numpy() for x in ("task", "h", "side", "within", "id", "n", "pos", "component"))
+        # No more can be in common than what is left of both from their first common shingle on.
+        rest = n - pos
+        last = np.searchsorted(task, task, "right")
+        at, step, out, held, full = np.arange(len(task)), 0, [], 0, False
+        while True:
+            step += 1
+            at = at[at + step < last[at]]
+            if not len(at):
+                break
+            to = at + step
+            good = (group[at] != group[to]) & (h[at] == h[to]) & (within[at] | (side[at] != side[to]))
+            good &= (np.minimum(n[at], n[to]) >= similarity * np.maximum(n[at], n[to]) - 1e-9) & (np.minimum(rest[at], rest[to]) >= enough * (n[at] + n[to]) - 1e-6)
+            if good.any():
+                out.append((ids[at[good]], ids[to[good]]))
+                held += len(out[-1][0])
+            if held > 1 << 20:
+                a, b, more = _least(*(np.concatenate(x) for x in zip(*out)), most)
+                out, held, full = [(a, b)], len(a), full or more
+                if held > 1 << 19:
+                    yield pd.DataFrame({"a": a, "b": b, "more": full})
+                    out, held = [], 0
+        if out:
+            a, b, more = _least(*(np.concatenate(x) for x in zip(*out)), most)
+            yield pd.DataFrame({"a": a, "b": b, "more": full or more})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
+        for batch in batches:  # a task's rows may lie in several batches
+            held.append(batch)
+            size += len(batch)
+            if size < 50_000:
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            task = rows["task"].to_numpy()
+            cut = int(np.searchsorted(task, task[-1]))
+            if cut:
+                yield from pairs(rows.iloc[:cut])
+                rows = rows.iloc[cut:]
+            held, size = [rows], len(rows)
+        if size:
+            yield from pairs(pd.concat(held, ignore_index=True))
+
+    return run
+
+
+def _similar(candidates: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, bits: int = BITS) -> DataFrame:
+    """The candidates (a, b) whose texts' shingles have the Jaccard similarity; only those within `bits` of fingerprints are looked at."""
     of = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("fp").alias(f"fp_{x}"))
     likely = candidates.join(of("a"), "a").join(of("b"), "b").where(
-        (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= UNLIKE_BITS))
+        (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= bits))
     likely = written(likely.select("a", "b"), "likely")
     ends = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 

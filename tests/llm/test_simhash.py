@@ -119,3 +119,27 @@ def test_dense_group_keeps_one_of_each_linked_pair(documents, monkeypatch):
     docs = [(i, " ".join(base[:i] + [f"z{i}"] + base[i + 1 :])) for i in range(30)]
     got = {r.doc_id: r.kept for r in simhash.similar_groups(documents(docs)).collect()}
     assert set(got.values()) == {0}
+
+
+def shingled(texts):
+    return {i: set(zip(*(t.split()[k:] for k in range(5)))) for i, t in texts}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_cut_and_extended_copies_are_found(documents):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(5000)]
+    docs = []
+    for k in range(120):
+        base = rng.choices(words, k=rng.randrange(60, 300))
+        share = 0.80 + 0.17 * k / 120
+        n = int(len(base) * share) + 1
+        copy = [base[:n], base[len(base) - n :], base + rng.choices(words, k=int(len(base) / share) - len(base)), base[: n // 2] + base[n // 2 + len(base) - n :]][k % 4]
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    sets = shingled(docs)
+    want = {i: i - i % 2 if jaccard(sets[i], sets[i - i % 2]) >= 0.8 else i for i in sets}
+    assert sum(i != j for i, j in want.items()) > 80
+    assert {r.doc_id: r.kept for r in simhash.similar_groups(documents(docs)).collect()} == want
