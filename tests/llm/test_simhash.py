@@ -143,3 +143,22 @@ def test_cut_and_extended_copies_are_found(documents):
     want = {i: i - i % 2 if jaccard(sets[i], sets[i - i % 2]) >= 0.8 else i for i in sets}
     assert sum(i != j for i, j in want.items()) > 80
     assert {r.doc_id: r.kept for r in simhash.similar_groups(documents(docs)).collect()} == want
+
+
+def test_chain_beside_many_unlike_texts_of_the_same_words(documents):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+
+    def moved(words, places):
+        words = list(words)
+        for p in places:
+            words.insert((p + 100) % 190, words.pop(p))
+        return words
+
+    middle = moved(base, [10, 30])
+    docs = [(0, base), (50, middle), (100, moved(middle, [50, 70]))] + [(i, rng.sample(base, 200)) for i in range(1, 40)]
+    docs = [(i, " ".join(w)) for i, w in docs]
+    sets = shingled(docs)
+    assert jaccard(sets[0], sets[50]) >= 0.8 <= jaccard(sets[50], sets[100]) and jaccard(sets[0], sets[100]) < 0.8
+    got = {r.doc_id: r.kept for r in simhash.similar_groups(documents(docs)).collect()}
+    assert got == {i: 0 if i in (50, 100) else i for i, _ in docs}
