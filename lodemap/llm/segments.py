@@ -39,8 +39,10 @@ class SegmentIds:
 
     LETTERS = 24
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int, added: tuple[str, ...] = ()):
         self.encode, self.limit = encode, limit
+        #: Tokens that a text is cut at before all else, each a segment; of two at one place the longer one.
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self._clear()
 
     def _clear(self) -> None:
@@ -65,6 +67,16 @@ class SegmentIds:
         self.letters += sum(map(len, new))
         new.clear()
 
+    def _segments(self, text: str) -> list[str]:
+        if self.added is None or not self.added.search(text):
+            return SEGMENT.findall(text)
+        found, at = [], 0
+        for m in self.added.finditer(text):
+            found += SEGMENT.findall(text[at : m.start()])
+            found.append(m[0])
+            at = m.end()
+        return found + SEGMENT.findall(text[at:])
+
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and where each text's ids begin (with the end of the last)."""
         if len(self.known) > self.limit or self.letters > self.limit * self.LETTERS:
@@ -74,7 +86,7 @@ class SegmentIds:
         number = self.known.__getitem__
         for k, text in enumerate(texts):
             if text:
-                places += map(number, SEGMENT.findall(text))
+                places += map(number, self._segments(text))
                 counts[k + 1] = len(places)
             else:
                 counts[k + 1] = len(places)

@@ -60,18 +60,24 @@ def unpack(blocks: list[int], sizes: list[int], payload: bytes) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def _coder(path: str) -> SegmentIds:
+def _coder(path: str, added_tokens: bool) -> SegmentIds:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return SegmentIds(lambda segments: [e.ids for e in tokenizer.encode_batch_fast(segments, add_special_tokens=False)], limit=1_200_000)
+    tokenizer.encode_special_tokens = not added_tokens
+    added = tokenizer.get_added_tokens_decoder().values() if added_tokens else ()
+    if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added):
+        raise ValueError("an added token that takes blanks or depends on what is beside it")
+    encode = lambda segments: [e.ids for e in tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
+    return SegmentIds(encode, limit=1_200_000, added=tuple(t.content for t in added))
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID) -> None:
+def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, added_tokens: bool = False) -> None:
     """Write the ids of every text of `docs` (doc_id, text) to `folder`, in ascending order of doc_id.
 
+    With `added_tokens`, an added token of the tokenizer in a text is that token, as an unaltered tokenizer has it; else text.
+
     Null texts are empty and have the end id alone. Null ids come first; rows of one doc_id are in order of their
     texts' hashes, so repeated rows stay and are interchangeable. An empty table gives files without chunks.
     """
@@ -80,7 +86,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_I
     rows = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, segment, chunk = _coder(tokenizer_path), TaskContext.get().partitionId(), 0
+        coder, segment, chunk = _coder(tokenizer_path, added_tokens), TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
         counts: list[int] = []
         held: list[np.ndarray] = []
@@ -138,6 +144,6 @@ def op4_token_files(spark, sf_dir: str) -> DataFrame:
     """All documents written as token files and read back."""
     python_batches(spark)
     folder = scratch(spark, "tokens")
-    write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER))
+    write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER), added_tokens=True)
     python_batches(spark, 8)
     return read(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")

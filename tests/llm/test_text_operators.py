@@ -63,6 +63,18 @@ def test_token_files(spark, documents, odd):
     assert token_files.read(spark, folder + "-none").count() == 0
 
 
+def test_token_files_of_the_query_are_those_of_the_unaltered_tokenizer(spark, documents, tmp_path):
+    public = Tokenizer.from_file(public_tokenizers.path(token_files.TOKENIZER))
+    assert public.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    docs = list(enumerate(["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext|", "don't<|endoftext|>'s \n", *odd_texts()]))
+    documents(docs).write.parquet(str(tmp_path / "documents.parquet"))
+    at = 0
+    for r, (i, text) in zip(token_files.op4_token_files(spark, str(tmp_path)).orderBy("doc_id").collect(), docs, strict=True):
+        ids = np.array(public.encode(text, add_special_tokens=False).ids + [2], "<u4")
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
 def test_planes_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, token_files.BLOCK_IDS, token_files.BLOCK_IDS * 2 + 5):
