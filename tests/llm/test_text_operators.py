@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -130,6 +131,31 @@ def test_decontamination(spark, documents):
     assert decontaminate.overlaps(documents(docs), bench.limit(0)).count() == 0
 
 
+def test_best_stretch_equals_brute_force():
+    rng = np.random.default_rng(9)
+    refused = 0
+    for size, share in itertools.product((16, 40, 90), (0.1, 0.15, 0.2, 0.25, 0.35) * 12):
+        item = np.arange(size)
+        words = np.where(rng.random(size) < share, -1, item)
+        same = words == item
+        every = [(int(same[b:e].sum()), b, e) for b in range(size) for e in range(b + 1, size + 1)]
+        sums = [4 * m - 3 * (e - b) for m, b, e in every if m >= min(13, -(-8 * size // 10)) and 5 * m >= 4 * (e - b)]
+        got = decontaminate.Index._verified(words, item, 0)
+        assert (got is None) == (not sums)
+        if got:
+            start, item_start, n, matches = got
+            assert start == item_start and matches == same[start : start + n].sum() and 5 * matches >= 4 * n and 4 * matches - 3 * n == max(sums)
+        best = max(every, key=lambda x: (4 * x[0] - 3 * (x[2] - x[1])))
+        refused += bool(sums) and (best[0] < 13 or 5 * best[0] < 4 * (best[2] - best[1]))
+    assert refused > 5
+
+
+def test_repeated_benchmark_rows_are_one_item(spark, documents):
+    docs = documents([(1, BENCH[0][1])])
+    bench = spark.createDataFrame([BENCH[0], BENCH[0]], "item_id long, text string")
+    assert decontaminate.overlaps(docs, bench).count() == 1
+
+
 def test_blocks_of_a_benchmark_find_the_same(spark, data, monkeypatch):
     docs, bench = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/benchmark.parquet")
     want = sorted(decontaminate.overlaps(docs, bench).collect())
