@@ -29,16 +29,40 @@ UNLIKELY = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|breadcrumbs?|combx|comments?|commentlist|consent|cookies?|disqus|disclaimer|extra|footer|gdpr|header|legends?|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo\w*|related|remark|replies|respond|rss|share|sharing|shoutbox|sidebar|skyscraper|social|sponsor\w*|subscribe|subscription|tags|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+#: Words that say what a layout has beside something, not what it is.
+BESIDE = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with|without)[_-][\w-]+", re.I)
+#: Classes of an article's own containers.
+CONTENT = frozenset("article article-body article-content body-content content entry entry-content main main-content page-content post post-body post-content story story-body".split())
+#: Ids that sections of an article have, too: only those poor in paragraph text are dropped for them.
+SUBJECTS = frozenset("ads banner disclaimer extra header legend legends menu navigation notice notices promo related remark replies respond rss share sharing social subscription tags toolbar widget".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+POOR_LETTERS = 140
+#: Where less text than LITTLE letters is left and TIMES as much without the words, they have hit the article.
+LITTLE, TIMES = 25, 10
 SIBLING_SHARE = 0.2
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "drop", "points", "letters", "linked")
+    __slots__ = ("tag", "parent", "parts", "drop", "points", "letters", "linked", "unlikely", "held")
 
     def __init__(self, tag: str, parent: _Node | None, drop: bool):
         self.tag, self.parent, self.drop = tag, parent, drop
         self.parts: list[_Node | str] = []
-        self.points, self.letters, self.linked = 0.0, 0, 0
+        self.points, self.letters, self.linked, self.held = 0.0, 0, 0, 0.0
+        self.unlikely: str | None = None
+
+
+def _unlikely(tag: str, attrs: list[tuple[str, str | None]]) -> str | None:
+    """Whether words mark a node as no part of an article: "name", "subject" where only its id does and could be a section's, or None."""
+    if tag in HEADINGS or tag in ("article", "main"):
+        return None
+    values = {name: BESIDE.sub("", value) for name, value in attrs if value and name in ("class", "id", "role", "aria-label")}
+    if CONTENT & set(values.get("class", "").lower().split()):
+        return None
+    hits = [name for name, value in values.items() if UNLIKELY.search(value)]
+    if hits == ["id"] and values["id"].strip().lower() in SUBJECTS:
+        return "subject"
+    return "name" if hits else None
 
 
 class _Tree(HTMLParser):
@@ -47,6 +71,7 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.at = self.root = _Node("html", None, False)
+        self.marked: list[_Node] = []
 
     def _end(self, tags: frozenset | set, stop: frozenset | set) -> None:
         node = self.at
@@ -65,8 +90,6 @@ class _Tree(HTMLParser):
             self._end({"dd", "dt"} if tag in ("dd", "dt") else {"td", "th"} if tag in ("td", "th") else {tag}, {"ul", "ol", "dl", "table", "select"} if tag not in ("td", "th") else {"tr", "table"})
         drop = tag in DROPPED
         for name, value in attrs:
-            if value and name in ("class", "id", "role", "aria-label") and tag not in ("article", "main") and UNLIKELY.search(value):
-                drop = True
             drop |= name == "hidden" or (name == "aria-hidden" and value == "true")
         if tag == "header":
             node = self.at
@@ -74,6 +97,9 @@ class _Tree(HTMLParser):
                 node = node.parent
             drop |= node is None
         node = _Node(tag, self.at, drop)
+        if not drop and (word := _unlikely(tag, attrs)):
+            node.unlikely = word
+            self.marked.append(node)
         self.at.parts.append(node)
         if tag not in VOID:
             self.at = node
@@ -152,6 +178,7 @@ def _score(root: _Node) -> list[_Node]:
             node.parent.linked += node.linked
         if node.letters and (lone or own and node.tag in BLOCKS):
             points = (1 + commas + min(3.0, node.letters / 100)) * (1 - node.linked / node.letters)
+            node.held += points
             up = node.parent if lone and node.parent is not None else node
             share, depth = 1.0, 0
             while up is not None and depth < 6:
@@ -160,9 +187,29 @@ def _score(root: _Node) -> list[_Node]:
                 depth += 1
                 share = 1 / 2 if depth == 1 else 1 / (3 * depth)
                 up = up.parent
+        if node.parent is not None:
+            node.parent.held += node.held
     return list(containers.values())
 
 
+def _cleared(root: _Node) -> None:
+    """Forget what `_score` set."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.points, node.letters, node.linked, node.held = 0.0, 0, 0, 0.0
+        stack.extend(x for x in node.parts if not isinstance(x, str))
+
+
+def _drop_unlikely(tree: _Tree) -> None:
+    """Drop the marked nodes but those that hold most of the page's points, and sections rich in text that only an id marks."""
+    _score(tree.root)
+    for node in tree.marked:
+        poor = node.unlikely == "name" or node.letters - node.linked < POOR_LETTERS
+        node.drop = poor and 2 * node.held <= tree.root.held
+    _cleared(tree.root)
+
+
 def main_text(html: str | None) -> str:
     """The blocks of the article joined by two line ends; empty for null and for a page without text.
 
@@ -175,6 +222,21 @@ def main_text(html: str | None) -> str:
         html += "-->"  # a comment that never ends hides the rest of the page
     tree.feed(html.replace("<![", "<!-["))
     tree.close()
+    if not tree.marked:
+        return _main(tree)
+    _drop_unlikely(tree)
+    text = _main(tree)
+    if len(text) < LITTLE:
+        for node in tree.marked:
+            node.drop = False
+        _cleared(tree.root)
+        if len(whole := _main(tree)) >= TIMES * max(LITTLE, len(text)):
+            return whole
+    return text
+
+
+def _main(tree: _Tree) -> str:
+    """The blocks of the best container of a tree and of its siblings."""
     found = _score(tree.root)
     if not found:
         return ""

@@ -185,6 +185,14 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("wrap", ['class="content has-sidebar"', 'class="content-sidebar-wrap"', 'class="post no-comments"', 'class="layout with-ads"', 'class="sidebar"'])
+def test_words_of_wrappers_and_sections_lose_no_article(wrap):
+    line = "A sentence of the article, which has commas, and goes on for a while so that it counts as text of its own."
+    side = '<div class="sidebar"><p>Side, side, side</p></div><div id="comments"><p>Nice, nice post</p></div>'
+    page = f'<body><div {wrap}><h1>Head</h1><p>{line}</p><h2 id="related-work">Related work</h2><p>{line}</p><section id="tags"><p>{line} {line}</p></section>{side}</div><div class="footer">Foot</div></body>'
+    assert html_text.main_text(page) == f"Head\n\n{line}\n\nRelated work\n\n{line}\n\n{line} {line}"
+
+
 def test_html_of_the_pages(spark, data):
     import html
     import re
