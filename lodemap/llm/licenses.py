@@ -6,6 +6,9 @@ single blanks; its sha256 is the join key, so a match is one of the entire text
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,6 +89,21 @@ Permission is granted to anyone to use this software for any purpose, including
     ("CC0-1.0", "Released under CC0 1.0."),
 ]
 
+#: Title lines of the short texts.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "BSD-0-Clause License"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "The 2-Clause BSD License", "The BSD 2-Clause License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "The 3-Clause BSD License", "The BSD 3-Clause License", "New BSD License", "Modified BSD License", "BSD License", "The BSD License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+#: Where the terms of the long texts begin; what stands before are titles and, in the GNU licences, the owner.
+TERMS = {"Apache-2.0": "TERMS AND CONDITIONS FOR USE", "MPL-1.1": "1. Definitions", "MPL-2.0": "1. Definitions", "CC0-1.0": "CREATIVE COMMONS CORPORATION"}
+#: Addresses of the Free Software Foundation in copies of its older licences.
+ADDRESSES = ["51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "59 Temple Place - Suite 330, Boston, MA 02111-1307, USA", "675 Mass Ave, Cambridge, MA 02139, USA"]
+ADDRESS = re.compile(r"51 Franklin St(?:reet)?,\s+Fifth\s+Floor,\s+Boston,\s+MA\s+02110-1301,?\s+USA")
 #: Lines that only name an owner: they differ between copies of one licence.
 COPYRIGHT_LINE = r"(?m)^[\t ]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 #: What stands between words, line ends apart.
@@ -114,11 +132,49 @@ def _shape(line: Column) -> Column:
     return F.concat_ws(":", F.length(line) - F.length(F.replace(line, F.lit(" "))), F.left(line, F.lit(2)))
 
 
-def known_digests(spark, texts: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(digest, license, shape) of licence texts; one row for a digest, the smallest name for equal texts."""
+def whole_texts() -> list[tuple[str, str]]:
+    """KNOWN and the whole texts of the folder `license_texts`, with and without titles, appendices and list numbers."""
+    read = lambda name: files(__package__).joinpath("license_texts", f"{name}.txt").read_text("utf-8")
+    short = [(name, text) for name, text in KNOWN[:4]]
+    three = read("BSD-3-Clause").split("\n", 1)[1].strip()
+    two = re.sub(r"(?s)3\. Neither.*?permission\.\s+", "", three)
+    university = three.replace("copyright holder nor the names of its\n   contributors", "<organization> nor the\n   names of its contributors")
+    for name, text in (("BSD-3-Clause", three), ("BSD-3-Clause", university), ("BSD-2-Clause", two)):
+        unwrapped = "\n\n".join(" ".join(x.split()) for x in text.split("\n\n"))
+        for form in (text, unwrapped):
+            short += [(name, form), (name, re.sub(r"(?m)^\d\. ", "* ", form))]
+    unlicense = read("Unlicense").strip()
+    for form in (unlicense, unlicense[: unlicense.rindex("For more")].strip()):
+        short += [("Unlicense", form), ("Unlicense", form.replace("https:", "http:"))]
+    out = KNOWN + short + [(name, f"{title}\n\n{text}") for name, text in short for title in TITLES[name]]
+
+    for name in "Apache-2.0 CC0-1.0 MPL-1.1 MPL-2.0 GPL-1.0 GPL-2.0 GPL-3.0 LGPL-2.0 LGPL-2.1 LGPL-3.0".split():
+        text = read(name).strip()
+        ends = [text]
+        if (end := text.find("END OF TERMS AND CONDITIONS")) >= 0:
+            ends += [text[:end], text[: end + len("END OF TERMS AND CONDITIONS")]]
+        elif (end := text.find("Exhibit A - ")) >= 0:
+            ends.append(text[:end])
+        for form in ends:
+            forms = [form]
+            if name in TERMS:
+                forms.append(form[form.index(TERMS[name]) :])
+                if name == "CC0-1.0":
+                    forms += [form[form.index("CC0 1.0 Universal") :], "CC0 1.0 Universal\n\n" + form[form.index("Statement of Purpose") :], form[form.index("Statement of Purpose") :]]
+            else:  # without the two lines of the title, which are not lines of an owner
+                forms.append(form.split("\n", 2)[2])
+            for x in forms:
+                out += [(name, x)] + [(name, ADDRESS.sub(a, x)) for a in ADDRESSES if ADDRESS.search(x)]
+    return out
+
+
+def known_digests(spark, texts: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(digest, license, shape) of licence texts (`whole_texts`, if None); one row for a digest, the smallest name for equal texts."""
+    texts = whole_texts() if texts is None else texts
     rows = spark.createDataFrame(texts, "license string, text string").select("license", F.translate(worded(F.col("text")), "\n", " ").alias("words"))
     rows = rows.select("license", F.regexp_replace("words", " +", " ").alias("words"))
-    return rows.groupBy(F.sha2(spelled(F.col("words")), 256).alias("digest")).agg(F.min("license").alias("license"), F.min(_shape(F.col("words"))).alias("shape"))
+    rows = rows.groupBy(F.sha2(spelled(F.col("words")), 256).alias("digest")).agg(F.min("license").alias("license"), F.min(_shape(F.col("words"))).alias("shape"))
+    return spark.createDataFrame(rows.collect(), rows.schema)  # small, and asked for more than once
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:

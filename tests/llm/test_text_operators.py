@@ -92,6 +92,24 @@ def test_licenses(spark, documents, data):
     same(queries.QUERIES["op3_license_scan"](spark, data), connect(data), queries.ORACLES["op3_license_scan"])
 
 
+def test_whole_licence_texts_with_and_without_titles(spark, documents):
+    from pathlib import Path
+
+    folder = Path(licenses.__file__).parent / "license_texts"
+    mit, isc = licenses.KNOWN[0][1], licenses.KNOWN[1][1]
+    owner = "\n\nCopyright (c) 2021, Some Body\nAll rights reserved.\n\n"
+    bsd = (folder / "BSD-3-Clause.txt").read_text().split("\n", 1)[1]
+    two = bsd[: bsd.index("3. Neither")] + bsd[bsd.index("THIS SOFTWARE") :]
+    apache = (folder / "Apache-2.0.txt").read_text()
+    cases = [("MIT", "MIT License" + owner + mit), ("MIT", "The MIT License (MIT)" + owner + mit), ("ISC", "ISC License" + owner + isc)]
+    cases += [("BSD-3-Clause", "BSD 3-Clause License" + owner + bsd), ("BSD-3-Clause", owner + bsd), ("BSD-2-Clause", "BSD 2-Clause License" + owner + two), ("BSD-2-Clause", two)]
+    cases += [("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2020 Some Body")), ("Apache-2.0", apache[: apache.index("APPENDIX")]), ("Apache-2.0", apache[apache.index("TERMS AND") :])]
+    cases += [(f.stem, f.read_text()) for f in sorted(folder.iterdir()) if f.stem != "BSD-3-Clause"]
+    cases += [(None, mit + " more"), (None, "MIT License"), (None, bsd + two)]
+    got = {r.doc_id: r.license for r in licenses.scan(documents([(i, t) for i, (_, t) in enumerate(cases)]), licenses.known_digests(spark)).collect()}
+    assert [got[i] for i in range(len(cases))] == [name for name, _ in cases]
+
+
 @pytest.mark.parametrize("bucket_bytes", [1 << 20, 200])
 def test_sharding(spark, odd, bucket_bytes):
     got = sharding.shuffle_to_shards(odd, scratch(spark, "shards"), shards=5, bucket_bytes=bucket_bytes).collect()
