@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -10,8 +11,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch carries to a Python worker. Texts can be very long, so batches are kept small.
-BATCH_ROWS = 256
+#: Bytes that one Arrow batch carries to a Python worker, the same for every operator. Texts can be very long.
+BATCH_BYTES = 2 << 20
 #: Tables whose rows take long in a task.
 TEXTS = ("documents", "pages")
 
@@ -28,15 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-def python_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch, so that a Python worker's memory does not depend on the table.
+def python_batches(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch, so that a Python worker's memory does not depend on the table.
 
-    Workers also look for this library where the driver found it; clusters get it by --py-files or an image.
+    It is one value for all operators, so a lazy result does not depend on what was called since. Workers also look
+    for this library where the driver found it; clusters get it by --py-files or an image.
     """
     root, environment = str(Path(__file__).parents[2]), spark.sparkContext.environment
     if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH"), root]))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -45,12 +47,16 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset and all is one machine."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if folder is None:
         set_already = context._jsc.sc().getCheckpointDir()
-        folder = set_already.get() if set_already.isDefined() else f"file://{tempfile.mkdtemp(prefix='lodemap-')}"
+        if set_already.isDefined():
+            return set_already.get()
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='lodemap-')}"
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)
     return folder
@@ -68,6 +74,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Tables of one computation in the shared folder, removed at its end: `with Tables(spark) as tables`."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """`written`, until the end of the block."""
+        path = scratch(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *error) -> None:
+        java, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in map(java.org.apache.hadoop.fs.Path, self.paths):
+            path.getFileSystem(conf).delete(path, True)
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo `parts`; null ids are in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts, F.lit(0))

@@ -22,10 +22,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodemap.llm.common import partitions, python_batches, table, written
+from lodemap.llm.common import Tables, partitions, python_batches, table, written
 
 BITS = 64
 SEED = 42
+#: The ends of up to so many edges are broadcast, 24 bytes each; of more they are shuffled.
+BROADCAST_EDGES = 200_000
 _BIT_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _BYTE_AT = (np.arange(8, dtype=np.int64) * 256)[None, :]
 
@@ -213,9 +215,9 @@ def _joined(budget: int, most: int | None):
 
 
 def hamming_links(fps: DataFrame, budget: int = 3, trie_rows: int = 4096, most: int | None = None) -> DataFrame:
-    """Edges (a, b) between rows (id, fps) whose fingerprints differ in at most `budget` bits in the same place of fps.
+    """Edges (a, b) between rows (id, view, fp) whose fingerprints in one view differ in at most `budget` bits.
 
-    The edges have the components of all such pairs and at most a few edges for each row; ids must be unique.
+    The edges have the components of all such pairs and at most a few edges for each row; an id has one row a view.
     With `most` they are the links of each row to at most so many smaller ids in each trie, and `more` says
     whether the trie's task saw others. Every trie takes part; one over `trie_rows` is met in pairs of its chunks.
     """
@@ -224,8 +226,9 @@ def hamming_links(fps: DataFrame, budget: int = 3, trie_rows: int = 4096, most:
         key = F.expr(f"shiftrightunsigned(fp, {BITS - at - width}) & {(1 << width) - 1}")
         path = F.col("fp") if at == 0 else F.expr(f"shiftleft(fp, {at}) | shiftrightunsigned(fp, {BITS - at})")
         parts.append(F.struct((F.col("view") * len(cuts) + t).alias("trie"), key.alias("key"), path.alias("path")))
-    rows = fps.select("id", F.posexplode("fps").alias("view", "fp")).select("id", F.explode(F.array(*parts)).alias("r")).select("r.*", "id")
+    rows = fps.select("id", F.explode(F.array(*parts)).alias("r")).select("r.*", "id")
     sizes = rows.groupBy("trie", "key").agg(F.count("*").alias("n")).where("n > 1")
+    largest = sizes.agg(F.max("n")).first()[0] or 0
     large = sizes.where(F.col("n") > trie_rows)
     # A trie of few fingerprints is one task: its rows meet in one place, sorted as the trie is.
     small = rows.join(sizes.where(F.col("n") <= trie_rows), ["trie", "key"], "left_semi").select(
@@ -240,11 +243,14 @@ def hamming_links(fps: DataFrame, budget: int = 3, trie_rows: int = 4096, most:
     counted = hot.groupBy("trie", "key", "node").agg(F.count("*").alias("rows"))
     cut = counted.withColumn("pieces", F.ceil(F.col("rows") / (trie_rows // 2)).cast("int"))
     chunk = cut.select("trie", "key", "node", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    # Pairs of chunks of a large trie: from each node down every path that differs in at most `budget` bits, never all pairs.
+    near = cut.join(large.select("trie", "key", deep.alias("depth")), ["trie", "key"]).select("trie", "key", "node", "depth", F.col("node").alias("node2"))
+    for _ in range(budget):
+        flipped = near.withColumn("bit", F.explode(F.sequence(F.lit(0), F.col("depth") - 1))).withColumn("node2", F.expr("node2 ^ shiftleft(1L, bit)"))
+        near = near.unionByName(flipped.drop("bit")).distinct()
+    near = near.where("node <= node2").drop("depth")
     other = chunk.select("trie", "key", F.col("node").alias("node2"), F.col("piece").alias("piece2"))
-    # Pairs of chunks under one large trie: nodes whose prefixes differ in more bits than the budget are pruned here.
-    pairs = chunk.join(other, ["trie", "key"]).where(
-        (F.bit_count(F.col("node").bitwiseXOR(F.col("node2"))) <= budget)
-        & ((F.col("node") < F.col("node2")) | ((F.col("node") == F.col("node2")) & (F.col("piece") <= F.col("piece2")))))
+    pairs = chunk.join(near, ["trie", "key", "node"]).join(other, ["trie", "key", "node2"]).where("node < node2 OR piece <= piece2")
     task = F.xxhash64("trie", "key", F.hash("node", "piece"), F.hash("node2", "piece2"), "node", "node2", "piece", "piece2")
     ends = pairs.select("trie", "key", task.alias("task"), F.explode(F.when(
         (F.col("node") == F.col("node2")) & (F.col("piece") == F.col("piece2")),
@@ -255,36 +261,49 @@ def hamming_links(fps: DataFrame, budget: int = 3, trie_rows: int = 4096, most:
     ))).alias("e")).select("trie", "key", "task", "e.*")
     placed = hot.join(cut, ["trie", "key", "node"]).withColumn("piece", F.pmod(F.hash("id"), F.col("pieces")))
     dealt = placed.join(ends, ["trie", "key", "node", "piece"]).select("task", "side", "path", "id")
-    tasks = small.unionByName(dealt).repartition(partitions(fps.sparkSession), "task").sortWithinPartitions("task", "side", "path")
+    tasks = small.unionByName(dealt) if largest > trie_rows else small
+    tasks = tasks.repartition(partitions(fps.sparkSession), "task").sortWithinPartitions("task", "side", "path")
     return tasks.mapInPandas(_joined(budget, most), "a long, b long, more boolean")
 
 
+def _stars(edges: DataFrame) -> tuple[int, bool]:
+    """The number of edges (a, b), and whether they are stars: every a has one b, and no b is an a."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("b", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    got = nodes.agg(F.sum("down").alias("n"), F.count_if(F.expr("down > 1 or down > 0 and up > 0")).alias("wrong")).first()
+    return got["n"] or 0, got["wrong"] == 0
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for the ends of edges (a, b) of longs; component: the smallest node reachable.
 
-    Large-star and small-star steps in turn, each written to the shared folder, until the edges are stars.
-    Every step is a join of edges with each node's smallest neighbour, so no group meets in one task.
+    Large-star and small-star steps in turn, each written to the shared folder, until the edges are stars. A step
+    joins the edges with each node's smallest neighbour. Minima are taken before they are shuffled. What is joined
+    is broadcast while there are few nodes, else a written table, so that both sides of the join are plain exchanges
+    and the edges of one hot node can be split among tasks. Edges with a null end link nothing; no edges give no rows.
     """
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    # Nothing changed: the same number of edges and the same sum of their hashes.
-    state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    before = state(edges)
-    for _ in range(rounds):
-        # Large star: every node joins its larger neighbours to its smallest neighbour, itself included.
-        both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        # Small star: every node joins its smaller neighbours and itself to the smallest of them.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        small = written(small, "edges")
-        edges, last, before = small, before, state(small)
-        if before == last:
-            break
-    else:
-        raise RuntimeError(f"no stars after {rounds} rounds")
-    stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    with Tables(edges.sparkSession) as tables:
+        edges = tables.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        n, done = _stars(edges)
+        for _ in range(rounds):
+            if done:
+                break
+            few = n <= BROADCAST_EDGES
+            held = F.broadcast if few else lambda df: tables.written(df, "low")  # noqa: B023
+            # Large star: every node joins its larger neighbours to its smallest neighbour, itself included.
+            both = edges.union(edges.select("b", "a")).toDF("u", "v")
+            low = held(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+            large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+            large = large if few else tables.written(large.distinct(), "large")
+            # Small star: every node joins its smaller neighbours and itself to the smallest of them.
+            low = held(large.groupBy("a").agg(F.min("b").alias("m")))
+            ends = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))
+            edges = tables.written(large.join(low, "a").select(F.explode(ends).alias("e")).select("e.*").where("a <> b").distinct(), "edges")
+            n, done = _stars(edges)
+        if not done:
+            raise RuntimeError(f"no stars after {rounds} rounds")
+        stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        return written(stars.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct(), "stars")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, trie_rows: int = 4096) -> DataFrame:
@@ -292,39 +311,56 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, trie_row
 
     component_id: the smallest doc_id whose fingerprint is reachable over links. A null text has no words:
     fingerprint 0, linked like any other. A null doc_id stays a row; a component of only null ids has a null id.
-    Other columns are ignored.
+    Repeated rows are repeated. Texts are read whole, however long. An empty table gives no rows. Other columns are ignored.
     """
     python_batches(docs.sparkSession)
     marked = written(docs.select("doc_id", simhash(F.col("text"), shingle).alias("fp")), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    python_batches(docs.sparkSession, 10_000)
-    stars = components(hamming_links(distinct.select(F.col("fp").alias("id"), F.array("fp").alias("fps")), budget, trie_rows))
-    named = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(lowest, "component").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    stars = components(hamming_links(distinct.select(F.col("fp").alias("id"), F.lit(0).alias("view"), "fp"), budget, trie_rows))
+    linked = distinct.join(stars.withColumnRenamed("node", "fp"), "fp")
+    lowest = written(linked.groupBy("component").agg(F.min("first").alias("component_id")), "lowest")
+    named = written(linked.join(lowest, "component").select("fp", "component_id"), "named")
+    alone = distinct.join(named, "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
+    names = written(named.unionByName(alone), "names")
+    return marked.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
 # --- similar texts, for a corpus of which one of each group stays ---
 
 #: Seeds of the word-set fingerprints that bring similar texts together; any one within the budget will do.
-VIEWS = 8
-#: Texts as similar as wanted differ in far fewer bits of the shingles' fingerprint than unlike ones (32 in the mean).
-UNLIKE_BITS = 22
-#: Smaller ids that a text is compared with at first, in each trie, and in each task of shared shingles.
-MOST = 16
-#: Texts of which shingles are counted, in the mean, and how many of those in HOT_TEXTS of them or more are put last.
+VIEWS = 4
+#: Partners that a text is compared with at first, in each task of shared shingles; later rounds take more.
+MOST = 4
+#: Shingles of at least so many texts are put last in a text's order, up to so many shingles, the most frequent ones.
 #: Which ones these are changes what a join costs, never what it finds.
-SAMPLE_TEXTS = 10_000
 HOT_TEXTS = 4
 HOT_SHINGLES = 100_000
+#: Shingles that are counted at once in a task.
+COUNTED = 4 << 20
 #: Texts with a common shingle that one task meets at once; more are met in pairs of pieces of half as many.
 BUCKET_ROWS = 4096
 
 
-def _view(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes mixed anew, by the finalizer of SplitMix64."""
-    x = hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+class _WordHashes(dict):
+    """Hashes of words, remembered; `text` begins anew beyond a million."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = xxhash.xxh64_intdigest(word, SEED)
+        return found
+
+    def text(self, text: str | None) -> tuple[list[bytes], np.ndarray]:
+        """A text's words, A-Z in lower case, and their hashes."""
+        if len(self) > 1 << 20:
+            self.clear()
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        return words, np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+_HASHES = _WordHashes()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finalizer of SplitMix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -335,24 +371,46 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits((seen @ _BIT_OF_BYTE).ravel() * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def _shingles(text: str | None, shingle: int) -> np.ndarray:
-    """Sorted hashes of the distinct word shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)] if words else []
-    return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], dtype="<u8"))
+def _shingles(hashes: np.ndarray, shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles of a text whose words have `hashes`; of fewer words the whole is one."""
+    if not len(hashes):
+        return hashes
+    width = min(shingle, len(hashes))
+    out = np.zeros(len(hashes) - width + 1, np.uint64)
+    for i in range(width):
+        out = _mixed(out + hashes[i : i + len(out)])
+    return np.unique(out)
 
 
 def _hot(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that many of a sample of `texts` have, and in how many each is."""
+    """Sorted hashes of shingles that many of all `texts` have, and in how many each is, as far as tasks saw them more than once."""
 
-    @F.pandas_udf("array<long>")
-    def shingled(column: pd.Series) -> pd.Series:
-        return pd.Series([_shingles(t, shingle).view(np.int64) for t in column])
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        seen: set[int] = set()
+        size = 0
 
-    some = texts.sample(min(1.0, SAMPLE_TEXTS / max(1, texts.count())), SEED)
-    counts = some.select(F.explode(shingled(F.col("text"))).alias("h")).groupBy("h").count().where(F.col("count") >= HOT_TEXTS)
-    rows = counts.orderBy(F.desc("count"), "h").limit(HOT_SHINGLES).collect()
-    h, n = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["count"] for r in rows], np.int64)
+        def again() -> pd.DataFrame:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pd.DataFrame({"h": h[n > 1].view(np.int64), "n": n[n > 1]})
+
+        for batch in batches:
+            for text in batch["text"]:
+                own = xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass"))
+                if own not in seen:  # copies are one text
+                    seen.add(own)
+                    held.append(_shingles(_HASHES.text(text)[1], shingle))
+                    size += len(held[-1])
+            if size >= COUNTED:
+                yield again()
+                held, size = [], 0
+                seen.clear()
+        if held:
+            yield again()
+
+    counts = texts.select("text").mapInPandas(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_TEXTS)
+    rows = counts.orderBy(F.desc("n"), "h").limit(HOT_SHINGLES).collect()
+    h, n = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
     order = np.argsort(h)
     return h[order], n[order]
 
@@ -368,91 +426,110 @@ def _prefix(grams: np.ndarray, similarity: float, hot: tuple[np.ndarray, np.ndar
 
 
 def marks(text: Column, shingle: int, similarity: float, hot) -> Column:
-    """same (equal for equal word sequences), n (distinct shingles), fp (of shingles), views (of the word set), prefix (of shingles)."""
+    """same (equal for equal word sequences), n (distinct shingles), views (of the word set), prefix (of shingles)."""
 
-    @F.pandas_udf("same string, n int, fp long, views array<long>, prefix array<long>")
+    @F.pandas_udf("same string, n int, views array<long>, prefix array<long>")
     def marked(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            words = (t or "").encode("utf-8", "surrogatepass").lower().split()
+            words, hashes = _HASHES.text(t)
             if not words:
-                rows.append(("", 0, 0, [0] * VIEWS, []))
+                rows.append(("", 0, [0] * VIEWS, []))
                 continue
-            grams = _shingles(t, shingle)
-            h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(words)], dtype="<u8")
-            views = [_majority(_view(h, k)) for k in range(VIEWS)]
-            rows.append((xxhash.xxh3_128_hexdigest(b" ".join(words)), len(grams), _majority(grams), views, _prefix(grams, similarity, hot.value)))
-        return pd.DataFrame(rows, columns=["same", "n", "fp", "views", "prefix"])
+            grams, own = _shingles(hashes, shingle), np.unique(hashes)
+            views = [_majority(_mixed(own + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))) for k in range(VIEWS)]
+            rows.append((xxhash.xxh3_128_hexdigest(b" ".join(words)), len(grams), views, _prefix(grams, similarity, hot.value)))
+        return pd.DataFrame(rows, columns=["same", "n", "views", "prefix"])
 
     return marked(text)
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, kept): for every doc_id of `docs` (doc_id, text) the document that stays for its group, itself or another.
+def row_key() -> Column:
+    """Equal for rows of `docs` (doc_id, text) that are equal in both; a null text is an empty one."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary"))
+
 
-    Texts of equal words are copies. Other texts are linked when the Jaccard similarity of their word shingles is
-    `similarity` or more. Tries of the word set's fingerprints link most of them; then all texts with a common shingle
-    among their first (`_prefix`) that are not in one group yet are compared, so groups are those of all links. The
-    smallest doc_id of a group stays. Rows that share a doc_id are one document. Rows with a null doc_id take no
-    part. Texts without words are copies of each other.
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(row_key, doc_id, rows, kept, stays): a row for every distinct row of `docs` (doc_id, text), and how many times it is there.
+
+    kept: the smallest doc_id of its group; stays: whether it is the one that stays, that with the smallest doc_id and
+    then the smallest row_key. A document is a row, not a doc_id: unlike texts that share a doc_id are in groups of their
+    own. Null ids come after all others; a group of none else has a null `kept`. Texts of equal words are copies, those
+    without words as well. Other texts are linked when the Jaccard similarity of their word shingles is `similarity` or
+    more. Tries of the word set's fingerprints link most of them; then all texts with a common shingle among their first
+    (`_prefix`) that are not in one group yet are compared, so groups are those of all links. Texts are read whole. An
+    empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     python_batches(spark)
-    texts = docs.where("doc_id is not null").select("doc_id", "text")
+    texts = docs.select(row_key().alias("row_key"), "doc_id", "text")
     hot = spark.sparkContext.broadcast(_hot(texts, shingle))
-    marked = written(texts.select("doc_id", marks(F.col("text"), shingle, similarity, hot).alias("m")).select("doc_id", "m.*"), "marks")
-    # Copies first: one node for each word sequence.
-    nodes = marked.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("views").alias("views"))
-    nodes = written(nodes.dropDuplicates(["id"]), "nodes")
-    copies = marked.join(nodes.select("same", F.col("id").alias("node")), "same").groupBy("doc_id").agg(F.min("node").alias("node"))
-    python_batches(spark, 10_000)  # numbers only
-    found = hamming_links(nodes.where("n > 0").select("id", F.col("views").alias("fps")), 3, most=MOST)
-    tried = written(found.select("a", "b").distinct(), "candidates")
-    python_batches(spark)
-    links = written(_similar(tried, nodes, texts, shingle, similarity, UNLIKE_BITS), "similar")
-    stars = components(links)
-    # What the tries did not bring together: every pair of texts of two groups that may be similar, in rounds that
-    # compare each text with more and more others, for links join groups and spare the rest of their pairs.
-    own = nodes.select("same", F.col("id").alias("doc_id"))
-    shared = _shared(marked.where("n > 0").join(own, ["same", "doc_id"], "left_semi"))
-    most, more = MOST, True
-    while more:
-        python_batches(spark, 10_000)
-        met = written(_meetings(shared, stars, similarity, most).groupBy("a", "b").agg(F.max("more").alias("more")), "candidates")
-        python_batches(spark)
-        new = written(_similar(met.select("a", "b"), nodes, texts, shingle, similarity), "similar")
-        more = not met.where("more").isEmpty()
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            stars = components(links)
-        most *= 16
-    final = copies.join(stars.select("node", "component"), "node", "left")
-    return final.select("doc_id", F.coalesce("component", "node").alias("kept"))
-
-
-def _shared(marked: DataFrame) -> DataFrame:
-    """(h, id, n, pos): the shingles in the prefixes of texts (doc_id, n, prefix) that are in those of others, too."""
-    rows = marked.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "h"))
+    with Tables(spark) as tables:
+        marked = tables.written(texts.select("row_key", "doc_id", marks(F.col("text"), shingle, similarity, hot).alias("m")).select("row_key", "doc_id", "m.*"), "marks")
+        # Copies first: one node for each word sequence, its number fixed as it is written. Its text is that of `row_key`.
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
+        nodes = marked.groupBy("same").agg(first, F.first("n").alias("n"), F.first("views").alias("views"), F.first("prefix").alias("prefix"))
+        nodes = tables.written(nodes.select(F.monotonically_increasing_id().alias("id"), "same", "first", "n", "views", "prefix"), "nodes")
+        # Texts of one fingerprint are compared with the first of them, which alone takes part in the tries.
+        views = nodes.where("n > 0").select("id", F.posexplode("views").alias("view", "fp"))
+        firsts = tables.written(views.groupBy("view", "fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "firsts")
+        tied = views.join(firsts.where("n > 1"), ["view", "fp"]).where("id > rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        found = hamming_links(firsts.select(F.col("rep").alias("id"), "view", "fp"), 3, most=1)
+        tried = tables.written(found.select("a", "b").union(tied).distinct(), "candidates")
+        links = tables.written(_similar(tried, nodes, texts, shingle, similarity, tables), "similar")
+        stars = components(links)
+        # What the tries did not bring together: every pair of texts of two groups that may be similar, in rounds that
+        # compare each text with more and more others, for links join groups and spare the rest of their pairs.
+        shared = _shared(nodes, tables)
+        most, more = MOST, True
+        while more:
+            met = tables.written(_meetings(shared, stars, similarity, most, tables).groupBy("a", "b").agg(F.max("more").alias("more")), "candidates")
+            fresh = tables.written(met.select("a", "b").join(tried, ["a", "b"], "left_anti"), "fresh")
+            tried = tried.unionByName(fresh)
+            new = tables.written(_similar(fresh, nodes, texts, shingle, similarity, tables), "similar")
+            more = not met.where("more").isEmpty()
+            if not new.isEmpty():
+                links = links.unionByName(new)
+                stars = components(links)
+            most *= 16
+        linked = nodes.select("id", "first").join(stars.withColumnRenamed("node", "id"), "id")
+        lowest = tables.written(linked.groupBy("component").agg(F.min("first").alias("lowest")), "lowest")
+        moved = tables.written(linked.join(lowest, "component").select("id", "lowest"), "moved")
+        of = tables.written(nodes.select("id", "same", "first").join(moved, "id", "left").select("same", F.coalesce("lowest", "first").alias("lowest")), "names")
+        final = marked.groupBy("row_key", "same").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")).join(of, "same")
+        return written(final.select("row_key", "doc_id", "rows", F.col("lowest.doc_id").alias("kept"), (F.col("row_key") == F.col("lowest.row_key")).alias("stays")), "groups")
+
+
+def _shared(nodes: DataFrame, tables: Tables) -> DataFrame:
+    """(h, id, n, pos): the shingles in the prefixes of nodes (id, n, prefix) that are in those of others, too."""
+    rows = nodes.where("n > 0").select("id", "n", F.posexplode("prefix").alias("pos", "h"))
     alike = rows.withColumn("rows", F.count("*").over(Window.partitionBy("h"))).where("rows > 1")
-    return written(alike.select("h", "id", "n", "pos"), "shared")
+    return tables.written(alike.select("h", "id", "n", "pos"), "shared")
 
 
-def _meetings(shared: DataFrame, stars: DataFrame, similarity: float, most: int) -> DataFrame:
+def _meetings(shared: DataFrame, stars: DataFrame, similarity: float, most: int, tables: Tables) -> DataFrame:
     """(a, b, more): pairs of texts of two groups, a > b, that share a shingle and whose sizes and places of it allow `similarity`.
 
     Every such pair, or those of each text with its `most` smallest partners of a task and whether there are more.
+    A shingle's rows are met in one task, or, where they are many, in pairs of pieces. The largest group among them has
+    pieces of its own, which meet the others' pieces alone, so copies of one text make tasks in proportion to their number.
     """
     names = stars.select(F.col("node").alias("id"), "component")
     rows = shared.join(names, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = rows.groupBy("h").agg(F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    sizes = sizes.select("h", F.when(F.col("rows") <= BUCKET_ROWS, 1).otherwise(F.ceil(F.col("rows") * 2 / BUCKET_ROWS)).cast("int").alias("pieces"))
-    rows = rows.join(sizes, "h").withColumn("side", F.pmod(F.hash("id"), F.col("pieces")))
-    # Each row goes to the task of its piece with every other one.
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    groups = rows.groupBy("h", "component").agg(F.count("*").alias("n"))
+    sizes = groups.groupBy("h").agg(F.sum("n").alias("rows"), F.max("n").alias("top"), F.max_by("component", "n").alias("largest"), F.count("*").alias("groups")).where("groups > 1")
+    pieces = lambda n: F.ceil(n * 2 / BUCKET_ROWS).cast("int")
+    many = F.col("rows") > BUCKET_ROWS
+    sizes = sizes.select("h", "largest", F.when(many, pieces(F.col("rows") - F.col("top"))).otherwise(1).alias("others"), F.when(many, pieces(F.col("top"))).otherwise(0).alias("own"))
+    sizes = tables.written(sizes, "sizes")
+    rows = rows.join(sizes, "h")
+    large = (F.col("component") == F.col("largest")) & (F.col("own") > 0)
+    rows = rows.withColumn("side", F.when(large, F.col("others") + F.pmod(F.hash("id"), F.greatest("own", F.lit(1)))).otherwise(F.pmod(F.hash("id"), F.col("others"))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") + F.when(large, F.lit(0)).otherwise(F.col("own")) - 1)))
     task = F.xxhash64("h", F.least("side", "other"), F.greatest("side", "other"))
     rows = rows.select(task.alias("task"), "h", "side", (F.col("side") == F.col("other")).alias("within"), "id", "n", "pos", "component")
-    tasks = rows.repartition(partitions(shared.sparkSession), "task").sortWithinPartitions("task")
-    return tasks.mapInPandas(_met(similarity, most), "a long, b long, more boolean")
+    dealt = rows.repartition(partitions(shared.sparkSession), "task").sortWithinPartitions("task")
+    return dealt.mapInPandas(_met(similarity, most), "a long, b long, more boolean")
 
 
 def _met(similarity: float, most: int):
@@ -507,17 +584,16 @@ def _met(similarity: float, most: int):
     return run
 
 
-def _similar(candidates: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, bits: int = BITS) -> DataFrame:
-    """The candidates (a, b) whose texts' shingles have the Jaccard similarity; only those within `bits` of fingerprints are looked at."""
-    of = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("fp").alias(f"fp_{x}"))
-    likely = candidates.join(of("a"), "a").join(of("b"), "b").where(
-        (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= bits))
-    likely = written(likely.select("a", "b"), "likely")
-    ends = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _similar(candidates: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, tables: Tables) -> DataFrame:
+    """The candidates (a, b) whose texts' shingles have the Jaccard similarity; only those whose sizes allow it are looked at."""
+    of = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"))
+    likely = candidates.join(of("a"), "a").join(of("b"), "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
+    likely = tables.written(likely.select("a", "b"), "likely")
+    ends = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
 
     @F.pandas_udf("binary")
     def packed(column: pd.Series) -> pd.Series:
-        return pd.Series([_shingles(t, shingle).tobytes() for t in column])
+        return pd.Series([_shingles(_HASHES.text(t)[1], shingle).tobytes() for t in column])
 
     @F.pandas_udf("double")
     def jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -528,9 +604,10 @@ def _similar(candidates: DataFrame, nodes: DataFrame, texts: DataFrame, shingle:
             out.append(both / max(1, len(a) + len(b) - both))
         return pd.Series(out)
 
-    sets = texts.join(ends, "doc_id", "left_semi").select("doc_id", packed(F.col("text")).alias("s"))
-    sets = written(sets.groupBy("doc_id").agg(F.max("s").alias("s")), "shingles")
-    pairs = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("s_b")), "b")
+    keys = tables.written(nodes.select("id", F.col("first.row_key").alias("row_key")).join(ends, "id"), "ends")
+    sets = texts.join(keys, "row_key").select("id", packed(F.col("text")).alias("s"))
+    sets = tables.written(sets.groupBy("id").agg(F.max("s").alias("s")), "shingles")  # repeated rows are one text
+    pairs = likely.join(sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a")
     return pairs.where(jaccard("s_a", "s_b") >= similarity).select("a", "b")
 
 

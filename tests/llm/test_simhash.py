@@ -58,14 +58,14 @@ def clustered(n, seed):
 def test_links_have_the_components_of_all_pairs(spark, trie_rows):
     fps = clustered(400, 5)
     want = groups(fps, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 3)
-    df = spark.createDataFrame([(x, [x]) for x in fps], "id long, fps array<long>")
+    df = spark.createDataFrame([(x, 0, x) for x in fps], "id long, view int, fp long")
     stars = simhash.components(simhash.hamming_links(df, 3, trie_rows))
     got = {x: x for x in fps} | {r.node: r.component for r in stars.collect()}
     assert got == want
 
 
 def test_rows_of_one_fingerprint_and_least_partners(spark):
-    df = spark.createDataFrame([(i, [7]) for i in range(50)], "id long, fps array<long>")
+    df = spark.createDataFrame([(i, 0, 7) for i in range(50)], "id long, view int, fp long")
     got = {(r.a, r.b) for r in simhash.hamming_links(df, 3, most=2).collect()}
     assert got == {(i, j) for i in range(50) for j in range(min(i, 2))}
     assert {(r.a, r.b) for r in simhash.hamming_links(df, 3, trie_rows=8, most=1 << 40).select("a", "b").distinct().collect()} == {(i, j) for i in range(50) for j in range(i)}
@@ -109,8 +109,10 @@ def test_similar_groups_equal_brute_force(spark, documents):
     docs = [(10 + i, " ".join(t)) for i, t in enumerate(texts)] + [(1, None), (2, "  "), (3, "one"), (4, "ONE"), (None, "one")]
     sets = {i: set(zip(*(t.lower().split()[k:] for k in range(5)))) or {tuple(t.lower().split())} for i, t in ((i, t or "") for i, t in docs) if i is not None}
     want = groups(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
-    got = {r.doc_id: r.kept for r in simhash.similar_groups(documents(docs)).collect()}
-    assert got == want
+    rows = simhash.similar_groups(documents(docs)).collect()
+    # The row without an id is a copy of rows with one, so it is in their group and does not stay.
+    assert {r.doc_id: r.kept for r in rows} == want | {None: 3}
+    assert sorted(r.doc_id for r in rows if r.stays) == sorted(set(want.values()))
 
 
 def test_dense_group_keeps_one_of_each_linked_pair(documents, monkeypatch):
@@ -162,3 +164,32 @@ def test_chain_beside_many_unlike_texts_of_the_same_words(documents):
     assert jaccard(sets[0], sets[50]) >= 0.8 <= jaccard(sets[50], sets[100]) and jaccard(sets[0], sets[100]) < 0.8
     got = {r.doc_id: r.kept for r in simhash.similar_groups(documents(docs)).collect()}
     assert got == {i: 0 if i in (50, 100) else i for i, _ in docs}
+
+
+def test_a_star_is_dealt_out_by_its_edges(spark, monkeypatch):
+    """One node with 100,000 edges: the components are right where they are broadcast and where both sides are shuffled."""
+    edges = spark.range(1, 100_001).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    rim = spark.range(1, 100_001).select(F.lit(200_000).cast("long").alias("a"), F.col("id").alias("b"))
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(simhash, "BROADCAST_EDGES", most)
+        got = simhash.components(edges.union(rim))
+        assert got.count() == 100_002 and got.agg(F.max("component")).first()[0] == 0
+
+
+def test_components_of_nothing_and_of_null_ends(spark):
+    none = spark.createDataFrame([], "a long, b long")
+    assert simhash.components(none).count() == 0
+    odd = spark.createDataFrame([(None, 1), (2, None), (3, 3), (5, 4), (4, 5)], "a long, b long")
+    assert {tuple(r) for r in simhash.components(odd).collect()} == {(4, 4), (5, 4)}
+
+
+def test_meetings_of_a_large_group_with_others(spark, monkeypatch):
+    """Pieces of the largest group meet the others' pieces alone; no pair of two groups is lost."""
+    from lodemap.llm.common import Tables
+
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 8)
+    shared = spark.createDataFrame([(7, i, 10, 0) for i in range(60)], "h long, id long, n int, pos int")
+    stars = spark.createDataFrame([(i, 0) for i in range(40)], "node long, component long")
+    with Tables(spark) as tables:
+        got = {(r.a, r.b) for r in simhash._meetings(shared, stars, 0.8, 1 << 40, tables).collect()}
+    assert got == {(a, b) for a in range(40, 60) for b in range(a)}
