@@ -19,10 +19,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemap.llm.common import python_batches, table
+from lodemap.llm.common import python_batches, table, with_fields
 from lodemap.llm.segments import SegmentIds
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+# Code points that the regex package's Unicode tables call letters or numbers and the tokenizer's
+# tables, of an older Unicode, do not: to its pattern they are neither. First and last of each range.
+NEITHER = """558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7ce-a7cf a7d2-a7d2 a7d4-a7d4 a7dd-a7dd a7e2-a7e2 a7f1-a7f1 ab6c-ab6d
+107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a-11b0a 11db0-11ddb 11de0-11de9 11df1-11df1 1246f-1246f 12475-1247f 12550-12686 16ea0-16eb8
+16ebb-16ed3 16ff2-16ff3 16ff4-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168-1b168 1d6a6-1d6a6
+1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e-2b81e
+2cea2-2cead 323b0-33479 3d000-3fc3f"""
 #: Stretches of so many bytes are encoded by plain merges; halves up to the second size are remembered.
 LEAF, REMEMBERED = 3, 24
 
@@ -38,7 +45,7 @@ class Encoder:
             self.tokens[rank] = token
         self.seam = lru_cache(maxsize=1 << 17)(self._seam)
         self.half = lru_cache(maxsize=1 << 17)(self.encode_bytes)
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.pattern = pattern()
 
     def merged(self, data: bytes) -> list[int]:
         """The pair of lowest rank, the leftmost of equals, is merged until none is left."""
@@ -108,6 +115,13 @@ class Encoder:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
+def pattern() -> regex.Pattern:
+    """The tokenizer's pattern with its own classes of letters and numbers."""
+    neither = "".join("\\U{:0>8}-\\U{:0>8}".format(*r.split("-")) for r in NEITHER.split())
+    text = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", "OTHER").replace(r"\p{L}", "LETTER").replace(r"\p{N}", "NUMBER")
+    return regex.compile(text.replace("OTHER", rf"[[^\s\p{{L}}\p{{N}}][{neither}]]").replace("LETTER", rf"[\p{{L}}--[{neither}]]").replace("NUMBER", rf"[\p{{N}}--[{neither}]]"), regex.V1)
+
+
 @lru_cache(maxsize=4)
 def _coder(path: str) -> tuple[Encoder, SegmentIds]:
     encoder = Encoder(path)
@@ -115,9 +129,10 @@ def _coder(path: str) -> tuple[Encoder, SegmentIds]:
 
 
 def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """`docs` with `ids` (little-endian unsigned 32-bit integers) and `decoded` (the bytes of those ids).
+    """`docs` with `ids` (little-endian unsigned 32-bit integers) and `decoded` (the bytes of those ids) added.
 
-    Null texts are empty; both columns are then empty bytes. Surrogates, which UTF-8 has not, cannot be in a column.
+    Columns of these names in `docs` are replaced. Null and empty texts have no ids; both columns are then empty bytes.
+    Rows stay as they are, repeated ones too. Texts are encoded whole. Surrogates, which UTF-8 has not, cannot be in a column.
     """
 
     @F.pandas_udf("ids binary, decoded binary")
@@ -128,7 +143,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         parts = [ids[a:b] for a, b in zip(at[:-1], at[1:])]
         return pd.DataFrame({"ids": [p.tobytes() for p in parts], "decoded": [encoder.decode(p.tolist()) for p in parts]})
 
-    return docs.withColumn("_coded", coded(F.col(text))).select("*", "_coded.ids", "_coded.decoded").drop("_coded")
+    return with_fields(docs, coded(F.col(text)), ["ids", "decoded"])
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -96,6 +96,13 @@ class Tables:
             path.getFileSystem(conf).delete(path, True)
 
 
+def with_fields(df: DataFrame, struct: Column, names: list[str]) -> DataFrame:
+    """`df` with the fields `names` of a struct as columns; columns of `df` of these names are replaced."""
+    other = [c for c in df.columns if c.lower() not in {n.lower() for n in names}]
+    held = df.select(F.struct(*[F.col(f"`{c}`") for c in other]).alias("row"), struct.alias("new"))
+    return held.select("row.*", *[f"new.{n}" for n in names])
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo `parts`; null ids are in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts, F.lit(0))

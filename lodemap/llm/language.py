@@ -145,7 +145,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text"
         score = np.clip(cosines.max(axis=1).astype(np.float64), 0, 1)
         return pd.DataFrame({"lang_pred": [names[i] if k else "und" for i, k in zip(at, known)], "lang_score": np.where(known, score, 0.0)})
 
-    return docs.withColumn("_best", best(F.col(text))).select("*", "_best.lang_pred", "_best.lang_score").drop("_best")
+    return with_fields(docs, best(F.col(text)), ["lang_pred", "lang_score"])
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

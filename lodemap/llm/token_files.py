@@ -14,8 +14,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -31,6 +31,8 @@ BLOCK_IDS = 16_384
 CHUNK_IDS = 131_072
 PLANES = 4
 SCHEMA = "segment int, chunk int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, block_ids array<int>, plane_bytes array<int>, payload binary"
+ARROW = pa.schema([("segment", pa.int32()), ("chunk", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())),
+                   ("block_ids", pa.list_(pa.int32())), ("plane_bytes", pa.list_(pa.int32())), ("payload", pa.binary())])
 
 
 def pack(ids: np.ndarray, level: int = 3) -> tuple[list[int], list[int], bytes]:
@@ -79,43 +81,51 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_I
     With `added_tokens`, an added token of the tokenizer in a text is that token, as an unaltered tokenizer has it; else text.
 
     Null texts are empty and have the end id alone. Null ids come first; rows of one doc_id are in order of their
-    texts' hashes, so repeated rows stay and are interchangeable. An empty table gives files without chunks.
+    texts' hashes, so repeated rows stay and are interchangeable; rows equal in both are dealt to ranges by their place.
+    Texts are encoded whole. An empty table gives files without chunks. Other columns are ignored.
     """
-    order = ["doc_id", "tie"]
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    order = ["doc_id", "tie", "row"]
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
     rows = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
 
-    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, segment, chunk = _coder(tokenizer_path, added_tokens), TaskContext.get().partitionId(), 0
-        doc_ids: list[int | None] = []
-        counts: list[int] = []
-        held: list[np.ndarray] = []
+        held: list[tuple] = []  # (doc ids, tokens of each, all tokens)
+        size = 0
 
-        def closed() -> pd.DataFrame:
-            blocks, sizes, payload = pack(np.concatenate(held))
-            return pd.DataFrame([[segment, chunk, int(sum(counts)), doc_ids, counts, blocks, sizes, payload]], columns=[x.split()[0] for x in SCHEMA.split(", ")])
+        def closed() -> pa.RecordBatch:
+            blocks, sizes, payload = pack(np.concatenate([x[2] for x in held]))
+            doc_ids, tokens = pa.concat_arrays([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            row = {"segment": segment, "chunk": chunk, "n_tokens": int(tokens.sum()), "doc_ids": doc_ids.to_pylist(), "doc_tokens": tokens.tolist(), "block_ids": blocks, "plane_bytes": sizes, "payload": payload}
+            return pa.RecordBatch.from_pylist([row], ARROW)
 
-        size = 0
         for batch in batches:
-            ids, at = coder(batch["text"].tolist())
-            for doc_id, a, b in zip(batch["doc_id"].astype("object"), at[:-1].tolist(), at[1:].tolist()):
-                doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
-                counts.append(b - a + 1)
-                held += [ids[a:b], np.array([end_id], np.uint32)]
-                size += b - a + 1
+            ids, at = coder(batch.column("text").to_pylist())
+            stream = np.insert(ids, at[1:], end_id)
+            tokens = np.diff(at) + 1
+            ends = np.concatenate([[0], np.cumsum(tokens)])
+            first, n = 0, len(tokens)
+            while first < n:  # up to the document that fills the chunk
+                last = min(n, int(np.searchsorted(ends, ends[first] + CHUNK_IDS - size)))
+                held.append((batch.column("doc_id").slice(first, last - first), tokens[first:last], stream[ends[first] : ends[last]]))
+                size += int(ends[last] - ends[first])
+                first = last
                 if size >= CHUNK_IDS:
                     yield closed()
-                    chunk, size, doc_ids, counts, held = chunk + 1, 0, [], [], []
-        if counts:
+                    chunk, size, held = chunk + 1, 0, []
+        if held:
             yield closed()
 
-    rows.select("doc_id", "text").mapInPandas(chunks, SCHEMA).write.option("compression", "none").parquet(folder)
+    rows.select("doc_id", "text").mapInArrow(chunks, SCHEMA).write.option("compression", "none").parquet(folder)
 
 
-def read(spark, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): each document's ids as little-endian unsigned 32-bit integers, and how many ids stand before it.
+def read(spark, folder: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids): each document's ids as little-endian unsigned 32-bit integers, and how many ids stand before it.
 
-    Starts come from the index alone: sums of a segment's chunks, and of the segments before it.
+    Starts come from the index alone: sums of a segment's chunks, and of the segments before it, of which there is one
+    a task of `write`. ids_crc32 is the crc32 of `ids`; without `with_ids` only that leaves the task. Null and repeated
+    doc_ids are rows as they were written. A folder without chunks gives no rows. A document's ids are one value, so a
+    text may have 2 GB of ids at most.
     """
     files = spark.read.schema(SCHEMA).parquet(folder)
     segments = files.groupBy("segment").agg(F.sum("n_tokens").alias("n"))
@@ -124,20 +134,27 @@ def read(spark, folder: str) -> DataFrame:
     starts = files.select("segment", "chunk", "n_tokens").withColumn("inside", inside).join(before, "segment")
     starts = starts.select("segment", "chunk", (F.col("before") + F.col("inside")).alias("chunk_start"))
 
-    def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                ids = unpack(list(r.block_ids), list(r.plane_bytes), r.payload)
-                counts = np.asarray(r.doc_tokens, np.int64)
+            column = {name: batch.column(name) for name in batch.schema.names}
+            for r in range(batch.num_rows):
+                blocks, sizes = column["block_ids"][r].as_py(), column["plane_bytes"][r].as_py()
+                raw = memoryview(unpack(blocks, sizes, column["payload"][r].as_py()).astype("<u4", copy=False)).cast("B")
+                counts = column["doc_tokens"][r].values.to_numpy(zero_copy_only=False)
                 at = np.concatenate([[0], np.cumsum(counts)])
-                yield pd.DataFrame({
-                    "segment": r.segment, "chunk": r.chunk, "doc_id": pd.array([None if pd.isna(x) else int(x) for x in r.doc_ids], "Int64"),
-                    "offset": at[:-1], "n_tokens": counts, "ids": [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:])],
-                })
+                parts = [raw[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                n = len(parts)
+                out = [pa.array([column["segment"][r].as_py()] * n, pa.int32()), pa.array([column["chunk"][r].as_py()] * n, pa.int32()), column["doc_ids"][r].values,
+                       pa.array(at[:-1]), pa.array(counts), pa.array(map(zlib.crc32, parts), pa.int64())]
+                names = ["segment", "chunk", "doc_id", "offset", "n_tokens", "ids_crc32"]
+                if with_ids:
+                    out, names = [*out, pa.array([bytes(p) for p in parts], pa.binary())], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(out, names)
 
-    found = files.drop("n_tokens").mapInPandas(documents, "segment int, chunk int, doc_id long, offset long, n_tokens long, ids binary")
-    crcs = found.withColumn("ids_crc32", F.crc32("ids"))
-    return crcs.join(starts, ["segment", "chunk"]).select("doc_id", (F.col("chunk_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    ids = ", ids binary" if with_ids else ""
+    found = files.drop("n_tokens").mapInArrow(documents, f"segment int, chunk int, doc_id long, offset long, n_tokens long, ids_crc32 long{ids}")
+    start = (F.col("chunk_start") + F.col("offset")).alias("start")
+    return found.join(starts, ["segment", "chunk"]).select("doc_id", start, "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def op4_token_files(spark, sf_dir: str) -> DataFrame:
@@ -145,5 +162,4 @@ def op4_token_files(spark, sf_dir: str) -> DataFrame:
     python_batches(spark)
     folder = scratch(spark, "tokens")
     write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER), added_tokens=True)
-    python_batches(spark, 8)
-    return read(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read(spark, folder, with_ids=False)
