@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemap.llm.common import python_batches, table
+from lodemap.llm.common import python_batches, table, with_fields
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Never part of an article.
@@ -24,17 +24,16 @@ BLOCKS = frozenset(
 )
 CLOSES_P = BLOCKS - {"html", "body"}
 PARAGRAPHS = frozenset("p pre blockquote li td dd h1 h2 h3 h4 h5 h6 figcaption".split())
-#: Words in class, id or role that mark what surrounds an article.
-UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|breadcrumbs?|combx|comments?|commentlist|consent|cookies?|disqus|disclaimer|extra|footer|gdpr|header|legends?|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo\w*|related|remark|replies|respond|rss|share|sharing|shoutbox|sidebar|skyscraper|social|sponsor\w*|subscribe|subscription|tags|toolbar|widget)(?:$|[\s_-])",
-    re.I,
-)
+#: Words in class, id or role that name what is no part of an article: menus, headers, footers, sidebars, notices, adverts, comments.
+_SURROUNDINGS = """menu navbar navigation nav breadcrumb breadcrumbs toolbar header footer sidebar notice notices cookie cookies consent banner
+ad ads advert adverts advertisement advertising sponsor sponsored promo promotion newsletter subscribe comment comments replies popup share social"""
+UNLIKELY = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(_SURROUNDINGS.split())})(?:$|[\s_-])", re.I)
 #: Words that say what a layout has beside something, not what it is.
 BESIDE = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with|without)[_-][\w-]+", re.I)
 #: Classes of an article's own containers.
 CONTENT = frozenset("article article-body article-content body-content content entry entry-content main main-content page-content post post-body post-content story story-body".split())
-#: Ids that sections of an article have, too: only those poor in paragraph text are dropped for them.
-SUBJECTS = frozenset("ads banner disclaimer extra header legend legends menu navigation notice notices promo related remark replies respond rss share sharing social subscription tags toolbar widget".split())
+#: Such words as a section's id may be its subject: only those poor in paragraph text are dropped for it.
+SUBJECTS = frozenset("ads advertising banner cookies header menu navigation notice notices promotion replies share social toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 POOR_LETTERS = 140
 #: Where less text than LITTLE letters is left and TIMES as much without the words, they have hit the article.
@@ -43,13 +42,15 @@ SIBLING_SHARE = 0.2
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "drop", "points", "letters", "linked", "unlikely", "held")
+    __slots__ = ("tag", "parent", "parts", "drop", "points", "letters", "linked", "unlikely", "held", "kind", "flow", "commas")
 
     def __init__(self, tag: str, parent: _Node | None, drop: bool):
         self.tag, self.parent, self.drop = tag, parent, drop
         self.parts: list[_Node | str] = []
         self.points, self.letters, self.linked, self.held = 0.0, 0, 0, 0.0
         self.unlikely: str | None = None
+        self.kind = ""
+        self.flow = self.commas = 0
 
 
 def _unlikely(tag: str, attrs: list[tuple[str, str | None]]) -> str | None:
@@ -65,62 +66,74 @@ def _unlikely(tag: str, attrs: list[tuple[str, str | None]]) -> str | None:
     return "name" if hits else None
 
 
+#: What a stray inline end tag does not reach across.
+REGIONS = ("article", "main", "nav", "aside", "footer", "form", "table")
+
+
 class _Tree(HTMLParser):
-    """Builds nodes from tags as browsers would: open paragraphs and list items end where another block begins."""
+    """Builds nodes from tags as browsers would: open paragraphs and list items end where another block begins.
+
+    The places of open tags are kept by name, so a tag costs the same however deep it stands; a node is closed once.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.at = self.root = _Node("html", None, False)
+        self.root = _Node("html", None, False)
+        self.open: list[_Node] = [self.root]
+        self.places: dict[str, list[int]] = {}
         self.marked: list[_Node] = []
 
-    def _end(self, tags: frozenset | set, stop: frozenset | set) -> None:
-        node = self.at
-        while node.parent is not None and node.tag not in stop:
-            if node.tag in tags:
-                self.at = node.parent
-                return
-            node = node.parent
+    def _deepest(self, tags) -> int:
+        """The place of the innermost open tag among `tags`; 0, the root's, for none."""
+        return max((places[-1] for t in tags if (places := self.places.get(t))), default=0)
+
+    def _close(self, place: int) -> None:
+        """Close the node at a place and all within it."""
+        while len(self.open) > place:
+            self.places[self.open.pop().tag].pop()
+
+    def _end(self, tags, stop) -> None:
+        if (place := self._deepest(tags)) > self._deepest(stop):
+            self._close(place)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ("html", "body"):
             return
         if tag in CLOSES_P:
-            self._end({"p"}, {"td", "th", "button", "article", "section", "div", "table"})
-        if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-            self._end({"dd", "dt"} if tag in ("dd", "dt") else {"td", "th"} if tag in ("td", "th") else {tag}, {"ul", "ol", "dl", "table", "select"} if tag not in ("td", "th") else {"tr", "table"})
+            self._end(("p",), ("td", "th", "button", "article", "section", "div", "table"))
+        if tag in ("td", "th"):
+            self._end(("td", "th"), ("tr", "table"))
+        elif tag in ("dd", "dt"):
+            self._end(("dd", "dt"), ("ul", "ol", "dl", "table", "select"))
+        elif tag in ("li", "tr", "option"):
+            self._end((tag,), ("ul", "ol", "dl", "table", "select"))
         drop = tag in DROPPED
         for name, value in attrs:
             drop |= name == "hidden" or (name == "aria-hidden" and value == "true")
         if tag == "header":
-            node = self.at
-            while node is not None and node.tag not in ("article", "main"):
-                node = node.parent
-            drop |= node is None
-        node = _Node(tag, self.at, drop)
+            drop |= not self._deepest(("article", "main"))
+        node = _Node(tag, self.open[-1], drop)
+        node.kind = " ".join(value for name, value in attrs if name == "class" and value)
         if not drop and (word := _unlikely(tag, attrs)):
             node.unlikely = word
             self.marked.append(node)
-        self.at.parts.append(node)
+        self.open[-1].parts.append(node)
         if tag not in VOID:
-            self.at = node
+            self.places.setdefault(tag, []).append(len(self.open))
+            self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.at.tag == tag and self.at.parent is not None and tag not in BLOCKS:
-            self.at = self.at.parent
+        if tag not in VOID and tag not in BLOCKS and len(self.open) > 1 and self.open[-1].tag == tag:
+            self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node.parent is not None:
-            if node.tag == tag:
-                self.at = node.parent
-                return
-            if node.tag in ("article", "main", "nav", "aside", "footer", "form", "table") and tag not in BLOCKS | DROPPED:
-                return  # a stray inline end tag closes no region
-            node = node.parent
+        place = self._deepest((tag,))
+        if place and (tag in BLOCKS or tag in DROPPED or place >= self._deepest(REGIONS)):
+            self._close(place)
 
     def handle_data(self, data: str) -> None:
-        self.at.parts.append(data)
+        self.open[-1].parts.append(data)
 
 
 def _blocks(top: _Node) -> list[str]:
@@ -165,7 +178,7 @@ def _score(root: _Node) -> list[_Node]:
         stack.extend((x, linked or x.tag == "a") for x in node.parts if not isinstance(x, str))
     containers: dict[int, _Node] = {}
     for node, linked in reversed(order):  # children before parents
-        own, commas, lone = 0, 0, node.tag in PARAGRAPHS
+        own, commas, lone = 0, 0, node.tag in PARAGRAPHS  # text of its own and of what is inline in it
         for x in node.parts:
             if isinstance(x, str):
                 n = len(" ".join(x.split()))
@@ -173,6 +186,10 @@ def _score(root: _Node) -> list[_Node]:
                 commas += x.count(",")
                 node.linked += n * linked
         node.letters += own
+        own, commas = own + node.flow, commas + node.commas
+        if node.parent is not None and node.tag not in BLOCKS:
+            node.parent.flow += own
+            node.parent.commas += commas
         if node.parent is not None:
             node.parent.letters += node.letters
             node.parent.linked += node.linked
@@ -197,7 +214,7 @@ def _cleared(root: _Node) -> None:
     stack = [root]
     while stack:
         node = stack.pop()
-        node.points, node.letters, node.linked, node.held = 0.0, 0, 0, 0.0
+        node.points, node.letters, node.linked, node.held, node.flow, node.commas = 0.0, 0, 0, 0.0, 0, 0
         stack.extend(x for x in node.parts if not isinstance(x, str))
 
 
@@ -239,7 +256,7 @@ def _main(tree: _Tree) -> str:
     """The blocks of the best container of a tree and of its siblings."""
     found = _score(tree.root)
     if not found:
-        return ""
+        return "\n\n".join(_blocks(tree.root))
     worth = lambda n: n.points * (1 - n.linked / n.letters if n.letters else 1)
     best = max(reversed(found), key=worth)
     region = best  # an article or main around the best container is the container
@@ -254,19 +271,25 @@ def _main(tree: _Tree) -> str:
             continue
         if x is best or (worth(x) >= least and x.points > 0 and (region is None or x.tag == best.tag)):
             kept += _blocks(x)
+        elif x.tag == best.tag and (x.tag == "section" or x.kind and x.kind == best.kind) and 2 * x.linked <= x.letters:
+            kept += _blocks(x)  # sections of one article, however short
         elif region is None and x.tag == "p" and x.letters > 80 and x.linked < 0.25 * x.letters:
             kept += _blocks(x)
     return "\n\n".join(kept)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
-    """`pages` with main_text; rows, repeated ones too, stay as they are."""
+    """`pages` with main_text added (a column of this name in `pages` is replaced), by `main_text`.
+
+    Rows, repeated ones too, stay as they are. Null, empty and textless pages have an empty text. A page is read whole,
+    in time in proportion to its length, however deep or unclosed its tags. Of containers with equal points the first stands.
+    """
 
-    @F.pandas_udf("string")
-    def texts(column: pd.Series) -> pd.Series:
-        return pd.Series([main_text(x) for x in column], dtype="object")
+    @F.pandas_udf("main_text string")
+    def texts(column: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"main_text": pd.Series([main_text(x) for x in column], dtype="object")})
 
-    return pages.withColumn("main_text", texts(F.col(html)))
+    return with_fields(pages, texts(F.col(html)), ["main_text"])
 
 
 def op7_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -15,13 +15,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemap.llm.common import fold, python_batches, table
+from lodemap.llm.common import fold, python_batches, table, with_fields, written
 
 DIMENSIONS = 1024
 #: Training texts for a language, in the mean of the seeded draw; fewer where there are fewer.
 TRAIN_TEXTS = 2_000
-#: Profiles go to every task; beyond so many languages the fit refuses, rather than dropping any.
-MAX_LANGUAGES = 2_000
+#: Profiles that go to every task at once, 4 kB each; of more languages, every text meets them in blocks of so many.
+BLOCK_LANGUAGES = 2_000
+#: Languages whose numbers of texts are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_LANGUAGES = 100_000
 #: Unit vectors are summed as integers of this scale: the sums do not depend on the order of tasks.
 SCALE = 1 << 20
 SPACE, END = 32, 0
@@ -96,20 +98,18 @@ def _units(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return vectors / np.maximum(norms, 1e-9), lettered
 
 
-def fit(rows: DataFrame, train_texts: int = TRAIN_TEXTS, seed: int = 7) -> dict[str, np.ndarray]:
-    """The profile of each language in `rows` (doc_id, text, lang); rows without text or lang teach nothing.
+def fit(rows: DataFrame, train_texts: int = TRAIN_TEXTS, seed: int = 7) -> DataFrame:
+    """(lang, vector): the profile of each language in `rows` (doc_id, text, lang), a written table.
 
-    About `train_texts` texts of each language, drawn by a seeded hash of their ids, are encoded; that bounds the
-    work at any size of the table. What comes to the driver is one vector for each language.
+    Rows without text or lang teach nothing; an empty table gives no profiles. About `train_texts` texts of each
+    language, drawn by a seeded hash of their ids, are encoded; that bounds the work at any size of the table. Texts are
+    encoded whole. Repeated rows count as often as they are drawn. Any number of languages will do. Other columns are ignored.
     """
     rows = rows.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    counts = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
-        return {}
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, train_texts / r["count"]))])
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
+    counts = written(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_LANGUAGES else counts
+    share = F.least(F.lit(1.0), train_texts / F.col("n"))
+    drawn = rows.join(counts, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000)
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
@@ -118,34 +118,53 @@ def fit(rows: DataFrame, train_texts: int = TRAIN_TEXTS, seed: int = 7) -> dict[
             whole = np.rint(units * SCALE).astype(np.int64)
             for lang in b["lang"].unique():
                 total[lang] = total.get(lang, 0) + whole[(b["lang"] == lang).to_numpy()].sum(axis=0)
+            if len(total) > BLOCK_LANGUAGES:
+                yield pd.DataFrame({"lang": list(total), "vector": [v.tolist() for v in total.values()]})
+                total = {}
         if total:
             yield pd.DataFrame({"lang": list(total), "vector": [v.tolist() for v in total.values()]})
 
     parts = drawn.select("text", "lang").mapInPandas(summed, "lang string, vector array<long>")
     sums = parts.select("lang", F.posexplode("vector").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
-    found = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("v")).select("lang", "v.x").collect()
-    profiles = {r["lang"]: np.array(r["x"], np.float64) for r in found}
-    return {k: (v / max(np.linalg.norm(v), 1e-9)).astype(np.float32) for k, v in sorted(profiles.items())}
+    vectors = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("v"))
+    return written(vectors.select("lang", F.col("v.x").alias("vector")), "profiles")
 
 
-def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text") -> DataFrame:
-    """`docs` with lang_pred and lang_score: the language of the largest cosine (ties: the first name) and that cosine, from 0 to 1.
-
-    A text that is null or has no letter, or any text where nothing was learned, is `und` with score 0.
-    """
-    names = list(profiles)
-    matrix = np.stack([profiles[k] for k in names]) if names else np.zeros((1, DIMENSIONS), np.float32)
-
+def _best(names: list[str], matrix: np.ndarray):
     @F.pandas_udf("lang_pred string, lang_score double")
     def best(texts: pd.Series) -> pd.DataFrame:
         units, lettered = _units(texts.tolist())
         cosines = units @ matrix.T
         at = cosines.argmax(axis=1)
-        known = lettered & bool(names)
         score = np.clip(cosines.max(axis=1).astype(np.float64), 0, 1)
-        return pd.DataFrame({"lang_pred": [names[i] if k else "und" for i, k in zip(at, known)], "lang_score": np.where(known, score, 0.0)})
+        return pd.DataFrame({"lang_pred": [names[i] if k else "und" for i, k in zip(at, lettered)], "lang_score": np.where(lettered, score, 0.0)})
+
+    return best
 
-    return with_fields(docs, best(F.col(text)), ["lang_pred", "lang_score"])
+
+def predict(docs: DataFrame, profiles: DataFrame, text: str = "text") -> DataFrame:
+    """`docs` with lang_pred and lang_score: the language of the largest cosine (ties: the first name) and that cosine, from 0 to 1.
+
+    `profiles` is of `fit`; it is read in blocks of names, so that none is left out, however many there are. A text that
+    is null or has no letter, or any text where nothing was learned, is `und` with score 0. Texts are read whole. Rows
+    stay as they are, repeated ones too; columns of `docs` of these two names are replaced.
+    """
+    blocks, found = max(1, -(-profiles.count() // BLOCK_LANGUAGES)), None
+    for b in range(blocks):
+        rows = profiles.where(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == b).orderBy("lang").collect()
+        if not rows:
+            continue
+        vectors = np.array([r["vector"] for r in rows], np.float64)
+        unit = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        one = _best([r["lang"] for r in rows], unit)(F.col(text))
+        if found is None:
+            found = one
+        else:
+            ahead = (one["lang_score"] > found["lang_score"]) | ((one["lang_score"] == found["lang_score"]) & (one["lang_pred"] < found["lang_pred"]))
+            found = F.when(ahead, one).otherwise(found)
+    if found is None:
+        found = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("lang_score"))
+    return with_fields(docs, found, ["lang_pred", "lang_score"])
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

@@ -1,28 +1,41 @@
 """Approximate nearest neighbours by cross-polytope hashing, with multiprobe tables and exact reranking.
 
 A table's hash rotates a unit vector by three rounds of random signs and a fast Hadamard transform, and takes the
-signed axis that lies nearest. A query probes in each table the axes nearest to it. Queries and the rows of a
-bucket meet in one place, in chunks of bounded size, and are ranked there by exact distance on the original
-vectors, so pairs never move; only the best of each chunk do.
+signed axis that lies nearest. A table puts several such hashes together, the more the more rows there are, so that
+buckets stay small. A query probes in each table the buckets nearest to it. How many, is measured: for a bounded
+sample of queries the true neighbours are found in all rows, and the number of probes is that which meets nearly all
+of them. Every row is in the index, with its buckets.
+
+Queries go to the rows, in blocks: a block's vectors and probes are broadcast, each task looks up the buckets of its
+rows, ranks what meets by exact distance and returns the best of each query. No vector is shuffled, and a bucket that
+holds a third of all rows stays where its rows are.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodemap.llm.common import partitions, python_batches, table, written
+from lodemap.llm.common import Tables, python_batches, table, written
 
-TABLES = 32
-PROBES = 3
-#: Rows of a bucket that one task meets at once; a larger bucket is cut into such chunks, each met by all its queries.
-CHUNK_ROWS = 4096
+TABLES = 16
 SEED = 20
-OUT = "query_key long, vec_id long, score double"
+#: Queries whose true neighbours fix the number of probes, at most, and the share of these neighbours that is to be met.
+SAMPLE_QUERIES = 64
+RECALL = 0.97
+#: Buckets that a query probes in a table at most. Where they would not do, all rows are looked at.
+MOST_PROBES = 2_048
+#: Probes, and numbers of vectors, that go to the tasks at once.
+BLOCK_NUMBERS = 1 << 22
+#: Distances that a task computes at once.
+PAIRS = 1 << 17
+OUT = "query long, vec_id long, score double"
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -35,130 +48,211 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def axes(vectors: np.ndarray, tables: int, probes: int, seed: int = SEED) -> np.ndarray:
-    """For each vector and table the `probes` nearest signed axes, nearest first, as numbers of their buckets."""
+def axes_of(dims: int) -> int:
+    """Signed axes of a polytope for vectors of so many components."""
+    return 2 << max(0, dims - 1).bit_length()
+
+
+def polytopes(dims: int, rows: int) -> int:
+    """Hashes that a table puts together: as many as leave some buckets' worth of rows to each."""
+    return max(1, math.ceil(math.log(max(rows, 2)) / math.log(axes_of(dims)) - 0.5))
+
+
+def rotated(vectors: np.ndarray, tables: int, count: int, seed: int = SEED) -> Iterator[np.ndarray]:
+    """For each table and hash in turn, every vector's nearness to all signed axes."""
     n, dims = vectors.shape
-    size = 1 << max(0, dims - 1).bit_length()
+    size = axes_of(dims) // 2
     unit = np.zeros((n, size))
     scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # neither over- nor underflows
     unit[:, :dims] = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
     draw = np.random.Generator(np.random.Philox(key=[seed, dims]))
-    out = np.empty((n, tables, min(probes, 2 * size)), np.int64)
-    for t in range(tables):
+    for _ in range(tables * count):
         y = unit
         for _ in range(3):
             y = hadamard(y * draw.choice([-1.0, 1.0], size))
-        both = np.concatenate([y, -y], 1)
-        out[:, t] = np.argsort(-both, axis=1, kind="stable")[:, : out.shape[2]] + t * 2 * size
-    return out.reshape(n, -1)
+        yield np.concatenate([y, -y], 1)
 
 
-def _codes(embedding: Column, tables: int, probes: int) -> Column:
-    """Bucket numbers of a vector; vectors of other lengths have other buckets."""
+def codes(vectors: np.ndarray, tables: int, count: int) -> np.ndarray:
+    """The bucket of each vector in each table."""
+    out = np.zeros((len(vectors), tables), np.int64)
+    for k, near in enumerate(rotated(vectors, tables, count)):
+        out[:, k // count] = out[:, k // count] * near.shape[1] + near.argmax(axis=1)
+    return out
+
+
+def probes(vectors: np.ndarray, tables: int, count: int, most: int) -> np.ndarray:
+    """For each vector and table the `most` nearest buckets, nearest first: those of the largest sums of nearness."""
+    total = axes_of(vectors.shape[1])
+    wide = total if count == 1 else min(total, 8 + int(3 * most ** (1 / count)))  # nearest axes of each hash
+    out = np.empty((len(vectors), tables, min(most, wide**count)), np.int64)
+    near = rotated(vectors, tables, count)
+    for t in range(tables):
+        found, worth = np.zeros((len(vectors), 1), np.int64), np.zeros((len(vectors), 1))
+        for _ in range(count):
+            y = next(near)
+            best = np.argsort(-y, axis=1, kind="stable")[:, :wide]
+            found = (found[:, :, None] * total + best[:, None]).reshape(len(y), -1)
+            worth = (worth[:, :, None] + np.take_along_axis(y, best, 1)[:, None]).reshape(len(y), -1)
+            if worth.shape[1] > 2 * most:
+                keep = np.argpartition(-worth, 2 * most, axis=1)[:, : 2 * most]
+                found, worth = np.take_along_axis(found, keep, 1), np.take_along_axis(worth, keep, 1)
+        out[:, t] = np.take_along_axis(found, np.argsort(-worth, axis=1, kind="stable")[:, : out.shape[2]], 1)
+    return out
+
+
+def needed(queries: np.ndarray, of: np.ndarray, near: np.ndarray, tables: int, count: int, recall: float) -> int:
+    """Probes with which the share `recall` of the pairs (query `of[i]`, vector `near[i]`) meet; more than MOST_PROBES if these do not do."""
+    ranks = np.full(len(of), MOST_PROBES + 1)
+    places = probes(queries, tables, count, MOST_PROBES)
+    buckets = codes(near, tables, count)
+    for i, q in enumerate(of.tolist()):
+        hit, at = np.nonzero(places[q] == buckets[i][:, None])
+        if len(hit):
+            ranks[i] = at.min() + 1
+    return int(np.sort(ranks)[max(0, math.ceil(recall * len(ranks)) - 1)]) if len(ranks) else 1
+
+
+def _best(k: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query, vec_id, score) the k best of each query; equal rows count once."""
+    query, ids, score = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((ids, score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    if len(query):
+        same = (query[1:] == query[:-1]) & (ids[1:] == ids[:-1]) & (score[1:] == score[:-1])
+        keep = np.concatenate([[True], ~same])
+        query, ids, score = query[keep], ids[keep], score[keep]
+    place = np.arange(len(query)) - np.searchsorted(query, query, "left")
+    return query[place < k], ids[place < k], score[place < k]
 
-    @F.pandas_udf("array<long>")
-    def coded(vectors: pd.Series) -> pd.Series:
-        out: list = [None] * len(vectors)
-        lengths = vectors.map(len).to_numpy()
-        for dims in np.unique(lengths):
-            at = np.flatnonzero(lengths == dims)
-            found = axes(np.stack(vectors.iloc[at].tolist()).astype(np.float64), tables, probes) + (int(dims) << 32)
-            for i, codes in zip(at, found):
-                out[i] = codes
-        return pd.Series(out)
 
-    return coded(embedding)
-
-
-def _blocks(k: int):
-    """mapInPandas function: rows (code, piece, side, vec_id, embedding), sorted; the k nearest of each chunk to each of its queries."""
-
-    def nearest(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        side, ids = rows["side"].to_numpy(), rows["vec_id"].to_numpy()
-        cut = int(np.searchsorted(side, 1))  # queries first
-        if cut in (0, len(rows)):
-            return
-        vectors = rows["embedding"].tolist()
-        rest = np.stack(vectors[cut:]).astype(np.float64)
-        rest_ids = ids[cut:]
-        step = max(1, (1 << 22) // rest.size)
-        for low in range(0, cut, step):
-            queries = np.stack(vectors[low : min(cut, low + step)]).astype(np.float64)
-            score = np.sqrt(((queries[:, None, :] - rest[None]) ** 2).sum(axis=2))
-            for key, s in zip(ids[low:], score):
-                least = np.partition(s, k - 1)[k - 1] if len(s) > k else np.inf
-                at = np.flatnonzero(s <= least)
-                at = at[np.lexsort((rest_ids[at], s[at]))[:k]]
-                yield pd.DataFrame({"query_key": key, "vec_id": rest_ids[at], "score": s[at]})
+def _scan(shared, k: int):
+    """mapInPandas function: rows (vec_id, embedding, codes) of one length; the k best for each query of a task.
+
+    `shared`: query ids, vectors, and for each table the sorted probed buckets with their queries; None: all rows meet all.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        own, vectors, tables = shared.value
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for batch in batches:
-            new = (batch["code"].ne(batch["code"].shift()) | batch["piece"].ne(batch["piece"].shift())).to_numpy()
-            new[0] = bool(held) and (held[-1]["code"].iloc[-1] != batch["code"].iloc[0] or held[-1]["piece"].iloc[-1] != batch["piece"].iloc[0])
-            edges = [0, *np.flatnonzero(new).tolist(), len(batch)]
-            for a, b in zip(edges[:-1], edges[1:]):
-                if a or new[0]:
-                    if held:
-                        yield from merged(nearest(pd.concat(held, ignore_index=True)))
-                    held = []
-                if b > a:
-                    held.append(batch.iloc[a:b])
-        if held:
-            yield from merged(nearest(pd.concat(held, ignore_index=True)))
-
-    def merged(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if found := list(parts):
-            yield pd.concat(found, ignore_index=True)
+            ids, rows = batch["vec_id"].to_numpy(), np.stack(batch["embedding"].tolist()).astype(np.float64)
+            buckets = None if tables is None else np.stack(batch["codes"].tolist())
+            step = max(1, BLOCK_NUMBERS // max(1, len(own)))
+            for low in range(0, len(ids), step):
+                here = slice(low, low + step)
+                if buckets is None:
+                    met = np.ones((len(ids[here]), len(own)), bool)
+                else:
+                    met = np.zeros((len(ids[here]), len(own)), bool)
+                    for t, (probed, of) in enumerate(tables):
+                        a, b = np.searchsorted(probed, buckets[here, t], "left"), np.searchsorted(probed, buckets[here, t], "right")
+                        n = b - a
+                        row = np.repeat(np.arange(len(n)), n)
+                        met[row, of[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)]] = True
+                met &= ids[here][:, None] != own[None]
+                row, query = np.nonzero(met)
+                for at in range(0, len(row), PAIRS):
+                    r, q = row[at : at + PAIRS] + low, query[at : at + PAIRS]
+                    held.append(_best(k, [(q, ids[r], np.sqrt(((vectors[q] - rows[r]) ** 2).sum(axis=1)))]))
+                if len(held) > 64:
+                    held = [_best(k, held)]
+        query, ids, score = _best(k, held)
+        if len(query):
+            yield pd.DataFrame({"query": query, "vec_id": ids, "score": score})
 
     return run
 
 
-def _met(index: DataFrame, probes: DataFrame, sizes: DataFrame, k: int, n: int) -> DataFrame:
-    """Best of each chunk: `index` (code, vec_id, embedding) and `probes` (the same, vec_id being the query's key) under `sizes` (code, pieces)."""
-    rest = index.join(sizes, "code").select("code", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).alias("piece"), F.lit(1).alias("side"), "vec_id", "embedding")
-    asked = probes.join(sizes, "code").select("code", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.lit(0).alias("side"), "vec_id", "embedding")
-    both = rest.unionByName(asked).repartition(n, "code", "piece").sortWithinPartitions("code", "piece", "side")
-    return both.mapInPandas(_blocks(k), OUT).distinct()
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """(query, rank, vec_id, score): the best of all tasks."""
+    order = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
+    return found.distinct().withColumn("rank", order).where(F.col("rank") <= k)
+
+
+def _coded(tables: int, count: int):
+    @F.pandas_udf("array<long>")
+    def coded(column: pd.Series) -> pd.Series:
+        return pd.Series(list(codes(np.stack(column.tolist()).astype(np.float64), tables, count)))
+
+    return coded
+
 
+def _probed(tables: int, count: int, most: int):
+    @F.pandas_udf("binary")
+    def probed(column: pd.Series) -> pd.Series:
+        out: list[bytes] = []
+        for at in range(0, len(column), 64):
+            out += [x.tobytes() for x in probes(np.stack(column.iloc[at : at + 64].tolist()).astype(np.float64), tables, count, most)]
+        return pd.Series(out)
+
+    return probed
 
-def nearest(vectors: DataFrame, query: Column, k: int = 10, tables: int = TABLES, probes: int = PROBES, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+
+def nearest(vectors: DataFrame, query: Column, k: int = 10, tables: int = TABLES, recall: float = RECALL, measured: dict | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row of `vectors` (vec_id, embedding) for which `query` holds.
 
-    Score: Euclidean distance in double precision; ties go to the smaller vec_id. Rows with a null vec_id, or whose
-    vector is null, empty, zero or holds null or non-finite components, take no part; vectors of other lengths are
-    not compared. Rows equal in id and vector count once. Of equal vectors only the k + 1 smallest ids can be among
-    anyone's k nearest, so only these are indexed; equal queries are searched once. A query that finds fewer than
-    k is searched in all rows, in chunks, so it gets k wherever there are as many.
+    Score: Euclidean distance in double precision; ties go to the smaller vec_id. A row of the query's own vec_id is no
+    candidate. Rows with a null vec_id, or whose vector is null, empty, zero or holds null or non-finite components, take
+    no part; vectors of other lengths are not compared. Rows equal in id and vector count once, equal queries as well. A
+    query that finds fewer than k is searched in all rows, so it gets k wherever there are as many. An empty table gives
+    no rows. Other columns are ignored. `measured` gets, for each length, rows, hashes a table and probes (None: all rows).
     """
+    spark = vectors.sparkSession
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     good = F.col("vec_id").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    rows = vectors.where(good).select("vec_id", "embedding").distinct()
-    same = Window.partitionBy("embedding").orderBy("vec_id")
-    index = rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n")
-    index = written(index.withColumn("codes", _codes(F.col("embedding"), tables, 1)), "index")
-    members = written(rows.where(query).select(F.col("vec_id").alias("query_id"), "embedding"), "queries")
-    keys = members.groupBy("embedding").agg(F.min("query_id").alias("vec_id"))
-    n = partitions(vectors.sparkSession)
-
-    coded = index.select("vec_id", "embedding", F.explode("codes").alias("code"))
-    asked = keys.select("vec_id", "embedding", F.explode(_codes(F.col("embedding"), tables, probes)).alias("code"))
-    sizes = coded.groupBy("code").agg(F.ceil(F.count("*") / chunk_rows).cast("long").alias("pieces"))
-    first = written(_met(coded, asked, sizes, k + 1, n), "found")
-
-    # Too few candidates: the exact way, over all rows of the same length.
-    short = keys.join(first.groupBy(F.col("query_key").alias("vec_id")).agg(F.count("*").alias("n")), "vec_id", "left").where(F.coalesce("n", F.lit(0)) < k + 1)
-    dims = F.size("embedding").cast("long").alias("code")
-    everything = index.select(dims, "vec_id", "embedding")
-    all_sizes = everything.groupBy("code").agg(F.ceil(F.count("*") / chunk_rows).cast("long").alias("pieces"))
-    second = _met(everything, short.select(dims, "vec_id", "embedding"), all_sizes, k + 1, n)
-
-    found = first.unionByName(second).distinct() if not short.isEmpty() else first
-    best = found.withColumn("n", F.row_number().over(Window.partitionBy("query_key").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1).drop("n")
-    own = members.join(keys.withColumnRenamed("vec_id", "query_key"), "embedding").select("query_id", "query_key")
-    pairs = own.join(best, "query_key").where("vec_id <> query_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_key", "query_id").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = vectors.where(good).select("vec_id", "embedding", query.alias("asked"), F.size("embedding").alias("dims"))
+    lengths = [r.asDict() for r in rows.groupBy("dims").agg(F.count("*").alias("n"), F.count_if("asked").alias("queries")).where("queries > 0").orderBy("dims").collect()]
+    out = []
+    with Tables(spark) as scratch:
+        for x in lengths:
+            dims, count = x["dims"], polytopes(x["dims"], x["n"])
+
+            index = scratch.written(rows.where(F.col("dims") == dims).select("vec_id", "embedding", _coded(tables, count)("embedding").alias("codes")), "index")
+            asked = scratch.written(rows.where((F.col("dims") == dims) & F.col("asked")).select("vec_id", "embedding").distinct(), "queries")
+
+            def searched(block: list, tested: bool, index=index) -> DataFrame:
+                """Rows of `_ranked` for a block of queries (vec_id, embedding, places); by way of all rows where these are not asked for."""
+                own, points = np.array([r["vec_id"] for r in block], np.int64), np.array([r["embedding"] for r in block], np.float64)
+                held = None
+                if tested:
+                    places, held = np.stack([np.frombuffer(r["places"], np.int64).reshape(tables, -1) for r in block]), []
+                    of = np.repeat(np.arange(len(own)), places.shape[2])
+                    for t in range(tables):
+                        order = np.argsort(places[:, t].ravel(), kind="stable")
+                        held.append((places[:, t].ravel()[order], of[order]))
+                shared = spark.sparkContext.broadcast((own, points, held))
+                found = scratch.written(index.mapInPandas(_scan(shared, k), OUT), "found")
+                shared.unpersist()
+                names = spark.createDataFrame(pd.DataFrame({"query": np.arange(len(own)), "query_id": own}))
+                return _ranked(found, k).join(F.broadcast(names), "query").select("query_id", "query", "rank", "vec_id", "score")
+
+            # The number of probes, by the true neighbours of a sample.
+            some = asked.orderBy(F.xxhash64("vec_id", "embedding")).limit(SAMPLE_QUERIES).collect()
+            pairs = searched(some, False).select("query", "vec_id").collect()
+            points = {r["vec_id"]: r["embedding"] for r in index.join(F.broadcast(spark.createDataFrame([(p["vec_id"],) for p in pairs], "vec_id long").distinct()), "vec_id").select("vec_id", "embedding").collect()}
+            of, near = np.array([p["query"] for p in pairs], np.int64), np.array([points[p["vec_id"]] for p in pairs], np.float64).reshape(len(pairs), dims)
+            most = needed(np.array([r["embedding"] for r in some], np.float64), of, near, tables, count, recall)
+            most = most if most <= MOST_PROBES else None
+            if measured is not None:
+                measured[dims] = {"rows": x["n"], "hashes": count, "probes": most}
+
+            size = max(1, BLOCK_NUMBERS // (tables * (most or 1) + dims))
+            blocks = -(-x["queries"] // size)
+            for b in range(blocks):
+                block = asked.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)) == b)
+                block = (block if most is None else block.withColumn("places", _probed(tables, count, most)("embedding"))).orderBy("vec_id").collect()
+                if not block:
+                    continue
+                found = searched(block, most is not None)
+                if most is not None:
+                    full = found.groupBy("query").count().where(F.col("count") >= k).select("query").collect()
+                    if short := [block[i] for i in sorted(set(range(len(block))) - {r["query"] for r in full})]:
+                        found = found.join(F.broadcast(spark.createDataFrame(full, "query long")), "query", "left_semi").select("query_id", "rank", "vec_id", "score").unionByName(searched(short, False).select("query_id", "rank", "vec_id", "score"))
+                out.append(written(found.select("query_id", "rank", "vec_id", "score"), "nearest"))
+    if not out:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, out)
 
 
 def op1_nearest_neighbours(spark, sf_dir: str) -> DataFrame:

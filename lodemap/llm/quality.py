@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemap.llm.common import fold, python_batches, table
+from lodemap.llm.common import fold, python_batches, table, with_fields
 
 #: Rows of each kind, P and U, that a fit takes at most, in the mean of the seeded draw.
 TRAIN_ROWS = 4_000
@@ -141,16 +141,16 @@ def fit(positives: DataFrame, unlabelled: DataFrame, train_rows: int = TRAIN_ROW
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """`docs` with quality_score, the probability of label 1 by the whole text; 0 where no model could be learned.
 
-    Null and empty texts have the features of no words, and a score like any other.
+    Null and empty texts have the features of no words, and a score like any other. Rows stay as they are, repeated ones
+    too; a column of `docs` of this name is replaced.
     """
-    if model is None:
-        return docs.withColumn("quality_score", F.lit(0.0))
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(texts.tolist()), dtype="float64")
+    @F.pandas_udf("quality_score double")
+    def scored(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"quality_score": model.scores(texts.tolist()).astype("float64")})
 
-    return docs.withColumn("quality_score", scored(F.col(text)))
+    found = F.struct(F.lit(0.0).alias("quality_score")) if model is None else scored(F.col(text))
+    return with_fields(docs, found, ["quality_score"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:

@@ -221,19 +221,25 @@ def test_html_of_the_pages(spark, data):
         assert r.main_text == "\n\n".join(b for b in blocks if b)
 
 
-def test_language(spark, odd, documents):
+def test_language(spark, odd, documents, monkeypatch):
     rng = random.Random(0)
     alphabets = {"en": ["th", "er", "ing", "an"], "de": ["sch", "ung", "ei", "en"], "fr": ["eau", "que", "é", "oi"]}
     text = lambda lang, n: " ".join("".join(rng.choice(alphabets[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
     rows = [(i, text(lang, 40), lang) for i, lang in enumerate(list(alphabets) * 20)]
     profiles = language.fit(documents(rows + [(100, None, "en"), (101, "x", None), (102, "", "de")]))
-    assert list(profiles) == ["de", "en", "fr"]
+    assert sorted(r.lang for r in profiles.collect()) == ["de", "en", "fr"]
     fresh = [(i, text(lang, 15), lang) for i, lang in enumerate(list(alphabets) * 10)]
     assert all(r.lang_pred == r.lang for r in language.predict(documents(fresh), profiles).collect())
     got = language.predict(odd, profiles).collect()
     assert len(got) == odd.count() and all(0 <= r.lang_score <= 1 for r in got)
     assert all(r.lang_pred == "und" for r in got if r.doc_id in (1, 2, 3))
-    assert language.fit(odd.limit(0)) == {} and {r.lang_pred for r in language.predict(odd, {}).collect()} == {"und"}
+    none = language.fit(odd.limit(0))
+    assert none.isEmpty() and {r.lang_pred for r in language.predict(odd, none).collect()} == {"und"}
+    monkeypatch.setattr(language, "BLOCK_LANGUAGES", 1)  # in blocks: the same, however many languages
+    blocks = {r.doc_id: (r.lang_pred, r.lang_score) for r in language.predict(documents(fresh), profiles).collect()}
+    monkeypatch.undo()
+    whole = {r.doc_id: (r.lang_pred, r.lang_score) for r in language.predict(documents(fresh), profiles).collect()}
+    assert {i: p for i, (p, _) in blocks.items()} == {i: p for i, (p, _) in whole.items()} and all(abs(blocks[i][1] - s) < 1e-5 for i, (_, s) in whole.items())
 
 
 def test_bundles_are_sums_of_bound_letters():
@@ -275,3 +281,98 @@ def test_prior_is_near_the_share_of_positives():
     p = rng.normal(2, 1, (2000, 3))
     u = np.concatenate([rng.normal(2, 1, (1400, 3)), rng.normal(-2, 1, (600, 3))])
     assert abs(quality.estimate_prior(p, u[rng.permutation(2000)]) - 0.7) < 0.1
+
+
+def slow_overlaps(text, items):
+    """Every diagonal with a window that some mask keeps whole, all stretches of it: {item: (most matches, first place)}."""
+    words, found = decontaminate.tokens(text), {}
+    for i, item in items:
+        w = decontaminate.tokens(item)
+        masks = [[k for k, c in enumerate(m) if c == "1"] for m in decontaminate.MASKS] + ([list(range(len(w)))] if 0 < len(w) < 11 else [])
+        spans = [len(m) for m in decontaminate.MASKS] + ([len(w)] if 0 < len(w) < 11 else [])
+        shifts = {a - b for mask, span in zip(masks, spans) for a in range(len(words) - span + 1) for b in range(len(w) - span + 1) if all(words[a + o] == w[b + o] for o in mask)}
+        for s in shifts:
+            same = [0 <= b + s < len(words) and words[b + s] == w[b] for b in range(len(w))]
+            cells = [b for b in range(len(w)) if 0 <= b + s < len(words)]
+            least = min(13, -(-8 * len(w) // 10))
+            good = [(4 * m - 3 * (e - b), -b, m) for b in cells for e in range(b + 1, cells[-1] + 2) if same[b] and same[e - 1] and (m := sum(same[b:e])) >= least and 5 * m >= 4 * (e - b)]
+            if good:
+                top = max(g[0] for g in good)
+                found.setdefault(i, []).append({(m, -b + s) for g, b, m in good if g == top})
+    return found
+
+
+def test_overlaps_equal_brute_force(spark, documents):
+    rng = random.Random(6)
+    letters = "abcdefghijklmn"
+    items = [(k, " ".join(rng.choice(letters[: 3 + k]) for _ in range(rng.randrange(5, 30)))) for k in range(8)]
+    docs = []
+    for k in range(25):
+        words = [rng.choice(letters) for _ in range(30)]
+        part = rng.choice(items)[1].split()
+        words[10:10] = [w if rng.random() > 0.1 else "zz" for w in part]
+        docs.append((k, " ".join(words)))
+    got = {}
+    for r in decontaminate.overlaps(documents(docs), spark.createDataFrame(items, "item_id long, text string")).collect():
+        got[r.doc_id, r.item_id] = (r.n_matches, r.doc_start)
+    for k, text in docs:
+        want = slow_overlaps(text, items)
+        assert {i for d, i in got if d == k} == set(want)
+        for i, cells in want.items():
+            assert any(got[k, i] in c for c in cells) and got[k, i][0] >= max(min(m for m, _ in c) for c in cells)
+
+
+def test_texts_of_equal_words_take_no_time():
+    import time
+
+    began = time.process_time()
+    for words, item, n in (("same " * 20_000, "same " * 300, 300), ("a b c " * 7_000, "a b c " * 100, 300), ("same " * 12, "same " * 300, 0)):
+        got = decontaminate.Index([(1, item)]).overlaps([words])[0]
+        assert got == ([(1, 0, 0, n, n, n)] if n else [])
+    assert time.process_time() - began < 5
+
+
+def test_unclosed_and_stray_tags_take_no_time():
+    import time
+
+    began = time.process_time()
+    assert html_text.main_text("<b>x" * 12_000 + "</i>y" * 12_000).startswith("xxx")
+    assert html_text.main_text("<b>x" * 12_000 + "<div>y</div>" * 12_000)
+    assert time.process_time() - began < 5
+
+
+LINE = "A sentence of the article, which has commas, and goes on for a while so that it counts as text of its own."
+NAV = '<ul class="menu"><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul>'
+VARIED = [
+    (f'<div id="extra"><article><p>{LINE}</p></article></div>', [LINE]),
+    (f'<div class="page">{NAV}<div class="post-text"><h1 class="post-header">Head</h1><p>{LINE}</p><p>{LINE}</p></div></div>', ["Head", LINE, LINE]),
+    (f"<div><section><h2>A</h2><p>{LINE}</p><p>{LINE}</p></section><section><h2>B</h2><p>tiny tail.</p></section></div>", ["A", LINE, LINE, "B", "tiny tail."]),
+    (f'<div class="related"><p>{LINE}</p><p>{LINE}</p></div>', [LINE, LINE]),
+    (f'<table><tr><td>{NAV}</td><td><p>{LINE}</p><p>{LINE}</p></td></tr></table>', [LINE, LINE]),
+    (f'{NAV}<div><p>{LINE}</p><blockquote>{LINE}</blockquote></div><div class="sidebar"><p>Other, other.</p></div>', [LINE, LINE]),
+    (f'<div><p>{LINE}</p><ul><li>One point</li><li>Two points</li></ul><p>{LINE}</p></div><div id="footer"><p>Imprint</p></div>', [LINE, "One point", "Two points", LINE]),
+    (f'<div><p>{LINE}</p><pre>code  here</pre><p>{LINE}</p></div><div class="cookie-notice"><p>We, too, use cookies</p></div>', [LINE, "code here", LINE]),
+    (f'<main><p>{LINE}</p></main><div class="comments"><p>{LINE}</p></div>', [LINE]),
+    (f'<div class="tags"><h3 id="notice">Legend</h3><p>{LINE}</p><p>a&amp;b &lt;c&gt;</p></div><form><p>Mail, us, now</p></form>', ["Legend", LINE, "a&b <c>"]),
+]
+
+
+@pytest.mark.parametrize("page, want", VARIED)
+def test_pages_of_many_kinds(page, want):
+    assert html_text.main_text(f"<html><body>{page}</body></html>") == "\n\n".join(want)
+
+
+@pytest.mark.parametrize("add, names", [
+    (lambda df, data: html_text.extract(df.withColumnRenamed("text", "html")), ["main_text"]),
+    (lambda df, data: quality.score(df, None), ["quality_score"]),
+    (lambda df, data: decontaminate.flagged(df, df.selectExpr("doc_id AS item_id", "text").limit(0)), ["contaminated"]),
+    (lambda df, data: bpe.encode_decode(df, public_tokenizers.path(bpe.RANKS)), ["ids", "decoded"]),
+    (lambda df, data: language.predict(df, language.fit(df)), ["lang_pred", "lang_score"]),
+])
+def test_columns_of_results_replace_those_of_the_same_name(spark, documents, data, add, names):
+    df = documents([(1, "some text here"), (2, None)], extra=False)
+    for n in names:
+        df = df.withColumn(n.upper(), F.lit("own"))
+    got = add(df, data)
+    assert [c for c in got.columns if c.lower() in names] == names and got.count() == 2
+    assert not any("own" == r[n] for r in got.collect() for n in names)
