@@ -330,7 +330,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, trie_row
 #: Seeds of the word-set fingerprints that bring similar texts together; any one within the budget will do.
 VIEWS = 4
 #: Partners that a text is compared with at first, in each task of shared shingles; later rounds take more.
-MOST = 4
+MOST = 16
 #: Shingles of at least so many texts are put last in a text's order, up to so many shingles, the most frequent ones.
 #: Which ones these are changes what a join costs, never what it finds.
 HOT_TEXTS = 4
@@ -465,46 +465,56 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     texts = docs.select(row_key().alias("row_key"), "doc_id", "text")
     hot = spark.sparkContext.broadcast(_hot(texts, shingle))
     with Tables(spark) as tables:
-        marked = tables.written(texts.select("row_key", "doc_id", marks(F.col("text"), shingle, similarity, hot).alias("m")).select("row_key", "doc_id", "m.*"), "marks")
-        # Copies first: one node for each word sequence, its number fixed as it is written. Its text is that of `row_key`.
+        marked = texts.select("row_key", "doc_id", marks(F.col("text"), shingle, similarity, hot).alias("m"))
+        marked = tables.written(marked.select(F.monotonically_increasing_id().alias("id"), "row_key", "doc_id", "m.*"), "marks")
+        # Copies first: one node for each word sequence, numbered as one of its rows, whose number is fixed as it is written.
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
-        nodes = marked.groupBy("same").agg(first, F.first("n").alias("n"), F.first("views").alias("views"), F.first("prefix").alias("prefix"))
-        nodes = tables.written(nodes.select(F.monotonically_increasing_id().alias("id"), "same", "first", "n", "views", "prefix"), "nodes")
+        nodes = tables.written(marked.groupBy("same").agg(F.min("id").alias("id"), first, F.count("*").alias("rows")), "nodes")
+        copies = tables.written(marked.select("same", "id").join(nodes.where("rows > 1").select("same", F.col("id").alias("node")), "same").where("id <> node").select("id"), "copies")
+        points = marked.join(_small(copies), "id", "left_anti").where("n > 0")
         # Texts of one fingerprint are compared with the first of them, which alone takes part in the tries.
-        views = nodes.where("n > 0").select("id", F.posexplode("views").alias("view", "fp"))
+        views = points.select("id", F.posexplode("views").alias("view", "fp"))
         firsts = tables.written(views.groupBy("view", "fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "firsts")
-        tied = views.join(firsts.where("n > 1"), ["view", "fp"]).where("id > rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        tied = views.join(_small(tables.written(firsts.where("n > 1").select("view", "fp", "rep"), "tied")), ["view", "fp"]).where("id > rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
         found = hamming_links(firsts.select(F.col("rep").alias("id"), "view", "fp"), 3, most=1)
         tried = tables.written(found.select("a", "b").union(tied).distinct(), "candidates")
-        links = tables.written(_similar(tried, nodes, texts, shingle, similarity, tables), "similar")
+        links = tables.written(_similar(tried, points, texts, shingle, similarity, tables), "similar")
         stars = components(links)
         # What the tries did not bring together: every pair of texts of two groups that may be similar, in rounds that
         # compare each text with more and more others, for links join groups and spare the rest of their pairs.
-        shared = _shared(nodes, tables)
+        shared = _shared(points, tables)
         most, more = MOST, True
         while more:
             met = tables.written(_meetings(shared, stars, similarity, most, tables).groupBy("a", "b").agg(F.max("more").alias("more")), "candidates")
             fresh = tables.written(met.select("a", "b").join(tried, ["a", "b"], "left_anti"), "fresh")
             tried = tried.unionByName(fresh)
-            new = tables.written(_similar(fresh, nodes, texts, shingle, similarity, tables), "similar")
+            new = tables.written(_similar(fresh, points, texts, shingle, similarity, tables), "similar")
             more = not met.where("more").isEmpty()
             if not new.isEmpty():
                 links = links.unionByName(new)
                 stars = components(links)
             most *= 16
-        linked = nodes.select("id", "first").join(stars.withColumnRenamed("node", "id"), "id")
+        linked = nodes.select("id", "first").join(_small(stars.withColumnRenamed("node", "id")), "id")
         lowest = tables.written(linked.groupBy("component").agg(F.min("first").alias("lowest")), "lowest")
-        moved = tables.written(linked.join(lowest, "component").select("id", "lowest"), "moved")
-        of = tables.written(nodes.select("id", "same", "first").join(moved, "id", "left").select("same", F.coalesce("lowest", "first").alias("lowest")), "names")
+        moved = tables.written(linked.join(_small(lowest), "component").select("id", "lowest"), "moved")
+        of = tables.written(nodes.join(_small(moved), "id", "left").select("same", F.coalesce("lowest", "first").alias("lowest")), "names")
         final = marked.groupBy("row_key", "same").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")).join(of, "same")
         return written(final.select("row_key", "doc_id", "rows", F.col("lowest.doc_id").alias("kept"), (F.col("row_key") == F.col("lowest.row_key")).alias("stays")), "groups")
 
 
-def _shared(nodes: DataFrame, tables: Tables) -> DataFrame:
-    """(h, id, n, pos): the shingles in the prefixes of nodes (id, n, prefix) that are in those of others, too."""
-    rows = nodes.where("n > 0").select("id", "n", F.posexplode("prefix").alias("pos", "h"))
+def _small(table: DataFrame) -> DataFrame:
+    """A written table of numbers and keys, broadcast where it has BROADCAST_EDGES rows at most."""
+    return F.broadcast(table) if table.count() <= BROADCAST_EDGES else table
+
+
+def _shared(points: DataFrame, tables: Tables) -> DataFrame:
+    """(h, id, n, pos, rows): the shingles in the prefixes of texts (id, n, prefix) that are in those of others, too, and in how many.
+
+    n and pos cross the exchange as one number.
+    """
+    rows = points.select("id", F.col("n").cast("long").alias("n"), F.posexplode("prefix").alias("pos", "h")).select("h", "id", F.expr("shiftleft(n, 32) | pos").alias("size"))
     alike = rows.withColumn("rows", F.count("*").over(Window.partitionBy("h"))).where("rows > 1")
-    return tables.written(alike.select("h", "id", "n", "pos"), "shared")
+    return tables.written(alike.select("h", "id", F.expr("shiftright(size, 32)").cast("int").alias("n"), F.expr("size & 4294967295").cast("int").alias("pos"), F.col("rows").cast("int").alias("rows")), "shared")
 
 
 def _meetings(shared: DataFrame, stars: DataFrame, similarity: float, most: int, tables: Tables) -> DataFrame:
@@ -515,20 +525,21 @@ def _meetings(shared: DataFrame, stars: DataFrame, similarity: float, most: int,
     pieces of its own, which meet the others' pieces alone, so copies of one text make tasks in proportion to their number.
     """
     names = stars.select(F.col("node").alias("id"), "component")
-    rows = shared.join(names, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    groups = rows.groupBy("h", "component").agg(F.count("*").alias("n"))
-    sizes = groups.groupBy("h").agg(F.sum("n").alias("rows"), F.max("n").alias("top"), F.max_by("component", "n").alias("largest"), F.count("*").alias("groups")).where("groups > 1")
-    pieces = lambda n: F.ceil(n * 2 / BUCKET_ROWS).cast("int")
-    many = F.col("rows") > BUCKET_ROWS
-    sizes = sizes.select("h", "largest", F.when(many, pieces(F.col("rows") - F.col("top"))).otherwise(1).alias("others"), F.when(many, pieces(F.col("top"))).otherwise(0).alias("own"))
-    sizes = tables.written(sizes, "sizes")
-    rows = rows.join(sizes, "h")
-    large = (F.col("component") == F.col("largest")) & (F.col("own") > 0)
-    rows = rows.withColumn("side", F.when(large, F.col("others") + F.pmod(F.hash("id"), F.greatest("own", F.lit(1)))).otherwise(F.pmod(F.hash("id"), F.col("others"))))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") + F.when(large, F.lit(0)).otherwise(F.col("own")) - 1)))
-    task = F.xxhash64("h", F.least("side", "other"), F.greatest("side", "other"))
-    rows = rows.select(task.alias("task"), "h", "side", (F.col("side") == F.col("other")).alias("within"), "id", "n", "pos", "component")
-    dealt = rows.repartition(partitions(shared.sparkSession), "task").sortWithinPartitions("task")
+    rows = shared.join(_small(names), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    one = F.lit(0)
+    dealt = rows.where(F.col("rows") <= BUCKET_ROWS).select(F.col("h").alias("task"), "h", one.alias("side"), F.lit(True).alias("within"), "id", "n", "pos", "component")
+    many = rows.where(F.col("rows") > BUCKET_ROWS)
+    if not shared.where(F.col("rows") > BUCKET_ROWS).isEmpty():
+        groups = many.groupBy("h", "component").agg(F.count("*").alias("size"))
+        sizes = groups.groupBy("h").agg(F.sum("size").alias("all"), F.max("size").alias("top"), F.max_by("component", "size").alias("largest"), F.count("*").alias("groups")).where("groups > 1")
+        pieces = lambda x: F.ceil(x * 2 / BUCKET_ROWS).cast("int")
+        sizes = _small(tables.written(sizes.select("h", "largest", pieces(F.col("all") - F.col("top")).alias("others"), pieces(F.col("top")).alias("own")), "sizes"))
+        large = F.col("component") == F.col("largest")
+        many = many.join(sizes, "h").withColumn("side", F.when(large, F.col("others") + F.pmod(F.hash("id"), F.col("own"))).otherwise(F.pmod(F.hash("id"), F.col("others"))))
+        many = many.withColumn("other", F.explode(F.sequence(one, F.col("others") + F.when(large, one).otherwise(F.col("own")) - 1)))
+        task = F.xxhash64("h", F.least("side", "other"), F.greatest("side", "other"))
+        dealt = dealt.unionByName(many.select(task.alias("task"), "h", "side", (F.col("side") == F.col("other")).alias("within"), "id", "n", "pos", "component"))
+    dealt = dealt.repartition(partitions(shared.sparkSession), "task").sortWithinPartitions("task")
     return dealt.mapInPandas(_met(similarity, most), "a long, b long, more boolean")
 
 
@@ -584,12 +595,19 @@ def _met(similarity: float, most: int):
     return run
 
 
-def _similar(candidates: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, tables: Tables) -> DataFrame:
-    """The candidates (a, b) whose texts' shingles have the Jaccard similarity; only those whose sizes allow it are looked at."""
-    of = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"))
-    likely = candidates.join(of("a"), "a").join(of("b"), "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
+def _similar(candidates: DataFrame, points: DataFrame, texts: DataFrame, shingle: int, similarity: float, tables: Tables) -> DataFrame:
+    """The candidates (a, b) whose texts' shingles have the Jaccard similarity.
+
+    Only those are read again whose sizes and prefixes allow it: what two texts have in common is in both prefixes, or
+    among the rest of one of them, so no similar pair is passed over.
+    """
+    ends = lambda pairs: pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    own = points.join(_small(tables.written(ends(candidates), "ends")), "id", "left_semi").select("id", "n", "prefix")
+    of = lambda x: own.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"p_{x}"))
+    rest = F.greatest(F.col("n_a") - F.size("p_a"), F.col("n_b") - F.size("p_b"))
+    likely = candidates.join(of("b"), "b").join(of("a"), "a").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
+    likely = likely.where(F.size(F.array_intersect("p_a", "p_b")) + rest >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6)
     likely = tables.written(likely.select("a", "b"), "likely")
-    ends = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
 
     @F.pandas_udf("binary")
     def packed(column: pd.Series) -> pd.Series:
@@ -604,9 +622,10 @@ def _similar(candidates: DataFrame, nodes: DataFrame, texts: DataFrame, shingle:
             out.append(both / max(1, len(a) + len(b) - both))
         return pd.Series(out)
 
-    keys = tables.written(nodes.select("id", F.col("first.row_key").alias("row_key")).join(ends, "id"), "ends")
-    sets = texts.join(keys, "row_key").select("id", packed(F.col("text")).alias("s"))
-    sets = tables.written(sets.groupBy("id").agg(F.max("s").alias("s")), "shingles")  # repeated rows are one text
+    keys = tables.written(points.select("id", "row_key").join(_small(tables.written(ends(likely), "ends")), "id", "left_semi"), "keys")
+    sets = tables.written(texts.join(_small(keys), "row_key").select("id", packed(F.col("text")).alias("s")), "shingles")
+    if sets.count() > keys.count():  # rows equal in id and text are one text
+        sets = tables.written(sets.groupBy("id").agg(F.max("s").alias("s")), "shingles")
     pairs = likely.join(sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a")
     return pairs.where(jaccard("s_a", "s_b") >= similarity).select("a", "b")
 

@@ -188,7 +188,7 @@ def test_meetings_of_a_large_group_with_others(spark, monkeypatch):
     from lodemap.llm.common import Tables
 
     monkeypatch.setattr(simhash, "BUCKET_ROWS", 8)
-    shared = spark.createDataFrame([(7, i, 10, 0) for i in range(60)], "h long, id long, n int, pos int")
+    shared = spark.createDataFrame([(7, i, 10, 0, 60) for i in range(60)], "h long, id long, n int, pos int, rows int")
     stars = spark.createDataFrame([(i, 0) for i in range(40)], "node long, component long")
     with Tables(spark) as tables:
         got = {(r.a, r.b) for r in simhash._meetings(shared, stars, 0.8, 1 << 40, tables).collect()}
