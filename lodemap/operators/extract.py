@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodemap.functions import identity, urls
@@ -52,9 +52,9 @@ RULES = [
     Rule("request", "go", r"\bhttp\.NewRequest\(\s*\x22(\w+)\x22\s*,\s*" + _QUOTED, {"method": 1, "url": 2}),
     Rule("import", "java", r"^\s*import\s+(?:static\s+)?([\w.]+)\s*;", {"name": 1}),
     Rule("class", "java", r"\b(?:class|interface|record|enum)\s+(\w+)", {"name": 1}),
-    Rule("function", "java", r"^\s*(?:public|protected|private)\s+(?:static\s+)?[\w<>\[\], ?]+\s+(\w+)\s*\([^;]*$", {"name": 1}),
-    Rule("base", "java", r"@RequestMapping\(\s*(?:value\s*=\s*)?" + _QUOTED, {"url": 1}),
-    Rule("route", "java", r"@(Get|Post|Put|Patch|Delete)Mapping(?:\(\s*(?:value\s*=\s*)?" + _QUOTED + ")?", {"method": 1, "url": 2}),
+    Rule("function", "java", r"^\s*(?:@\w+\s+)*(?:(?:public|protected|private|static|final|synchronized|default)\s+)*(?!return\b|new\b|else\b|throw\b|case\b)[\w.]+(?:<[^(){}]*>)?(?:\[\])*\s+(?!if\b|for\b|while\b|switch\b|catch\b)(\w+)\s*\(([^)]*)\)?[^;=]*(?:\{.*|,\s*)$", {"name": 1, "detail": 2}),
+    Rule("base", "java", r"^@RequestMapping\(\s*(?:(?:value|path)\s*=\s*)?\{?\s*" + _QUOTED, {"url": 1}),
+    Rule("route", "java", r"@(Get|Post|Put|Patch|Delete)Mapping\b(?:\(\s*(?:(?:value|path)\s*=\s*)?\{?\s*" + _QUOTED + ")?", {"method": 1, "url": 2}),
     Rule("request", "java", r"\.(get|post)For(?:Object|Entity)\(\s*" + _QUOTED, {"method": 1, "url": 2}),
     Rule("page", "java", r"@Route\(\s*" + _QUOTED, {"url": 1}),
     Rule("consume", "java", r"@KafkaListener\(.*?topics\s*=\s*\{?\s*" + _QUOTED, {"name": 1, "detail": "kafka"}),
@@ -122,22 +122,58 @@ def _facts(rule: Rule, line: Column) -> Column:
     return F.when(fits, F.struct(F.lit(rule.kind).alias("kind"), *map(value, FIELDS)))
 
 
+def _scoped(hits: DataFrame) -> DataFrame:
+    """Facts with their place in a file: `owner` that encloses them, the base path of their class, the function that follows.
+
+    Lines of one file are looked at in order; a file is one task's at most. In Python the owner of an indented line is the
+    last declaration at the margin; in Java it is the last class.
+    """
+    before = Window.partitionBy("repo", "path").orderBy("line", "order").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("repo", "path").orderBy("line", "order").rowsBetween(1, Window.unboundedFollowing)
+    kind, java = F.col("f.kind"), F.col("suffix") == "java"
+    declares = ((F.col("suffix") == "py") & (F.col("indent") == 0) & kind.isin("class", "function")) | (java & (kind == "class"))
+    rows = hits.withColumn("owner", F.last(F.when(declares, F.col("f.name")), True).over(before))
+    rows = rows.withColumn("owner", F.when(java | ((F.col("suffix") == "py") & (F.col("indent") > 0)), F.col("owner")))
+    # An annotation at the margin is that of the class that follows.
+    classes = F.count(F.when(kind == "class", 1)).over(before.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("class", classes + F.when(kind == "base", 1).otherwise(0))
+    rows = rows.withColumn("base", F.max(F.when(kind == "base", F.col("f.url"))).over(Window.partitionBy("repo", "path", "class")))
+    return rows.withColumn("next", F.first(F.when(kind == "function", F.struct("f.name", "f.detail")), True).over(after))
+
+
+def _types(parameters: Column) -> Column:
+    """The types of a Java parameter list, as an overload's id has them."""
+    each = F.split(F.regexp_replace(parameters, r"<[^>]*>|@\w+(?:\s*\([^)]*\))?|\bfinal\s", ""), r"\s*,\s*")
+    return F.array_join(F.filter(F.transform(each, lambda p: F.regexp_extract(F.trim(p), r"^([\w.\[\]]+)", 1)), lambda p: p != ""), ",")
+
+
 def facts(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """(repo, path, file_id, line, kind, method, name, url, path_form, system, detail, scope) of files (repo, path, content).
+    """(repo, path, file_id, line, kind, method, name, url, path_form, system, detail, scope, member, handler) of files (repo, path, content).
 
     line counts from 1; path_form is the normal form of url; url has no user names, passwords or query; system is
-    its host and port. scope tells tests from what runs. Null contents have no facts.
+    its host and port. scope tells tests from what runs. member is the name of a class or function within its file: that
+    of its owner before it, and the types of its parameters after it in Java. handler is the member that a route's
+    annotation or decorator stands before. A Spring route has its class's base path before its own. Null contents have no facts.
     """
     suffix = F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)
     test = F.col("path").rlike(r"(?:^|/)(?:tests?|__tests__)/|(?:^|/)test_[^/]*$|_test\.go$|\.(?:test|spec)\.[jt]sx?$|Test\.java$")
     rows = files.select("repo", "path", suffix.alias("suffix"), F.when(test, "test").otherwise("runtime").alias("scope"), "content")
     # A URL's slashes begin no comment: they stand in strings, which the mask keeps.
     lines = rows.select("repo", "path", "suffix", "scope", F.posexplode(F.split(_masked("content", "suffix"), "\r?\n")).alias("at", "text"))
-    hits = lines.select("repo", "path", "scope", (F.col("at") + 1).alias("line"), F.explode(F.array_compact(F.array(*[_facts(r, F.col("text")) for r in rules]))).alias("f"))
-    rows = hits.select("repo", "path", "line", "scope", "f.*")
+    indent = F.length(F.regexp_extract("text", r"^([\t ]*)", 1)).alias("indent")
+    hits = lines.select("repo", "path", "suffix", "scope", (F.col("at") + 1).alias("line"), indent, F.posexplode(F.array_compact(F.array(*[_facts(r, F.col("text")) for r in rules]))).alias("order", "f"))
+    rows = _scoped(hits).select("repo", "path", "suffix", "line", "scope", "owner", "base", "next", "f.*")
+    java = F.col("suffix") == "java"
+    spring = java & (F.col("kind") == "route")
+    joined = F.regexp_replace(F.concat_ws("/", F.regexp_replace("base", "/$", ""), F.regexp_replace("url", "^/", "")), "^(?!/)", "/")
+    rows = rows.withColumn("url", F.when(spring, joined).otherwise(F.col("url")))
+    named = lambda name, detail: F.concat(F.concat_ws(".", "owner", name), F.when(java, F.concat(F.lit("("), _types(F.coalesce(detail, F.lit(""))), F.lit(")"))).otherwise(""))
+    member = F.when(F.col("kind") == "function", named("name", F.col("detail"))).when(F.col("kind") == "class", F.col("name"))
+    handler = F.when((F.col("kind") == "route") & F.col("suffix").isin("py", "java") & F.col("next").isNotNull(), named(F.col("next.name"), F.col("next.detail")))
     return rows.select(
         "repo", "path", identity.file_id(F.col("repo"), F.col("path")).alias("file_id"), "line", "kind", "method", "name",
-        urls.sanitize_url(F.col("url")).alias("url"), urls.normalize_url(F.col("url")).alias("path_form"), F.coalesce(urls.system(F.col("url")), F.lit("")).alias("system"), "detail", "scope")
+        urls.sanitize_url(F.col("url")).alias("url"), urls.normalize_url(F.col("url")).alias("path_form"), F.coalesce(urls.system(F.col("url")), F.lit("")).alias("system"), "detail", "scope", member.alias("member"),
+        F.coalesce(handler, F.when((F.col("kind") == "route") & ~F.col("suffix").isin("py", "java"), F.col("name"))).alias("handler"))
 
 
 def app_routes(files: DataFrame, handlers: DataFrame) -> DataFrame:

@@ -17,17 +17,17 @@ def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     facts = extract.facts(files)
     live = facts.where("scope = 'runtime'")
     app = extract.app_routes(files, live)
-    routes = live.where("kind = 'route' and path_form is not null").select("repo", "path", "method", "path_form").unionByName(app.select("repo", "path", "method", "path_form"))
+    routes = live.where("kind = 'route' and path_form is not null").select("repo", "path", "method", "path_form", "handler").unionByName(app.select("repo", "path", "method", "path_form", F.col("method").alias("handler")))
     routes = routes.withColumn("id", identity.route_id(F.col("repo"), F.col("method"), F.col("path_form")))
     requests = live.where("kind = 'request'").withColumn("id", F.concat("file_id", F.lit("::request:"), F.col("line").cast("string")))
-    members = live.where("kind in ('class', 'function')").withColumn("id", identity.member_id(F.col("file_id"), F.col("name")))
+    members = live.where("kind in ('class', 'function')").withColumn("id", identity.member_id(F.col("file_id"), F.col("member")))
     node = lambda df, label, id_, name: df.select(id_.alias("id"), F.lit(label).alias("label"), name.alias("name"), "repo")
     paths = files.select("repo", "path", identity.file_id(F.col("repo"), F.col("path")).alias("id"))
     nodes = (
         node(files.select("repo").distinct(), "Repository", F.col("repo"), F.col("repo"))
         .unionByName(node(paths, "CodeFile", F.col("id"), F.col("path")))
-        .unionByName(node(members.where("kind = 'class'"), "Class", F.col("id"), F.col("name")))
-        .unionByName(node(members.where("kind = 'function'"), "Function", F.col("id"), F.col("name")))
+        .unionByName(node(members.where("kind = 'class'"), "Class", F.col("id"), F.col("member")))
+        .unionByName(node(members.where("kind = 'function'"), "Function", F.col("id"), F.col("member")))
         .unionByName(node(requests, "APIEndpoint", F.col("id"), F.concat_ws(" ", "method", "path_form")))
         .unionByName(node(routes, "BackendRoute", F.col("id"), F.concat_ws(" ", "method", "path_form")))
         .distinct()
@@ -41,6 +41,9 @@ def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         .unionByName(edge(routes, F.col("repo"), F.col("id"), "CONTAINS"))
         .unionByName(edge(routes, F.col("id"), file, "DECLARED_IN"))
     )
+    # A handler is a function of the route's own file; a name that no function there has links nothing.
+    functions = members.where("kind = 'function'").select("repo", "path", F.col("member").alias("handler"), F.col("id").alias("function_id")).distinct()
+    edges = edges.unionByName(edge(routes.join(functions, ["repo", "path", "handler"]), F.col("id"), F.col("function_id"), "HANDLED_BY"))
     found = stitch.exact(
         requests.select(F.col("id").alias("request_id"), "method", F.col("path_form").alias("path")), routes.select(F.col("id").alias("route_id"), "method", F.col("path_form").alias("path")).distinct())
     links = found.join(requests.select(F.col("id").alias("request_id"), "repo"), "request_id").select(F.col("request_id").alias("src"), F.col("route_id").alias("dst"), F.lit("TARGETS_ROUTE").alias("type"), "trust_status", "repo")

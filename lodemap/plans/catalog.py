@@ -256,13 +256,16 @@ def referencing_files(spark, d: str) -> DataFrame:
     return sync.referencing(references, t.read(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("identifier")))
 
 
-_HIT = {k: f"regexp_matches(text, '{p}')" + (f" AND NOT regexp_matches(text, '{secrets.PLACEHOLDER}')" if k == "assigned" else "") for k, p in secrets.SECRETS}
+_VALUE, _NAME = (f"regexp_extract(m, '{secrets.ASSIGNMENT}', {k})" for k in (2, 1))
+_SECRET = f"regexp_matches(lower({_NAME}), '{secrets.NAMES}') AND length({_VALUE}) >= {secrets.LEAST} AND len(list_distinct(string_split({_VALUE}, ''))) >= {secrets.VARIED} AND NOT regexp_matches(lower({_VALUE}), '{secrets.STAND_IN}')"
+_HIT = {k: f"regexp_matches(text, '{p}')" for k, p in secrets.FORMATS} | {
+    "assigned": f"len(list_filter(regexp_extract_all(text, '{secrets.ASSIGNMENT}', 0), lambda m : {_SECRET})) > 0"}
 
 
 @query(" UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind FROM documents WHERE {hit}" for k, hit in _HIT.items()))
 def secret_audit(spark, d: str) -> DataFrame:
     docs = t.read(spark, d, "documents").select("doc_id", "text")
-    kinds = F.array(*[F.when(secrets.found(F.col("text"), k), F.lit(k)) for k, _ in secrets.SECRETS])
+    kinds = F.array(*[F.when(secrets.found(F.col("text"), k), F.lit(k)) for k in secrets.KINDS])
     return docs.select("doc_id", F.explode(F.array_compact(kinds)).alias("kind"))
 
 

@@ -6,27 +6,44 @@ from lodemap.operators import coverage, extract, sync
 from lodemap.plans.build import build
 from lodemap.sources import repository
 
-PY = '''import httpx
-class UserService:
-    async def load(self, user_id):
-        return httpx.get(f"/api/users/{user_id}")
-@router.get('/api/users/{user_id}')
-def get_user(user_id): pass
-# httpx.get("/api/commented")
+PY = '''import requests
+class Cart:
+    def total(self): return 0
+    def send(self, key):
+        return requests.post(f"/shop/carts/{key}/orders")
+class Stock:
+    def total(self): return 1
+@app.put('/shop/items/{item}')
+def change_item(item):
+    def inner(): pass
+# requests.get("/shop/commented")
 '''
-TS = '''import axios from "axios";
-export const Users = () => { fetch(`/api/users/${id}`); };
-axios.post("/api/users?x=1", {});
-router.get('/api/users/:id', loadUser);
+TS = '''import http from "axios";
+export const Basket = () => { fetch(`/shop/items/${key}`); };
+axios.put("/shop/items?page=3", {});
+axios.put(`/shop/items/${key}`, {});
+app.delete('/shop/items/:item', dropItem);
+function dropItem() {}
 '''
 JAVA = '''/* restTemplate.getForObject("http://a.example/x") */
 import a.b.C;
-public class Job {
-  @GetMapping("/jobs/{id}")
-  public Job one(String id) { return rest.getForObject("http://localhost:1025/jobs/1", Job.class); }
+@RestController
+@RequestMapping("/depot/v2")
+public class Depot {
+  @GetMapping("/boxes/{id}")
+  public Box one(String id, final int n) { return rest.getForObject("http://localhost:1025/jobs/1", Box.class); }
+  @PostMapping
+  public Box add(@RequestBody List<Box> all) {
+    if (all == null) { return null; }
+  }
+  public Box add(Box b) { return b; }
   // kafkaTemplate.send("no")
   void go() { kafkaTemplate.send("jobs", x); }
 }
+class Plain {
+  @DeleteMapping("/loose/{id}")
+  void drop(long id) { }
+}
 '''
 BPMN = '''<definitions xmlns:f="urn:f"><process id="p"><startEvent id="s"/><serviceTask id="t" f:delegateExpression="${worker}"/>
 <exclusiveGateway id="g" default="f3"/><endEvent id="e"/><sequenceFlow id="f1" sourceRef="s" targetRef="t"/>
@@ -41,14 +58,32 @@ def files(spark):
 
 def test_facts(files):
     got = {(r.path, r.kind, r.method, r.path_form, r.name) for r in extract.facts(files).where("scope = 'runtime' and kind <> 'host'").collect()}
-    assert ("api.py", "route", "GET", "/api/users/{param}", None) in got
-    assert ("api.py", "request", "GET", "/api/users/{param}", None) in got
-    assert ("src/pages/users.tsx", "request", "POST", "/api/users", None) in got
-    assert ("src/pages/users.tsx", "route", "GET", "/api/users/{param}", "loadUser") in got
+    assert ("api.py", "route", "PUT", "/shop/items/{param}", None) in got
+    assert ("api.py", "request", "POST", "/shop/carts/{param}/orders", None) in got
+    assert ("src/pages/users.tsx", "request", "PUT", "/shop/items", None) in got
+    assert ("src/pages/users.tsx", "route", "DELETE", "/shop/items/{param}", "dropItem") in got
     assert ("Job.java", "publish", None, None, "jobs") in got
     assert not any("commented" in str(x) or x[4] == "no" for x in got)
 
 
+def test_members_are_told_apart_by_owner_and_overload(files):
+    got = {(r.path, r.member) for r in extract.facts(files).where("kind = 'function' and scope = 'runtime'").collect()}
+    assert {m for p, m in got if p == "api.py"} == {"Cart.total", "Cart.send", "Stock.total", "change_item", "change_item.inner"}
+    assert {m for p, m in got if p == "Job.java"} == {"Depot.one(String,int)", "Depot.add(List)", "Depot.add(Box)", "Depot.go()", "Plain.drop(long)"}
+
+
+def test_spring_routes_have_their_class_before_them(files):
+    got = {(r.method, r.path_form, r.handler) for r in extract.facts(files).where("kind = 'route' and path = 'Job.java'").collect()}
+    assert got == {("GET", "/depot/v2/boxes/{param}", "Depot.one(String,int)"), ("POST", "/depot/v2", "Depot.add(List)"), ("DELETE", "/loose/{param}", "Plain.drop(long)")}
+
+
+def test_routes_are_linked_to_their_handlers(files):
+    _, edges = build(files)
+    got = {(r.src, r.dst) for r in edges.where("type = 'HANDLED_BY'").collect()}
+    assert ("back:PUT:/shop/items/{param}", "back:api.py::change_item") in got and ("back:POST:/depot/v2", "back:Job.java::Depot.add(List)") in got
+    assert ("ui:DELETE:/shop/items/{param}", "ui:src/pages/users.tsx::dropItem") in got and ("ui:GET:/api/docs/{param}", "ui:src/app/api/docs/[id]/route.ts::GET") in got
+
+
 def test_hosts_keep_ports_and_comments_yield_none(files):
     got = {r.system for r in extract.facts(files).where("kind = 'host'").collect()}
     assert got == {"localhost:1025"}
@@ -109,3 +144,25 @@ def test_workers():
     for bad in ("0", "-1", "x", ""):
         with pytest.raises(ValueError, match="positive integer"):
             repository.workers(bad)
+
+
+def test_secrets_are_judged_one_by_one(spark):
+    from lodemap.functions import secrets
+
+    cases = [
+        ("password = 'example-9a8b7c6d'\napi_key = 'q8Zr42LmP0xT'", ["api_key"]),  # a stand-in hides no secret beside it
+        ("password: '${DB_PASSWORD_FROM_ENV}'", []),
+        ("clientSecret = '<your secret here>'", []),
+        ("db.passwd => 'tr0ub4dor&3x'", ["db.passwd"]),
+        ('"access_token": "aaaaaaaaaaaaaaaa"', []),  # not varied
+        ("token = 'short1'", []),
+        ("title = 'q8Zr42LmP0xT'", []),  # no secret's name
+        ("", []),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, text string")
+    got = {r.i: r.names for r in rows.select("i", secrets.assigned(F.col("text")).alias("names")).collect()}
+    assert [got[i] for i in range(len(cases))] == [names for _, names in cases]
+    kinds = [("-----BEGIN RSA PRIVATE KEY-----", "private_key"), ("github_pat_" + "A1b2" * 8, "forge_token"), ("ghp_" + "a1B2" * 6, "forge_token"), ("AKIA" + "Z9" * 8, "cloud_key"), ("Authorization: Bearer " + "x1Y" * 8, "bearer")]
+    for text, kind in kinds:
+        found = spark.range(1).select(*[secrets.found(F.lit(text), k).alias(k) for k in secrets.KINDS]).first()
+        assert [k for k in secrets.KINDS if found[k]] == [kind]
