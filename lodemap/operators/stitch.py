@@ -22,12 +22,17 @@ def exact(requests: DataFrame, routes: DataFrame) -> DataFrame:
 def catch_all(requests: DataFrame, routes: DataFrame) -> DataFrame:
     """Requests below the prefix of a catch-all route of the same repo and method.
 
-    The prefix is what stands before the catch-all part. repo and method are the join key; the prefix is checked
-    on what they bring together, so the plan is a hash join and not a nested loop.
+    The prefix is what stands before the catch-all part. A request meets the routes of its own path's prefixes, one for
+    each slash, and no others. A prefix that ends inside a segment is checked on what repo and method bring together.
     """
     open_ = routes.where(F.instr("route_path", CATCH_ALL) > 0).withColumn("prefix", F.expr(f"substring(route_path, 1, instr(route_path, '{CATCH_ALL}') - 1)"))
     open_ = open_.withColumn("prefix", F.regexp_replace("prefix", r"\[$", "")).select("route_id", "repo", "method", "prefix")
-    return _suggested(requests.join(open_, ["repo", "method"]).where(F.col("path").startswith(F.col("prefix"))), "catch-all")
+    whole = F.col("prefix").endswith("/")
+    steps = F.split("path", "/")
+    prefixes = F.when(F.size(steps) > 1, F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda i: F.concat(F.array_join(F.slice(steps, 1, i), "/"), F.lit("/"))))
+    found = requests.select("request_id", "repo", "method", F.explode(prefixes).alias("prefix")).join(open_.where(whole), ["repo", "method", "prefix"])
+    inside = requests.join(open_.where(~whole), ["repo", "method"]).where(F.col("path").startswith(F.col("prefix")))
+    return _suggested(found.select("request_id", "route_id").unionByName(inside.select("request_id", "route_id")), "catch-all")
 
 
 def configured_prefix(requests: DataFrame, mappings: DataFrame, routes: DataFrame) -> DataFrame:

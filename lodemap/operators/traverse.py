@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,41 +11,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: A frontier of so many nodes at most is broadcast; a larger one meets the edges by a shuffle.
+BROADCAST_NODES = 100_000
+
+
 def _shared(df: DataFrame) -> DataFrame:
-    """`df` written to the folder that driver and executors share, and read again."""
+    """`df` written to the folder that driver and executors share, and read again; a temporary folder only where all is one machine."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='lodemap-')}"
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='lodemap-')}"
     path = os.path.join(folder, f"frontier-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def undirected(edges: DataFrame) -> DataFrame:
-    """(src, dst) in both directions, each once."""
-    ends = edges.select("src", "dst")
-    return ends.union(edges.select("dst", "src")).distinct()
-
+def reach(edges: DataFrame, seeds: DataFrame, depth: int, both: bool = False) -> DataFrame:
+    """(node, distance): nodes within `depth` steps of seeds (node), by the fewest steps; with `both`, edges go either way.
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(node, distance): nodes within `depth` steps of seeds (node), by the fewest steps.
-
-    One join for each step: the frontier with the edges, without what was visited. A frontier is written to the
-    shared folder, so plans stay short and a lost executor repeats one step. Cycles end at visited nodes.
+    The ends of the edges are written once. Each step joins them with the frontier, without what was visited; a small
+    frontier is broadcast, so the edges are read and not moved. A frontier is written to the shared folder, so plans stay
+    short and a lost executor repeats one step. Cycles end at visited nodes; edges and seeds may be repeated, and a null
+    end leads nowhere.
     """
-    links = edges.select("src", "dst").distinct()
-    visited = frontier = _shared(seeds.select("node").distinct().withColumn("distance", F.lit(0)))
+    links = _shared(edges.select("src", "dst"))
+    visited = frontier = _shared(seeds.where("node is not null").select("node").distinct().withColumn("distance", F.lit(0)))
     for step in range(1, depth + 1):
-        near = frontier.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = _shared(near.join(visited, "node", "left_anti").withColumn("distance", F.lit(step)))
-        if frontier.isEmpty():
+        n = frontier.count()
+        if not n:
             break
+        ends = F.broadcast(frontier.select("node")) if n <= BROADCAST_NODES else frontier.select("node")
+        near = links.join(ends, F.col("src") == F.col("node"), "left_semi").select(F.col("dst").alias("node"))
+        if both:
+            near = near.union(links.join(ends, F.col("dst") == F.col("node"), "left_semi").select("src"))
+        near = near.where("node is not null").distinct()
+        frontier = _shared(near.join(visited, "node", "left_anti").withColumn("distance", F.lit(step)))
         visited = visited.unionByName(frontier)
     return visited
 
 
 def two_hops(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """Nodes within at most two undirected steps of the seeds, the seeds included; `depth` is held to 0 .. 2."""
-    return reach(undirected(edges), seeds, max(0, min(depth, 2)))
+    return reach(edges, seeds, max(0, min(depth, 2)), both=True)
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -166,3 +166,22 @@ def test_secrets_are_judged_one_by_one(spark):
     for text, kind in kinds:
         found = spark.range(1).select(*[secrets.found(F.lit(text), k).alias(k) for k in secrets.KINDS]).first()
         assert [k for k in secrets.KINDS if found[k]] == [kind]
+
+
+def test_catch_all_prefixes_of_all_kinds(spark):
+    from lodemap.operators import stitch
+
+    requests = spark.createDataFrame([(1, "r", "GET", "/api/auth/a/b"), (2, "r", "GET", "/api/other"), (3, "r", "GET", "/filesx/y"), (4, "r", "POST", "/api/auth/a"), (5, "r", "GET", None), (6, "r", "GET", "none")], "request_id long, repo string, method string, path string")
+    routes = spark.createDataFrame([("a", "r", "GET", "/api/auth/[...rest]"), ("b", "r", "GET", "/api/[[...all]]"), ("c", "r", "GET", "/files[...x]"), ("d", "s", "GET", "/api/[...x]"), ("e", "r", "GET", "/plain")], "route_id string, repo string, method string, route_path string")
+    assert {(r.request_id, r.route_id) for r in stitch.catch_all(requests, routes).collect()} == {(1, "a"), (1, "b"), (2, "b"), (3, "c")}
+
+
+def test_reach_of_cycles_nulls_and_both_directions(spark, monkeypatch):
+    from lodemap.operators import traverse
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "a"), ("c", None), (None, "d"), ("a", "b")], "src string, dst string")
+    seeds = spark.createDataFrame([("a",), ("a",), (None,)], "node string")
+    for most in (100_000, 0):
+        monkeypatch.setattr(traverse, "BROADCAST_NODES", most)
+        assert {tuple(r) for r in traverse.reach(edges, seeds, 5).collect()} == {("a", 0), ("b", 1), ("c", 2)}
+        assert {r.node for r in traverse.two_hops(edges, seeds).collect()} == {"a", "b", "c", "x"}
