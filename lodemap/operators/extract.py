@@ -7,6 +7,7 @@ numbers hold.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import pandas as pd
@@ -18,7 +19,7 @@ from lodemap.functions import identity, urls
 
 @dataclass(frozen=True)
 class Rule:
-    """`fields` maps method, name, url and detail to the number of a group, or to a fixed text."""
+    """`fields` maps method, name, url, detail and argument to the number of a group, or to a fixed text."""
 
     kind: str
     suffixes: str
@@ -42,27 +43,41 @@ RULES = [
     Rule("function", "js|jsx|ts|tsx", r"\bfunction\s+(\w+)\s*\(", {"name": 1}),
     Rule("function", "js|jsx|ts|tsx", r"\bconst\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?\([^)]*\)\s*(?::[^=]+)?=>", {"name": 1}),
     Rule("request", "js|jsx|ts|tsx", r"\bfetch\(\s*" + _QUOTED, {"method": "GET", "url": 1}),
-    Rule("request", "js|jsx|ts|tsx", r"\b(?:axios|api|client|http)\.(get|post|put|patch|delete)(?:<[^(]*>)?\(\s*" + _QUOTED, {"method": 1, "url": 2}),
+    Rule("request", "js|jsx|ts|tsx", r"\b(axios|api|client|http)\.(get|post|put|patch|delete)(?:<[^(]*>)?\(\s*" + _QUOTED, {"argument": 1, "method": 2, "url": 3}),
     Rule("route", "js|jsx|ts|tsx", r"\b(?:router|app)\.(get|post|put|patch|delete)\(\s*" + _QUOTED + r"(?:\s*,\s*(\w+))?", {"method": 1, "url": 2, "name": 3}),
     Rule("handler", "js|jsx|ts|tsx", r"^\s*export\s+(?:async\s+)?function\s+(GET|POST|PUT|PATCH|DELETE)\b", {"method": 1}),
     Rule("import", "go", r"^\s*(?:import\s+)?(?:\w+\s+)?\x22([\w./-]+)\x22\s*$", {"name": 1}),
     Rule("class", "go", r"^\s*type\s+(\w+)\s+(?:struct|interface)\b", {"name": 1}),
     Rule("function", "go", r"^\s*func\s+(?:\([^)]*\)\s*)?(\w+)\s*\(", {"name": 1}),
-    Rule("route", "go", r"\b\w+\.(GET|POST|PUT|PATCH|DELETE)\(\s*" + _QUOTED, {"method": 1, "url": 2}),
+    Rule("route", "go", r"\b(\w+)\.(GET|POST|PUT|PATCH|DELETE)\(\s*" + _QUOTED + r"(?:.*[\s,.](\w+)\s*\)\s*$)?", {"method": 2, "url": 3, "argument": 1, "name": 4}),
+    Rule("group", "go", r"\b(\w+)\s*:?=\s*(\w+)\.Group\(\s*" + _QUOTED, {"name": 1, "argument": 2, "url": 3}),
     Rule("request", "go", r"\bhttp\.NewRequest\(\s*\x22(\w+)\x22\s*,\s*" + _QUOTED, {"method": 1, "url": 2}),
     Rule("import", "java", r"^\s*import\s+(?:static\s+)?([\w.]+)\s*;", {"name": 1}),
     Rule("class", "java", r"\b(?:class|interface|record|enum)\s+(\w+)", {"name": 1}),
     Rule("function", "java", r"^\s*(?:@\w+\s+)*(?:(?:public|protected|private|static|final|synchronized|default)\s+)*(?!return\b|new\b|else\b|throw\b|case\b)[\w.]+(?:<[^(){}]*>)?(?:\[\])*\s+(?!if\b|for\b|while\b|switch\b|catch\b)(\w+)\s*\(([^)]*)\)?[^;=]*(?:\{.*|,\s*)$", {"name": 1, "detail": 2}),
     Rule("base", "java", r"^@RequestMapping\(\s*(?:(?:value|path)\s*=\s*)?\{?\s*" + _QUOTED, {"url": 1}),
     Rule("route", "java", r"@(Get|Post|Put|Patch|Delete)Mapping\b(?:\(\s*(?:(?:value|path)\s*=\s*)?\{?\s*" + _QUOTED + ")?", {"method": 1, "url": 2}),
-    Rule("request", "java", r"\.(get|post)For(?:Object|Entity)\(\s*" + _QUOTED, {"method": 1, "url": 2}),
+    Rule("request", "java", r"\.(get|post)For(?:Object|Entity)\(\s*(?:\x22([^\x22]*)\x22|(\w+)\s*,)", {"method": 1, "url": 2, "argument": 3}),
+    Rule("request", "java", r"\.exchange\(\s*(?:\x22([^\x22]*)\x22|(\w+))\s*,\s*HttpMethod\.(\w+)", {"method": 3, "url": 1, "argument": 2}),
+    Rule("request", "java", r"\b(?:restTemplate|rest|client)\.delete\(\s*(?:\x22([^\x22]*)\x22|(\w+)\s*[,)])", {"method": "DELETE", "url": 1, "argument": 2}),
+    Rule("request", "java", r"\.(get|post|put|patch|delete)\(\)\s*\.uri\(\s*\x22([^\x22]*)\x22", {"method": 1, "url": 2}),
+    Rule("feign", "java", r"^@FeignClient\(\s*(?:(?:name|value)\s*=\s*)?" + _QUOTED, {"name": 1}),
+    Rule("package", "java", r"^\s*package\s+([\w.]+)\s*;", {"name": 1}),
+    Rule("value", "java", r"\bString\s+(\w+)\s*=\s*(?:[\w.()]+\s*\+\s*)?\x22([^\x22]*)\x22\s*(\+)?", {"name": 1, "detail": 2, "argument": 3}),
+    Rule("default", "java", r"@Value\(\s*\x22\$\{[^:}]+:([^}]*)\}", {"detail": 1}),
+    Rule("returns", "java", r"^\s*return\s+(?:\x22([^\x22]*)\x22|(?:this\.)?(\w+)(?:\(\))?)\s*;", {"detail": 1, "argument": 2}),
+    Rule("field", "java", r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:private|protected|public|final|static)\s+)*([A-Z]\w*)(?:<[^;=]*>)?\s+(\w+)\s*(?:=|;)", {"name": 2, "detail": 1}),
+    Rule("delegate", "java", r"\bclass\s+(\w+)\b.*\bimplements\b.*\bJavaDelegate\b", {"name": 1}),
     Rule("page", "java", r"@Route\(\s*" + _QUOTED, {"url": 1}),
-    Rule("consume", "java", r"@KafkaListener\(.*?topics\s*=\s*\{?\s*" + _QUOTED, {"name": 1, "detail": "kafka"}),
-    Rule("consume", "java", r"@RabbitListener\(.*?queues\s*=\s*\{?\s*" + _QUOTED, {"name": 1, "detail": "rabbitmq"}),
-    Rule("publish", "java", r"\bkafkaTemplate\.send\(\s*" + _QUOTED, {"name": 1, "detail": "kafka"}),
-    Rule("publish", "java", r"\brabbitTemplate\.convertAndSend\(\s*" + _QUOTED + r"\s*,\s*" + _QUOTED, {"name": 2, "detail": "rabbitmq"}),
-    Rule("start", "java", r"\.startProcessInstanceByKey(?:AndTenantId)?\(\s*" + _QUOTED, {"name": 1}),
-    Rule("action", "java", r"\.add(Click|Selection)Listener\(", {"method": 1}),
+    Rule("consume", "java", r"@KafkaListener\(.*?topics\s*=\s*\{?\s*(?:\x22([^\x22]*)\x22|(\w+))", {"name": 1, "argument": 2, "detail": "kafka"}),
+    Rule("consume", "java", r"@RabbitListener\(.*?queues\s*=\s*\{?\s*(?:\x22([^\x22]*)\x22|(\w+))", {"name": 1, "argument": 2, "detail": "rabbitmq"}),
+    Rule("consume", "java", r"@JmsListener\(.*?destination\s*=\s*(?:\x22([^\x22]*)\x22|(\w+))", {"name": 1, "argument": 2, "detail": "jms"}),
+    Rule("publish", "java", r"\bkafkaTemplate\.send\(\s*(?:\x22([^\x22]*)\x22|(\w+))", {"name": 1, "argument": 2, "detail": "kafka"}),
+    Rule("publish", "java", r"\brabbitTemplate\.convertAndSend\(\s*(?:\x22[^\x22]*\x22|\w+)\s*,\s*(?:\x22([^\x22]*)\x22|(\w+))", {"name": 1, "argument": 2, "detail": "rabbitmq"}),
+    Rule("publish", "java", r"\bjmsTemplate\.convertAndSend\(\s*(?:\x22([^\x22]*)\x22|(\w+))", {"name": 1, "argument": 2, "detail": "jms"}),
+    Rule("binding", "java", r"\bBindingBuilder\.bind\(\s*(\w+)(?:\(\))?\s*\).*?\.with\(\s*(?:\x22([^\x22]*)\x22|(\w+))", {"detail": 1, "name": 2, "argument": 3}),
+    Rule("start", "java", r"\.startProcess(?:InstanceByKey(?:AndTenantId)?)?\(\s*(?:\x22([^\x22]*)\x22|(\w+))", {"name": 1, "argument": 2}),
+    Rule("action", "java", r"\b(\w+)\.add(Click|Selection)Listener\(", {"method": 2, "name": 1}),
     Rule("system", "java", r"\bopsForValue\(\)", {"name": "redis", "detail": "datastore"}),
     Rule("system", "java", r"\b(?:redisTemplate|stringRedisTemplate)\.convertAndSend\(", {"name": "redis", "detail": "pubsub"}),
     Rule("system", "properties", r"^spring\.datasource\.url\s*=\s*jdbc:(\w+):", {"name": 1, "detail": "database"}),
@@ -70,9 +85,23 @@ RULES = [
     Rule("system", "properties", r"^spring\.data\.(redis)\.", {"name": 1, "detail": "datastore"}),
     Rule("system", "prisma", r"^\s*provider\s*=\s*\x22(postgresql|mysql|sqlite|mongodb)\x22", {"name": 1, "detail": "database"}),
     Rule("system", "sql", r"(?i)create\s+extension\s+.*\b(?:pg_trgm|postgis|pgcrypto|citext)\b", {"name": "postgresql", "detail": "database"}),
+    Rule("system", "properties", r"(?i)^\s*[\w.-]*(whatsapp|stripe|twilio|sendgrid|paypal)[\w.-]*\s*[=:]", {"name": 1}),
+    Rule("system", "properties", r"(?i)^\s*[\w.-]*provider\s*[=:]\s*(whatsapp|stripe|twilio|sendgrid|paypal)\b", {"name": 1}),
+    Rule("system", "yml|yaml", r"\bjdbc:(\w+):", {"name": 1, "detail": "database"}),
+    Rule("system", "yml|yaml", r"^\s*image:\s*[\x22']?(?:[\w./-]*/)?(postgres|mysql|mariadb|redis|mongo|rabbitmq|kafka)\b", {"name": 1, "detail": "container"}),
+    Rule("system", "txt|toml", r"^\s*[\x22']?(psycopg2?|asyncpg|redis|pymongo|kafka-python|pika|stripe|twilio)\b", {"name": 1, "detail": "dependency"}),
+    Rule("system", "mod", r"^\s*(?:require\s+)?github\.com/(?:redis|go-redis|jackc|lib)/(redis|go-redis|pgx|pq)\b", {"name": 1, "detail": "dependency"}),
+    Rule("system", "json", r"^\s*\x22(pg|mysql2?|redis|ioredis|mongodb|kafkajs|amqplib|stripe|twilio)\x22\s*:\s*\x22", {"name": 1, "detail": "dependency"}),
+    Rule("mail", "properties", r"^\s*spring\.mail\.(host|port)\s*[=:]\s*([\w.-]+)", {"method": 1, "name": 2}),
+    Rule("client", "js|jsx|ts|tsx", r"\bconst\s+(\w+)\s*=\s*axios\.create\(.*?\bbaseURL\s*:\s*" + _QUOTED, {"name": 1, "url": 2}),
+    Rule("perhaps", "js|jsx|ts|tsx", r"\b(?!(?:axios|api|client|http|router|app)\.)(\w+)\.(get|post|put|patch|delete)(?:<[^(]*>)?\(\s*" + _QUOTED, {"argument": 1, "method": 2, "url": 3}),
     Rule("host", "py|js|jsx|ts|tsx|go|java|properties", r"(https?://[^\s\x22\x27`<>\\]+)", {"url": 1}),
 ]
-FIELDS = ("method", "name", "url", "detail")
+FIELDS = ("method", "name", "url", "detail", "argument")
+CALL = r"\b([a-z]\w*)\.([a-z]\w*)\("
+#: What decides on conditions: strings are skipped, as nothing in them counts.
+TOKEN = re.compile(r""""(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|\bif\s*\(|\belse\b|[{};\n]""")
+DEFAULT = r"\$\{[^:}]+:([^}]*)\}"
 
 
 def mask_comments(source: str, line: str = "//") -> str:
@@ -103,10 +132,62 @@ def mask_comments(source: str, line: str = "//") -> str:
     return "".join(out)
 
 
+def guards(masked: str) -> list[str | None]:
+    """For each line of a source without comments, the conditions of the `if` and `else` blocks that it stands in, outermost first.
+
+    A condition may go over several lines. The branch of an `else` is NOT (condition).
+    """
+    found: list[str | None] = []
+    blocks: list[str | None] = []  # one entry for each open brace
+    waiting, closed, i, line_guard = None, None, 0, None
+    while hit := TOKEN.search(masked, i):
+        i, text = hit.end(), hit.group()
+        if text == "\n":
+            found.append(line_guard or _joined(blocks, waiting))
+            line_guard = None
+        elif text == "{":
+            blocks.append(waiting)
+            waiting = closed = None
+        elif text == "}":
+            line_guard = line_guard or _joined(blocks, None)
+            closed = blocks.pop() if blocks else None
+        elif text == ";":
+            line_guard = line_guard or _joined(blocks, waiting)
+            closed, waiting = waiting, None
+        elif text == "else":
+            waiting = f"NOT ({closed})" if closed else None
+        elif text.startswith("if"):
+            depth, end = 1, i
+            while end < len(masked) and depth:
+                depth += {"(": 1, ")": -1}.get(masked[end], 0)
+                end += 1
+            own = " ".join(masked[i : end - 1].split())
+            before = _joined(blocks, None)
+            found.extend([before] * masked.count("\n", i, end))
+            waiting = f"{waiting} and {own}" if waiting and waiting.startswith("NOT (") else own
+            i = end
+    found.append(line_guard or _joined(blocks, waiting))
+    return found
+
+
+def _joined(blocks: list, last: str | None) -> str | None:
+    return " and ".join(b for b in [*blocks, last] if b) or None
+
+
+def _guards(source: str, suffix: str) -> Column:
+    """An array with the conditions of each line of Java sources; of others empty."""
+
+    @F.pandas_udf("array<string>")
+    def of(sources: pd.Series, suffixes: pd.Series) -> pd.Series:
+        return pd.Series([guards(s.replace("\r\n", "\n")) if s is not None and x == "java" else [] for s, x in zip(sources, suffixes)], dtype="object")
+
+    return of(source, suffix)
+
+
 def _masked(source: str, suffix: str) -> Column:
     @F.pandas_udf("string")
     def masked(sources: pd.Series, suffixes: pd.Series) -> pd.Series:
-        marks = {"py": "#", "properties": "#", "sql": "--"}
+        marks = {"py": "#", "properties": "#", "yml": "#", "yaml": "#", "toml": "#", "txt": "#", "sql": "--"}
         return pd.Series([None if s is None else mask_comments(s, marks.get(x, "//")) for s, x in zip(sources, suffixes)], dtype="object")
 
     return masked(source, suffix)
@@ -136,8 +217,10 @@ def _scoped(hits: DataFrame) -> DataFrame:
     rows = rows.withColumn("owner", F.when(java | ((F.col("suffix") == "py") & (F.col("indent") > 0)), F.col("owner")))
     # An annotation at the margin is that of the class that follows.
     classes = F.count(F.when(kind == "class", 1)).over(before.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("class", classes + F.when(kind == "base", 1).otherwise(0))
+    rows = rows.withColumn("class", classes + F.when(kind.isin("base", "feign"), 1).otherwise(0))
     rows = rows.withColumn("base", F.max(F.when(kind == "base", F.col("f.url"))).over(Window.partitionBy("repo", "path", "class")))
+    rows = rows.withColumn("feign", F.max(F.when(kind == "feign", F.col("f.name"))).over(Window.partitionBy("repo", "path", "class")))
+    rows = rows.withColumn("following", F.first(F.when(kind == "field", F.col("f.name")), True).over(after))
     return rows.withColumn("next", F.first(F.when(kind == "function", F.struct("f.name", "f.detail")), True).over(after))
 
 
@@ -148,32 +231,91 @@ def _types(parameters: Column) -> Column:
 
 
 def facts(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """(repo, path, file_id, line, kind, method, name, url, path_form, system, detail, scope, member, handler) of files (repo, path, content).
+    """(repo, path, file_id, line, kind, method, name, url, path_form, system, detail, scope, member, handler, function, argument, condition) of files (repo, path, content).
 
     line counts from 1; path_form is the normal form of url; url has no user names, passwords or query; system is
     its host and port. scope tells tests from what runs. member is the name of a class or function within its file: that
     of its owner before it, and the types of its parameters after it in Java. handler is the member that a route's
-    annotation or decorator stands before. A Spring route has its class's base path before its own. Null contents have no facts.
+    annotation or decorator stands before. function is the member that a line stands in, argument a name whose value is
+    meant (`resolved` looks it up), condition what a Java line depends on. A Spring route has its class's base path before
+    its own; in a Feign client it is a request. Null contents have no facts.
     """
     suffix = F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)
     test = F.col("path").rlike(r"(?:^|/)(?:tests?|__tests__)/|(?:^|/)test_[^/]*$|_test\.go$|\.(?:test|spec)\.[jt]sx?$|Test\.java$")
     rows = files.select("repo", "path", suffix.alias("suffix"), F.when(test, "test").otherwise("runtime").alias("scope"), "content")
     # A URL's slashes begin no comment: they stand in strings, which the mask keeps.
-    lines = rows.select("repo", "path", "suffix", "scope", F.posexplode(F.split(_masked("content", "suffix"), "\r?\n")).alias("at", "text"))
+    rows = rows.withColumn("content", _masked("content", "suffix")).withColumn("guards", _guards("content", "suffix"))
+    lines = rows.select("repo", "path", "suffix", "scope", "guards", F.posexplode(F.split("content", "\r?\n")).alias("at", "text"))
     indent = F.length(F.regexp_extract("text", r"^([\t ]*)", 1)).alias("indent")
-    hits = lines.select("repo", "path", "suffix", "scope", (F.col("at") + 1).alias("line"), indent, F.posexplode(F.array_compact(F.array(*[_facts(r, F.col("text")) for r in rules]))).alias("order", "f"))
-    rows = _scoped(hits).select("repo", "path", "suffix", "line", "scope", "owner", "base", "next", "f.*")
-    java = F.col("suffix") == "java"
-    spring = java & (F.col("kind") == "route")
+    # A line may make any number of calls; every rule else finds the first.
+    none = F.lit(None).cast("string")
+    call = lambda x: F.struct(F.lit("call").alias("kind"), none.alias("method"), F.regexp_extract(x, CALL, 2).alias("name"), none.alias("url"), none.alias("detail"), F.regexp_extract(x, CALL, 1).alias("argument"))
+    calls = F.transform(F.when(F.col("suffix") == "java", F.regexp_extract_all("text", F.lit(CALL), 0)).otherwise(F.array().cast("array<string>")), call)
+    found = F.concat(F.array_compact(F.array(*[_facts(r, F.col("text")) for r in rules])), calls)
+    hits = lines.select("repo", "path", "suffix", "scope", (F.col("at") + 1).alias("line"), F.get("guards", F.col("at")).alias("condition"), indent, F.posexplode(found).alias("order", "f"))
+    rows = _scoped(hits).select("repo", "path", "suffix", "line", "order", "indent", "scope", "condition", "owner", "base", "feign", "following", "next", "f.*")
+    java, kind = F.col("suffix") == "java", F.col("kind")
+    spring = java & (kind == "route")
     joined = F.regexp_replace(F.concat_ws("/", F.regexp_replace("base", "/$", ""), F.regexp_replace("url", "^/", "")), "^(?!/)", "/")
-    rows = rows.withColumn("url", F.when(spring, joined).otherwise(F.col("url")))
+    rows = rows.withColumn("url", F.when(spring, joined).when((F.col("suffix") == "go") & kind.isin("route", "group"), F.coalesce("url", F.lit(""))).otherwise(F.col("url")))
     named = lambda name, detail: F.concat(F.concat_ws(".", "owner", name), F.when(java, F.concat(F.lit("("), _types(F.coalesce(detail, F.lit(""))), F.lit(")"))).otherwise(""))
-    member = F.when(F.col("kind") == "function", named("name", F.col("detail"))).when(F.col("kind") == "class", F.col("name"))
-    handler = F.when((F.col("kind") == "route") & F.col("suffix").isin("py", "java") & F.col("next").isNotNull(), named(F.col("next.name"), F.col("next.detail")))
+    member = F.when(kind == "function", named("name", F.col("detail"))).when(kind == "class", F.col("name"))
+    handler = F.when((kind == "route") & F.col("suffix").isin("py", "java") & F.col("next").isNotNull(), named(F.col("next.name"), F.col("next.detail")))
+    handler = F.coalesce(handler, F.when((kind == "route") & ~F.col("suffix").isin("py", "java"), F.col("name"))).alias("handler")
+    rows = rows.withColumn("member", member)
+    # The declaration that a line stands in: a class after the last function ends it, and so does Python's margin.
+    inside = F.last(F.when(kind.isin("class", "function"), F.struct("kind", "member", "name")), True).over(Window.partitionBy("repo", "path").orderBy("line", "order"))
+    rows = rows.withColumn("inside", F.when(~((F.col("suffix") == "py") & (F.col("indent") == 0) & (kind != "function")), inside))
+    function = F.when(F.col("inside.kind") == "function", F.col("inside.member")).alias("function")
+    name = F.when(kind == "default", F.col("following")).when(kind == "returns", F.when(F.col("inside.kind") == "function", F.col("inside.name"))).otherwise(F.col("name"))
+    name = F.when(kind.isin("publish", "consume", "binding", "start"), F.regexp_replace(name, DEFAULT, "$1")).when((kind == "system") & ~java, F.lower(name)).otherwise(name)
     return rows.select(
-        "repo", "path", identity.file_id(F.col("repo"), F.col("path")).alias("file_id"), "line", "kind", "method", "name",
-        urls.sanitize_url(F.col("url")).alias("url"), urls.normalize_url(F.col("url")).alias("path_form"), F.coalesce(urls.system(F.col("url")), F.lit("")).alias("system"), "detail", "scope", member.alias("member"),
-        F.coalesce(handler, F.when((F.col("kind") == "route") & ~F.col("suffix").isin("py", "java"), F.col("name"))).alias("handler"))
+        "repo", "path", identity.file_id(F.col("repo"), F.col("path")).alias("file_id"), "line", F.when(spring & F.col("feign").isNotNull(), "request").otherwise(kind).alias("kind"), "method", name.alias("name"),
+        urls.sanitize_url(F.col("url")).alias("url"), urls.normalize_url(F.col("url")).alias("path_form"), F.coalesce(urls.system(F.col("url")), F.lit("")).alias("system"), "detail", "scope", "member",
+        handler, function, "argument", "condition")
+
+
+def values(facts: DataFrame) -> DataFrame:
+    """(repo, path, name, value): what names of a file stand for, where that is one text: constants, defaults, and what getters return.
+
+    A getter may return a name, and that name may be a getter's; two such steps are followed.
+    """
+    text = F.concat("detail", F.when((F.col("kind") == "value") & F.col("argument").isNotNull(), F.lit("{param}")).otherwise(""))
+    known = facts.where("kind in ('value', 'default', 'returns') and name is not null and detail is not null").select("repo", "path", "name", text.alias("value"))
+    passed = facts.where("kind = 'returns' and name is not null and argument is not null").select("repo", "path", F.col("name").alias("getter"), F.col("argument").alias("name"))
+    for _ in range(2):
+        known = known.unionByName(passed.join(known, ["repo", "path", "name"]).select("repo", "path", F.col("getter").alias("name"), "value")).distinct()
+    return known.groupBy("repo", "path", "name").agg(F.min("value").alias("value"), F.count_distinct("value").alias("n")).where("n = 1").drop("n")
+
+
+def resolved(facts: DataFrame) -> DataFrame:
+    """`facts` with names looked up: channels and process keys by constants, URLs by local texts, Gin groups and Axios clients before their paths.
+
+    A name that stands for several texts in its file, or for none, stays open (null), and so does what needs it.
+    """
+    known = values(facts)
+    kinds = ("request", "publish", "consume", "binding", "start")
+    rows = facts.join(known.select("repo", "path", F.col("name").alias("argument"), "value"), ["repo", "path", "argument"], "left")
+    open_ = F.col("kind").isin(*kinds) & F.col("value").isNotNull()
+    rows = rows.withColumn("name", F.when(open_ & (F.col("kind") != "request"), F.coalesce("name", "value")).otherwise(F.col("name")))
+    rows = rows.withColumn("url", F.when(open_ & (F.col("kind") == "request"), F.coalesce("url", "value")).otherwise(F.col("url"))).drop("value")
+    bound = known.select("repo", "path", F.col("name").alias("detail"), F.col("value").alias("queue"))
+    rows = rows.join(bound, ["repo", "path", "detail"], "left").withColumn("detail", F.when(F.col("kind") == "binding", F.col("queue")).otherwise(F.col("detail"))).drop("queue")
+    # The groups of one function in order: each has its parent's path before its own.
+    groups = F.sort_array(F.collect_list(F.struct("line", "name", "argument", "url")))
+    path = lambda m, g: F.concat(F.coalesce(m[g["argument"]], F.lit("")), g["url"])
+    step = lambda m, g: F.map_concat(F.map_filter(m, lambda k, _: k != g["name"]), F.create_map(g["name"], path(m, g)))
+    start = F.create_map().cast("map<string,string>")
+    mounts = facts.where("kind = 'group'").groupBy("repo", "path", "function").agg(groups.alias("g")).select("repo", "path", "function", F.explode(F.aggregate("g", start, step)).alias("argument", "prefix"))
+    clients = facts.where("kind = 'client'").groupBy("repo", "path", F.col("name").alias("argument")).agg(F.min("url").alias("base"))
+    rows = rows.join(mounts.withColumnRenamed("function", "in"), (rows.repo == mounts.repo) & (rows.path == mounts.path) & rows.function.eqNullSafe(F.col("in")) & (rows.argument == mounts.argument) & (rows.kind == "route"), "left").select(rows["*"], "prefix")
+    rows = rows.join(clients, ["repo", "path", "argument"], "left").where("kind <> 'perhaps' or base is not null")
+    # A client's path that already has the base before it is left as it is.
+    base = F.regexp_replace("base", "/$", "")
+    before = F.coalesce("prefix", F.when(F.col("kind").isin("perhaps", "request") & ~F.col("url").startswith(base), base), F.lit(""))
+    url = F.concat(before, F.col("url"))
+    rows = rows.withColumn("url", F.when((url == "") & (F.col("kind") == "route"), "/").otherwise(url)).withColumn("kind", F.when(F.col("kind") == "perhaps", "request").otherwise(F.col("kind")))
+    return rows.select(*[F.col(c) for c in facts.columns if c not in ("path_form", "system")], urls.normalize_url(F.col("url")).alias("path_form"), F.coalesce(urls.system(F.col("url")), F.lit("")).alias("system")).select(*facts.columns)
 
 
 def app_routes(files: DataFrame, handlers: DataFrame) -> DataFrame:
@@ -184,20 +326,27 @@ def app_routes(files: DataFrame, handlers: DataFrame) -> DataFrame:
 
 
 def workflow(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Steps (repo, path, ordinal, step, delegate) and flows (repo, path, flow, source, target, condition, is_default) of BPMN files, in document order."""
-    models = files.where(F.col("path").rlike(r"\.bpmn(?:20\.xml)?$"))
+    """Steps and flows of BPMN files, in document order.
+
+    Steps (repo, path, process, ordinal, step, delegate, called), flows (repo, path, process, flow, source, target,
+    condition, is_default). A file may have several processes; ordinals count within one.
+    """
+    body = F.regexp_extract_all("content", F.lit(r"(?s)(<(?:\w+:)?process\b.*?</(?:\w+:)?process>)"), 1)
+    models = files.where(F.col("path").rlike(r"\.bpmn(?:20\.xml)?$")).select("repo", "path", F.explode(body).alias("content"))
     found = lambda path: F.xpath("content", F.lit(path))
-    step = "//*[local-name()='startEvent' or local-name()='endEvent' or contains(local-name(), 'Task') or contains(local-name(), 'Gateway')]"
+    models = models.withColumn("process", F.get(found("//*[local-name()='process']/@id"), F.lit(0)))
+    step = "//*[local-name()='startEvent' or local-name()='endEvent' or local-name()='callActivity' or contains(local-name(), 'Task') or contains(local-name(), 'Gateway')]"
     bound = "//*[@id and @*[local-name()='delegateExpression']]"
     delegates = F.map_from_arrays(found(f"{bound}/@id"), found(f"{bound}/@*[local-name()='delegateExpression']"))
-    steps = models.select("repo", "path", delegates.alias("delegates"), F.posexplode(found(f"{step}/@id")).alias("ordinal", "step"))
-    steps = steps.select("repo", "path", "ordinal", "step", F.regexp_replace(F.try_element_at("delegates", F.col("step")), r"^[$#]\{|\}$", "").alias("delegate"))
+    called = F.map_from_arrays(found("//*[@id and @calledElement]/@id"), found("//*[@id and @calledElement]/@calledElement"))
+    steps = models.select("repo", "path", "process", delegates.alias("delegates"), called.alias("calls"), F.posexplode(found(f"{step}/@id")).alias("ordinal", "step"))
+    steps = steps.select("repo", "path", "process", "ordinal", "step", F.regexp_replace(F.try_element_at("delegates", F.col("step")), r"^[$#]\{|\}$", "").alias("delegate"), F.try_element_at("calls", F.col("step")).alias("called"))
     flow = "//*[local-name()='sequenceFlow']"
     guarded = "//*[local-name()='sequenceFlow'][*[local-name()='conditionExpression']]"
     conditions = F.map_from_arrays(found(f"{guarded}/@id"), found(f"{guarded}/*[local-name()='conditionExpression']/text()"))
     ends = F.arrays_zip(*[found(f"{flow}/@{a}").alias(a) for a in ("id", "sourceRef", "targetRef")])
-    flows = models.select("repo", "path", conditions.alias("conditions"), found("//@default").alias("defaults"), F.explode(ends).alias("f"))
+    flows = models.select("repo", "path", "process", conditions.alias("conditions"), found("//@default").alias("defaults"), F.explode(ends).alias("f"))
     flows = flows.select(
-        "repo", "path", F.col("f.id").alias("flow"), F.col("f.sourceRef").alias("source"), F.col("f.targetRef").alias("target"),
+        "repo", "path", "process", F.col("f.id").alias("flow"), F.col("f.sourceRef").alias("source"), F.col("f.targetRef").alias("target"),
         F.trim(F.try_element_at("conditions", F.col("f.id"))).alias("condition"), F.array_contains("defaults", F.col("f.id")).alias("is_default"))
     return steps, flows

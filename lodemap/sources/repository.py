@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # Folders that are generated or belong to others.
 EXCLUDED = ["node_modules", ".git", "dist", "dist.old", "build", "target", "vendor", "__pycache__", ".venv", ".next"]
-SUFFIXES = ["py", "js", "jsx", "ts", "tsx", "go", "java", "properties", "bpmn", "bpmn20.xml", "sql", "prisma"]
+SUFFIXES = ["py", "js", "jsx", "ts", "tsx", "go", "java", "properties", "bpmn", "bpmn20.xml", "sql", "prisma", "yml", "yaml", "toml", "requirements.txt", "package.json", "go.mod"]
 
 
 def workers(value: str | None, default: int = 4) -> int:
@@ -34,7 +34,7 @@ def scan(spark, root: str, repo: str, excluded: list[str] | None = None, tasks:
     rows = found.select(full.alias("full"), base.alias("base"), "content").select(path.alias("path"), F.decode("content", "UTF-8").alias("content"))
     inside = F.slice(F.split("path", "/"), 1, F.greatest(F.lit(0), F.size(F.split("path", "/")) - 1))
     skip = F.arrays_overlap(inside, F.array(*[F.lit(x) for x in [*EXCLUDED, *(excluded or [])]]))
-    rows = rows.where(~skip & F.col("path").rlike(r"\.(?:" + "|".join(s.replace(".", r"\.") for s in SUFFIXES) + ")$"))
+    rows = rows.where(~skip & F.col("path").rlike(r"(?:^|[./])(?:" + "|".join(s.replace(".", r"\.") for s in SUFFIXES) + ")$"))
     rows = rows.select(F.lit(repo).alias("repo"), "path", "content")
     return rows.repartition(tasks) if tasks else rows
 
