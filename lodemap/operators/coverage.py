@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodemap.operators.trust import validated
@@ -37,3 +37,37 @@ def unresolved(requests: DataFrame, candidates: DataFrame, limit: int = MOST_UNR
     return open_.join(evidence, "id", "left").select(
         "id", "repo", F.coalesce("candidates", zero).alias("candidates"), F.coalesce("suggested", zero).alias("suggested"), F.coalesce("rejected", zero).alias("rejected")
     ).orderBy("id").limit(limit)
+
+
+def evidence(requests: DataFrame, candidates: DataFrame, routes: DataFrame) -> DataFrame:
+    """(id, repo, candidate_route, candidate_repo, candidate_trust): each request without a validated route with each of its candidates.
+
+    candidates (request_id, route, trust_status), routes (route, repo). A request without candidates has one row of nulls.
+    """
+    done = candidates.where(validated(F.col("trust_status"))).select(F.col("request_id").alias("id")).distinct()
+    found = candidates.join(routes.select("route", F.col("repo").alias("candidate_repo")), "route", "left").select(
+        F.col("request_id").alias("id"), F.col("route").alias("candidate_route"), "candidate_repo", F.col("trust_status").alias("candidate_trust")).distinct()
+    return requests.select("id", "repo").join(done, "id", "left_anti").join(found, "id", "left").select("id", "repo", "candidate_route", "candidate_repo", "candidate_trust")
+
+
+def request_warning(requests: DataFrame, candidates: DataFrame, shown: int = 3) -> DataFrame:
+    """(repo, unresolved, requests, message) of repositories with requests (id, repo, label) that have no validated route.
+
+    The message names the first `shown` by id, a feature of the report; all are counted. The first are kept by a top-k of
+    each task before the shuffle, so no repository's requests are gathered.
+    """
+    done = candidates.where(validated(F.col("trust_status"))).select(F.col("request_id").alias("id"), F.lit(True).alias("ok")).distinct()
+    rows = requests.join(done, "id", "left")
+    counts = rows.groupBy("repo").agg(F.count_if(F.col("ok").isNull()).alias("unresolved"), F.count("*").alias("requests")).where("unresolved > 0")
+    place = Window.partitionBy("repo").orderBy("id")
+    first = rows.where("ok is null").withColumn("n", F.row_number().over(place)).where(F.col("n") <= shown)
+    first = first.groupBy("repo").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "label"))), lambda x: x["label"]), "; ").alias("first"))
+    text = F.concat(F.col("unresolved").cast("string"), F.lit(" of "), F.col("requests").cast("string"), F.lit(" API requests do not have a validated backend route: "), "first",
+                    F.when(F.col("unresolved") > shown, F.concat(F.lit("; +"), (F.col("unresolved") - shown).cast("string"), F.lit(" more."))).otherwise("."))
+    return counts.join(first, "repo").select("repo", "unresolved", "requests", text.alias("message"))
+
+
+def start_warning(starts: DataFrame) -> DataFrame:
+    """(repo, keys): process keys of starts (repo, process_key, target) of repositories none of whose starts has a target, in order."""
+    found = starts.groupBy("repo").agg(F.count("target").alias("n"), F.array_sort(F.collect_set("process_key")).alias("keys"))
+    return found.where("n = 0").select("repo", F.array_join("keys", ", ").alias("keys"))

@@ -231,13 +231,14 @@ def _types(parameters: Column) -> Column:
 
 
 def facts(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """(repo, path, file_id, line, kind, method, name, url, path_form, system, detail, scope, member, handler, function, argument, condition) of files (repo, path, content).
+    """(repo, path, file_id, line, kind, method, name, url, path_form, system, detail, scope, member, handler, function, argument, condition, listener) of files (repo, path, content).
 
     line counts from 1; path_form is the normal form of url; url has no user names, passwords or query; system is
     its host and port. scope tells tests from what runs. member is the name of a class or function within its file: that
     of its owner before it, and the types of its parameters after it in Java. handler is the member that a route's
     annotation or decorator stands before. function is the member that a line stands in, argument a name whose value is
-    meant (`resolved` looks it up), condition what a Java line depends on. A Spring route has its class's base path before
+    meant (`resolved` looks it up), condition what a Java line depends on, listener the
+    method that a consumer's annotation stands before. A Spring route has its class's base path before
     its own; in a Feign client it is a request. Null contents have no facts.
     """
     suffix = F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)
@@ -263,16 +264,17 @@ def facts(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     handler = F.when((kind == "route") & F.col("suffix").isin("py", "java") & F.col("next").isNotNull(), named(F.col("next.name"), F.col("next.detail")))
     handler = F.coalesce(handler, F.when((kind == "route") & ~F.col("suffix").isin("py", "java"), F.col("name"))).alias("handler")
     rows = rows.withColumn("member", member)
-    # The declaration that a line stands in: a class after the last function ends it, and so does Python's margin.
-    inside = F.last(F.when(kind.isin("class", "function"), F.struct("kind", "member", "name")), True).over(Window.partitionBy("repo", "path").orderBy("line", "order"))
-    rows = rows.withColumn("inside", F.when(~((F.col("suffix") == "py") & (F.col("indent") == 0) & (kind != "function")), inside))
+    # The declaration that a line stands in: a class after the last function ends it, and so does the margin but in Java.
+    inside = F.last(F.when(kind.isin("class", "function"), F.struct("kind", "member", "name", "line")), True).over(Window.partitionBy("repo", "path").orderBy("line", "order"))
+    rows = rows.withColumn("inside", inside)
+    rows = rows.withColumn("inside", F.when(java | (F.col("indent") > 0) | (F.col("inside.line") == F.col("line")), F.col("inside")))
     function = F.when(F.col("inside.kind") == "function", F.col("inside.member")).alias("function")
     name = F.when(kind == "default", F.col("following")).when(kind == "returns", F.when(F.col("inside.kind") == "function", F.col("inside.name"))).otherwise(F.col("name"))
     name = F.when(kind.isin("publish", "consume", "binding", "start"), F.regexp_replace(name, DEFAULT, "$1")).when((kind == "system") & ~java, F.lower(name)).otherwise(name)
     return rows.select(
         "repo", "path", identity.file_id(F.col("repo"), F.col("path")).alias("file_id"), "line", F.when(spring & F.col("feign").isNotNull(), "request").otherwise(kind).alias("kind"), "method", name.alias("name"),
         urls.sanitize_url(F.col("url")).alias("url"), urls.normalize_url(F.col("url")).alias("path_form"), F.coalesce(urls.system(F.col("url")), F.lit("")).alias("system"), "detail", "scope", "member",
-        handler, function, "argument", "condition")
+        handler, function, "argument", "condition", F.when(java & (kind == "consume"), named(F.col("next.name"), F.col("next.detail"))).alias("listener"))
 
 
 def values(facts: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 BROADCAST_NODES = 100_000
 
 
-def _shared(df: DataFrame) -> DataFrame:
+def shared(df: DataFrame) -> DataFrame:
     """`df` written to the folder that driver and executors share, and read again; a temporary folder only where all is one machine."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -36,8 +36,8 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, both: bool = False) ->
     short and a lost executor repeats one step. Cycles end at visited nodes; edges and seeds may be repeated, and a null
     end leads nowhere.
     """
-    links = _shared(edges.select("src", "dst"))
-    visited = frontier = _shared(seeds.where("node is not null").select("node").distinct().withColumn("distance", F.lit(0)))
+    links = shared(edges.select("src", "dst"))
+    visited = frontier = shared(seeds.where("node is not null").select("node").distinct().withColumn("distance", F.lit(0)))
     for step in range(1, depth + 1):
         n = frontier.count()
         if not n:
@@ -47,7 +47,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, both: bool = False) ->
         if both:
             near = near.union(links.join(ends, F.col("dst") == F.col("node"), "left_semi").select("src"))
         near = near.where("node is not null").distinct()
-        frontier = _shared(near.join(visited, "node", "left_anti").withColumn("distance", F.lit(step)))
+        frontier = shared(near.join(visited, "node", "left_anti").withColumn("distance", F.lit(step)))
         visited = visited.unionByName(frontier)
     return visited
 
@@ -80,3 +80,20 @@ def hotspots(edges: DataFrame, limit: int = 20) -> DataFrame:
 def lanes(nodes: DataFrame, lane_of_label: DataFrame) -> DataFrame:
     """(lane, nodes): how many nodes (node, label) each lane (label, lane) has; labels without a lane are `Other`."""
     return nodes.join(lane_of_label, "label", "left").groupBy(F.coalesce("lane", F.lit("Other")).alias("lane")).agg(F.count("*").alias("nodes"))
+
+
+def trace(edges: DataFrame, reached: DataFrame, path_limit: int) -> DataFrame:
+    """(distance, src, dst, type, total, truncated): edges with both ends among reached (node, distance), nearest first, at most `path_limit`.
+
+    total counts all of them, so a report says what it leaves out. Ties go by src, dst and type.
+    """
+    near = edges.join(reached.select(F.col("node").alias("src"), "distance"), "src").join(reached.select(F.col("node").alias("dst")), "dst", "left_semi").select("distance", "src", "dst", "type").distinct()
+    total = near.agg(F.count("*").alias("total"))
+    first = near.orderBy("distance", "src", "dst", "type").limit(max(1, path_limit))
+    return first.join(F.broadcast(total)).withColumn("truncated", F.col("total") > max(1, path_limit))  # one row beside each
+
+
+def reached_systems(edges: DataFrame, reached: DataFrame) -> DataFrame:
+    """(system, distance, uses): external systems used by reached (node, distance), the fewest steps to one that uses it, and how many do."""
+    used = edges.where("type = 'USES_SYSTEM'").select(F.col("src").alias("node"), F.col("dst").alias("system")).distinct()
+    return used.join(reached, "node").groupBy("system").agg((F.min("distance") + 1).alias("distance"), F.count("*").alias("uses"))

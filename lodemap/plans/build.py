@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemap.functions import identity
-from lodemap.operators import extract, stitch
+from lodemap.functions import identity, urls
+from lodemap.operators import extract, relations, stitch, systems
+from lodemap.operators.traverse import shared
 
 
 def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, label, name, repo) and edges (src, dst, type, trust_status, repo) of files (repo, path, content).
 
     Links between requests and routes are SUGGESTED; all other edges are OBSERVED. Tests declare nothing that runs.
+    Facts are written to the shared folder once, and all nodes, edges and joins read them from there.
     """
-    facts = extract.facts(files)
-    live = facts.where("scope = 'runtime'")
+    facts = shared(extract.facts(files))
+    live = shared(extract.resolved(facts.where("scope = 'runtime'")))
+    steps, flows = (shared(df) for df in extract.workflow(files))
+    called, acts, begun = (shared(df) for df in (relations.calls(live), relations.actions(live), relations.starts(live, steps)))
+    channels, used = shared(relations.channels(live)), shared(systems.report(facts))
+    routed = files.select("repo", "path", urls.page_route(F.col("path")).alias("name")).where("name is not null")
+    pages = routed.unionByName(live.where("kind = 'page'").select("repo", "path", F.col("url").alias("name"))).groupBy("repo", "path").agg(F.min("name").alias("name"))
+    pages = pages.withColumn("id", identity.file_id(F.col("repo"), F.col("path")))
     app = extract.app_routes(files, live)
     routes = live.where("kind = 'route' and path_form is not null").select("repo", "path", "method", "path_form", "handler").unionByName(app.select("repo", "path", "method", "path_form", F.col("method").alias("handler")))
     routes = routes.withColumn("id", identity.route_id(F.col("repo"), F.col("method"), F.col("path_form")))
@@ -30,6 +38,14 @@ def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         .unionByName(node(members.where("kind = 'function'"), "Function", F.col("id"), F.col("member")))
         .unionByName(node(requests, "APIEndpoint", F.col("id"), F.concat_ws(" ", "method", "path_form")))
         .unionByName(node(routes, "BackendRoute", F.col("id"), F.concat_ws(" ", "method", "path_form")))
+        .unionByName(node(pages, "Page", F.col("id"), F.col("name")))
+        .unionByName(node(called, "CallSite", F.col("id"), F.concat_ws(".", "target_type", "target_method")))
+        .unionByName(node(acts, "UIAction", F.col("id"), F.concat_ws(".", "component", "event")))
+        .unionByName(node(begun, "WorkflowStart", F.col("id"), F.col("process_key")))
+        .unionByName(node(relations.processes(steps), "WorkflowProcess", F.col("id"), F.col("process")))
+        .unionByName(node(steps, "WorkflowStep", F.concat(relations.process_id(), F.lit("::step:"), "step"), F.col("step")))
+        .unionByName(node(channels.select("repo", F.explode(F.when(F.col("type") == "PUBLISHES_TO", F.array("dst")).when(F.col("type") == "CONSUMED_BY", F.array("src")).when(F.col("type") == "ROUTES_TO", F.array("src", "dst"))).alias("id")), "MessageChannel", F.col("id"), F.element_at(F.split("id", ":", 4), 4)))
+        .unionByName(node(used, "ExternalSystem", F.col("id"), F.col("name")))
         .distinct()
     )
     edge = lambda df, src, dst, kind: df.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), F.lit("OBSERVED").alias("trust_status"), "repo")
@@ -40,7 +56,21 @@ def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         .unionByName(edge(requests, F.col("file_id"), F.col("id"), "MAKES_REQUEST"))
         .unionByName(edge(routes, F.col("repo"), F.col("id"), "CONTAINS"))
         .unionByName(edge(routes, F.col("id"), file, "DECLARED_IN"))
+        .unionByName(edge(requests.where("function is not null"), identity.member_id(F.col("file_id"), F.col("function")), F.col("id"), "MAKES_REQUEST"))
+        .unionByName(edge(called, F.col("function_id"), F.col("id"), "DECLARES_CALL"))
+        .unionByName(edge(called.where("target is not null"), F.col("function_id"), F.col("target"), "CALLS"))
+        .unionByName(edge(acts, F.col("file_id"), F.col("id"), "CONTAINS"))
+        .unionByName(edge(acts.where("page_id is not null"), F.col("page_id"), F.col("id"), "HAS_ACTION"))
+        .unionByName(edge(acts.where("function_id is not null"), F.col("function_id"), F.col("id"), "DECLARES_ACTION"))
+        .unionByName(edge(begun.where("function_id is not null"), F.col("function_id"), F.col("id"), "DECLARES_START"))
+        .unionByName(edge(begun.where("target is not null"), F.col("id"), F.col("target"), "RESOLVES_TO"))
+        .unionByName(edge(begun.where("target is not null and function_id is not null"), F.col("function_id"), F.col("target"), "STARTS_PROCESS"))
+        .unionByName(edge(relations.processes(steps), file, F.col("id"), "CONTAINS"))
+        .unionByName(edge(used, F.col("file_id"), F.col("id"), "USES_SYSTEM"))
     )
+    edges = edges.unionByName(relations.imports(live).select("src", "dst", F.lit("IMPORTS").alias("type"), F.lit("OBSERVED").alias("trust_status"), "repo"))
+    for more in (channels, relations.workflow(live, steps, flows)):
+        edges = edges.unionByName(more.select("src", "dst", "type", F.lit("OBSERVED").alias("trust_status"), "repo"))
     # A handler is a function of the route's own file; a name that no function there has links nothing.
     functions = members.where("kind = 'function'").select("repo", "path", F.col("member").alias("handler"), F.col("id").alias("function_id")).distinct()
     edges = edges.unionByName(edge(routes.join(functions, ["repo", "path", "handler"]), F.col("id"), F.col("function_id"), "HANDLED_BY"))
@@ -48,3 +78,11 @@ def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         requests.select(F.col("id").alias("request_id"), "method", F.col("path_form").alias("path")), routes.select(F.col("id").alias("route_id"), "method", F.col("path_form").alias("path")).distinct())
     links = found.join(requests.select(F.col("id").alias("request_id"), "repo"), "request_id").select(F.col("request_id").alias("src"), F.col("route_id").alias("dst"), F.lit("TARGETS_ROUTE").alias("type"), "trust_status", "repo")
     return nodes, edges.unionByName(links).distinct()
+
+
+def totals(files: DataFrame) -> DataFrame:
+    """(repo, files, lines, symbols, skipped): what a scan found; a file whose content is null could not be read and is skipped."""
+    symbols = extract.facts(files).where("kind in ('class', 'function')").groupBy("repo").agg(F.count("*").alias("symbols"))
+    read = files.groupBy("repo").agg(
+        F.count("content").alias("files"), F.coalesce(F.sum(F.size(F.split("content", "\n"))), F.lit(0)).alias("lines"), F.count_if(F.col("content").isNull()).alias("skipped"))
+    return read.join(symbols, "repo", "left").select("repo", "files", "lines", F.coalesce("symbols", F.lit(0)).alias("symbols"), "skipped")

@@ -305,3 +305,46 @@ def rule_table_roles(spark, d: str) -> DataFrame:
 @query("""SELECT key, id, score FROM (SELECT o_custkey AS key, o_orderkey AS id, o_totalprice AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n = 1""")
 def seed_best_match(spark, d: str) -> DataFrame:
     return search.best_match(t.read(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score")))
+
+
+@query(f"""SELECT o_orderkey AS id, n_name AS repo, l_suppkey AS candidate_route, s_nationkey AS candidate_repo, {_TRUST} AS candidate_trust
+FROM orders JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey LEFT JOIN (lineitem JOIN supplier ON l_suppkey=s_suppkey) ON l_orderkey=o_orderkey
+WHERE NOT EXISTS (SELECT 1 FROM lineitem x WHERE x.l_orderkey=o_orderkey AND x.l_returnflag='A') GROUP BY ALL""")
+def unresolved_evidence(spark, d: str) -> DataFrame:
+    found = t.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("request_id"), F.col("l_suppkey").alias("route"), t.trust(F.col("l_returnflag")).alias("trust_status"))
+    routes = t.read(spark, d, "supplier").select(F.col("s_suppkey").alias("route"), F.col("s_nationkey").alias("repo"))
+    return coverage.evidence(t.requests(spark, d), found, routes)
+
+
+@query("""WITH r AS (SELECT o_orderkey AS id, n_name AS repo, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey=o_orderkey AND l_returnflag='A') AS ok
+FROM orders JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey), c AS (SELECT repo, count(*) FILTER (NOT ok) AS unresolved, count(*) AS requests FROM r GROUP BY 1),
+f AS (SELECT repo, string_agg('request-'||id, '; ' ORDER BY id) AS first FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY id) AS n FROM r WHERE NOT ok) WHERE n <= 3 GROUP BY 1)
+SELECT repo, unresolved, requests, unresolved||' of '||requests||' API requests do not have a validated backend route: '||first||CASE WHEN unresolved > 3 THEN '; +'||(unresolved - 3)||' more.' ELSE '.' END AS message FROM c JOIN f USING (repo)""")
+def request_warnings(spark, d: str) -> DataFrame:
+    asked = t.requests(spark, d).withColumn("label", F.concat(F.lit("request-"), F.col("id").cast("string")))
+    return coverage.request_warning(asked, t.candidates(spark, d))
+
+
+def _seed(spark, d: str) -> DataFrame:
+    return t.read(spark, d, "nation").where("n_nationkey = 7").select(F.concat(F.lit("R:"), F.col("n_nationkey").cast("string")).alias("node"))
+
+
+_NEAR = f"""e AS {_EDGES}, ok AS (SELECT * FROM e WHERE type <> 'TARGETS_ROUTE' OR trust_status = 'VALIDATED'), d1 AS (SELECT DISTINCT dst AS node FROM ok WHERE src = 'R:7'),
+d2 AS (SELECT DISTINCT dst AS node FROM ok JOIN d1 ON src = node), d3 AS (SELECT DISTINCT dst AS node FROM ok JOIN d2 ON src = node),
+reached AS (SELECT 'R:7' AS node, 0 AS distance UNION ALL SELECT node, 1 FROM d1 UNION ALL SELECT node, 2 FROM d2 UNION ALL SELECT node, 3 FROM d3)"""
+
+
+@query(f"""WITH {_NEAR}, near AS (SELECT DISTINCT distance, src, dst, type FROM ok JOIN reached a ON src = a.node WHERE dst IN (SELECT node FROM reached))
+SELECT *, (SELECT count(*) FROM near) AS total, (SELECT count(*) FROM near) > 1200 AS truncated FROM near ORDER BY distance, src, dst, type LIMIT 1200""")
+def trace_limited(spark, d: str) -> DataFrame:
+    edges = trust.traversable(t.edges(spark, d))
+    return traverse.trace(edges, traverse.reach(edges, _seed(spark, d), 3), 1200)
+
+
+@query(f"""WITH {_NEAR} SELECT dst AS system, min(distance) + 1 AS distance, count(DISTINCT src) AS uses FROM e JOIN reached ON src = node WHERE type = 'USES_SYSTEM' GROUP BY 1""")
+def entry_point_systems(spark, d: str) -> DataFrame:
+    edges = trust.traversable(t.edges(spark, d))
+    return traverse.reached_systems(edges, traverse.reach(edges, _seed(spark, d), 3))
+
+
+from lodemap.plans import samples  # noqa: E402,F401  registers its queries
