@@ -137,7 +137,7 @@ def workflow_links(spark, d: str) -> DataFrame:
     return found.selectExpr("replace(src, 'depot:refill.bpmn::process:', '') AS src", "replace(dst, 'depot:refill.bpmn::process:', '') AS dst", "type")
 
 
-@query("""SELECT * FROM (VALUES ('ui:BoxView.java::process-start:refill:14', 'refill', 'depot:refill.bpmn::process:refill')) t(id, process_key, target)""")
+@query("""SELECT * FROM (VALUES ('ui:BoxView.java::process-start:refill:15', 'refill', 'depot:refill.bpmn::process:refill')) t(id, process_key, target)""")
 def workflow_starts(spark, d: str) -> DataFrame:
     return relations.starts(_facts(spark), extract.workflow(files(spark))[0]).select("id", "process_key", "target")
 
