@@ -1,26 +1,34 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk estimator.
 
-Trusted positives P and unlabelled texts U are sampled, turned into features, and a linear model minimises
+For trusted positives P and unlabelled texts U, turned into features, a linear model minimises
     prior * risk(P as 1) + max(0, risk(U as 0) - prior * risk(P as 0)),
 the part in max() being the risk of the negatives, which no row marks. The class prior is estimated first: where
 a probe of P against U scores at least t, U(t) >= prior * P(t), so the smallest ratio bounds the prior.
+
+P is a bounded sample. Of U a sample gives the form of the risk, and all rows its value and slope: U(t) is counted in
+all of U, and a model of the samples is fitted once more with the difference of both risks to first order.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodemap.llm.common import fold, python_batches, table, with_fields
 
-#: Rows of each kind, P and U, that a fit takes at most, in the mean of the seeded draw.
+#: Rows of each kind, P and U, whose features a fit holds at most, in the mean of the seeded draw.
 TRAIN_ROWS = 4_000
+#: Ids of labelled documents are broadcast up to so many; more meet the texts by a shuffle.
+BROADCAST_ROWS = 2_000_000
+#: Sums over all rows are whole numbers of this part, so they do not depend on the order of tasks.
+SCALE = 1 << 20
 THRESHOLD = 0.7
 
 # Kinds of bytes: small letters (and all of non-ASCII), capitals, digits, blanks, line ends, each mark on its own.
@@ -80,61 +88,143 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _descend(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Adam on the non-negative risk with the logistic loss. Where the negatives' risk is below 0, its gradient is reversed."""
+def _softplus(z: np.ndarray) -> np.ndarray:
+    return np.log1p(np.exp(np.clip(z, -40, 40)))
+
+
+@dataclass
+class Shift:
+    """By how much the mean risk as 0 of all unlabelled rows is over that of the sampled ones, to first order around a model."""
+
+    at: np.ndarray
+    loss: float
+    slope: np.ndarray
+
+    def near(self, w: np.ndarray, b: float) -> float:
+        return self.loss + float(self.slope @ (np.append(w, b) - self.at))
+
+
+def _risk_as_0(x: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
+    """Rows, the sum of their logistic loss as 0, and its slope by the weights and the bias."""
+    z = x.astype(np.float64) @ w + b
+    s = _sigmoid(z)
+    return np.concatenate([[len(x), _softplus(z).sum()], s @ x, [s.sum()]])
+
+
+def _descend(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3, shift: Shift | None = None) -> tuple[np.ndarray, float]:
+    """Adam on the non-negative risk with the logistic loss. Where the negatives' risk is below 0, its gradient is reversed.
+
+    shift is added to the risk of u.
+    """
     w, b = np.zeros(p.shape[1], np.float32), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for k in range(1, steps + 1):
         sp, su = _sigmoid(p @ w + b), _sigmoid(u @ w + b)
-        below = np.log1p(np.exp(np.clip(u @ w + b, -40, 40))).mean() - prior * np.log1p(np.exp(np.clip(p @ w + b, -40, 40))).mean()
+        below = _softplus(u @ w + b).mean() - prior * _softplus(p @ w + b).mean()
         up, down = -prior * (1 - sp) / len(p), -prior * sp / len(p)
-        gu = su / len(u)
+        gu, more = su / len(u), np.zeros(len(w) + 1)
+        if shift is not None:
+            below, more = below + shift.near(w, b), shift.slope
         if below < 0:
-            up, down, gu = np.zeros_like(up), -down, -gu
+            up, down, gu, more = np.zeros_like(up), -down, -gu, -more
         gp = up + down
-        g = np.append(p.T @ gp.astype(np.float32) + u.T @ gu.astype(np.float32) + decay * w, gp.sum() + gu.sum())
+        g = np.append(p.T @ gp.astype(np.float32) + u.T @ gu.astype(np.float32) + decay * w, gp.sum() + gu.sum()) + more
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
     return w, b
 
 
+@dataclass
+class Probe:
+    """A model of P against U, thresholds that keep a fifth of other rows of P at least, and what they keep of them."""
+
+    weights: np.ndarray
+    bias: float
+    cuts: np.ndarray
+    kept: np.ndarray
+
+    @classmethod
+    def fitted(cls, p: np.ndarray, u: np.ndarray) -> Probe:
+        half = len(p) // 2
+        w, b = _descend(p[:half], u, 0.5, steps=150)
+        scores = p[half:].astype(np.float64) @ w + b
+        cuts = np.quantile(scores, np.linspace(0.0, 0.8, 41))
+        return cls(w, b, cuts, (scores[:, None] >= cuts).mean(0))
+
+    def counts(self, x: np.ndarray) -> np.ndarray:
+        """Rows, and how many of them each threshold keeps."""
+        scores = x.astype(np.float64) @ self.weights + self.bias
+        return np.append(len(x), (scores[:, None] >= self.cuts).sum(0)).astype(np.float64)
+
+    def prior(self, counts: np.ndarray) -> float:
+        ratios = counts[1:] / max(1.0, counts[0]) / np.maximum(self.kept, 1e-9)
+        return float(np.clip(ratios.min(), 0.05, 0.98))
+
+
 def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """The share of positives in U: the smallest U(t) / P(t) over thresholds that keep a fifth of P at least."""
-    half_p, half_u = len(p) // 2, len(u) // 2
-    w, b = _descend(p[:half_p], u[:half_u], 0.5, steps=150)
-    sp, su = p[half_p:] @ w + b, u[half_u:] @ w + b
-    cuts = np.quantile(sp, np.linspace(0.0, 0.8, 41))
-    ratios = [(su >= t).mean() / max((sp >= t).mean(), 1e-9) for t in cuts]
-    return float(np.clip(min(ratios), 0.05, 0.98))
+    """The share of positives in U, from features of both: a probe learns one half of each and is read on the other."""
+    probe = Probe.fitted(p, u[: len(u) // 2])
+    return probe.prior(probe.counts(u[len(u) // 2 :]))
+
+
+def totals(texts: DataFrame, add: Callable[[np.ndarray], np.ndarray], width: int) -> np.ndarray:
+    """The sum over all rows of texts (text) of `add`, which gives `width` sums of a batch's features.
+
+    A task sends one row for each of the sums; they are added by Spark.
+    """
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(width, np.int64)
+        for batch in batches:
+            if len(batch):
+                total += np.rint(add(np.stack([features(t) for t in batch["text"]])) * SCALE).astype(np.int64)
+        yield pd.DataFrame({"k": np.arange(width), "v": total})
+
+    found = texts.select("text").mapInPandas(part, "k int, v long").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(width)
+    for r in found:
+        out[r["k"]] = r["v"] / SCALE
+    return out
 
 
 def fit(positives: DataFrame, unlabelled: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 11) -> Model | None:
-    """A model from two tables (doc_id, text); None where one is empty.
+    """A model from two tables (doc_id, text); None where one is empty. Null texts teach nothing.
 
-    At most about `train_rows` rows of each, drawn by a seeded hash of their ids, come to the driver as features.
+    At most about `train_rows` rows of each, drawn by a seeded hash of their ids, come to the driver as features. The
+    other rows of `unlabelled` are read twice: for the prior, without those that the probe learned, and for their risk.
     """
 
-    def sample(rows: DataFrame) -> np.ndarray:
-        rows = rows.select("doc_id", "text").where("text is not null")
+    def drawn(rows: DataFrame) -> Column:
         share = min(1.0, train_rows / max(1, rows.count()))
-        drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000)
+        return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < F.lit(share * 1_000_000)
 
+    def sample(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         def shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                yield pd.DataFrame({"doc_id": b["doc_id"], "x": [features(t).tobytes() for t in b["text"]]})
-
-        found = drawn.mapInPandas(shapes, "doc_id long, x binary").orderBy("doc_id", "x").toLocalIterator()
-        rows = b"".join(bytes(r["x"]) for r in found)  # one partition after another, in order
-        return np.frombuffer(rows, np.float32).reshape(-1, WIDTH)
-
-    p, u = sample(positives), sample(unlabelled)
+                yield pd.DataFrame({"doc_id": b["doc_id"], "probe": b["probe"], "x": [features(t).tobytes() for t in b["text"]]})
+
+        found = rows.select("doc_id", "probe", "text").mapInPandas(shapes, "doc_id long, probe boolean, x binary").orderBy("doc_id", "x").toLocalIterator()
+        flags, parts = [], []
+        for r in found:  # one partition after another, in order
+            flags.append(r["probe"])
+            parts.append(bytes(r["x"]))
+        return np.frombuffer(b"".join(parts), np.float32).reshape(-1, WIDTH), np.array(flags, bool)
+
+    half = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(2)) == 0, F.lit(True)).alias("probe")
+    positives, unlabelled = (rows.select("doc_id", "text", half).where("text is not null") for rows in (positives, unlabelled))
+    some = drawn(unlabelled)
+    (p, _), (u, learned) = sample(positives.where(drawn(positives))), sample(unlabelled.where(some))
     if len(p) < 2 or len(u) < 2:
         return None
-    rng = np.random.default_rng(seed)
-    p, u = p[rng.permutation(len(p))], u[rng.permutation(len(u))]
-    prior = estimate_prior(p, u)
+    p = p[np.random.default_rng(seed).permutation(len(p))]
+    learned = learned if 0 < learned.sum() < len(u) else np.arange(len(u)) % 2 == 0
+    probe = Probe.fitted(p, u[learned])
+    prior = probe.prior(totals(unlabelled.where(~(some & F.col("probe"))), probe.counts, len(probe.cuts) + 1))
     w, b = _descend(p, u, prior)
+    of_all, of_some = (sums[1:] / max(1.0, sums[0]) for sums in (totals(unlabelled, partial(_risk_as_0, w=w, b=b), WIDTH + 3), _risk_as_0(u, w, b)))
+    more = of_all - of_some
+    w, b = _descend(p, u, prior, shift=Shift(np.append(w, b), float(more[0]), more[1:]))
     return Model(w.astype(np.float64), float(b), prior)
 
 
@@ -160,7 +250,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """
     known = docs.where(fold(F.col("doc_id"), 4) != 2).select("doc_id", "text")
     marks = labels.where(fold(F.col("doc_id"), 4) != 2).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return fit(known.join(marks.where("quality = 1").select("doc_id"), "doc_id", "left_semi"), known.join(marks.select("doc_id"), "doc_id", "left_anti"))
+    seen = marks.select("doc_id")
+    if labels.count() <= BROADCAST_ROWS:  # else all texts that a pass reads are shuffled
+        seen = F.broadcast(seen)
+    return fit(known.join(marks.where("quality = 1").select("doc_id"), "doc_id", "left_semi"), known.join(seen, "doc_id", "left_anti"))
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import zlib
 
@@ -283,6 +284,52 @@ def test_prior_is_near_the_share_of_positives():
     assert abs(quality.estimate_prior(p, u[rng.permutation(2000)]) - 0.7) < 0.1
 
 
+def test_quality_risk_and_slope():
+    rng = np.random.default_rng(8)
+    p, u = rng.random((30, 4), np.float32), rng.random((50, 4), np.float32)
+    w, b, tiny = rng.normal(size=4), 0.3, 1e-6
+    got = quality._risk_as_0(u, w, b)
+    loss = lambda w, b: sum(math.log1p(math.exp(sum(a * c for a, c in zip(row, w)) + b)) for row in u.tolist())
+    assert got[0] == 50 and abs(got[1] - loss(w, b)) < 1e-6
+    for k in range(4):
+        assert abs(got[2 + k] - (loss(w + tiny * np.eye(4)[k], b) - loss(w - tiny * np.eye(4)[k], b)) / (2 * tiny)) < 1e-3
+    assert abs(got[6] - (loss(w, b + tiny) - loss(w, b - tiny)) / (2 * tiny)) < 1e-3
+    # With no shift the fit goes on as it was; with one that favours rows as 0 the weights follow it.
+    none = quality.Shift(np.append(w, b), 0.0, np.zeros(5))
+    assert np.allclose(quality._descend(p, u, 0.4)[0], quality._descend(p, u, 0.4, shift=none)[0])
+    assert quality._descend(p, u, 0.4, shift=quality.Shift(np.append(w, b), 0.0, np.array([0, 0, 0, 0, 0.3])))[1] < quality._descend(p, u, 0.4)[1]
+
+
+def test_quality_sums_all_unlabelled_rows(spark, documents):
+    rows = [(i, "Plain words in a line, as they come." if i % 3 else f"BUY!! NOW!! $$$ {i} | ###") for i in range(400)]
+    docs = documents(rows, extra=False)
+    w = np.linspace(-1, 1, quality.WIDTH)
+    got = quality.totals(docs, lambda x: quality._risk_as_0(x, w, 0.1), quality.WIDTH + 3)
+    assert np.allclose(got, quality._risk_as_0(np.stack([quality.features(t) for _, t in rows]), w, 0.1), atol=1e-3)
+    assert not quality.totals(docs.limit(0), lambda x: quality._risk_as_0(x, w, 0.1), quality.WIDTH + 3).any()
+    # The prior is counted in all rows, however few features a fit holds.
+    good = documents([(i, t) for i, t in rows if i % 3 and i < 120], extra=False)
+    full, few = quality.fit(good, docs), quality.fit(good, docs, train_rows=60)
+    assert abs(full.prior - 2 / 3) < 0.1 and abs(few.prior - 2 / 3) < 0.1
+
+
+def test_quality_fit_of_a_sample_follows_the_risk_of_all_rows():
+    """At one prior, a sample's model is nearer to that of all rows once their risk is added."""
+    rng = np.random.default_rng(5)
+    p = rng.normal(0.7, 1, (400, 3)).astype(np.float32)
+    u = np.concatenate([rng.normal(0.7, 1, (3000, 3)), rng.normal(-0.7, 1, (3000, 3))]).astype(np.float32)
+    u = u[rng.permutation(len(u))]
+    whole, nearer = np.append(*quality._descend(p, u, 0.5)), 0
+    for k in range(10):
+        some = u[k * 100 : k * 100 + 100]
+        w, b = quality._descend(p, some, 0.5)
+        of_all, of_some = (s[1:] / s[0] for s in (quality._risk_as_0(u, w, b), quality._risk_as_0(some, w, b)))
+        shift = quality.Shift(np.append(w, b), float((of_all - of_some)[0]), (of_all - of_some)[1:])
+        again = np.append(*quality._descend(p, some, 0.5, shift=shift))
+        nearer += np.linalg.norm(again - whole) < np.linalg.norm(np.append(w, b) - whole)
+    assert nearer >= 9
+
+
 def slow_overlaps(text, items):
     """Every diagonal with a window that some mask keeps whole, all stretches of it: {item: (most matches, first place)}."""
     words, found = decontaminate.tokens(text), {}
