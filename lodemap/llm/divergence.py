@@ -121,7 +121,7 @@ def _tile(most: int):
     def tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """Partial sums of pairs of sources, both ways, and the best terms of each source of a diagonal tile.
 
-        Rows without a term are the sources of the tile with the sizes of source and language; the others are counts.
+        Rows without a term are the sources of the tile with the sizes of source, language and block of terms; the others are counts.
         """
         lang, first, second = key[0], key[2], key[3]
         groups = rows[rows["term"].isna()].drop_duplicates("source").sort_values("source", kind="stable")
@@ -131,12 +131,16 @@ def _tile(most: int):
         dense = np.zeros((len(groups), len(terms)), np.int64)
         at = counts["source"].map(place).to_numpy(np.int64)
         dense[at, column] = counts["n"].to_numpy(np.int64)
-        kept = groups["terms"].to_numpy(np.int64)[:, None]
-        p = proportion(dense, groups["size"].to_numpy(np.int64)[:, None], kept)
+        kept, size = groups["terms"].to_numpy(np.int64)[:, None], groups["size"].to_numpy(np.int64)[:, None]
+        p = proportion(dense, size, kept)
         out = []
         names, block = groups["source"].to_numpy(dtype=object), groups["block"].to_numpy(np.int64)
         a, b = np.flatnonzero(block == first), np.flatnonzero(block == second)
         sums = pair_sums(p[a], p[b])
+        # Kept terms that no source of the tile has are not in its rows; they are alike.
+        if absent := int(groups["part_terms"].iloc[0]) - len(terms):
+            none = proportion(np.zeros_like(size), size, kept)
+            sums += absent * pair_sums(none[a], none[b])
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 if x != y:
@@ -176,7 +180,8 @@ def audit(docs: DataFrame, least: int = 10, most: int = 10) -> DataFrame:
     with Tables(spark) as scratch:
         counts = scratch.written(term_counts(docs).where(F.col("df") >= least).select("lang", "source", "term", "n", "total"), "counts")
         sizes = counts.groupBy("lang", "source").agg(F.sum("n").alias("size"))
-        terms = counts.groupBy("lang", "term").agg(F.first("total").alias("total")).groupBy("lang").agg(F.count("*").alias("terms"), F.sum("total").alias("lang_size"))
+        kept = scratch.written(counts.groupBy("lang", "term").agg(F.first("total").alias("total")), "terms")
+        terms = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("total").alias("lang_size"))
         place = (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("long")
         zero = F.lit(0).cast("long")
         groups = docs.select(named("lang"), named("source")).distinct().join(sizes, ["lang", "source"], "left").join(terms, "lang", "left")
@@ -188,9 +193,11 @@ def audit(docs: DataFrame, least: int = 10, most: int = 10) -> DataFrame:
         in_tiles = lambda df, *columns: df.withColumn("other", other).select("lang", "part", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), *columns)
         placed = _joined(_joined(counts, groups.select("lang", "source", "block"), number, ["lang", "source"]), side, number, ["lang"])
         none = lambda name, kind: F.lit(None).cast(kind).alias(name)
-        numbers = in_tiles(placed.withColumn("part", F.pmod(F.xxhash64("term"), F.col("parts"))), "source", "term", "n", "total", none("size", "long"), none("terms", "long"), none("lang_size", "long"), "block")
-        marks = groups.join(side, "lang").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        marks = in_tiles(marks, "source", none("term", "string"), none("n", "long"), none("total", "long"), "size", "terms", "lang_size", "block")
+        part = F.pmod(F.xxhash64("term"), F.col("parts"))
+        numbers = in_tiles(placed.withColumn("part", part), "source", "term", "n", "total", none("size", "long"), none("terms", "long"), none("lang_size", "long"), none("part_terms", "long"), "block")
+        in_part = _joined(kept, side, number, ["lang"]).groupBy("lang", part.alias("part")).agg(F.count("*").alias("part_terms"))
+        marks = groups.join(side, "lang").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).join(in_part, ["lang", "part"], "left").fillna(0, "part_terms")
+        marks = in_tiles(marks, "source", none("term", "string"), none("n", "long"), none("total", "long"), "size", "terms", "lang_size", "part_terms", "block")
         found = scratch.written(numbers.unionByName(marks).groupBy("lang", "part", "first", "second").applyInPandas(_tile(most), TILE), "tiles")
         pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
         every = pairs.unionByName(found.where("part = 'term'").select("lang", "source", "part", "item", "value"))
