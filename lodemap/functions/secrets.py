@@ -19,8 +19,9 @@ FORMATS = [
 ]
 KINDS = [*[k for k, _ in FORMATS], "assigned"]
 
-#: A name, a sign of assignment and a quoted value without blanks.
-ASSIGNMENT = r"([A-Za-z][A-Za-z0-9_.-]*)[\x22\x27]?\s*(?:=>|:=|=|:)\s*[\x22\x27]([^\x22\x27\s]+)[\x22\x27]"
+#: A name, a sign of assignment and a quoted value without blanks. A word is tried once, from its first letter, and given
+#: back never, so the time is linear in the text however long a word is.
+ASSIGNMENT = r"(?<![A-Za-z0-9_.-])[0-9_.-]*+([A-Za-z][A-Za-z0-9_.-]*+)[\x22\x27]?\s*+(?:=>|:=|=|:)\s*+[\x22\x27]([^\x22\x27\s]++)[\x22\x27]"
 #: Last parts of names, in lower case, whose value is kept from others.
 NAMES = r"(?:pass|passwd|password|passphrase|pwd|secret|credential|credentials|token|apikey|(?:api|access|private|signing|client|secret)[_.-]?key)$"
 #: A secret has so many characters at least, and so many different ones.
@@ -31,12 +32,11 @@ STAND_IN = r"^(?:[$%#]?\{.*\}|<.*>|\[.*\]|%.*%|\$\w+)$|example|sample|dummy|plac
 
 def assigned(text: Column) -> Column:
     """The names of those assignments of a text whose value is a secret, in order."""
-    matches = F.regexp_extract_all(text, F.lit(ASSIGNMENT), F.lit(0))
-    name = lambda m: F.lower(F.regexp_extract(m, ASSIGNMENT, 1))
-    value = lambda m: F.regexp_extract(m, ASSIGNMENT, 2)
+    group = lambda k: F.regexp_extract_all(text, F.lit(ASSIGNMENT), F.lit(k))
+    matches = F.arrays_zip(F.transform(group(1), F.lower).alias("name"), group(2).alias("value"))
     varied = lambda v: F.size(F.array_distinct(F.split(v, ""))) >= VARIED
-    secret = lambda m: name(m).rlike(NAMES) & (F.length(value(m)) >= LEAST) & varied(value(m)) & ~F.lower(value(m)).rlike(STAND_IN)
-    return F.transform(F.filter(matches, secret), name)
+    secret = lambda m: m["name"].rlike(NAMES) & (F.length(m["value"]) >= LEAST) & varied(m["value"]) & ~F.lower(m["value"]).rlike(STAND_IN)
+    return F.transform(F.filter(matches, secret), lambda m: m["name"])
 
 
 def found(text: Column, kind: str) -> Column:

@@ -1,20 +1,24 @@
-"""Facts of source files by rules: each rule is a regular expression on a line, and says what its groups are.
+"""Facts of source files by rules: what a file declares, asks for and answers, one row each.
 
-Files are exploded into lines once; a line meets the rules of its language in one projection. Block comments are
-masked first by a small function that keeps lengths and line ends, so commented code yields nothing and line
-numbers hold.
+Tasks look at one file at a time: comments are masked, classes and functions found with the blocks they span, and the
+rules of the file's language, regular expressions and calls with arguments, are applied to the whole text. A statement
+may go over several lines, and a line may have any number of facts. No shuffle is needed for the facts. Values that
+are not written where they are used stay open, as terms; operators.values finds them by joins.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemap.functions import identity, urls
+from lodemap.functions import identity, source, urls
+from lodemap.functions.source import Places, mask_comments  # noqa: F401
+from lodemap.sources.session import worker_path
 
 
 @dataclass(frozen=True)
@@ -27,297 +31,475 @@ class Rule:
     fields: dict
 
 
-_QUOTED = r"[\x22\x27`]([^\x22\x27`]*)[\x22\x27`]"
+_QUOTED = r"[\x22\x27`]([^\x22\x27`\n]*)[\x22\x27`]"
+_JS = "js|jsx|ts|tsx"
 
-# What a line of a language declares or does.
+# What a text of a language declares or does.
 RULES = [
-    Rule("import", "py", r"^\s*(?:from|import)\s+([\w.]+)", {"name": 1}),
-    Rule("class", "py", r"^\s*class\s+(\w+)", {"name": 1}),
-    Rule("function", "py", r"^\s*(?:async\s+)?def\s+(\w+)", {"name": 1}),
-    Rule("route", "py", r"^\s*@(?:router|app|api|blueprint|bp)\.(get|post|put|patch|delete)\(\s*" + _QUOTED, {"method": 1, "url": 2}),
-    Rule("request", "py", r"\b(?:httpx|requests|client|session)\.(get|post|put|patch|delete)\(\s*f?" + _QUOTED, {"method": 1, "url": 2}),
+    Rule("import", "py", r"^[ \t]*from[ \t]+([\w.]+)[ \t]+import\b", {"name": 1}),
+    Rule("import", "py", r"^[ \t]*import[ \t]+([\w., \t]+)", {"name": 1}),
+    Rule("route", "py", r"^[ \t]*@(?:router|app|api|blueprint|bp)\.(get|post|put|patch|delete)\(\s*" + _QUOTED, {"method": 1, "url": 2}),
     Rule("system", "py", r"\b(?:psycopg2?|asyncpg)\b", {"name": "postgresql", "detail": "database"}),
+    Rule("system", "py", r"\bRedis\.from_url\(", {"name": "redis", "detail": "datastore"}),
     Rule("system", "py", r"\.(?:rpush|lpush|lpop|rpop|blpop)\(", {"name": "redis", "detail": "messaging"}),
-    Rule("import", "js|jsx|ts|tsx", r"^\s*import\b.*?from\s+" + _QUOTED, {"name": 1}),
-    Rule("class", "js|jsx|ts|tsx", r"\bclass\s+(\w+)", {"name": 1}),
-    Rule("function", "js|jsx|ts|tsx", r"\bfunction\s+(\w+)\s*\(", {"name": 1}),
-    Rule("function", "js|jsx|ts|tsx", r"\bconst\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?\([^)]*\)\s*(?::[^=]+)?=>", {"name": 1}),
-    Rule("request", "js|jsx|ts|tsx", r"\bfetch\(\s*" + _QUOTED, {"method": "GET", "url": 1}),
-    Rule("request", "js|jsx|ts|tsx", r"\b(axios|api|client|http)\.(get|post|put|patch|delete)(?:<[^(]*>)?\(\s*" + _QUOTED, {"argument": 1, "method": 2, "url": 3}),
-    Rule("route", "js|jsx|ts|tsx", r"\b(?:router|app)\.(get|post|put|patch|delete)\(\s*" + _QUOTED + r"(?:\s*,\s*(\w+))?", {"method": 1, "url": 2, "name": 3}),
-    Rule("handler", "js|jsx|ts|tsx", r"^\s*export\s+(?:async\s+)?function\s+(GET|POST|PUT|PATCH|DELETE)\b", {"method": 1}),
-    Rule("import", "go", r"^\s*(?:import\s+)?(?:\w+\s+)?\x22([\w./-]+)\x22\s*$", {"name": 1}),
-    Rule("class", "go", r"^\s*type\s+(\w+)\s+(?:struct|interface)\b", {"name": 1}),
-    Rule("function", "go", r"^\s*func\s+(?:\([^)]*\)\s*)?(\w+)\s*\(", {"name": 1}),
-    Rule("route", "go", r"\b(\w+)\.(GET|POST|PUT|PATCH|DELETE)\(\s*" + _QUOTED + r"(?:.*[\s,.](\w+)\s*\)\s*$)?", {"method": 2, "url": 3, "argument": 1, "name": 4}),
-    Rule("group", "go", r"\b(\w+)\s*:?=\s*(\w+)\.Group\(\s*" + _QUOTED, {"name": 1, "argument": 2, "url": 3}),
-    Rule("request", "go", r"\bhttp\.NewRequest\(\s*\x22(\w+)\x22\s*,\s*" + _QUOTED, {"method": 1, "url": 2}),
-    Rule("import", "java", r"^\s*import\s+(?:static\s+)?([\w.]+)\s*;", {"name": 1}),
-    Rule("class", "java", r"\b(?:class|interface|record|enum)\s+(\w+)", {"name": 1}),
-    Rule("function", "java", r"^\s*(?:@\w+\s+)*(?:(?:public|protected|private|static|final|synchronized|default)\s+)*(?!return\b|new\b|else\b|throw\b|case\b)[\w.]+(?:<[^(){}]*>)?(?:\[\])*\s+(?!if\b|for\b|while\b|switch\b|catch\b)(\w+)\s*\(([^)]*)\)?[^;=]*(?:\{.*|,\s*)$", {"name": 1, "detail": 2}),
-    Rule("base", "java", r"^@RequestMapping\(\s*(?:(?:value|path)\s*=\s*)?\{?\s*" + _QUOTED, {"url": 1}),
-    Rule("route", "java", r"@(Get|Post|Put|Patch|Delete)Mapping\b(?:\(\s*(?:(?:value|path)\s*=\s*)?\{?\s*" + _QUOTED + ")?", {"method": 1, "url": 2}),
-    Rule("request", "java", r"\.(get|post)For(?:Object|Entity)\(\s*(?:\x22([^\x22]*)\x22|(\w+)\s*,)", {"method": 1, "url": 2, "argument": 3}),
-    Rule("request", "java", r"\.exchange\(\s*(?:\x22([^\x22]*)\x22|(\w+))\s*,\s*HttpMethod\.(\w+)", {"method": 3, "url": 1, "argument": 2}),
-    Rule("request", "java", r"\b(?:restTemplate|rest|client)\.delete\(\s*(?:\x22([^\x22]*)\x22|(\w+)\s*[,)])", {"method": "DELETE", "url": 1, "argument": 2}),
-    Rule("request", "java", r"\.(get|post|put|patch|delete)\(\)\s*\.uri\(\s*\x22([^\x22]*)\x22", {"method": 1, "url": 2}),
-    Rule("feign", "java", r"^@FeignClient\(\s*(?:(?:name|value)\s*=\s*)?" + _QUOTED, {"name": 1}),
-    Rule("package", "java", r"^\s*package\s+([\w.]+)\s*;", {"name": 1}),
-    Rule("value", "java", r"\bString\s+(\w+)\s*=\s*(?:[\w.()]+\s*\+\s*)?\x22([^\x22]*)\x22\s*(\+)?", {"name": 1, "detail": 2, "argument": 3}),
-    Rule("default", "java", r"@Value\(\s*\x22\$\{[^:}]+:([^}]*)\}", {"detail": 1}),
-    Rule("returns", "java", r"^\s*return\s+(?:\x22([^\x22]*)\x22|(?:this\.)?(\w+)(?:\(\))?)\s*;", {"detail": 1, "argument": 2}),
-    Rule("field", "java", r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:private|protected|public|final|static)\s+)*([A-Z]\w*)(?:<[^;=]*>)?\s+(\w+)\s*(?:=|;)", {"name": 2, "detail": 1}),
-    Rule("delegate", "java", r"\bclass\s+(\w+)\b.*\bimplements\b.*\bJavaDelegate\b", {"name": 1}),
-    Rule("page", "java", r"@Route\(\s*" + _QUOTED, {"url": 1}),
-    Rule("consume", "java", r"@KafkaListener\(.*?topics\s*=\s*\{?\s*(?:\x22([^\x22]*)\x22|(\w+))", {"name": 1, "argument": 2, "detail": "kafka"}),
-    Rule("consume", "java", r"@RabbitListener\(.*?queues\s*=\s*\{?\s*(?:\x22([^\x22]*)\x22|(\w+))", {"name": 1, "argument": 2, "detail": "rabbitmq"}),
-    Rule("consume", "java", r"@JmsListener\(.*?destination\s*=\s*(?:\x22([^\x22]*)\x22|(\w+))", {"name": 1, "argument": 2, "detail": "jms"}),
-    Rule("publish", "java", r"\bkafkaTemplate\.send\(\s*(?:\x22([^\x22]*)\x22|(\w+))", {"name": 1, "argument": 2, "detail": "kafka"}),
-    Rule("publish", "java", r"\brabbitTemplate\.convertAndSend\(\s*(?:\x22[^\x22]*\x22|\w+)\s*,\s*(?:\x22([^\x22]*)\x22|(\w+))", {"name": 1, "argument": 2, "detail": "rabbitmq"}),
-    Rule("publish", "java", r"\bjmsTemplate\.convertAndSend\(\s*(?:\x22([^\x22]*)\x22|(\w+))", {"name": 1, "argument": 2, "detail": "jms"}),
-    Rule("binding", "java", r"\bBindingBuilder\.bind\(\s*(\w+)(?:\(\))?\s*\).*?\.with\(\s*(?:\x22([^\x22]*)\x22|(\w+))", {"detail": 1, "name": 2, "argument": 3}),
-    Rule("start", "java", r"\.startProcess(?:InstanceByKey(?:AndTenantId)?)?\(\s*(?:\x22([^\x22]*)\x22|(\w+))", {"name": 1, "argument": 2}),
+    Rule("import", _JS, r"^[ \t]*import\b[^;\x22\x27`]*?from\s+" + _QUOTED, {"name": 1}),
+    Rule("import", _JS, r"^[ \t]*import\s+" + _QUOTED, {"name": 1}),
+    Rule("handler", _JS, r"^[ \t]*export\s+(?:async\s+)?function\s+(GET|POST|PUT|PATCH|DELETE)\b", {"method": 1}),
+    Rule("import", "go", r"^[ \t]*(?:import\s+)?(?:(\w+)[ \t]+)?\x22([\w./-]+)\x22[ \t]*$", {"name": 2, "argument": 1}),
+    Rule("module", "mod", r"^[ \t]*module[ \t]+(\S+)", {"name": 1}),
+    Rule("import", "java", r"^[ \t]*import\s+(?:static\s+)?([\w.]+)\s*;", {"name": 1}),
+    Rule("package", "java", r"^[ \t]*package\s+([\w.]+)\s*;", {"name": 1}),
+    Rule("field", "java", r"(?:^|(?<=[{};]))[ \t]*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:private|protected|public|final|static)\s+)*([A-Z]\w*)(?:<[^;=]*>)?\s+(\w+)\s*(?:=|;)", {"name": 2, "detail": 1}),
+    Rule("delegate", "java", r"\bclass\s+(\w+)\b[^{]*\bimplements\b[^{]*\bJavaDelegate\b", {"name": 1}),
+    Rule("resource", "java", r"@JsonApiResource\s*\(\s*(?:type\s*=\s*)?" + _QUOTED, {"name": 1}),
     Rule("action", "java", r"\b(\w+)\.add(Click|Selection)Listener\(", {"method": 2, "name": 1}),
     Rule("system", "java", r"\bopsForValue\(\)", {"name": "redis", "detail": "datastore"}),
     Rule("system", "java", r"\b(?:redisTemplate|stringRedisTemplate)\.convertAndSend\(", {"name": "redis", "detail": "pubsub"}),
+    Rule("prefix", "properties", r"^[ \t]*(crnk|katharsis)\.pathPrefix\s*[=:]\s*(\S*)", {"name": 1, "url": 2}),
     Rule("system", "properties", r"^spring\.datasource\.url\s*=\s*jdbc:(\w+):", {"name": 1, "detail": "database"}),
     Rule("system", "properties", r"^spring\.cache\.type\s*=\s*(redis)", {"name": 1, "detail": "cache"}),
     Rule("system", "properties", r"^spring\.data\.(redis)\.", {"name": 1, "detail": "datastore"}),
-    Rule("system", "prisma", r"^\s*provider\s*=\s*\x22(postgresql|mysql|sqlite|mongodb)\x22", {"name": 1, "detail": "database"}),
+    Rule("system", "prisma", r"^[ \t]*provider\s*=\s*\x22(postgresql|mysql|sqlite|mongodb)\x22", {"name": 1, "detail": "database"}),
     Rule("system", "sql", r"(?i)create\s+extension\s+.*\b(?:pg_trgm|postgis|pgcrypto|citext)\b", {"name": "postgresql", "detail": "database"}),
-    Rule("system", "properties", r"(?i)^\s*[\w.-]*(whatsapp|stripe|twilio|sendgrid|paypal)[\w.-]*\s*[=:]", {"name": 1}),
-    Rule("system", "properties", r"(?i)^\s*[\w.-]*provider\s*[=:]\s*(whatsapp|stripe|twilio|sendgrid|paypal)\b", {"name": 1}),
-    Rule("system", "yml|yaml", r"\bjdbc:(\w+):", {"name": 1, "detail": "database"}),
-    Rule("system", "yml|yaml", r"^\s*image:\s*[\x22']?(?:[\w./-]*/)?(postgres|mysql|mariadb|redis|mongo|rabbitmq|kafka)\b", {"name": 1, "detail": "container"}),
-    Rule("system", "txt|toml", r"^\s*[\x22']?(psycopg2?|asyncpg|redis|pymongo|kafka-python|pika|stripe|twilio)\b", {"name": 1, "detail": "dependency"}),
-    Rule("system", "mod", r"^\s*(?:require\s+)?github\.com/(?:redis|go-redis|jackc|lib)/(redis|go-redis|pgx|pq)\b", {"name": 1, "detail": "dependency"}),
-    Rule("system", "json", r"^\s*\x22(pg|mysql2?|redis|ioredis|mongodb|kafkajs|amqplib|stripe|twilio)\x22\s*:\s*\x22", {"name": 1, "detail": "dependency"}),
-    Rule("mail", "properties", r"^\s*spring\.mail\.(host|port)\s*[=:]\s*([\w.-]+)", {"method": 1, "name": 2}),
-    Rule("client", "js|jsx|ts|tsx", r"\bconst\s+(\w+)\s*=\s*axios\.create\(.*?\bbaseURL\s*:\s*" + _QUOTED, {"name": 1, "url": 2}),
-    Rule("perhaps", "js|jsx|ts|tsx", r"\b(?!(?:axios|api|client|http|router|app)\.)(\w+)\.(get|post|put|patch|delete)(?:<[^(]*>)?\(\s*" + _QUOTED, {"argument": 1, "method": 2, "url": 3}),
-    Rule("host", "py|js|jsx|ts|tsx|go|java|properties", r"(https?://[^\s\x22\x27`<>\\]+)", {"url": 1}),
+    Rule("system", "properties", r"(?i)^[ \t]*[\w.-]*(whatsapp|stripe|twilio|sendgrid|paypal)[\w.-]*\s*[=:]", {"name": 1}),
+    Rule("system", "properties", r"(?i)^[ \t]*[\w.-]*provider\s*[=:]\s*(whatsapp|stripe|twilio|sendgrid|paypal)\b", {"name": 1}),
+    Rule("system", "yml|yaml|gradle|xml", r"\bjdbc:(\w+):", {"name": 1, "detail": "database"}),
+    Rule("system", "yml|yaml", r"^[ \t]*image:\s*[\x22']?(?:[\w./-]*/)?(postgres|mysql|mariadb|redis|mongo|rabbitmq|kafka)\b", {"name": 1, "detail": "container"}),
+    Rule("system", "txt|toml", r"^[ \t]*[\x22']?(psycopg2?|asyncpg|redis|pymongo|kafka-python|pika|stripe|twilio)\b", {"name": 1, "detail": "dependency"}),
+    Rule("system", "gradle", r"[\x22'](?:[\w.-]+:)(postgresql|jedis|mysql-connector-j|kafka-clients|amqp-client)\b", {"name": 1, "detail": "dependency"}),
+    Rule("system", "xml", r"<artifactId>\s*(postgresql|jedis|mysql-connector-j|kafka-clients|amqp-client)\s*</artifactId>", {"name": 1, "detail": "dependency"}),
+    Rule("system", "mod", r"^[ \t]*(?:require\s+)?github\.com/(?:redis|go-redis|jackc|lib)/(redis|go-redis|pgx|pq)\b", {"name": 1, "detail": "dependency"}),
+    Rule("system", "json", r"^[ \t]*\x22(pg|mysql2?|redis|ioredis|mongodb|kafkajs|amqplib|stripe|twilio)\x22\s*:\s*\x22", {"name": 1, "detail": "dependency"}),
+    Rule("mail", "properties", r"^[ \t]*spring\.mail\.(host|port)\s*[=:]\s*([\w.-]+)", {"method": 1, "name": 2}),
+    Rule("host", "py|go|java|properties|" + _JS, r"(https?://[^\s\x22\x27`<>\\]+)", {"url": 1}),
 ]
 FIELDS = ("method", "name", "url", "detail", "argument")
-CALL = r"\b([a-z]\w*)\.([a-z]\w*)\("
-#: What decides on conditions: strings are skipped, as nothing in them counts.
-TOKEN = re.compile(r""""(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|\bif\s*\(|\belse\b|[{};\n]""")
-DEFAULT = r"\$\{[^:}]+:([^}]*)\}"
-
-
-def mask_comments(source: str, line: str = "//") -> str:
-    """`source` with comments blanked out: same length, same line ends; strings and characters stay."""
-    out, i, n = list(source), 0, len(source)
-    while i < n:
-        c = source[i]
-        if c in "\"'`":
-            j = i + 1
-            while j < n and source[j] != c and (c == "`" or source[j] != "\n"):
-                j += 2 if source[j] == "\\" else 1
-            i = min(j, n - 1) + 1
-            continue
-        end = -1
-        if source.startswith("/*", i) and line == "//":
-            end = source.find("*/", i + 2)
-            end = n if end < 0 else end + 2
-        elif source.startswith(line, i):
-            end = source.find("\n", i)
-            end = n if end < 0 else end
-        if end < 0:
-            i += 1
-            continue
-        for k in range(i, end):
-            if source[k] not in "\r\n":
-                out[k] = " "
-        i = end
-    return "".join(out)
-
-
-def guards(masked: str) -> list[str | None]:
-    """For each line of a source without comments, the conditions of the `if` and `else` blocks that it stands in, outermost first.
-
-    A condition may go over several lines. The branch of an `else` is NOT (condition).
-    """
-    found: list[str | None] = []
-    blocks: list[str | None] = []  # one entry for each open brace
-    waiting, closed, i, line_guard = None, None, 0, None
-    while hit := TOKEN.search(masked, i):
-        i, text = hit.end(), hit.group()
-        if text == "\n":
-            found.append(line_guard or _joined(blocks, waiting))
-            line_guard = None
-        elif text == "{":
-            blocks.append(waiting)
-            waiting = closed = None
-        elif text == "}":
-            line_guard = line_guard or _joined(blocks, None)
-            closed = blocks.pop() if blocks else None
-        elif text == ";":
-            line_guard = line_guard or _joined(blocks, waiting)
-            closed, waiting = waiting, None
-        elif text == "else":
-            waiting = f"NOT ({closed})" if closed else None
-        elif text.startswith("if"):
-            depth, end = 1, i
-            while end < len(masked) and depth:
-                depth += {"(": 1, ")": -1}.get(masked[end], 0)
-                end += 1
-            own = " ".join(masked[i : end - 1].split())
-            before = _joined(blocks, None)
-            found.extend([before] * masked.count("\n", i, end))
-            waiting = f"{waiting} and {own}" if waiting and waiting.startswith("NOT (") else own
-            i = end
-    found.append(line_guard or _joined(blocks, waiting))
-    return found
-
-
-def _joined(blocks: list, last: str | None) -> str | None:
-    return " and ".join(b for b in [*blocks, last] if b) or None
-
-
-def _guards(source: str, suffix: str) -> Column:
-    """An array with the conditions of each line of Java sources; of others empty."""
-
-    @F.pandas_udf("array<string>")
-    def of(sources: pd.Series, suffixes: pd.Series) -> pd.Series:
-        return pd.Series([guards(s.replace("\r\n", "\n")) if s is not None and x == "java" else [] for s, x in zip(sources, suffixes)], dtype="object")
-
-    return of(source, suffix)
-
-
-def _masked(source: str, suffix: str) -> Column:
-    @F.pandas_udf("string")
-    def masked(sources: pd.Series, suffixes: pd.Series) -> pd.Series:
-        marks = {"py": "#", "properties": "#", "yml": "#", "yaml": "#", "toml": "#", "txt": "#", "sql": "--"}
-        return pd.Series([None if s is None else mask_comments(s, marks.get(x, "//")) for s, x in zip(sources, suffixes)], dtype="object")
-
-    return masked(source, suffix)
-
-
-def _facts(rule: Rule, line: Column) -> Column:
-    def value(name: str) -> Column:
-        at = rule.fields.get(name)
-        text = F.lit(at) if isinstance(at, str) else F.lit(None).cast("string") if at is None else F.nullif(F.regexp_extract(line, rule.pattern, at), F.lit(""))
-        return (F.upper(text) if name == "method" else text).alias(name)
-
-    fits = F.col("suffix").isin(rule.suffixes.split("|")) & line.rlike(rule.pattern)
-    return F.when(fits, F.struct(F.lit(rule.kind).alias("kind"), *map(value, FIELDS)))
-
-
-def _scoped(hits: DataFrame) -> DataFrame:
-    """Facts with their place in a file: `owner` that encloses them, the base path of their class, the function that follows.
-
-    Lines of one file are looked at in order; a file is one task's at most. In Python the owner of an indented line is the
-    last declaration at the margin; in Java it is the last class.
-    """
-    before = Window.partitionBy("repo", "path").orderBy("line", "order").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("repo", "path").orderBy("line", "order").rowsBetween(1, Window.unboundedFollowing)
-    kind, java = F.col("f.kind"), F.col("suffix") == "java"
-    declares = ((F.col("suffix") == "py") & (F.col("indent") == 0) & kind.isin("class", "function")) | (java & (kind == "class"))
-    rows = hits.withColumn("owner", F.last(F.when(declares, F.col("f.name")), True).over(before))
-    rows = rows.withColumn("owner", F.when(java | ((F.col("suffix") == "py") & (F.col("indent") > 0)), F.col("owner")))
-    # An annotation at the margin is that of the class that follows.
-    classes = F.count(F.when(kind == "class", 1)).over(before.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("class", classes + F.when(kind.isin("base", "feign"), 1).otherwise(0))
-    rows = rows.withColumn("base", F.max(F.when(kind == "base", F.col("f.url"))).over(Window.partitionBy("repo", "path", "class")))
-    rows = rows.withColumn("feign", F.max(F.when(kind == "feign", F.col("f.name"))).over(Window.partitionBy("repo", "path", "class")))
-    rows = rows.withColumn("following", F.first(F.when(kind == "field", F.col("f.name")), True).over(after))
-    return rows.withColumn("next", F.first(F.when(kind == "function", F.struct("f.name", "f.detail")), True).over(after))
-
-
-def _types(parameters: Column) -> Column:
-    """The types of a Java parameter list, as an overload's id has them."""
-    each = F.split(F.regexp_replace(parameters, r"<[^>]*>|@\w+(?:\s*\([^)]*\))?|\bfinal\s", ""), r"\s*,\s*")
-    return F.array_join(F.filter(F.transform(each, lambda p: F.regexp_extract(F.trim(p), r"^([\w.\[\]]+)", 1)), lambda p: p != ""), ",")
-
-
-def facts(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """(repo, path, file_id, line, kind, method, name, url, path_form, system, detail, scope, member, handler, function, argument, condition, listener) of files (repo, path, content).
-
-    line counts from 1; path_form is the normal form of url; url has no user names, passwords or query; system is
-    its host and port. scope tells tests from what runs. member is the name of a class or function within its file: that
-    of its owner before it, and the types of its parameters after it in Java. handler is the member that a route's
-    annotation or decorator stands before. function is the member that a line stands in, argument a name whose value is
-    meant (`resolved` looks it up), condition what a Java line depends on, listener the
-    method that a consumer's annotation stands before. A Spring route has its class's base path before
-    its own; in a Feign client it is a request. Null contents have no facts.
+_BY_SUFFIX: dict[str, list] = {}
+for _rule in RULES:
+    for _suffix in _rule.suffixes.split("|"):
+        _BY_SUFFIX.setdefault(_suffix, []).append((_rule, re.compile(_rule.pattern, re.M)))
+
+_VERBS = "get|post|put|patch|delete"
+# Calls whose arguments are read, by language.
+_CALLS = {
+    "java": re.compile(
+        r"(?:\b(\w+)(?:\(\))?\s*)?\.\s*(getForObject|getForEntity|postForObject|postForEntity|patchForObject|exchange|delete|send|convertAndSend|startProcess(?:InstanceByKey(?:AndTenantId)?)?)\s*\("
+        rf"|\.({_VERBS})\(\)\s*\.uri\(|\bBindingBuilder\s*\.\s*(bind)\("),
+    "js": re.compile(rf"\b(fetch)\(|\b(\w+)\.({_VERBS})(?:<[^()]*>)?\(|\bconst\s+(\w+)\s*(?::[^=\n]+)?=\s*axios\.create\("),
+    "go": re.compile(r"\bhttp\.(NewRequest|NewRequestWithContext|Get|Post|Head)\(|\b(\w+)\.(GET|POST|PUT|PATCH|DELETE)\(|\b(\w+)\s*:?=\s*(\w+)\.Group\(|(?:\b(\w+)\.)?\b([A-Za-z]\w*)\("),
+    "py": re.compile(rf"\b(?:httpx|requests|client|session)\.({_VERBS})\("),
+}
+_ANNOTATION = re.compile(r"@(\w+)\b[ \t]*(\()?")
+_MAPPINGS = {"GetMapping": "GET", "PostMapping": "POST", "PutMapping": "PUT", "PatchMapping": "PATCH", "DeleteMapping": "DELETE", "RequestMapping": None}
+_LISTENERS = {"KafkaListener": ("topics", "kafka"), "RabbitListener": ("queues", "rabbitmq"), "JmsListener": ("destination", "jms")}
+_CALL = re.compile(r"\b([a-z]\w*)\.([a-z]\w*)\(")
+_PLACEHOLDER = re.compile(r"\$\{[^:}]+:([^}]*)\}")
+_EFFECT = re.compile(r"\b(\w+\.(?:set|select|deselect|clear|add|remove)\w*\([^;{}]*\))\s*;")
+_DEFINED = {
+    "java": re.compile(r"(?:^|(?<=[{};)]))[ \t]*(?:@\w+(?:\([^)]*\))?\s*)*((?:(?:private|protected|public|final|static)\s+)*)(?:[\w.<>\[\],? ]+\s+)?(?:this\.)?(\w+)\s*=(?!=)\s*", re.M),
+    "js": re.compile(r"(?:^|(?<=[{};]))[ \t]*(?:export\s+)?()(?:const|let|var)\s+(\w+)\s*(?::[^=\n]+)?=\s*", re.M),
+    "go": re.compile(r"(?:^|(?<=[{};]))[ \t]*()(?:const\s+|var\s+)?(\w+)(?:\s+string)?\s*:?=(?!=)\s*", re.M),
+    "py": re.compile(r"^[ \t]*()(\w+)\s*=(?!=)\s*", re.M),
+}
+_RETURN = re.compile(r"\breturn\b[ \t]*")
+_ENDS = {"java": ";", "js": ";\n", "go": ";\n", "py": "\n"}
+TERM = "struct<kind:string,text:string,at:int>"
+COLUMNS = ["repo", "path", "suffix", "scope", "line", "n", "kind", *FIELDS, "member", "handler", "function", "condition", "listener", "at", "key", "effects", "terms", "other"]
+SCHEMA = f"repo string, path string, suffix string, scope string, line int, n int, kind string, method string, name string, url string, detail string, argument string, member string, handler string, function string, condition string, listener string, at int, key string, effects array<string>, terms array<{TERM}>, other array<{TERM}>"
+#: A reference to a field or to what a function returns is not bound to a place in the text.
+ANYWHERE = 1 << 30
+
+
+class _File:
+    """The facts of one file."""
+
+    def __init__(self, path: str, suffix: str, content: str):
+        self.path, self.suffix = path, suffix
+        self.lang = "js" if suffix in _JS.split("|") else suffix
+        self.text = mask_comments(content.replace("\r\n", "\n"), suffix)
+        self.places = Places(self.text, source.scopes(self.text, suffix))
+        self.guards = source.guards(self.text) if suffix == "java" else None
+        self.facts: list[dict] = []
+        self.needed: list[tuple] = []
+        self.definitions = self._definitions() if self.lang in _DEFINED else {}
+
+    def add(self, at: int, kind: str, expression: str | None = None, other: str | None = None, **fields) -> None:
+        inside = self.places.around(at, "function")
+        fact = {"at": at, "line": self.places.line(at), "kind": kind, "function": inside.member if inside else None, **{k: v or None for k, v in fields.items()}}
+        if self.guards is not None:
+            fact["condition"] = self.guards[fact["line"] - 1] if fact["line"] <= len(self.guards) else None
+        for name, written in (("terms", expression), ("other", other)):
+            if written is not None:
+                fact[name] = self.bound(source.terms(written, self.suffix), at)
+        self.facts.append(fact)
+
+    # -- names ----------------------------------------------------------------------------------------------------------
+
+    def _definitions(self) -> dict:
+        """Assignments by (function, name), fields by (owner, name), and what functions return by (owner, name())."""
+        found: dict[tuple, list] = {}
+        for m in _DEFINED[self.lang].finditer(self.text):
+            at = m.start(2)
+            inside, owner = self.places.around(at, "function"), self.places.around(at, "class")
+            owner = owner.name if owner and self.lang == "java" else ""
+            if inside is not None and "this." not in m[0] and not (self.lang == "java" and (owner, m[2]) in found and not re.search(r"[\w>\]]\s+$", m[0][: m.start(2) - m.start()])):
+                found.setdefault((inside.member, m[2]), []).append((at, m.end(), self._nested(inside, at)))
+            else:
+                found.setdefault((owner, m[2]), []).append((at, m.end(), False))
+        for m in _RETURN.finditer(self.text):
+            inside = self.places.around(m.start(), "function")
+            if inside is not None:
+                owner = self.places.around(m.start(), "class")
+                found.setdefault((owner.name if owner and self.lang == "java" else "", inside.name + "()"), []).append((m.start(), m.end(), False))
+        return found
+
+    def _nested(self, inside, at: int) -> bool:
+        """Whether a place lies in a block within the function, so that it may be passed by."""
+        if self.lang == "py":
+            indent = lambda i: i - (self.text.rfind("\n", 0, i) + 1)
+            first = re.compile(r"(?m)^[ \t]+(?=\S)").search(self.text, self.text.find("\n", inside.at) + 1)
+            return first is not None and indent(at) > len(first[0])
+        text = re.sub(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`", "", self.text[inside.at : at])
+        return text.count("{") - text.count("}") > 1
+
+    def bound(self, terms: list[tuple[str, str]], at: int) -> list[dict]:
+        return [self._bound(kind, text, at) for kind, text in terms]
+
+    def _bound(self, kind: str, text: str, at: int) -> dict:
+        term = lambda kind, text, at=0: {"kind": kind, "text": text, "at": at}
+        if kind in ("text", "param", "key"):
+            return term(kind, _PLACEHOLDER.sub(r"\1", text) if kind == "text" and self.lang == "java" else text)
+        ref = "keyref" if kind == "keyname" else "inner" if kind == "inner" else "ref"
+        inside, owner = self.places.around(at, "function"), self.places.around(at, "class")
+        local = (inside.member, text) if inside else None
+        if local in self.definitions:
+            before = [d for d in self.definitions[local] if d[0] < at]
+            if before:
+                sure = max((i for i, d in enumerate(before) if not d[2]), default=-1)
+                key = f"{self.path}::{local[0]}#{text}@{sure}"
+                self.needed.append((key, local, sure))
+                return term(ref, key, at)
+        if inside and re.search(rf"\b{re.escape(text)}\b", inside.detail or "") and "." not in text and not text.endswith("()"):
+            return term("param", "")
+        while True:
+            mine = (owner.name if owner and self.lang == "java" else "", text)
+            if mine in self.definitions:
+                key = f"{self.path}::{mine[0]}#{text}"
+                self.needed.append((key, mine, None))
+                return term(ref, key, ANYWHERE)
+            if owner is None or self.lang != "java":
+                break
+            owner = owner.parent if owner.parent and owner.parent.kind == "class" else None
+        if (m := re.fullmatch(r"(?:\w+\.)*([A-Z]\w*)\.(\w+(?:\(\))?)", text)) and self.lang == "java":
+            mine = (m[1], m[2])
+            if mine in self.definitions:
+                key = f"{self.path}::{mine[0]}#{m[2]}"
+                self.needed.append((key, mine, None))
+                return term(ref, key, ANYWHERE)
+            return term(ref, f"class:{m[1]}#{m[2]}", ANYWHERE)
+        return term("inner" if kind == "inner" else "open", text if kind != "keyname" else "")
+
+    def define(self) -> None:
+        """The definitions that uses need, and those that they need in turn; constants of Java classes may be needed elsewhere."""
+        done: set[str] = set()
+        if self.lang == "java":
+            for (owner, name), places in self.definitions.items():
+                if owner in self.classes and not name.endswith("()") and len(places) == 1 and re.search(r"\bstatic\b", self.text[max(0, places[0][0] - 60) : places[0][0]].rsplit(";", 1)[-1]):
+                    terms = source.terms(source.statement(self.text, places[0][1], ";"), self.suffix)
+                    self.facts.append({"at": places[0][0], "line": self.places.line(places[0][0]), "kind": "constant", "key": f"class:{owner}#{name}", "terms": self.bound(terms, places[0][0])})
+        while self.needed:
+            key, name, sure = self.needed.pop()
+            if key in done:
+                continue
+            done.add(key)
+            places = self.definitions[name]
+            if sure is not None:  # the last definition that cannot be passed by, and those after it that can
+                places = [*places[max(sure, 0) : sure + 1], *_until_sure(places[sure + 1 :])]
+            for at, start, _ in places:
+                written = source.statement(self.text, start, _ENDS[self.lang])
+                self.facts.append({"at": at, "line": self.places.line(at), "kind": "define", "key": key, "terms": self.bound(source.terms(written, self.suffix), at)})
+
+    @property
+    def classes(self) -> set[str]:
+        return {s.name for s in self.places.scopes if s.kind == "class"}
+
+    # -- rules ----------------------------------------------------------------------------------------------------------
+
+    def scan(self) -> list[dict]:
+        for s in self.places.scopes:
+            self.add(s.at, s.kind, name=s.name, detail=s.detail if s.kind == "function" and self.suffix in ("java", "go") else None, member=s.member)
+            if s.inherits and self.suffix == "java":
+                self.add(s.at, "extends", name=s.name, argument=s.inherits.rsplit(".", 1)[-1], detail=s.inherits)
+        for rule, pattern in _BY_SUFFIX.get(self.suffix, []):
+            for m in pattern.finditer(self.text):
+                value = {f: m[at] if isinstance(at, int) else at for f, at in rule.fields.items()}
+                at = m.start(next((v for v in rule.fields.values() if isinstance(v, int) and m[v] is not None), 0))
+                self._rule(rule, at, value)
+        if self.lang in _CALLS:
+            for m in _CALLS[self.lang].finditer(self.text):
+                getattr(self, f"_{self.lang}")(m)
+        if self.suffix == "java":
+            self._annotations()
+            for m in _CALL.finditer(self.text):
+                self.add(m.start(), "call", argument=m[1], name=m[2])
+        if self.lang == "js":
+            self._modules()
+        self.define()
+        self.facts.sort(key=lambda f: f["at"])
+        return self.facts
+
+    def _rule(self, rule: Rule, at: int, value: dict) -> None:
+        if rule.kind == "import" and self.suffix == "py" and "," in value["name"] + ",":
+            for name in value["name"].split(","):
+                if name.strip():
+                    self.add(at, "import", name=name.split()[0])
+            return
+        if rule.kind == "import" and self.suffix == "go":
+            if self.places.around(at, "function") is None:
+                self.add(at, "import", **value)
+            return
+        if "method" in value:
+            value["method"] = value["method"].upper()
+        if rule.kind == "system" and self.suffix != "java":
+            value["name"] = value["name"].lower()
+        if rule.kind == "route":
+            nearest = self.places.after(at, "function")
+            value["handler"] = nearest.member if nearest else None
+        if rule.kind == "action":
+            end, outer = source.closing(self.text, self.text.index("(", at)), self.guards[self.places.line(at) - 1]
+            value["effects"] = [self._effect(m, outer) for m in _EFFECT.finditer(self.text, self.text.index("(", at), end)]
+        self.add(at, rule.kind, **value)
+
+    def _effect(self, m: re.Match, outer: str | None) -> str:
+        """An effect with the conditions that it has within its listener."""
+        condition, did = self.guards[self.places.line(m.start()) - 1], " ".join(m[1].split())
+        condition = condition.removeprefix(outer).removeprefix(" and ") if condition and outer else condition
+        return f"if {condition}: {did}" if condition else did
+
+    def _arguments(self, m: re.Match) -> list[str]:
+        return source.split_top(self.text[m.end() : source.closing(self.text, m.end() - 1)], ",")
+
+    def _java(self, m: re.Match) -> None:
+        args, at = self._arguments(m), m.start(2) if m[2] else m.start()
+        receiver, name = m[1] or "", m[2]
+        if m[3]:
+            self.add(at, "request", args[0], method=m[3].upper())
+        elif m[4]:
+            if rest := re.compile(r"(?s)\)[^;]*?\.with\(").match(self.text, source.closing(self.text, m.end() - 1)):
+                key = self.text[rest.end() : source.closing(self.text, rest.end() - 1)]
+                self.add(at, "binding", key, re.sub(r"\(\)$", "", args[0]))
+        elif name == "exchange":
+            if len(args) > 1 and (verb := re.search(r"HttpMethod\.(\w+)", args[1])):
+                self.add(at, "request", args[0], method=verb[1])
+        elif name == "delete":
+            if receiver in ("restTemplate", "rest", "client"):
+                self.add(at, "request", args[0], method="DELETE")
+        elif name == "send":
+            if broker := {"kafkaTemplate": "kafka", "streamBridge": "stream"}.get(receiver):
+                self.add(at, "publish", args[0], detail=broker)
+        elif name == "convertAndSend":
+            broker = {"rabbitTemplate": "rabbitmq", "jmsTemplate": "jms", "redisTemplate": "redis", "stringRedisTemplate": "redis"}.get(receiver)
+            if broker:
+                self.add(at, "publish", args[1] if broker == "rabbitmq" and len(args) > 2 else args[0], detail=broker)
+        elif name.startswith("startProcess"):
+            self.add(at, "start", args[0])
+        else:
+            self.add(at, "request", args[0], method=re.match("get|post|patch", name)[0].upper())
+
+    def _js(self, m: re.Match) -> None:
+        args = self._arguments(m)
+        if m[1]:
+            verb = re.search(r"\bmethod\s*:\s*[\x22\x27`](\w+)", ",".join(args[1:]))
+            self.add(m.start(), "request", args[0], method=verb[1].upper() if verb else "GET")
+        elif m[4]:
+            if base := re.search(r"\bbaseURL\s*:\s*" + _QUOTED, args[0]):
+                self.add(m.start(4), "client", name=m[4], url=base[1])
+        elif m[2] in ("router", "app"):
+            if route := re.fullmatch(_QUOTED, args[0]):
+                self.add(m.start(), "route", method=m[3].upper(), url=route[1], name=args[-1] if len(args) > 1 and re.fullmatch(r"\w+", args[-1]) else None)
+        elif args[0][:1] in ("'", '"', "`"):
+            self.add(m.start(), "request" if m[2] in ("axios", "api", "client", "http") else "perhaps", args[0], argument=m[2], method=m[3].upper())
+
+    def _go(self, m: re.Match) -> None:
+        args = self._arguments(m)
+        if m[1]:
+            if m[1].startswith("New"):
+                args = args[1:] if m[1].endswith("Context") else args
+                verb = re.fullmatch(r"(?:\x22(\w+)\x22|http\.Method(\w+))", args[0]) if args else None
+                if verb and len(args) > 1:
+                    self.add(m.start(), "request", args[1], method=(verb[1] or verb[2]).upper())
+            else:
+                self.add(m.start(), "request", args[0], method=m[1].upper())
+        elif m[2]:
+            if route := re.fullmatch(_QUOTED, args[0]):
+                handler = re.search(r"(\w+)$", args[-1]) if len(args) > 1 else None
+                self.add(m.start(2), "route", method=m[3], url=route[1], argument=m[2], name=handler[1] if handler else None)
+        elif m[4]:
+            if path := re.fullmatch(_QUOTED, args[0]):
+                self.add(m.start(4), "group", name=m[4], argument=m[5], url=path[1])
+        elif m[7] not in ("func", "if", "for", "switch", "return") and self.places.around(m.start(), "function") is not None and args[0]:
+            for i, arg in enumerate(args):
+                if re.fullmatch(r"[a-z]\w*", arg):
+                    self.add(m.start(), "mount", name=m[7], detail=m[6], argument=arg, method=str(i))
+
+    def _py(self, m: re.Match) -> None:
+        self.add(m.start(), "request", self._arguments(m)[0], method=m[1].upper())
+
+    def _annotations(self) -> None:
+        found = []
+        for m in _ANNOTATION.finditer(self.text):
+            end = source.closing(self.text, m.end() - 1) if m[2] else m.end()
+            inner = self.text[m.end() : end] if m[2] else ""
+            found.append((m.start(), m[1], inner, self.places.after(m.start())))
+        bases, clients, rests = {}, {}, set()
+        for _, name, inner, target in found:
+            if target is not None and target.kind == "class":
+                if name == "RequestMapping":
+                    bases[target.at] = self._texts(inner, ("value", "path")) or [""]
+                elif name == "FeignClient":
+                    clients[target.at] = (self._texts(inner, ("name", "value")) or [""])[0]
+                elif name in ("RestController", "Controller"):
+                    rests.add(target.at)
+        for s in self.places.scopes:
+            if s.kind == "class" and (s.at in rests or s.at in bases) and s.at not in clients:
+                for base in bases.get(s.at, [""]):
+                    self.add(s.at, "controller", name=s.name, url=_slashed(base))
+        for at, name, inner, target in found:
+            if name in _MAPPINGS and target is not None and target.kind == "function":
+                owner = self.places.around(target.at, "class")
+                verbs = [_MAPPINGS[name]] if _MAPPINGS[name] else re.findall(r"RequestMethod\.(\w+)", inner) or ["ANY"]
+                own = owner.at if owner else -1
+                for base in bases.get(own, [""]):
+                    for path in self._texts(inner, ("value", "path")) or [""]:
+                        for verb in verbs:
+                            url = _slashed(f"{base.rstrip('/')}/{path.lstrip('/')}" if path else base)
+                            kind = {"kind": "request"} if own in clients else {"kind": "route", "handler": target.member}
+                            self.add(at, method=verb, url=url, **kind)
+            elif name in _LISTENERS and target is not None:
+                key, broker = _LISTENERS[name]
+                written = self._attribute(inner, key)
+                for one in source.split_top(written.strip().strip("{}"), ",") if written else []:
+                    self.add(at, "consume", one, detail=broker, listener=target.member)
+            elif name == "Value":
+                text, target = self._texts(inner, ("value",)), re.compile(r"\)?\s*(?:(?:private|protected|public|final|static)\s+)*[\w.<>]+\s+(\w+)\s*[;,)=]").match(self.text, source.closing(self.text, self.text.find("(", at)))
+                owner = self.places.around(at, "class")
+                if text and target and (default := _PLACEHOLDER.fullmatch(text[0])):
+                    key = f"{self.path}::{owner.name if owner else ''}#{target[1]}"
+                    self.facts.append({"at": at, "line": self.places.line(at), "kind": "define", "key": key, "terms": [{"kind": "text", "text": default[1], "at": 0}]})
+                    for fact in self.facts:  # a use that came before its definition was known
+                        for term in [*fact.get("terms", []), *fact.get("other", [])]:
+                            if term["kind"] == "open" and term["text"] == target[1] and self.places.around(fact["at"], "class") is owner:
+                                term.update(kind="ref", text=key, at=ANYWHERE)
+            elif name in ("Route", "SpringView"):
+                written = self._attribute(inner, "name" if name == "SpringView" else "value")
+                if written:
+                    self.add(at, "page", written)
+
+    def _attribute(self, inner: str, key: str) -> str:
+        """The text of an annotation's attribute, or of its only value."""
+        for part in source.split_top(inner, ","):
+            if m := re.match(r"(\w+)\s*=(?!=)\s*", part):
+                if m[1] == key:
+                    return part[m.end() :]
+            elif part:
+                return part
+        return ""
+
+    def _texts(self, inner: str, keys: tuple) -> list[str]:
+        """The quoted texts of an attribute, placeholders by their defaults."""
+        for key in keys:
+            if written := self._attribute(inner, key):
+                return [_PLACEHOLDER.sub(r"\1", x) for x in re.findall(r"\x22([^\x22\n]*)\x22", written)]
+        return []
+
+    def _modules(self) -> None:
+        """Names that a module takes from others (imported) and gives to others (exported), handlers given by one name, and rewrites."""
+        module = r"\s*from\s*" + _QUOTED
+        names = lambda text: [(a, b or a) for a, b in re.findall(r"([\w$]+)(?:\s+as\s+([\w$]+))?", text)]
+        for m in re.finditer(r"(?m)^[ \t]*import\s+(?:type\s+)?(?:([\w$]+)\s*,?\s*)?(?:\{([^}]*)\})?" + module, self.text):
+            for given, local in [*([("default", m[1])] if m[1] else []), *names(m[2] or "")]:
+                self.add(m.start(), "imported", name=local, argument=given, detail=m[3])
+        for m in re.finditer(r"(?m)^[ \t]*export\s*\{([^}]*)\}(?:" + module + ")?", self.text):
+            for local, given in names(m[1]):
+                self.add(m.start(), "exported", name=given, argument=local, detail=m[2])
+        for m in re.finditer(r"(?m)^[ \t]*export\s+(?:(default)\s+(?:async\s+)?(?:function\s+)?|(?:const|let|var|function|async\s+function|class)\s+)([\w$]+)", self.text):
+            self.add(m.start(), "exported", name=m[1] or m[2], argument=m[2])
+        for m in re.finditer(r"(?m)^[ \t]*export\s+const\s*\{([^}]*)\}\s*=", self.text):
+            for _, given in names(m[1]):
+                if given in ("GET", "POST", "PUT", "PATCH", "DELETE"):
+                    self.add(m.start(), "handler", method=given, detail="given")
+        for m in re.finditer(r"\bsource\s*:\s*" + _QUOTED + r"\s*,\s*destination\s*:\s*" + _QUOTED, self.text):
+            name = re.match(r"\$\{(?:process\.env\.)?(\w+)\}", m[2])
+            known = re.search(rf"\b{name[1]}\s*=\s*process\.env\.(\w+)", self.text) if name else None
+            self.add(m.start(), "rewrite", url=m[1], detail=known[1] if known else name[1] if name else re.sub(r"^https?://([^/]*).*$", r"\1", m[2]))
+
+
+def _until_sure(places: list) -> Iterator[tuple]:
+    """Definitions up to the next that is not passed by."""
+    for p in places:
+        if not p[2]:
+            return
+        yield p
+
+
+def _slashed(path: str) -> str:
+    return path if path.startswith("/") else "/" + path
+
+
+def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for repo, path, suffix, scope, content in zip(batch["repo"], batch["path"], batch["suffix"], batch["scope"], batch["content"]):
+            rows = [{"repo": repo, "path": path, "suffix": suffix, "scope": scope, "n": n, **fact} for n, fact in enumerate(_File(path, suffix, content).scan())]
+            if rows:
+                found = pd.DataFrame(rows)
+                yield pd.DataFrame({c: found[c].astype(object).where(found[c].notna(), None) if c in found else pd.Series([None] * len(rows), dtype="object") for c in COLUMNS})
+
+
+def facts(files: DataFrame) -> DataFrame:
+    """Facts of files (repo, path, content): repo, path, file_id, line, kind, method, name, url, path_form, system, detail, scope, member, handler, function, argument, condition, listener, and n, suffix, at, key, effects, terms, other.
+
+    line counts from 1, n tells the facts of a file apart, in its order, at is the place in its text. path_form is the normal form of url; url has no
+    user names, passwords or query; system is its host and port. scope tells tests from what runs. member is the name of a
+    class or function within its file: that of its owner before it, and the types of its parameters after it in Java.
+    handler is the member that a route's annotation or decorator stands before. function is the member whose block a
+    place stands in, argument a name, condition what a Java line depends on, listener the method that a consumer's
+    annotation stands before. A Spring route has its class's base path before its own, one row for each path and method (ANY
+    where none is named); in a Feign client it is a request. terms are what an expression is made of, where its value is
+    not one text (`resolved` finds it); key names what a definition defines. Null contents have no facts.
     """
+    worker_path(files.sparkSession)
     suffix = F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)
     test = F.col("path").rlike(r"(?:^|/)(?:tests?|__tests__)/|(?:^|/)test_[^/]*$|_test\.go$|\.(?:test|spec)\.[jt]sx?$|Test\.java$")
-    rows = files.select("repo", "path", suffix.alias("suffix"), F.when(test, "test").otherwise("runtime").alias("scope"), "content")
-    # A URL's slashes begin no comment: they stand in strings, which the mask keeps.
-    rows = rows.withColumn("content", _masked("content", "suffix")).withColumn("guards", _guards("content", "suffix"))
-    lines = rows.select("repo", "path", "suffix", "scope", "guards", F.posexplode(F.split("content", "\r?\n")).alias("at", "text"))
-    indent = F.length(F.regexp_extract("text", r"^([\t ]*)", 1)).alias("indent")
-    # A line may make any number of calls; every rule else finds the first.
-    none = F.lit(None).cast("string")
-    call = lambda x: F.struct(F.lit("call").alias("kind"), none.alias("method"), F.regexp_extract(x, CALL, 2).alias("name"), none.alias("url"), none.alias("detail"), F.regexp_extract(x, CALL, 1).alias("argument"))
-    calls = F.transform(F.when(F.col("suffix") == "java", F.regexp_extract_all("text", F.lit(CALL), 0)).otherwise(F.array().cast("array<string>")), call)
-    found = F.concat(F.array_compact(F.array(*[_facts(r, F.col("text")) for r in rules])), calls)
-    hits = lines.select("repo", "path", "suffix", "scope", (F.col("at") + 1).alias("line"), F.get("guards", F.col("at")).alias("condition"), indent, F.posexplode(found).alias("order", "f"))
-    rows = _scoped(hits).select("repo", "path", "suffix", "line", "order", "indent", "scope", "condition", "owner", "base", "feign", "following", "next", "f.*")
-    java, kind = F.col("suffix") == "java", F.col("kind")
-    spring = java & (kind == "route")
-    joined = F.regexp_replace(F.concat_ws("/", F.regexp_replace("base", "/$", ""), F.regexp_replace("url", "^/", "")), "^(?!/)", "/")
-    rows = rows.withColumn("url", F.when(spring, joined).when((F.col("suffix") == "go") & kind.isin("route", "group"), F.coalesce("url", F.lit(""))).otherwise(F.col("url")))
-    named = lambda name, detail: F.concat(F.concat_ws(".", "owner", name), F.when(java, F.concat(F.lit("("), _types(F.coalesce(detail, F.lit(""))), F.lit(")"))).otherwise(""))
-    member = F.when(kind == "function", named("name", F.col("detail"))).when(kind == "class", F.col("name"))
-    handler = F.when((kind == "route") & F.col("suffix").isin("py", "java") & F.col("next").isNotNull(), named(F.col("next.name"), F.col("next.detail")))
-    handler = F.coalesce(handler, F.when((kind == "route") & ~F.col("suffix").isin("py", "java"), F.col("name"))).alias("handler")
-    rows = rows.withColumn("member", member)
-    # The declaration that a line stands in: a class after the last function ends it, and so does the margin but in Java.
-    inside = F.last(F.when(kind.isin("class", "function"), F.struct("kind", "member", "name", "line")), True).over(Window.partitionBy("repo", "path").orderBy("line", "order"))
-    rows = rows.withColumn("inside", inside)
-    rows = rows.withColumn("inside", F.when(java | (F.col("indent") > 0) | (F.col("inside.line") == F.col("line")), F.col("inside")))
-    function = F.when(F.col("inside.kind") == "function", F.col("inside.member")).alias("function")
-    name = F.when(kind == "default", F.col("following")).when(kind == "returns", F.when(F.col("inside.kind") == "function", F.col("inside.name"))).otherwise(F.col("name"))
-    name = F.when(kind.isin("publish", "consume", "binding", "start"), F.regexp_replace(name, DEFAULT, "$1")).when((kind == "system") & ~java, F.lower(name)).otherwise(name)
+    rows = files.where(F.col("content").isNotNull()).select("repo", "path", suffix.alias("suffix"), F.when(test, "test").otherwise("runtime").alias("scope"), "content")
+    found = rows.mapInPandas(_scan, SCHEMA)
+    # An expression that is one text is that text; others stay open.
+    one = F.when((F.size("terms") == 1) & (F.get("terms", F.lit(0))["kind"] == "text"), F.get("terms", F.lit(0))["text"])
+    asked = F.col("kind").isin("request", "perhaps")
+    return _addressed(found.withColumns({
+        "url": F.when(asked, F.coalesce("url", one)).when((F.col("suffix") == "go") & F.col("kind").isin("route", "group"), F.coalesce("url", F.lit(""))).otherwise(F.col("url")),
+        "name": F.when(F.col("kind").isin("publish", "consume", "binding", "start", "page"), F.coalesce("name", one)).otherwise(F.col("name")),
+        "handler": F.when((F.col("kind") == "route") & ~F.col("suffix").isin("py", "java"), F.col("name")).otherwise(F.col("handler"))}))
+
+
+def _addressed(rows: DataFrame, system=None) -> DataFrame:
+    """Facts with file_id, safe url, path_form and system."""
+    host = F.coalesce(urls.system(F.col("url")), F.lit(""))
     return rows.select(
-        "repo", "path", identity.file_id(F.col("repo"), F.col("path")).alias("file_id"), "line", F.when(spring & F.col("feign").isNotNull(), "request").otherwise(kind).alias("kind"), "method", name.alias("name"),
-        urls.sanitize_url(F.col("url")).alias("url"), urls.normalize_url(F.col("url")).alias("path_form"), F.coalesce(urls.system(F.col("url")), F.lit("")).alias("system"), "detail", "scope", "member",
-        handler, function, "argument", "condition", F.when(java & (kind == "consume"), named(F.col("next.name"), F.col("next.detail"))).alias("listener"))
-
-
-def values(facts: DataFrame) -> DataFrame:
-    """(repo, path, name, value): what names of a file stand for, where that is one text: constants, defaults, and what getters return.
-
-    A getter may return a name, and that name may be a getter's; two such steps are followed.
-    """
-    text = F.concat("detail", F.when((F.col("kind") == "value") & F.col("argument").isNotNull(), F.lit("{param}")).otherwise(""))
-    known = facts.where("kind in ('value', 'default', 'returns') and name is not null and detail is not null").select("repo", "path", "name", text.alias("value"))
-    passed = facts.where("kind = 'returns' and name is not null and argument is not null").select("repo", "path", F.col("name").alias("getter"), F.col("argument").alias("name"))
-    for _ in range(2):
-        known = known.unionByName(passed.join(known, ["repo", "path", "name"]).select("repo", "path", F.col("getter").alias("name"), "value")).distinct()
-    return known.groupBy("repo", "path", "name").agg(F.min("value").alias("value"), F.count_distinct("value").alias("n")).where("n = 1").drop("n")
+        "repo", "path", identity.file_id(F.col("repo"), F.col("path")).alias("file_id"), "line", "kind", "method", "name", urls.sanitize_url(F.col("url")).alias("url"), urls.normalize_url(F.col("url")).alias("path_form"),
+        (host if system is None else F.when(host == "", F.coalesce(system, F.lit(""))).otherwise(host)).alias("system"), "detail", "scope", "member", "handler", "function", "argument", "condition", "listener", "n", "suffix", "at", "key", "effects", "terms", "other")
 
 
 def resolved(facts: DataFrame) -> DataFrame:
-    """`facts` with names looked up: channels and process keys by constants, URLs by local texts, Gin groups and Axios clients before their paths.
+    """`facts` with open values found: URLs, channels, process keys and pages by what their names stand for, Gin routes by the groups that they are mounted under, Axios calls by their client, rewritten paths by their system.
 
-    A name that stands for several texts in its file, or for none, stays open (null), and so does what needs it.
+    A use whose name may stand for several texts has a row for each; one whose value is not known keeps null. Facts that
+    only serve this (definitions, imported names, mounts) are left as they are.
     """
-    known = values(facts)
-    kinds = ("request", "publish", "consume", "binding", "start")
-    rows = facts.join(known.select("repo", "path", F.col("name").alias("argument"), "value"), ["repo", "path", "argument"], "left")
-    open_ = F.col("kind").isin(*kinds) & F.col("value").isNotNull()
-    rows = rows.withColumn("name", F.when(open_ & (F.col("kind") != "request"), F.coalesce("name", "value")).otherwise(F.col("name")))
-    rows = rows.withColumn("url", F.when(open_ & (F.col("kind") == "request"), F.coalesce("url", "value")).otherwise(F.col("url"))).drop("value")
-    bound = known.select("repo", "path", F.col("name").alias("detail"), F.col("value").alias("queue"))
-    rows = rows.join(bound, ["repo", "path", "detail"], "left").withColumn("detail", F.when(F.col("kind") == "binding", F.col("queue")).otherwise(F.col("detail"))).drop("queue")
-    # The groups of one function in order: each has its parent's path before its own.
-    groups = F.sort_array(F.collect_list(F.struct("line", "name", "argument", "url")))
-    path = lambda m, g: F.concat(F.coalesce(m[g["argument"]], F.lit("")), g["url"])
-    step = lambda m, g: F.map_concat(F.map_filter(m, lambda k, _: k != g["name"]), F.create_map(g["name"], path(m, g)))
-    start = F.create_map().cast("map<string,string>")
-    mounts = facts.where("kind = 'group'").groupBy("repo", "path", "function").agg(groups.alias("g")).select("repo", "path", "function", F.explode(F.aggregate("g", start, step)).alias("argument", "prefix"))
-    clients = facts.where("kind = 'client'").groupBy("repo", "path", F.col("name").alias("argument")).agg(F.min("url").alias("base"))
-    rows = rows.join(mounts.withColumnRenamed("function", "in"), (rows.repo == mounts.repo) & (rows.path == mounts.path) & rows.function.eqNullSafe(F.col("in")) & (rows.argument == mounts.argument) & (rows.kind == "route"), "left").select(rows["*"], "prefix")
-    rows = rows.join(clients, ["repo", "path", "argument"], "left").where("kind <> 'perhaps' or base is not null")
-    # A client's path that already has the base before it is left as it is.
-    base = F.regexp_replace("base", "/$", "")
-    before = F.coalesce("prefix", F.when(F.col("kind").isin("perhaps", "request") & ~F.col("url").startswith(base), base), F.lit(""))
-    url = F.concat(before, F.col("url"))
-    rows = rows.withColumn("url", F.when((url == "") & (F.col("kind") == "route"), "/").otherwise(url)).withColumn("kind", F.when(F.col("kind") == "perhaps", "request").otherwise(F.col("kind")))
-    return rows.select(*[F.col(c) for c in facts.columns if c not in ("path_form", "system")], urls.normalize_url(F.col("url")).alias("path_form"), F.coalesce(urls.system(F.col("url")), F.lit("")).alias("system")).select(*facts.columns)
+    from lodemap.operators import clients, mounts, values
+
+    rows = values.filled(facts)
+    rows = mounts.mounted(rows)
+    return clients.configured(rows)
 
 
 def app_routes(files: DataFrame, handlers: DataFrame) -> DataFrame:

@@ -22,12 +22,12 @@ def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     called, acts, begun = (shared(df) for df in (relations.calls(live), relations.actions(live), relations.starts(live, steps)))
     channels, used = shared(relations.channels(live)), shared(systems.report(facts))
     routed = files.select("repo", "path", urls.page_route(F.col("path")).alias("name")).where("name is not null")
-    pages = routed.unionByName(live.where("kind = 'page'").select("repo", "path", F.col("url").alias("name"))).groupBy("repo", "path").agg(F.min("name").alias("name"))
+    pages = routed.unionByName(live.where("kind = 'page'").select("repo", "path", "name")).groupBy("repo", "path").agg(F.min("name").alias("name"))
     pages = pages.withColumn("id", identity.file_id(F.col("repo"), F.col("path")))
     app = extract.app_routes(files, live)
     routes = live.where("kind = 'route' and path_form is not null").select("repo", "path", "method", "path_form", "handler").unionByName(app.select("repo", "path", "method", "path_form", F.col("method").alias("handler")))
     routes = routes.withColumn("id", identity.route_id(F.col("repo"), F.col("method"), F.col("path_form")))
-    requests = live.where("kind = 'request'").withColumn("id", F.concat("file_id", F.lit("::request:"), F.col("line").cast("string")))
+    requests = live.where("kind = 'request'").withColumn("id", F.concat("file_id", F.lit("::request:"), F.col("line").cast("string"), F.lit(":"), F.concat_ws(" ", "method", "path_form")))
     members = live.where("kind in ('class', 'function')").withColumn("id", identity.member_id(F.col("file_id"), F.col("member")))
     node = lambda df, label, id_, name: df.select(id_.alias("id"), F.lit(label).alias("label"), name.alias("name"), "repo")
     paths = files.select("repo", "path", identity.file_id(F.col("repo"), F.col("path")).alias("id"))

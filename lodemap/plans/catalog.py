@@ -258,10 +258,13 @@ def referencing_files(spark, d: str) -> DataFrame:
     return sync.referencing(references, t.read(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("identifier")))
 
 
-_VALUE, _NAME = (f"regexp_extract(m, '{secrets.ASSIGNMENT}', {k})" for k in (2, 1))
-_SECRET = f"regexp_matches(lower({_NAME}), '{secrets.NAMES}') AND length({_VALUE}) >= {secrets.LEAST} AND len(list_distinct(string_split({_VALUE}, ''))) >= {secrets.VARIED} AND NOT regexp_matches(lower({_VALUE}), '{secrets.STAND_IN}')"
-_HIT = {k: f"regexp_matches(text, '{p}')" for k, p in secrets.FORMATS} | {
-    "assigned": f"len(list_filter(regexp_extract_all(text, '{secrets.ASSIGNMENT}', 0), lambda m : {_SECRET})) > 0"}
+# The SQL has its own patterns, for an engine without look-behind.
+_ASSIGNED = r"""len(list_filter(list_zip(regexp_extract_all(text, '([A-Za-z][A-Za-z0-9_.-]*)["'']?\s*(?:=>|:=|=|:)\s*["'']([^"''\s]+)["'']', 1), regexp_extract_all(text, '([A-Za-z][A-Za-z0-9_.-]*)["'']?\s*(?:=>|:=|=|:)\s*["'']([^"''\s]+)["'']', 2)),
+lambda m : regexp_matches(lower(m[1]), '(pass|passwd|password|passphrase|pwd|secret|credential|credentials|token|apikey|(api|access|private|signing|client|secret)[_.-]?key)$') AND length(m[2]) >= 10 AND len(list_distinct(string_split(m[2], ''))) >= 6
+AND NOT regexp_matches(lower(m[2]), '^([$%#]?\{.*\}|<.*>|\[.*\]|%.*%|\$\w+)$|example|sample|dummy|placeholder|change[_-]?(me|it)|your[_-]|fill[_-]?in|redacted'))) > 0"""
+_HIT = {
+    "private_key": "regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----')", "forge_token": r"regexp_matches(text, '\b(gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})')",
+    "cloud_key": r"regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b')", "bearer": r"regexp_matches(text, '(?i)\bbearer\s+[A-Za-z0-9._~+/-]{20,}')", "assigned": _ASSIGNED}
 
 
 @query(" UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind FROM documents WHERE {hit}" for k, hit in _HIT.items()))
