@@ -241,8 +241,9 @@ _PLAIN = re.compile(r"\.(?:toString|build|toUriString|toUri|getValue|trim|encode
 def terms(text: str, suffix: str, depth: int = 0) -> list[tuple[str, str]]:
     """An expression as the pieces that its value has one after another: (kind, text).
 
-    kinds: `text` as it is; `name`, what a name or call stands for; `key`, the setting that names a service; `param`, a value
-    that is not known. A name is its text without `this.`, a call ends in `()`.
+    kinds: `text` as it is; `name`, what a name or call stands for; `template`, an expression within a text; `key`, the setting
+    that names a service, and `keyname`, a name that stands for one; `inner`, a name that is a later value of a format;
+    `param`, a value that is not known. A name is its text without `this.`, a call ends in `()`.
     """
     text = text.strip()
     while m := _PLAIN.search(text):
@@ -255,7 +256,11 @@ def terms(text: str, suffix: str, depth: int = 0) -> list[tuple[str, str]]:
     if text[0] == "(" and closing(text, 0) == len(text) - 1:
         return terms(text[1:-1], suffix, depth + 1)
     if m := re.fullmatch(r"(?s)([fFrRbBuU]{0,2})([\"'`])(.*)\2", text):
-        return [("text", re.sub(r"\{[^{}]*\}", "{param}", m[3]) if "f" in m[1].lower() else m[3])]
+        if "f" not in m[1].lower() and m[2] != "`":
+            return [("text", m[3])]
+        # What stands in the braces of a template is an expression; extraction looks for its name.
+        pieces = re.split(r"\$\{((?:[^{}]|\{[^{}]*\})*)\}" if m[2] == "`" else r"\{([^{}]*)\}", m[3])
+        return [("template" if i % 2 else "text", x) for i, x in enumerate(pieces) if i % 2 or x] or [("text", "")]
     if re.fullmatch(r"-?\d+(?:\.\d+)?", text):
         return [("text", text)]
     if m := re.match(r"(String\.format|fmt\.Sprintf)\(", text):

@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,8 +104,12 @@ _DEFINED = {
 _RETURN = re.compile(r"\breturn\b[ \t]*")
 _ENDS = {"java": ";", "js": ";\n", "go": ";\n", "py": "\n"}
 TERM = "struct<kind:string,text:string,at:int>"
-COLUMNS = ["repo", "path", "suffix", "scope", "line", "n", "kind", *FIELDS, "member", "handler", "function", "condition", "listener", "at", "key", "effects", "terms", "other"]
-SCHEMA = f"repo string, path string, suffix string, scope string, line int, n int, kind string, method string, name string, url string, detail string, argument string, member string, handler string, function string, condition string, listener string, at int, key string, effects array<string>, terms array<{TERM}>, other array<{TERM}>"
+_TEXTS = ["repo", "path", "suffix", "scope", "kind", *FIELDS, "member", "handler", "function", "condition", "listener", "key"]
+SCHEMA = ", ".join([*[f"{c} string" for c in _TEXTS], "line int", "n int", "at int", "effects array<string>", f"terms array<{TERM}>", f"other array<{TERM}>"])
+_TERMS = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string()), ("at", pa.int32())]))
+_ARROW = pa.schema([*[(c, pa.string()) for c in _TEXTS], *[(c, pa.int32()) for c in ("line", "n", "at")], ("effects", pa.list_(pa.string())), ("terms", _TERMS), ("other", _TERMS)])
+#: Facts that a task hands over at once; those of one file are never more than its text makes.
+MOST_ROWS = 4_096
 #: A reference to a field or to what a function returns is not bound to a place in the text.
 ANYWHERE = 1 << 30
 
@@ -163,12 +167,24 @@ class _File:
         return text.count("{") - text.count("}") > 1
 
     def bound(self, terms: list[tuple[str, str]], at: int) -> list[dict]:
-        return [self._bound(kind, text, at) for kind, text in terms]
+        """Terms with their names bound to keys of definitions; texts that stand side by side are one."""
+        out: list[dict] = []
+        for kind, text in terms:
+            term = self._bound(kind, text, at)
+            if out and term["kind"] == out[-1]["kind"] == "text":
+                out[-1]["text"] += term["text"]
+            else:
+                out.append(term)
+        return out
 
     def _bound(self, kind: str, text: str, at: int) -> dict:
         term = lambda kind, text, at=0: {"kind": kind, "text": text, "at": at}
         if kind in ("text", "param", "key"):
             return term(kind, _PLACEHOLDER.sub(r"\1", text) if kind == "text" and self.lang == "java" else text)
+        if kind == "template":
+            name = text.removeprefix("this.").strip()
+            known = self._bound("name", name, at) if re.fullmatch(r"\w+(?:\(\))?", name) else term("param", "")
+            return known if known["kind"] == "ref" else term("text", "${" + text + "}" if self.lang == "js" else "{param}")
         ref = "keyref" if kind == "keyname" else "inner" if kind == "inner" else "ref"
         inside, owner = self.places.around(at, "function"), self.places.around(at, "class")
         local = (inside.member, text) if inside else None
@@ -381,9 +397,9 @@ class _File:
                 for one in source.split_top(written.strip().strip("{}"), ",") if written else []:
                     self.add(at, "consume", one, detail=broker, listener=target.member)
             elif name == "Value":
-                text, target = self._texts(inner, ("value",)), re.compile(r"\)?\s*(?:(?:private|protected|public|final|static)\s+)*[\w.<>]+\s+(\w+)\s*[;,)=]").match(self.text, source.closing(self.text, self.text.find("(", at)))
+                default, target = re.search(r"\x22\$\{[^:}\x22]+:([^}\x22]*)\}\x22", inner), re.compile(r"\)?\s*(?:(?:private|protected|public|final|static)\s+)*[\w.<>]+\s+(\w+)\s*[;,)=]").match(self.text, source.closing(self.text, self.text.find("(", at)))
                 owner = self.places.around(at, "class")
-                if text and target and (default := _PLACEHOLDER.fullmatch(text[0])):
+                if default and target:
                     key = f"{self.path}::{owner.name if owner else ''}#{target[1]}"
                     self.facts.append({"at": at, "line": self.places.line(at), "kind": "define", "key": key, "terms": [{"kind": "text", "text": default[1], "at": 0}]})
                     for fact in self.facts:  # a use that came before its definition was known
@@ -446,13 +462,17 @@ def _slashed(path: str) -> str:
     return path if path.startswith("/") else "/" + path
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for repo, path, suffix, scope, content in zip(batch["repo"], batch["path"], batch["suffix"], batch["scope"], batch["content"]):
-            rows = [{"repo": repo, "path": path, "suffix": suffix, "scope": scope, "n": n, **fact} for n, fact in enumerate(_File(path, suffix, content).scan())]
-            if rows:
-                found = pd.DataFrame(rows)
-                yield pd.DataFrame({c: found[c].astype(object).where(found[c].notna(), None) if c in found else pd.Series([None] * len(rows), dtype="object") for c in COLUMNS})
+        rows: list[dict] = []
+        for file in batch.to_pylist():
+            content = file.pop("content")
+            rows += [{**file, "n": n, **fact} for n, fact in enumerate(_File(file["path"], file["suffix"], content).scan())]
+            if len(rows) >= MOST_ROWS:
+                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
 def facts(files: DataFrame) -> DataFrame:
@@ -471,7 +491,7 @@ def facts(files: DataFrame) -> DataFrame:
     suffix = F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)
     test = F.col("path").rlike(r"(?:^|/)(?:tests?|__tests__)/|(?:^|/)test_[^/]*$|_test\.go$|\.(?:test|spec)\.[jt]sx?$|Test\.java$")
     rows = files.where(F.col("content").isNotNull()).select("repo", "path", suffix.alias("suffix"), F.when(test, "test").otherwise("runtime").alias("scope"), "content")
-    found = rows.mapInPandas(_scan, SCHEMA)
+    found = rows.mapInArrow(_scan, SCHEMA)
     # An expression that is one text is that text; others stay open.
     one = F.when((F.size("terms") == 1) & (F.get("terms", F.lit(0))["kind"] == "text"), F.get("terms", F.lit(0))["text"])
     asked = F.col("kind").isin("request", "perhaps")

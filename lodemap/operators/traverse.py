@@ -15,17 +15,21 @@ from pyspark.sql import functions as F
 BROADCAST_NODES = 100_000
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """`df` written to the folder that driver and executors share, and read again; a temporary folder only where all is one machine."""
-    spark = df.sparkSession
+def shared_path(spark, name: str) -> str:
+    """A new path in the folder that driver and executors share; a temporary folder only where all is one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder is None:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='lodemap-')}"
-    path = os.path.join(folder, f"frontier-{uuid.uuid4().hex}")
+    return os.path.join(folder, f"{name}-{uuid.uuid4().hex}")
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """`df` written to the folder that driver and executors share, and read again."""
+    path = shared_path(df.sparkSession, "frontier")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, both: bool = False) -> DataFrame:

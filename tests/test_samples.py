@@ -1,12 +1,25 @@
-"""Queries on a small sample of sources, whose expected rows are written by hand as SQL."""
+"""A small sample of sources, whose expected rows are written by hand as SQL."""
 
 from __future__ import annotations
 
+import duckdb
+import pytest
 from pyspark.sql import DataFrame
 
 from lodemap.operators import extract, relations, systems
 from lodemap.operators.traverse import shared
-from lodemap.plans.catalog import query
+from oracle import same
+
+QUERIES: dict = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
 
 VIEW = '''package ui.desk;
 import depot.core.Stock;
@@ -151,3 +164,9 @@ def ui_actions(spark, d: str) -> DataFrame:
 ('depot', 'payment', 'stripe', 'payment-gateway', 'stripe', 'depot:app.properties:5'), ('depot', 'http', 'http', 'service', 'crates.example:90', 'depot:app.properties:6'), ('web', 'http', 'http', 'service', 'bins.example:81', 'web:bins.ts:1')) t(repo, kind, technology, role, name, first)""")
 def system_boundary(spark, d: str) -> DataFrame:
     return systems.boundary(_facts(spark)).select("repo", "kind", "technology", "role", "name", "first")
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_sample(spark, data, name):
+    f, sql = QUERIES[name]
+    assert same(f(spark, data), duckdb.connect(), sql)

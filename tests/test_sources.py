@@ -83,7 +83,8 @@ async def real():
     """Calls requests.get("/not/this")"""
 '''
 TS = '''import { shopApi as api2, other } from "@/lib/clients";
-const load = () => { fetch("/a", { method: "POST" }); fetch("/b"); axios.get("/c"); axios.put(`/d/${id}`); };
+const load = () => { fetch("/a", { method: "POST" }); fetch("/b"); axios.get("/c"); axios.put(`${TOP}/d/${id}`); };
+const TOP = "/top";
 export const go = () => api2.get<Row[]>("/rows");
 export const gone = () => unknown.get("/nothing");
 '''
@@ -122,7 +123,7 @@ def test_go_requests_by_constants_variables_helpers_and_formats(spark):
 
 def test_python_docstrings_imports_and_calls_over_lines(spark):
     df = found(spark, [("r", "api.py", PY)])
-    assert requests(df) == {("GET", "/v1/items/{param}", "api.example", "load"), ("POST", "/{param}/n/{param}", "", "load")} or requests(df) == {("GET", "/v1/items/{param}", "api.example", "load"), ("POST", "{param}/n/{param}", "", "load")}
+    assert requests(df) == {("GET", "/v1/items/{param}", "api.example", "load"), ("POST", "/v1/n/{param}", "api.example", "load")}
     assert {r.path_form for r in df.where("kind = 'route'").collect()} == {"/real"}
     assert {r.member for r in df.where("kind = 'function'").collect()} == {"load", "real"}
     assert {r.name for r in df.where("kind = 'import'").collect()} == {"os", "sys", "a.b"}
@@ -132,7 +133,7 @@ def test_script_methods_several_calls_of_a_line_and_clients_of_other_modules(spa
     clients = 'import axios from "axios";\nexport const inner = axios.create({\n  baseURL: "https://shop.example/v1",\n});\nexport { inner as shopApi };\n'
     index = 'export { shopApi } from "./http";\n'
     df = found(spark, [("r", "web/src/page.ts", TS), ("r", "web/src/lib/http.ts", clients), ("r", "web/src/lib/clients/index.ts", index.replace("./http", "../http"))])
-    assert requests(df) == {("POST", "/a", "", "load"), ("GET", "/b", "", "load"), ("GET", "/c", "", "load"), ("PUT", "/d/{param}", "", "load"), ("GET", "/v1/rows", "shop.example", "go")}
+    assert requests(df) == {("POST", "/a", "", "load"), ("GET", "/b", "", "load"), ("GET", "/c", "", "load"), ("PUT", "/top/d/{param}", "", "load"), ("GET", "/v1/rows", "shop.example", "go")}
 
 
 def test_rewrites_name_the_system_of_the_longest_prefix(spark):
@@ -154,10 +155,10 @@ def test_groups_across_functions_and_packages(spark):
 
 
 def test_effects_of_actions_with_their_conditions(spark):
-    view = "@SpringView(name = BoxView.NAME)\nclass BoxView {\n  static final String NAME = \"boxes\";\n  void wire() {\n    if (open) {\n      list.addSelectionListener(e -> {\n        if (e.one()) { drop.setEnabled(true); } else { drop.setEnabled(false); }\n        title.setValue(\"x\");\n      });\n    }\n  }\n  void after() { drop.setVisible(true); }\n}\n"
+    view = "@SpringView(name = BoxView.NAME)\nclass BoxView {\n  static final String NAME = \"boxes\";\n  void wire() {\n    if (open) {\n      list.addSelectionListener(e -> {\n        if (e.one()) {\n drop.setEnabled(true);\n } else {\n drop.setEnabled(false);\n }\n        title.setValue(\"x\");\n      });\n    }\n  }\n  void after() { drop.setVisible(true); }\n}\n"
     df = found(spark, [("r", "BoxView.java", view)]).cache()
     (action,) = df.where("kind = 'action'").collect()
-    assert action.effects == ["if e.one(): drop.setEnabled(true)", "if NOT (e.one()): drop.setEnabled(false)", 'title.setValue("x")'] or action.effects[0].startswith("if e.one()")
+    assert action.effects == ["if e.one(): drop.setEnabled(true)", "if NOT (e.one()): drop.setEnabled(false)", 'title.setValue("x")']
     assert action.function == "BoxView.wire()" and [r.name for r in df.where("kind = 'page'").collect()] == ["/boxes"]
 
 
