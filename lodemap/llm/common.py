@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -96,6 +97,12 @@ class Tables:
             path.getFileSystem(conf).delete(path, True)
 
 
+def collected(spark: SparkSession) -> None:
+    """Let the driver's JVM collect what finished jobs left: Spark's cleaner removes their shuffles and broadcasts only then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def with_fields(df: DataFrame, struct: Column, names: list[str]) -> DataFrame:
     """`df` with the fields `names` of a struct as columns; columns of `df` of these names are replaced."""
     other = [c for c in df.columns if c.lower() not in {n.lower() for n in names}]

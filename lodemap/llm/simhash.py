@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodemap.llm.common import Tables, partitions, python_batches, table, written
+from lodemap.llm.common import collected, partitions, python_batches, table, Tables, written
 
 BITS = 64
 SEED = 42
@@ -479,6 +479,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
         found = hamming_links(firsts.select(F.col("rep").alias("id"), "view", "fp"), 3, most=1)
         tried = tables.written(found.select("a", "b").union(tied).distinct(), "candidates")
         links = tables.written(_similar(tried, points, texts, shingle, similarity, tables), "similar")
+        collected(spark)
         stars = components(links)
         # What the tries did not bring together: every pair of texts of two groups that may be similar, in rounds that
         # compare each text with more and more others, for links join groups and spare the rest of their pairs.
@@ -489,6 +490,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
             fresh = tables.written(met.select("a", "b").join(tried, ["a", "b"], "left_anti"), "fresh")
             tried = tried.unionByName(fresh)
             new = tables.written(_similar(fresh, points, texts, shingle, similarity, tables), "similar")
+            collected(spark)
             more = not met.where("more").isEmpty()
             if not new.isEmpty():
                 links = links.unionByName(new)
