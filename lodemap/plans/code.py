@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodemap.operators import clients, closure, controllers, extract, incremental, mounts, relations, systems, values
+from lodemap.operators import clients, closure, controllers, extract, incremental, mounts, paths, postings, relations, systems, trust, values
 from lodemap.operators.traverse import shared, shared_path
 from lodemap.plans.catalog import query
 from lodemap.sources import tables as t
@@ -242,3 +242,28 @@ def superseded_orders(spark, d: str) -> DataFrame:
     by = Window.partitionBy("c").orderBy("node")
     last = F.max("node").over(Window.partitionBy("c"))
     return closure.roots(orders.select("node", F.coalesce(F.lag("node").over(by), F.when(F.col("c") % 7 == 0, last)).alias("next")))
+
+
+_PATHS = """e AS (SELECT 'F:'||o_custkey AS src, 'Q:'||o_orderkey AS dst, 'MAKES_REQUEST' AS type FROM orders UNION ALL SELECT 'Q:'||l_orderkey, 'P:'||l_partkey, 'TARGETS_ROUTE' FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT 'P:'||l_partkey, 'S:'||l_suppkey, 'USES_SYSTEM' FROM lineitem),
+u AS (SELECT DISTINCT * FROM e), s AS (SELECT 'F:'||c_custkey AS seed FROM customer WHERE c_custkey % 100 = 1),
+a AS (SELECT seed, dst AS node, 1 AS state, type||'>'||dst AS path FROM s JOIN u ON src = seed WHERE type = 'MAKES_REQUEST'),
+b AS (SELECT seed, dst AS node, 2 AS state, path||' '||type||'>'||dst AS path FROM a JOIN u ON src = node WHERE type = 'TARGETS_ROUTE'), c AS (SELECT seed, dst AS node, 4 AS state, path||' '||type||'>'||dst AS path FROM b JOIN u ON src = node WHERE type = 'USES_SYSTEM')"""
+
+
+@query(f"""WITH {_PATHS} SELECT seed, node, state, state - state // 4 AS distance, min(path) AS path FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY 1, 2, 3
+UNION ALL SELECT seed, seed, 0, 0, '' FROM s""")
+def page_inspection(spark, d: str) -> DataFrame:
+    """From every hundredth customer's page by its requests to routes and their systems, each by its first shortest path."""
+    edges = trust.traversable(t.edges(spark, d))
+    seeds = t.read(spark, d, "customer").where("c_custkey % 100 = 1").select(F.concat(F.lit("F:"), F.col("c_custkey").cast("string")).alias("node"))
+    return paths.written_out(paths.typed_paths(edges, seeds, paths.INSPECTION, 4))
+
+
+@query("""WITH t(term) AS (VALUES ('PART 1'), ('42'), ('omer#0000'), ('7'), ('nothing like it'), ('00001')), x AS (SELECT 'P:'||p_partkey AS id, p_name AS text FROM part UNION ALL SELECT 'S:'||s_suppkey, s_name FROM supplier UNION ALL SELECT 'C:'||c_custkey, c_name FROM customer)
+SELECT term, id FROM t JOIN x ON contains(lower(text), lower(term))""")
+def search_all_text(spark, d: str) -> DataFrame:
+    names = (("part", "P", "p_partkey", "p_name"), ("supplier", "S", "s_suppkey", "s_name"), ("customer", "C", "c_custkey", "c_name"))
+    texts = [t.read(spark, d, table).selectExpr(f"concat('{letter}:', {key}) AS id", f"{name} AS text") for table, letter, key, name in names]
+    found = postings.Postings(spark, shared_path(spark, "postings"), parts=16)
+    found.build(texts[0].unionByName(texts[1]).unionByName(texts[2]))
+    return found.search(spark.createDataFrame([(x,) for x in ("PART 1", "42", "omer#0000", "7", "nothing like it", "00001")], "term string"))
