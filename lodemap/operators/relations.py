@@ -35,11 +35,20 @@ def class_names(facts: DataFrame) -> DataFrame:
     return classes.join(package, ["repo", "path"], "left").select("repo", "path", "name", F.concat_ws(".", "package", "name").alias("qualified"), "id")
 
 
+def class_declarations(facts: DataFrame) -> DataFrame:
+    """(file, repo, key, id) of classes by their qualified names."""
+    return class_names(facts).select(identity.file_id(F.col("repo"), F.col("path")).alias("file"), "repo", F.col("qualified").alias("key"), "id")
+
+
+def import_references(facts: DataFrame) -> DataFrame:
+    """(file, repo, key, src) of imports: src is the file."""
+    return facts.where("kind = 'import'").select(F.col("file_id").alias("file"), "repo", F.col("name").alias("key"), F.col("file_id").alias("src")).distinct()
+
+
 def imports(facts: DataFrame) -> DataFrame:
     """(src, dst, repo): files to the classes that they import, by the exact qualified name."""
-    wanted = facts.where("kind = 'import'").select(F.col("file_id").alias("src"), "repo", F.col("name").alias("key")).distinct()
-    there = class_names(facts).select(F.col("qualified").alias("key"), "repo", "id")
-    return unique_target(wanted, there).where("target is not null").select("src", F.col("target").alias("dst"), "repo")
+    found = unique_target(import_references(facts).select("src", "repo", "key"), class_declarations(facts).select("key", "repo", "id"))
+    return found.where("target is not null").select("src", F.col("target").alias("dst"), "repo")
 
 
 def calls(facts: DataFrame) -> DataFrame:

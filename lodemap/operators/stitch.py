@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,17 +24,20 @@ def exact(requests: DataFrame, routes: DataFrame) -> DataFrame:
 def catch_all(requests: DataFrame, routes: DataFrame) -> DataFrame:
     """Requests below the prefix of a catch-all route of the same repo and method.
 
-    The prefix is what stands before the catch-all part. A request meets the routes of its own path's prefixes, one for
-    each slash, and no others. A prefix that ends inside a segment is checked on what repo and method bring together.
+    The prefix is what stands before the catch-all part. A request meets the routes by the folders of its own path, one for
+    each slash, and no others; a prefix that ends inside a segment is looked up by the folder before it, then compared.
     """
     open_ = routes.where(F.instr("route_path", CATCH_ALL) > 0).withColumn("prefix", F.expr(f"substring(route_path, 1, instr(route_path, '{CATCH_ALL}') - 1)"))
-    open_ = open_.withColumn("prefix", F.regexp_replace("prefix", r"\[$", "")).select("route_id", "repo", "method", "prefix")
-    whole = F.col("prefix").endswith("/")
+    open_ = open_.withColumn("prefix", F.regexp_replace("prefix", r"\[$", "")).select("route_id", "repo", "method", "prefix", F.regexp_extract("prefix", "^(?:.*/)?", 0).alias("folder"))
     steps = F.split("path", "/")
-    prefixes = F.when(F.size(steps) > 1, F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda i: F.concat(F.array_join(F.slice(steps, 1, i), "/"), F.lit("/"))))
-    found = requests.select("request_id", "repo", "method", F.explode(prefixes).alias("prefix")).join(open_.where(whole), ["repo", "method", "prefix"])
-    inside = requests.join(open_.where(~whole), ["repo", "method"]).where(F.col("path").startswith(F.col("prefix")))
-    return _suggested(found.select("request_id", "route_id").unionByName(inside.select("request_id", "route_id")), "catch-all")
+    folders = F.transform(F.sequence(F.lit(0), F.size(steps) - 1), lambda i: F.when(i == 0, "").otherwise(F.concat(F.array_join(F.slice(steps, F.lit(1), i), "/"), F.lit("/"))))
+    met = requests.where("path is not null").select("request_id", "repo", "method", "path", F.explode(folders).alias("folder")).join(open_, ["repo", "method", "folder"])
+    return _suggested(met.where(F.col("path").startswith(F.col("prefix"))).select("request_id", "route_id"), "catch-all")
+
+
+def stitched(*links: DataFrame) -> DataFrame:
+    """(stitched): how many links the given ways of stitching found together; a pair that two ways found counts for both."""
+    return reduce(DataFrame.unionByName, [x.groupBy().agg(F.count("*").alias("stitched")) for x in links]).agg(F.sum("stitched").alias("stitched"))
 
 
 def configured_prefix(requests: DataFrame, mappings: DataFrame, routes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodemap.functions import identity, urls
-from lodemap.operators import extract, relations, stitch, systems
+from lodemap.operators import controllers, extract, incremental, relations, stitch, systems
 from lodemap.operators.traverse import shared
 
 
@@ -26,6 +26,8 @@ def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     pages = pages.withColumn("id", identity.file_id(F.col("repo"), F.col("path")))
     app = extract.app_routes(files, live)
     routes = live.where("kind = 'route' and path_form is not null").select("repo", "path", "method", "path_form", "handler").unionByName(app.select("repo", "path", "method", "path_form", F.col("method").alias("handler")))
+    given = controllers.inherited_routes(live).unionByName(controllers.resource_routes(facts.where("scope = 'runtime'")))
+    routes = shared(routes.unionByName(given.select("repo", "path", "method", "path_form", F.lit(None).cast("string").alias("handler"))).distinct())
     routes = routes.withColumn("id", identity.route_id(F.col("repo"), F.col("method"), F.col("path_form")))
     requests = live.where("kind = 'request'").withColumn("id", F.concat("file_id", F.lit("::request:"), F.col("line").cast("string"), F.lit(":"), F.concat_ws(" ", "method", "path_form")))
     members = live.where("kind in ('class', 'function')").withColumn("id", identity.member_id(F.col("file_id"), F.col("member")))
@@ -80,6 +82,28 @@ def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.unionByName(links).distinct()
 
 
+def import_links(files: DataFrame, folder: str, parts: int = 64) -> incremental.Links:
+    """The links from files to the classes that they import, as tables in a shared folder that `sync` keeps up."""
+    links, facts = incremental.Links(files.sparkSession, folder, parts), shared(extract.facts(files))
+    links.build(relations.class_declarations(facts), relations.import_references(facts))
+    return links
+
+
+def sync(links: incremental.Links, changes: DataFrame, files: DataFrame, repo: str, excluded: list[str] | None = None) -> DataFrame:
+    """(action, files): how many files of a diff (status, path, old_path) of a repository were read, dropped and skipped.
+
+    files (repo, path, content) may hold more than what changed; only files to be read are looked at. Where a diff has no
+    source at all, no table is read. Links of other files to old and new classes are found anew, all else stays.
+    """
+    acts = shared(incremental.classified(changes, excluded))
+    read = files.where(F.col("repo") == repo).join(acts.where("action = 'read'").select("path"), "path", "left_semi").select("repo", "path", "content")
+    gone = acts.where("action <> 'skip'").select(identity.file_id(F.lit(repo), F.col("path")).alias("file"))
+    if not gone.isEmpty():
+        facts = shared(extract.facts(read))
+        links.apply(gone, relations.class_declarations(facts), relations.import_references(facts))
+    return incremental.outcome(acts)
+
+
 def totals(files: DataFrame) -> DataFrame:
     """(repo, files, lines, symbols, skipped): what a scan found; a file whose content is null could not be read and is skipped."""
     symbols = extract.facts(files).where("kind in ('class', 'function')").groupBy("repo").agg(F.count("*").alias("symbols"))

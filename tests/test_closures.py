@@ -71,6 +71,22 @@ def test_a_new_scan_of_one_repository_prunes_its_files_only(spark, tmp_path):
     assert {(s[3], s[4]) for s in stored(links)} == {("x", "2"), ("y", "new")}
 
 
+def test_a_diff_of_sources_equals_a_full_scan(spark, tmp_path):
+    from lodemap.plans.build import import_links, sync
+
+    code = lambda package, name, *wanted: f"package {package};\n" + "".join(f"import {w};\n" for w in wanted) + f"public class {name} {{}}\n"
+    before = {"A.java": code("p", "A"), "B.java": code("p", "B", "p.A", "q.C"), "C.java": code("q", "C", "p.B"), "D.java": code("q", "D", "p.A", "p.E")}
+    after = {"A.java": code("p", "E"), "moved/B.java": before["B.java"], "D.java": before["D.java"], "D2.java": before["D.java"], "F.java": code("p", "F", "q.D")}
+    frame = lambda files: spark.createDataFrame([("r", p, x) for p, x in files.items()] + [("s", "X.java", code("z", "X", "p.A", "p.B"))], "repo string, path string, content string")
+    links = import_links(frame(before), str(tmp_path / "links"), parts=8)
+    diff = [("M", "A.java", None), ("R", "moved/B.java", "B.java"), ("D", "C.java", None), ("C", "D2.java", "D.java"), ("A", "F.java", None), ("M", "notes.md", None)]
+    got = sync(links, spark.createDataFrame(diff, "status string, path string, old_path string"), frame(after), "r")
+    assert {r.action: r.files for r in got.collect()} == {"read": 4, "drop": 2, "skip": 1}
+    full = import_links(frame(after), str(tmp_path / "full"), parts=8)
+    assert stored(links) == stored(full) and len(stored(full)) == 3
+    assert not sync(links, spark.createDataFrame(diff[-1:], "status string, path string, old_path string"), frame(after), "r").where("action <> 'skip'").count()
+
+
 def test_changes_are_classified(spark):
     rows = [("M", "src/a.py", None), ("A", "b.go", None), ("D", "c.ts", None), ("R", "e.java", "d.java"), ("C", "g.java", "f.java"), ("M", "README.md", None), ("M", "vendor/x.go", None), ("D", "h.py", None), ("A", "h.py", None), ("M", None, None)]
     got = incremental.classified(spark.createDataFrame(rows, "status string, path string, old_path string"))
