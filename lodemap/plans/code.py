@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodemap.operators import clients, closure, controllers, extract, incremental, mounts, paths, postings, relations, systems, trust, values
+from lodemap.operators import clients, controllers, decisions, extract, incremental, mounts, paths, postings, relations, systems, trust, values
 from lodemap.operators.traverse import shared, shared_path
 from lodemap.plans.catalog import query
 from lodemap.sources import tables as t
@@ -234,14 +234,25 @@ def incremental_sync(spark, d: str) -> DataFrame:
     return links.links().select("file", "repo", "key", "src", "target")
 
 
-@query("""WITH o AS (SELECT o_orderkey AS node, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS depth, min(o_orderkey) OVER (PARTITION BY o_custkey) AS root, o_custkey % 7 = 0 AS cycle FROM orders)
-SELECT node, CASE WHEN NOT cycle THEN root END AS root, CASE WHEN NOT cycle THEN depth END AS depth FROM o""")
+def _orders_in_line(spark, d: str) -> DataFrame:
+    """Every order supersedes the one before it of its customer; the first of some customers supersedes their last, a circle."""
+    by = Window.partitionBy("c").orderBy("id")
+    orders = t.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("c"), F.col("o_orderpriority").alias("title"))
+    return orders.withColumn("supersedes", F.coalesce(F.lag("id").over(by), F.when(F.col("c") % 7 == 0, F.max("id").over(Window.partitionBy("c")))))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS depth, min(o_orderkey) OVER (PARTITION BY o_custkey) AS root, max(o_orderkey) OVER (PARTITION BY o_custkey) AS last, o_custkey % 7 = 0 AS cycle FROM orders)
+SELECT id, CASE WHEN NOT cycle THEN root END AS root, CASE WHEN NOT cycle THEN depth END AS depth, id = last AND NOT cycle AS active FROM o""")
 def superseded_orders(spark, d: str) -> DataFrame:
-    """Every order supersedes the one before it of its customer; the first of some customers supersedes their last, a circle without a root."""
-    orders = t.read(spark, d, "orders").select(F.col("o_orderkey").alias("node"), F.col("o_custkey").alias("c"))
-    by = Window.partitionBy("c").orderBy("node")
-    last = F.max("node").over(Window.partitionBy("c"))
-    return closure.roots(orders.select("node", F.coalesce(F.lag("node").over(by), F.when(F.col("c") % 7 == 0, last)).alias("next")))
+    return decisions.chains(_orders_in_line(spark, d).select("id", "supersedes"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderpriority AS title, lag(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS superseded, max(o_orderkey) OVER (PARTITION BY o_custkey) AS last FROM orders WHERE o_custkey % 7 <> 0),
+f AS (SELECT l_orderkey AS id, string_agg(path, ' ' ORDER BY path) AS files FROM (SELECT DISTINCT l_orderkey, 'f'||l_partkey AS path FROM lineitem) GROUP BY 1)
+SELECT id, title, superseded, coalesce(files, '') AS files FROM o LEFT JOIN f USING (id) WHERE id = last""")
+def decision_context(spark, d: str) -> DataFrame:
+    files = t.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat(F.lit("f"), F.col("l_partkey").cast("string")).alias("path"))
+    return decisions.context(_orders_in_line(spark, d).select("id", "title", "supersedes"), files).withColumn("files", F.array_join("files", " "))
 
 
 _PATHS = """e AS (SELECT 'F:'||o_custkey AS src, 'Q:'||o_orderkey AS dst, 'MAKES_REQUEST' AS type FROM orders UNION ALL SELECT 'Q:'||l_orderkey, 'P:'||l_partkey, 'TARGETS_ROUTE' FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT 'P:'||l_partkey, 'S:'||l_suppkey, 'USES_SYSTEM' FROM lineitem),
