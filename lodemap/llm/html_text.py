@@ -26,8 +26,10 @@ CLOSES_P = BLOCKS - {"html", "body"}
 PARAGRAPHS = frozenset("p pre blockquote li td dd h1 h2 h3 h4 h5 h6 figcaption".split())
 #: Words in class, id or role that name what is no part of an article: menus, headers, footers, sidebars, notices, adverts, comments.
 _SURROUNDINGS = """menu navbar navigation nav breadcrumb breadcrumbs toolbar header footer sidebar notice notices cookie cookies consent banner
-ad ads advert adverts advertisement advertising sponsor sponsored promo promotion newsletter subscribe comment comments replies popup share social"""
+ad ads advert adverts advertisement advertising sponsor sponsored promo promotion newsletter subscribe comment comments commentlist disqus replies popup share social"""
 UNLIKELY = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(_SURROUNDINGS.split())})(?:$|[\s_-])", re.I)
+#: Names are words put together with blanks, hyphens, underscores or capitals.
+JOINT = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 #: Words that say what a layout has beside something, not what it is.
 BESIDE = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with|without)[_-][\w-]+", re.I)
 #: Classes of an article's own containers.
@@ -57,8 +59,8 @@ def _unlikely(tag: str, attrs: list[tuple[str, str | None]]) -> str | None:
     """Whether words mark a node as no part of an article: "name", "subject" where only its id does and could be a section's, or None."""
     if tag in HEADINGS or tag in ("article", "main"):
         return None
-    values = {name: BESIDE.sub("", value) for name, value in attrs if value and name in ("class", "id", "role", "aria-label")}
-    if CONTENT & set(values.get("class", "").lower().split()):
+    values = {name: BESIDE.sub("", JOINT.sub("-", value)) for name, value in attrs if value and name in ("class", "id", "role", "aria-label")}
+    if CONTENT & {word.lower() for name, value in attrs if name == "class" and value for word in (*value.split(), *JOINT.sub("-", value).split())}:
         return None
     hits = [name for name, value in values.items() if UNLIKELY.search(value)]
     if hits == ["id"] and values["id"].strip().lower() in SUBJECTS:
@@ -252,6 +254,16 @@ def main_text(html: str | None) -> str:
     return text
 
 
+def _holds(top: _Node, tag: str) -> bool:
+    stack = [top]
+    while stack:
+        node = stack.pop()
+        if node.tag == tag and not node.drop:
+            return True
+        stack.extend(x for x in node.parts if not isinstance(x, str))
+    return False
+
+
 def _main(tree: _Tree) -> str:
     """The blocks of the best container of a tree and of its siblings."""
     found = _score(tree.root)
@@ -266,10 +278,14 @@ def _main(tree: _Tree) -> str:
     if best.parent is None:
         return "\n\n".join(_blocks(best))
     kept, least = [], SIBLING_SHARE * worth(best)
+    titled, before = _holds(best, "h1"), True
     for x in best.parent.parts:
         if isinstance(x, str) or x.drop:
             continue
-        if x is best or (worth(x) >= least and x.points > 0 and (region is None or x.tag == best.tag)):
+        before = before and x is not best
+        if before and x.tag == "h1" and not titled:
+            kept += _blocks(x)  # the title of a container that has none
+        elif x is best or (worth(x) >= least and x.points > 0 and (region is None or x.tag == best.tag)):
             kept += _blocks(x)
         elif x.tag == best.tag and (x.tag == "section" or x.kind and x.kind == best.kind) and 2 * x.linked <= x.letters:
             kept += _blocks(x)  # sections of one article, however short
