@@ -71,3 +71,11 @@ def start_warning(starts: DataFrame) -> DataFrame:
     """(repo, keys): process keys of starts (repo, process_key, target) of repositories none of whose starts has a target, in order."""
     found = starts.groupBy("repo").agg(F.count("target").alias("n"), F.array_sort(F.collect_set("process_key")).alias("keys"))
     return found.where("n = 0").select("repo", F.array_join("keys", ", ").alias("keys"))
+
+
+def trace_stats(edges: DataFrame, reached: DataFrame) -> DataFrame:
+    """(nodes, links, alternatives) of a trace: nodes reached (node), links between them of edges (src, dst, type, condition), each once, and how many of them depend on a condition."""
+    nodes = reached.select("node").distinct()
+    near = edges.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "type", "condition").distinct()
+    links = near.agg(F.count("*").alias("links"), F.count("condition").alias("alternatives"))
+    return nodes.agg(F.count("*").alias("nodes")).join(F.broadcast(links)).select("nodes", "links", "alternatives")  # one row each

@@ -8,7 +8,9 @@ are not written where they are used stay open, as terms; operators.values finds
 
 from __future__ import annotations
 
+import ast
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -118,7 +120,7 @@ class _File:
     """The facts of one file."""
 
     def __init__(self, path: str, suffix: str, content: str):
-        self.path, self.suffix = path, suffix
+        self.path, self.suffix, self.content = path, suffix, content
         self.lang = "js" if suffix in _JS.split("|") else suffix
         self.text = mask_comments(content.replace("\r\n", "\n"), suffix)
         self.places = Places(self.text, source.scopes(self.text, suffix))
@@ -242,6 +244,8 @@ class _File:
     # -- rules ----------------------------------------------------------------------------------------------------------
 
     def scan(self) -> list[dict]:
+        if self.suffix == "py" and (wrong := _broken(self.content)) is not None:
+            return [{"at": 0, "line": wrong[0], "kind": "error", "name": wrong[1]}]
         for s in self.places.scopes:
             self.add(s.at, s.kind, name=s.name, detail=s.detail if s.kind == "function" and self.suffix in ("java", "go") else None, member=s.member)
             if s.inherits and self.suffix == "java":
@@ -450,6 +454,19 @@ class _File:
             self.add(m.start(), "rewrite", url=m[1], detail=known[1] if known else name[1] if name else re.sub(r"^https?://([^/]*).*$", r"\1", m[2]))
 
 
+def _broken(content: str) -> tuple[int, str] | None:
+    """Line and kind of what makes a Python text no program, or None."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            ast.parse(content)
+    except SyntaxError as error:
+        return max(1, error.lineno or 1), type(error).__name__
+    except (ValueError, RecursionError, MemoryError) as error:
+        return 1, type(error).__name__
+    return None
+
+
 def _until_sure(places: list) -> Iterator[tuple]:
     """Definitions up to the next that is not passed by."""
     for p in places:
@@ -485,7 +502,8 @@ def facts(files: DataFrame) -> DataFrame:
     place stands in, argument a name, condition what a Java line depends on, listener the method that a consumer's
     annotation stands before. A Spring route has its class's base path before its own, one row for each path and method (ANY
     where none is named); in a Feign client it is a request. terms are what an expression is made of, where its value is
-    not one text (`resolved` finds it); key names what a definition defines. Null contents have no facts.
+    not one text (`resolved` finds it); key names what a definition defines. A Python text that is no program has one fact, of kind error; `errors` lists them. Null
+    contents have no facts.
     """
     worker_path(files.sparkSession)
     suffix = F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)
@@ -522,6 +540,11 @@ def resolved(facts: DataFrame) -> DataFrame:
     return clients.configured(rows)
 
 
+def errors(facts: DataFrame) -> DataFrame:
+    """(repo, path, line, error) of files that could not be read as programs, in order of repository and path."""
+    return facts.where("kind = 'error'").select("repo", "path", "line", F.col("name").alias("error")).orderBy("repo", "path")
+
+
 def app_routes(files: DataFrame, handlers: DataFrame) -> DataFrame:
     """(repo, path, method, route_path, path_form) of handlers exported by route files of an app folder."""
     inner = F.regexp_extract("path", r"(?:^|/)app/(api(?:/.*)?)/route\.[jt]s$", 1)

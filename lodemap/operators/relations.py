@@ -35,6 +35,12 @@ def class_names(facts: DataFrame) -> DataFrame:
     return classes.join(package, ["repo", "path"], "left").select("repo", "path", "name", F.concat_ws(".", "package", "name").alias("qualified"), "id")
 
 
+def identifiers(facts: DataFrame) -> DataFrame:
+    """(file, identifiers): every name by which the classes of a file are known (name, qualified name, alias), by code points."""
+    names = F.explode(F.array("name", "qualified", identity.alias(F.col("name"))))
+    return class_names(facts).select(identity.file_id(F.col("repo"), F.col("path")).alias("file"), names.alias("known")).groupBy("file").agg(F.array_sort(F.collect_set("known")).alias("identifiers"))
+
+
 def class_declarations(facts: DataFrame) -> DataFrame:
     """(file, repo, key, id) of classes by their qualified names."""
     return class_names(facts).select(identity.file_id(F.col("repo"), F.col("path")).alias("file"), "repo", F.col("qualified").alias("key"), "id")

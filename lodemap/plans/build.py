@@ -105,8 +105,10 @@ def sync(links: incremental.Links, changes: DataFrame, files: DataFrame, repo: s
 
 
 def totals(files: DataFrame) -> DataFrame:
-    """(repo, files, lines, symbols, skipped): what a scan found; a file whose content is null could not be read and is skipped."""
-    symbols = extract.facts(files).where("kind in ('class', 'function')").groupBy("repo").agg(F.count("*").alias("symbols"))
+    """(repo, files, lines, symbols, skipped): what a scan found; a file whose content is null or no program could not be read and is skipped."""
+    facts = shared(extract.facts(files).where("kind in ('class', 'function', 'error')"))
+    found = facts.groupBy("repo").agg(F.count_if(F.col("kind") != "error").alias("symbols"), F.count_if(F.col("kind") == "error").alias("wrong"))
     read = files.groupBy("repo").agg(
-        F.count("content").alias("files"), F.coalesce(F.sum(F.size(F.split("content", "\n"))), F.lit(0)).alias("lines"), F.count_if(F.col("content").isNull()).alias("skipped"))
-    return read.join(symbols, "repo", "left").select("repo", "files", "lines", F.coalesce("symbols", F.lit(0)).alias("symbols"), "skipped")
+        F.count("content").alias("files"), F.coalesce(F.sum(F.size(F.split("content", "\n"))), F.lit(0)).alias("lines"), F.count_if(F.col("content").isNull()).alias("null"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return read.join(found, "repo", "left").select("repo", (F.col("files") - zero(F.col("wrong"))).alias("files"), "lines", zero(F.col("symbols")).alias("symbols"), (F.col("null") + zero(F.col("wrong"))).alias("skipped"))

@@ -350,4 +350,4 @@ def entry_point_systems(spark, d: str) -> DataFrame:
     return traverse.reached_systems(edges, traverse.reach(edges, _seed(spark, d), 3))
 
 
-from lodemap.plans import code  # noqa: E402,F401  registers its queries
+from lodemap.plans import code, records  # noqa: E402,F401  register their queries
