@@ -20,18 +20,18 @@ BUCKET_BYTES = 16 << 20
 def _scattered(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text) with `text_key` and `copy`, which with doc_id tell every row from every other one.
 
-    Both are 0 where a doc_id stands once. Rows that share a doc_id (or have none) take the hash of their text;
-    rows equal in both are one record and a count, dealt out again with a number each. So no id and no text,
+    text_key is empty and copy 0 where a doc_id stands once. Rows that share a doc_id (or have none) take the SHA-256 of
+    their text, none for a null; rows equal in both are one record and a count, dealt out again with a number each. So no id and no text,
     however often it is there, lands in one bucket.
     """
     rows = docs.select("doc_id", "text")
     repeated = written(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again")), "repeated")
     none = F.lit(0).cast("long")
     if repeated.isEmpty():
-        return rows.withColumns({"text_key": none, "copy": none})
+        return rows.withColumns({"text_key": F.lit(""), "copy": none})
     same = F.col("doc_id").eqNullSafe(F.col("again"))
-    single = rows.join(repeated, same, "left_anti").withColumns({"text_key": none, "copy": none})
-    keyed = rows.join(repeated, same, "left_semi").withColumn("text_key", F.xxhash64("text", F.length("text")))
+    single = rows.join(repeated, same, "left_anti").withColumns({"text_key": F.lit(""), "copy": none})
+    keyed = rows.join(repeated, same, "left_semi").withColumn("text_key", F.coalesce(F.sha2("text", 256), F.lit("none")))
     copies = keyed.groupBy("doc_id", "text_key").agg(F.min("text").alias("text"), F.count("*").alias("n"))
     return single.unionByName(copies.select("doc_id", "text", "text_key", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy")))
 
