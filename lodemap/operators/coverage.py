@@ -62,6 +62,7 @@ def request_warning(requests: DataFrame, candidates: DataFrame, shown: int = 3)
     place = Window.partitionBy("repo").orderBy("id")
     first = rows.where("ok is null").withColumn("n", F.row_number().over(place)).where(F.col("n") <= shown)
     first = first.groupBy("repo").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "label"))), lambda x: x["label"]), "; ").alias("first"))
+    # Fixed value: the sentence of the warning.
     text = F.concat(F.col("unresolved").cast("string"), F.lit(" of "), F.col("requests").cast("string"), F.lit(" API requests do not have a validated backend route: "), "first",
                     F.when(F.col("unresolved") > shown, F.concat(F.lit("; +"), (F.col("unresolved") - shown).cast("string"), F.lit(" more."))).otherwise("."))
     return counts.join(first, "repo").select("repo", "unresolved", "requests", text.alias("message"))
