@@ -6,9 +6,10 @@ buckets stay small. A query probes in each table the buckets nearest to it. How
 sample of queries the true neighbours are found in all rows, and the number of probes is that which meets nearly all
 of them. Every row is in the index, with its buckets.
 
-Queries go to the rows, in blocks: a block's vectors and probes are broadcast, each task looks up the buckets of its
-rows, ranks what meets by exact distance and returns the best of each query. No vector is shuffled, and a bucket that
-holds a third of all rows stays where its rows are.
+Equal vectors are one entry of the index, with as many of their smallest ids as any result can show, so a vector that
+a third of all rows hold is compared once. Entries and probes meet by a join on table and bucket, in which only ids
+move: an entry joins the lists of queries that probe its buckets. Then each entry fetches its vector once, the queries'
+vectors come by broadcast, a bounded block of them at a time, and exact distances rank what has met.
 """
 
 from __future__ import annotations
@@ -31,11 +32,16 @@ SAMPLE_QUERIES = 64
 RECALL = 0.97
 #: Buckets that a query probes in a table at most. Where they would not do, all rows are looked at.
 MOST_PROBES = 2_048
-#: Probes, and numbers of vectors, that go to the tasks at once.
+#: Numbers of the queries' vectors that go to the tasks at once.
 BLOCK_NUMBERS = 1 << 22
 #: Distances that a task computes at once.
 PAIRS = 1 << 17
-OUT = "query long, vec_id long, score double"
+#: Queries in one list of a bucket, in the mean.
+LIST = 4_096
+#: A bucket with over this part of all entries of the tables is dealt out to SALTS tasks; there are no more such buckets than this.
+HOT_PARTS = 10_000
+SALTS = 32
+OUT = "query long, ids array<long>, score double"
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -113,61 +119,72 @@ def needed(queries: np.ndarray, of: np.ndarray, near: np.ndarray, tables: int, c
     return int(np.sort(ranks)[max(0, math.ceil(recall * len(ranks)) - 1)]) if len(ranks) else 1
 
 
-def _best(k: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of (query, vec_id, score) the k best of each query; equal rows count once."""
-    query, ids, score = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((ids, score, query))
-    query, ids, score = query[order], ids[order], score[order]
-    if len(query):
-        same = (query[1:] == query[:-1]) & (ids[1:] == ids[:-1]) & (score[1:] == score[:-1])
-        keep = np.concatenate([[True], ~same])
-        query, ids, score = query[keep], ids[keep], score[keep]
-    place = np.arange(len(query)) - np.searchsorted(query, query, "left")
-    return query[place < k], ids[place < k], score[place < k]
-
-
-def _scan(shared, k: int):
-    """mapInPandas function: rows (vec_id, embedding, codes) of one length; the k best for each query of a task.
-
-    `shared`: query ids, vectors, and for each table the sorted probed buckets with their queries; None: all rows meet all.
+def _best(k: int, parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Of (query, first id, score, ids) the k best entries of each query."""
+    query, first, score, ids = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((first, score, query))
+    query = query[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query, "left") < k
+    order = order[keep]
+    return query[keep], first[order], score[order], ids[order]
+
+
+def _met(batch: pd.DataFrame, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row of the batch, place of the query), each once, some at a time: those of the column `met`, or all."""
+    if "met" not in batch:
+        step = max(1, PAIRS // len(keys))
+        for low in range(0, len(batch), step):
+            rows = np.arange(low, min(low + step, len(batch)))
+            for at in range(0, len(keys), PAIRS):
+                places = np.arange(at, min(at + PAIRS, len(keys)))
+                yield np.repeat(rows, len(places)), np.tile(places, len(rows))
+        return
+    lists = batch["met"].tolist()
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    pairs = np.unique(row * len(keys) + np.searchsorted(keys, np.concatenate(lists)))
+    for at in range(0, len(pairs), PAIRS):
+        yield np.divmod(pairs[at : at + PAIRS], len(keys))
+
+
+def _scan(shared, k: int, count):
+    """mapInPandas function: entries (ids, embedding, and met, where not all queries meet them); the k best for each query of a task.
+
+    `shared`: keys of the queries in ascending order, their vec_ids and vectors. `count`: an accumulator of comparisons, or None.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, vectors, tables = shared.value
-        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        keys, own, vectors = shared.value
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object))]
         for batch in batches:
-            ids, rows = batch["vec_id"].to_numpy(), np.stack(batch["embedding"].tolist()).astype(np.float64)
-            buckets = None if tables is None else np.stack(batch["codes"].tolist())
-            step = max(1, BLOCK_NUMBERS // max(1, len(own)))
-            for low in range(0, len(ids), step):
-                here = slice(low, low + step)
-                if buckets is None:
-                    met = np.ones((len(ids[here]), len(own)), bool)
-                else:
-                    met = np.zeros((len(ids[here]), len(own)), bool)
-                    for t, (probed, of) in enumerate(tables):
-                        a, b = np.searchsorted(probed, buckets[here, t], "left"), np.searchsorted(probed, buckets[here, t], "right")
-                        n = b - a
-                        row = np.repeat(np.arange(len(n)), n)
-                        met[row, of[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)]] = True
-                met &= ids[here][:, None] != own[None]
-                row, query = np.nonzero(met)
-                for at in range(0, len(row), PAIRS):
-                    r, q = row[at : at + PAIRS] + low, query[at : at + PAIRS]
-                    held.append(_best(k, [(q, ids[r], np.sqrt(((vectors[q] - rows[r]) ** 2).sum(axis=1)))]))
-                if len(held) > 64:
-                    held = [_best(k, held)]
-        query, ids, score = _best(k, held)
+            if not len(batch):
+                continue
+            rows = np.stack(batch["embedding"].tolist()).astype(np.float64)
+            ids = np.empty(len(batch), object)
+            ids[:] = batch["ids"].tolist()
+            first, second = np.array([x[0] for x in ids]), np.array([x[1] if len(x) > 1 else -1 for x in ids])
+            more = np.array([len(x) > 1 for x in ids])
+            for r, q in _met(batch, keys):
+                mine = first[r] == own[q]
+                r, q, mine = (x[~mine | more[r]] for x in (r, q, mine))
+                if count is not None:
+                    count.add(len(r))
+                if len(r):
+                    score = np.sqrt(((vectors[q] - rows[r]) ** 2).sum(axis=1))
+                    held.append(_best(k, [(q, np.where(mine, second[r], first[r]), score, ids[r])]))
+            if len(held) > 64:
+                held = [_best(k, held)]
+        query, _, score, ids = _best(k, held)
         if len(query):
-            yield pd.DataFrame({"query": query, "vec_id": ids, "score": score})
+            yield pd.DataFrame({"query": keys[query], "ids": ids, "score": score})
 
     return run
 
 
-def _ranked(found: DataFrame, k: int) -> DataFrame:
-    """(query, rank, vec_id, score): the best of all tasks."""
+def _ranked(found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query, query_id, rank, vec_id, score): the best of all tasks, without each query's own id."""
     order = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
-    return found.distinct().withColumn("rank", order).where(F.col("rank") <= k)
+    rows = found.join(queries.select("query", F.col("vec_id").alias("query_id")), "query").select("query", "query_id", F.explode("ids").alias("vec_id"), "score")
+    return rows.where("vec_id != query_id").withColumn("rank", order).where(F.col("rank") <= k).select("query", "query_id", "rank", "vec_id", "score")
 
 
 def _coded(tables: int, count: int):
@@ -178,15 +195,39 @@ def _coded(tables: int, count: int):
     return coded
 
 
-def _probed(tables: int, count: int, most: int):
-    @F.pandas_udf("binary")
-    def probed(column: pd.Series) -> pd.Series:
-        out: list[bytes] = []
-        for at in range(0, len(column), 64):
-            out += [x.tobytes() for x in probes(np.stack(column.iloc[at : at + 64].tolist()).astype(np.float64), tables, count, most)]
-        return pd.Series(out)
+def _probing(tables: int, count: int, most: int):
+    """mapInPandas function: queries (query, embedding) to the buckets that they probe."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 16):
+                part = batch.iloc[at : at + 16]
+                places = probes(np.stack(part["embedding"].tolist()).astype(np.float64), tables, count, most)
+                n = places.shape[2]
+                yield pd.DataFrame({"t": np.tile(np.repeat(np.arange(tables, dtype=np.int32), n), len(part)), "bucket": places.reshape(-1), "query": np.repeat(part["query"].to_numpy(), tables * n)})
+
+    return run
 
-    return probed
+
+def entries(rows: DataFrame, k: int) -> DataFrame:
+    """(embedding, ids): every vector of rows (vec_id, embedding) once, with its k smallest ids in order."""
+    order = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    few = rows.distinct().withColumn("place", order).where(F.col("place") <= k)  # cut in each task before the shuffle
+    return few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+
+
+def met(postings: DataFrame, hot: DataFrame, probed: DataFrame, lists: int) -> DataFrame:
+    """(entry, met): the queries that probe any bucket of an entry, as often as they do; entries that none probes are left out.
+
+    `postings`: (t, bucket, entry); `probed`: (t, bucket, query); `hot`: buckets (t, bucket) that are dealt out. The queries of
+    a bucket are cut into `lists` lists by their hash.
+    """
+    hot = F.broadcast(hot.withColumn("hot", F.lit(True)))
+    grouped = probed.groupBy("t", "bucket", F.pmod(F.xxhash64("query"), F.lit(lists)).alias("part")).agg(F.collect_list("query").alias("met"))
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = postings.join(hot, ["t", "bucket"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod("entry", F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    right = grouped.join(hot, ["t", "bucket"], "left").withColumn("salt", F.explode(salts))
+    return left.select("t", "bucket", "salt", "entry").join(right.select("t", "bucket", "salt", "met"), ["t", "bucket", "salt"]).groupBy("entry").agg(F.flatten(F.collect_list("met")).alias("met"))
 
 
 def nearest(vectors: DataFrame, query: Column, k: int = 10, tables: int = TABLES, recall: float = RECALL, measured: dict | None = None) -> DataFrame:
@@ -196,7 +237,8 @@ def nearest(vectors: DataFrame, query: Column, k: int = 10, tables: int = TABLES
     candidate. Rows with a null vec_id, or whose vector is null, empty, zero or holds null or non-finite components, take
     no part; vectors of other lengths are not compared. Rows equal in id and vector count once, equal queries as well. A
     query that finds fewer than k is searched in all rows, so it gets k wherever there are as many. An empty table gives
-    no rows. Other columns are ignored. `measured` gets, for each length, rows, hashes a table and probes (None: all rows).
+    no rows. Other columns are ignored. `measured` gets, for each length, rows, entries, hashes a table, probes (None: all
+    rows), and the comparisons of queries with entries that came from the tables.
     """
     spark = vectors.sparkSession
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -206,50 +248,54 @@ def nearest(vectors: DataFrame, query: Column, k: int = 10, tables: int = TABLES
     out = []
     with Tables(spark) as scratch:
         for x in lengths:
-            dims, count = x["dims"], polytopes(x["dims"], x["n"])
-
-            index = scratch.written(rows.where(F.col("dims") == dims).select("vec_id", "embedding", _coded(tables, count)("embedding").alias("codes")), "index")
-            asked = scratch.written(rows.where((F.col("dims") == dims) & F.col("asked")).select("vec_id", "embedding").distinct(), "queries")
-
-            def searched(block: list, tested: bool, index=index) -> DataFrame:
-                """Rows of `_ranked` for a block of queries (vec_id, embedding, places); by way of all rows where these are not asked for."""
-                own, points = np.array([r["vec_id"] for r in block], np.int64), np.array([r["embedding"] for r in block], np.float64)
-                held = None
-                if tested:
-                    places, held = np.stack([np.frombuffer(r["places"], np.int64).reshape(tables, -1) for r in block]), []
-                    of = np.repeat(np.arange(len(own)), places.shape[2])
-                    for t in range(tables):
-                        order = np.argsort(places[:, t].ravel(), kind="stable")
-                        held.append((places[:, t].ravel()[order], of[order]))
-                shared = spark.sparkContext.broadcast((own, points, held))
-                found = scratch.written(index.mapInPandas(_scan(shared, k), OUT), "found")
+            dims = x["dims"]
+            own = rows.where(F.col("dims") == dims).select("vec_id", "embedding")
+            asked = scratch.written(rows.where((F.col("dims") == dims) & F.col("asked")).select("vec_id", "embedding").distinct().withColumn("query", F.monotonically_increasing_id()), "queries")
+            plain = scratch.written(entries(own, k + 1).withColumn("entry", F.monotonically_increasing_id()), "entries")
+            total = plain.count()
+            count = polytopes(dims, total)
+            compared = None if measured is None else spark.sparkContext.accumulator(0)
+
+            def searched(queries: DataFrame, block: list, candidates: DataFrame | None, plain=plain, compared=compared) -> DataFrame:
+                """Rows of `_ranked` for a block of queries, held as rows in order of `query`; without candidates (entry, met) by way of all entries."""
+                shared = spark.sparkContext.broadcast((np.array([r["query"] for r in block], np.int64), np.array([r["vec_id"] for r in block], np.int64), np.array([r["embedding"] for r in block], np.float64)))
+                these = plain.select("ids", "embedding") if candidates is None else plain.join(candidates, "entry").select("ids", "embedding", "met")
+                found = scratch.written(these.mapInPandas(_scan(shared, k + 1, None if candidates is None else compared), OUT), "found")
                 shared.unpersist()
-                names = spark.createDataFrame(pd.DataFrame({"query": np.arange(len(own)), "query_id": own}))
-                return _ranked(found, k).join(F.broadcast(names), "query").select("query_id", "query", "rank", "vec_id", "score")
+                return _ranked(found, queries, k)
 
             # The number of probes, by the true neighbours of a sample.
-            some = asked.orderBy(F.xxhash64("vec_id", "embedding")).limit(SAMPLE_QUERIES).collect()
-            pairs = searched(some, False).select("query", "vec_id").collect()
-            points = {r["vec_id"]: r["embedding"] for r in index.join(F.broadcast(spark.createDataFrame([(p["vec_id"],) for p in pairs], "vec_id long").distinct()), "vec_id").select("vec_id", "embedding").collect()}
-            of, near = np.array([p["query"] for p in pairs], np.int64), np.array([points[p["vec_id"]] for p in pairs], np.float64).reshape(len(pairs), dims)
-            most = needed(np.array([r["embedding"] for r in some], np.float64), of, near, tables, count, recall)
+            some = asked.orderBy(F.xxhash64("vec_id", "embedding")).limit(SAMPLE_QUERIES)
+            sample = sorted(some.collect(), key=lambda r: r["query"])
+            pairs = scratch.written(searched(spark.createDataFrame(sample, asked.schema), sample, None), "true")
+            near = pairs.select("query", F.col("vec_id").alias("id")).join(plain.select("embedding", F.explode("ids").alias("id")), "id").select("query", "embedding").collect()
+            place = {r["query"]: i for i, r in enumerate(sample)}
+            most = needed(np.array([r["embedding"] for r in sample], np.float64), np.array([place[r["query"]] for r in near], np.int64), np.array([r["embedding"] for r in near], np.float64).reshape(len(near), dims), tables, count, recall)
             most = most if most <= MOST_PROBES else None
-            if measured is not None:
-                measured[dims] = {"rows": x["n"], "hashes": count, "probes": most}
 
-            size = max(1, BLOCK_NUMBERS // (tables * (most or 1) + dims))
-            blocks = -(-x["queries"] // size)
+            blocks = max(1, -(-x["queries"] * dims // BLOCK_NUMBERS))
+            lists = max(1, x["queries"] // blocks // LIST)
+            if most is not None:
+                postings = scratch.written(plain.select("entry", F.posexplode(_coded(tables, count)("embedding")).alias("t", "bucket")), "postings")
+                hot = scratch.written(postings.groupBy("t", "bucket").count().where(F.col("count") > max(1_000, total * tables // HOT_PARTS)).select("t", "bucket"), "hot")
             for b in range(blocks):
-                block = asked.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)) == b)
-                block = (block if most is None else block.withColumn("places", _probed(tables, count, most)("embedding"))).orderBy("vec_id").collect()
+                queries = asked.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)) == b)
+                block = sorted(queries.collect(), key=lambda r: r["query"])
                 if not block:
                     continue
-                found = searched(block, most is not None)
-                if most is not None:
-                    full = found.groupBy("query").count().where(F.col("count") >= k).select("query").collect()
-                    if short := [block[i] for i in sorted(set(range(len(block))) - {r["query"] for r in full})]:
-                        found = found.join(F.broadcast(spark.createDataFrame(full, "query long")), "query", "left_semi").select("query_id", "rank", "vec_id", "score").unionByName(searched(short, False).select("query_id", "rank", "vec_id", "score"))
+                if most is None:
+                    found = searched(queries, block, None)
+                else:
+                    probed = scratch.written(queries.select("query", "embedding").repartition(spark.sparkContext.defaultParallelism).mapInPandas(_probing(tables, count, most), "t int, bucket long, query long"), "probes")
+                    found = scratch.written(searched(queries, block, met(postings, hot, probed, lists)), "ranked")
+                    full = found.where(F.col("rank") == k).select("query")
+                    short = sorted(queries.join(full, "query", "left_anti").select(asked.columns).collect(), key=lambda r: r["query"])
+                    if short:
+                        rest = searched(spark.createDataFrame(short, asked.schema), short, None)
+                        found = found.join(full, "query", "left_semi").select("query_id", "rank", "vec_id", "score").unionByName(rest.select("query_id", "rank", "vec_id", "score"))
                 out.append(written(found.select("query_id", "rank", "vec_id", "score"), "nearest"))
+            if measured is not None:
+                measured[dims] = {"rows": x["n"], "entries": total, "hashes": count, "probes": most, "compared": compared.value}
     if not out:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return reduce(DataFrame.unionByName, out)

@@ -78,3 +78,40 @@ def test_a_hot_bucket_and_equal_vectors(spark):
     rows = [(i, [1.0, 2.0, 3.0, 4.0] if i % 3 == 0 else rng.normal(size=4).tolist()) for i in range(3000)]
     got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 300)
     assert [(r.vec_id, r.score) for r in got.orderBy("rank").collect()] == [(3 * i, 0.0) for i in range(10)]
+
+
+def test_comparisons_grow_slower_than_rows(spark):
+    """Comparisons of a query from the tables, counted: a falling share of all entries on larger tables; the full search of short queries is not in it."""
+    shares = []
+    for n in (2_000, 20_000):
+        measured = {}
+        df = spark.createDataFrame(zip(range(n), vectors_of("random", n).tolist()), "vec_id long, embedding array<float>")
+        assert neighbours.nearest(df, F.col("vec_id") % (n // 40) == 0, measured=measured).count() == 400
+        assert measured[64]["entries"] == n and measured[64]["probes"] is not None
+        shares.append(measured[64]["compared"] / (40 * n))
+    assert 0 < shares[1] < shares[0] < 1
+
+
+def test_lists_and_hot_buckets_meet_each_query_once(spark):
+    """Buckets dealt out and lists cut: every entry meets the queries of its buckets, and no others."""
+    postings = [(0, 1, e) for e in range(100)] + [(1, e % 7, e) for e in range(100)]
+    probed = [(0, 1, q) for q in range(9)] + [(1, q % 7, q + 50) for q in range(20)]
+    p, q = spark.createDataFrame(postings, "t int, bucket long, entry long"), spark.createDataFrame(probed, "t int, bucket long, query long")
+    for hot in ([], [(0, 1)], [(0, 1), (1, 3), (1, 99)]):
+        got = neighbours.met(p, spark.createDataFrame(hot, "t int, bucket long"), q, 3).collect()
+        want = {e: sorted(x for t, b, y in postings if y == e for u, c, x in probed if (t, b) == (u, c)) for e in range(100)}
+        assert {r.entry: sorted(r.met) for r in got} == want
+
+
+def test_ids_with_several_vectors(spark):
+    """Rows of the query's own id are no candidates, whatever vectors they have; each vector of a query's id is a query."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(300)] + [(100, rng.normal(size=6).tolist()) for _ in range(30)] + [(100, [1.0] * 6)] * 2
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 100).toPandas()
+    assert 100 not in set(got["vec_id"]) and len(got) == 10 * 32
+    v, ids = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
+    every = set()
+    for q in {tuple(r[1]) for r in rows if r[0] == 100}:
+        d = np.sqrt(((v - np.array(q)) ** 2).sum(1))
+        every |= {(int(ids[i]), float(d[i])) for i in np.lexsort((ids, d)) if ids[i] != 100}
+    assert {(r.vec_id, r.score) for r in got.itertuples()} <= every
