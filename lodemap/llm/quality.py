@@ -191,20 +191,23 @@ def totals(texts: DataFrame, add: Callable[[np.ndarray], np.ndarray], width: int
 def fit(positives: DataFrame, unlabelled: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 11) -> Model | None:
     """A model from two tables (doc_id, text); None where one is empty. Null texts teach nothing.
 
-    At most about `train_rows` rows of each, drawn by a seeded hash of their ids, come to the driver as features. The
-    other rows of `unlabelled` are read twice: for the prior, without those that the probe learned, and for their risk.
+    At most about `train_rows` rows of each, drawn by a seeded hash of id and text, come to the driver as features, rows
+    equal in both once: neither one id nor one text, however often it stands there, makes the sample larger. All rows of
+    `unlabelled` are read twice, repeated ones counting each time: for the prior, without those that the probe learned,
+    and for their risk. Ids may be of any type.
     """
 
     def drawn(rows: DataFrame) -> Column:
         share = min(1.0, train_rows / max(1, rows.count()))
-        return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < F.lit(share * 1_000_000)
+        return F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1_000_000)) < F.lit(share * 1_000_000)
 
     def sample(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         def shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 yield pd.DataFrame({"doc_id": b["doc_id"], "probe": b["probe"], "x": [features(t).tobytes() for t in b["text"]]})
 
-        found = rows.select("doc_id", "probe", "text").mapInPandas(shapes, "doc_id long, probe boolean, x binary").orderBy("doc_id", "x").toLocalIterator()
+        schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, probe boolean, x binary"
+        found = rows.select("doc_id", "probe", "text").mapInPandas(shapes, schema).distinct().orderBy("doc_id", "x").toLocalIterator()
         flags, parts = [], []
         for r in found:  # one partition after another, in order
             flags.append(r["probe"])
@@ -246,7 +249,9 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model from `documents` and `labels`, without rows of fold 2 of 4.
 
-    Trusted positives have no label but 1; the unlabelled are the documents without a label.
+    Trusted positives have no label but 1: of labels that contradict each other the smallest holds. The unlabelled are the
+    documents without a row of `labels`; a document whose labels are all null is neither. Repeated rows of `labels` change
+    nothing, and a null doc_id marks no document.
     """
     known = docs.where(fold(F.col("doc_id"), 4) != 2).select("doc_id", "text")
     marks = labels.where(fold(F.col("doc_id"), 4) != 2).groupBy("doc_id").agg(F.min("quality").alias("quality"))

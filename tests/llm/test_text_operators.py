@@ -423,3 +423,47 @@ def test_columns_of_results_replace_those_of_the_same_name(spark, documents, dat
     got = add(df, data)
     assert [c for c in got.columns if c.lower() in names] == names and got.count() == 2
     assert not any("own" == r[n] for r in got.collect() for n in names)
+
+
+def test_quality_query_against_a_plain_version(spark, data):
+    """The whole query once more in numpy on the driver: where all rows fit in the sample, nothing but order and folds is Spark's."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{data}/labels.parquet").toPandas()
+    labels = labels[[zlib.crc32(str(i).encode()) % 4 != 2 for i in labels["doc_id"]]].groupby("doc_id")["quality"].min()
+    learned = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id, 12), 2) = 0 AS h").collect()}
+    rows = sorted((r.doc_id, quality.features(r.text).tobytes()) for r in docs.where("text is not null").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2)
+    x = {i: np.frombuffer(b, np.float32) for i, b in rows}
+    p = np.stack([x[i] for i, _ in rows if labels.get(i) == 1])[np.random.default_rng(11).permutation(sum(labels.get(i) == 1 for i, _ in rows))]
+    free = [i for i, _ in rows if i not in labels.index]
+    u, half = np.stack([x[i] for i in free]), np.array([learned[i] for i in free])
+    probe = quality.Probe.fitted(p, u[half])
+    w, b = quality._descend(p, u, probe.prior(probe.counts(u[~half])))
+    got = queries.QUERIES["op6_quality_classifier"](spark, data).toPandas().set_index("doc_id")
+    for r in docs.collect():
+        score = float(quality._sigmoid(quality.features(r.text).astype(np.float64) @ w + b))
+        assert abs(got.loc[r.doc_id, "score"] - score) < 0.01 and got.loc[r.doc_id, "held_out"] == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_quality_draws_by_id_and_text(spark):
+    """Null ids, one id or one text do not come all or none; repeated labels, contradicting and null ones; ids that are texts."""
+    rng = np.random.default_rng(4)
+    text = lambda k: " ".join(rng.choice(["one", "two", "three", "four"], 12)) + f" {k}" + ("!" * (k % 3) if k % 2 else " FREE $$$ NOW")
+    good = spark.createDataFrame([(None, text(2 * k + 1)) for k in range(400)], "doc_id string, text string")
+    free = spark.createDataFrame([(None if k % 3 else f"d{k}", text(k)) for k in range(900)] + [("same", "a b c FREE $$$")] * 900, "doc_id string, text string")
+    seen, descend = [], quality._descend
+    try:
+        quality._descend = lambda p, u, *a, **more: seen.append((len(p), len(u))) or descend(p, u, *a, **more)
+        model = quality.fit(good, free, train_rows=100)
+    finally:
+        quality._descend = descend
+    assert model is not None and all(60 <= p <= 150 and 20 <= u <= 150 for p, u in seen[1:])
+    rows = [(i, f"row {i} of text" + ("." if i % 2 else " $$$ BUY")) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = [(i, 1) for i in range(1, 80, 2)] + [(i, 0) for i in range(0, 40, 2)]
+    schema = "doc_id long, quality int"
+    plain = quality.train(docs, spark.createDataFrame(marks, schema))
+    odd = quality.train(docs, spark.createDataFrame(marks * 2 + [(0, 1), (2, None), (None, 1)], schema))  # label 0 of rows 0 and 2 holds
+    assert np.array_equal(plain.weights, odd.weights) and plain.prior == odd.prior
+    taught = next(i for i in range(40, 200, 2) if zlib.crc32(str(i).encode()) % 4 != 2)
+    only_null = quality.train(docs, spark.createDataFrame(marks + [(taught, None)], schema))
+    assert not np.array_equal(plain.weights, only_null.weights)  # that row is no longer unlabelled
