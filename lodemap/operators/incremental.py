@@ -1,8 +1,8 @@
 """Incremental upkeep of derived links: after a change only the links of keys that it touches are found anew.
 
 Declarations (file, repo, key, id) and references (file, repo, key, src) are kept as written tables, cut into parts by
-key, and so are the links that the rule of one answer (`relations.unique_target`) finds between them; a further table, cut by
-file, says which keys a file has. A change reads the parts of its files, then the parts of the old and new keys of these files,
+key, and so are the links between them: by the rule of one answer (`relations.unique_target`), or a link to every declaration
+of the key; a further table, cut by file, says which keys a file has. A change reads the parts of its files, then the parts of the old and new keys of these files,
 and replaces those parts. Links that somebody else manages are never touched.
 """
 
@@ -46,10 +46,13 @@ def outcome(changes: DataFrame) -> DataFrame:
 
 
 class Links:
-    """The tables in a folder that driver and executors share. `parts` is the number of parts of each table."""
+    """The tables in a folder that driver and executors share. `parts` is the number of parts of each table.
 
-    def __init__(self, spark, folder: str, parts: int = 64):
-        self.spark, self.folder, self.parts = spark, folder, parts
+    `every`: a reference is linked to every declaration of its key; else to the one that it can mean, if there is one.
+    """
+
+    def __init__(self, spark, folder: str, parts: int = 64, every: bool = False):
+        self.spark, self.folder, self.parts, self.every = spark, folder, parts, every
 
     def _part(self, column: str) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(self.parts)).cast("int")
@@ -94,8 +97,11 @@ class Links:
         return declared.select("file", "key").union(referred.select("file", "key")).where("key is not null").distinct().select(self._part("file").alias("part"), "file", "key")
 
     def _found(self, declared: DataFrame, referred: DataFrame) -> DataFrame:
-        targets = unique_target(referred.select("src", "repo", "key").distinct(), declared.select("key", "repo", "id")).where("target is not null")
-        rows = referred.join(targets, ["src", "repo", "key"])
+        if self.every:
+            rows = referred.join(declared.select("key", F.col("id").alias("target")).where("target is not null").distinct(), "key")
+        else:
+            targets = unique_target(referred.select("src", "repo", "key").distinct(), declared.select("key", "repo", "id")).where("target is not null")
+            rows = referred.join(targets, ["src", "repo", "key"])
         return rows.select("part", "file", "repo", "key", "src", "target", F.lit(DERIVED).alias("managed_by"))
 
     def _parts_of(self, rows: DataFrame, column: str) -> list[int]:

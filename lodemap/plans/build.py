@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,20 @@ from lodemap.operators import controllers, extract, incremental, relations, stit
 from lodemap.operators.traverse import shared
 
 
+def _routes(facts: DataFrame, live: DataFrame) -> DataFrame:
+    """(repo, path, method, path_form, handler, id): declared routes, those of an app folder, and inherited ones."""
+    app = extract.app_routes(live, live)
+    routes = live.where("kind = 'route' and path_form is not null").select("repo", "path", "method", "path_form", "handler").unionByName(app.select("repo", "path", "method", "path_form", F.col("method").alias("handler")))
+    given = controllers.inherited_routes(live).unionByName(controllers.resource_routes(facts.where("scope = 'runtime'")))
+    routes = routes.unionByName(given.select("repo", "path", "method", "path_form", F.lit(None).cast("string").alias("handler"))).distinct()
+    return routes.withColumn("id", identity.route_id(F.col("repo"), F.col("method"), F.col("path_form")))
+
+
+def _requests(live: DataFrame) -> DataFrame:
+    """The facts of requests, with an id of file, line, method and path."""
+    return live.where("kind = 'request'").withColumn("id", F.concat("file_id", F.lit("::request:"), F.col("line").cast("string"), F.lit(":"), F.concat_ws(" ", "method", "path_form")))
+
+
 def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, label, name, repo) and edges (src, dst, type, trust_status, repo) of files (repo, path, content).
 
@@ -24,12 +41,8 @@ def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     routed = files.select("repo", "path", urls.page_route(F.col("path")).alias("name")).where("name is not null")
     pages = routed.unionByName(live.where("kind = 'page'").select("repo", "path", "name")).groupBy("repo", "path").agg(F.min("name").alias("name"))
     pages = pages.withColumn("id", identity.file_id(F.col("repo"), F.col("path")))
-    app = extract.app_routes(files, live)
-    routes = live.where("kind = 'route' and path_form is not null").select("repo", "path", "method", "path_form", "handler").unionByName(app.select("repo", "path", "method", "path_form", F.col("method").alias("handler")))
-    given = controllers.inherited_routes(live).unionByName(controllers.resource_routes(facts.where("scope = 'runtime'")))
-    routes = shared(routes.unionByName(given.select("repo", "path", "method", "path_form", F.lit(None).cast("string").alias("handler"))).distinct())
-    routes = routes.withColumn("id", identity.route_id(F.col("repo"), F.col("method"), F.col("path_form")))
-    requests = live.where("kind = 'request'").withColumn("id", F.concat("file_id", F.lit("::request:"), F.col("line").cast("string"), F.lit(":"), F.concat_ws(" ", "method", "path_form")))
+    routes = shared(_routes(facts, live))
+    requests = _requests(live)
     members = live.where("kind in ('class', 'function')").withColumn("id", identity.member_id(F.col("file_id"), F.col("member")))
     node = lambda df, label, id_, name: df.select(id_.alias("id"), F.lit(label).alias("label"), name.alias("name"), "repo")
     paths = files.select("repo", "path", identity.file_id(F.col("repo"), F.col("path")).alias("id"))
@@ -104,6 +117,54 @@ def sync(links: incremental.Links, changes: DataFrame, files: DataFrame, repo: s
     return incremental.outcome(acts)
 
 
+def _ends(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Routes as declarations (file, repo, key, id) and requests as references (file, repo, key, src), by method and path."""
+    live = shared(extract.resolved(facts.where("scope = 'runtime'")))
+    key = F.concat("method", F.lit(" "), "path_form").alias("key")
+    routes = _routes(facts, live).select(identity.file_id(F.col("repo"), F.col("path")).alias("file"), "repo", key, "id")
+    requests = _requests(live).select(F.col("file_id").alias("file"), "repo", key, F.col("id").alias("src"))
+    return tuple(shared(df.where("key is not null").distinct()) for df in (routes, requests))
+
+
+def route_links(files: DataFrame, folder: str, parts: int = 64) -> incremental.Links:
+    """The suggested links from requests to the routes of their method and path, as tables that `sync_routes` keeps up.
+
+    Beside them stand the facts of all files, cut by repository.
+    """
+    links = incremental.Links(files.sparkSession, folder, parts, every=True)
+    extract.facts(files).write.mode("overwrite").partitionBy("repo").parquet(os.path.join(folder, "facts"))
+    links.build(*_ends(_stored(links)))
+    return links
+
+
+def _stored(links: incremental.Links) -> DataFrame:
+    """The facts that are kept, without the rows that only keep an empty repository's place."""
+    return links.spark.read.parquet(os.path.join(links.folder, "facts")).withColumn("repo", F.col("repo").cast("string")).where("kind is not null")
+
+
+def sync_routes(links: incremental.Links, changes: DataFrame, files: DataFrame, repo: str, excluded: list[str] | None = None) -> DataFrame:
+    """(action, files), as `sync`, for the links of `route_links`: only files that the diff has changed are parsed.
+
+    A base path, client or group in a changed file gives routes and requests of other files another path. So the kept facts
+    of the repository (no others) are resolved before and after the change, and every file whose routes or requests differ has
+    its links found anew, with those of all repositories that share an old or new key.
+    """
+    acts = shared(incremental.classified(changes, excluded))
+    read = files.where(F.col("repo") == repo).join(acts.where("action = 'read'").select("path"), "path", "left_semi").select("repo", "path", "content")
+    gone = acts.where("action <> 'skip'").select("path")
+    if not gone.isEmpty():
+        before = _stored(links).where(F.col("repo") == repo)
+        new = extract.facts(read)
+        after = shared(before.join(gone, "path", "left_anti").select(new.columns).unionByName(new))
+        old, now = _ends(before.select(new.columns)), _ends(after)
+        differs = [a.subtract(b).select("file") for x, y in zip(old, now) for a, b in ((x, y), (y, x))]
+        files_ = shared(reduce(DataFrame.unionByName, differs).distinct())
+        links.apply(files_, *(df.join(files_, "file", "left_semi") for df in now))
+        place = links.spark.createDataFrame([(repo,)], "repo string")
+        after.unionByName(place, allowMissingColumns=True).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(os.path.join(links.folder, "facts"))
+    return incremental.outcome(acts)
+
+
 def totals(files: DataFrame) -> DataFrame:
     """(repo, files, lines, symbols, skipped): what a scan found; a file whose content is null or no program could not be read and is skipped."""
     facts = shared(extract.facts(files).where("kind in ('class', 'function', 'error')"))

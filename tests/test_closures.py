@@ -87,6 +87,28 @@ def test_a_diff_of_sources_equals_a_full_scan(spark, tmp_path):
     assert not sync(links, spark.createDataFrame(diff[-1:], "status string, path string, old_path string"), frame(after), "r").where("action <> 'skip'").count()
 
 
+def test_routes_and_requests_of_a_diff_equal_a_full_scan(spark, tmp_path):
+    """A client in its own module gets another base path, routes come, go and move; a second repository declares the same paths."""
+    from lodemap.plans.build import route_links, sync_routes
+
+    client = lambda base: f'import axios from "axios";\nexport const api = axios.create({{ baseURL: "{base}" }});\n'
+    page = 'import { api } from "./client";\nexport const load = () => api.get("/users");\nexport const own = () => fetch("/own");\n'
+    route = lambda *paths: "from fastapi import FastAPI\napp = FastAPI()\n" + "".join(f'@app.get("{p}")\ndef r{i}(): pass\n' for i, p in enumerate(paths))
+    other = [("s", "main.py", route("/v1/users", "/v2/users", "/own")), ("s", "use.ts", 'export const x = () => fetch("/v2/users");\n')]
+    before = {"client.ts": client("/v1"), "page.ts": page, "a.py": route("/v1/users", "/gone"), "b.py": route("/own")}
+    after = {"client.ts": client("/v2"), "page.ts": page, "moved/b.py": route("/own"), "c.py": route("/v2/users")}
+    frame = lambda files: spark.createDataFrame([("r", p, x) for p, x in files.items()] + other, "repo string, path string, content string")
+    ends = lambda links: {(r.src.split("::")[0], r.target) for r in links.links().collect()}
+    links = route_links(frame(before), str(tmp_path / "links"), parts=2)
+    first = {(a.split(":", 1)[-1], b) for a, b in ends(links)}
+    assert first == {("page.ts", "r:GET:/v1/users"), ("page.ts", "s:GET:/v1/users"), ("page.ts", "r:GET:/own"), ("page.ts", "s:GET:/own"), ("use.ts", "s:GET:/v2/users")}
+    diff = [("M", "client.ts", None), ("D", "a.py", None), ("R", "moved/b.py", "b.py"), ("A", "c.py", None), ("M", "notes.md", None)]
+    got = sync_routes(links, spark.createDataFrame(diff, "status string, path string, old_path string"), frame(after), "r")
+    assert {r.action: r.files for r in got.collect()} == {"read": 3, "drop": 2, "skip": 1}
+    assert stored(links) == stored(route_links(frame(after), str(tmp_path / "full"), parts=2))
+    assert {b for a, b in ends(links) if "page.ts" in a} == {f"{r}:GET:{p}" for r in "rs" for p in ("/v2/users", "/own")}
+
+
 def test_changes_are_classified(spark):
     rows = [("M", "src/a.py", None), ("A", "b.go", None), ("D", "c.ts", None), ("R", "e.java", "d.java"), ("C", "g.java", "f.java"), ("M", "README.md", None), ("M", "vendor/x.go", None), ("D", "h.py", None), ("A", "h.py", None), ("M", None, None)]
     got = incremental.classified(spark.createDataFrame(rows, "status string, path string, old_path string"))
