@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lodemap.functions import urls
 from lodemap.operators.closure import roots
 
+#: Kinds of facts that `inherited_routes` reads.
+KINDS = ("class", "package", "import", "extends", "controller")
 # What a base controller answers, by the end of its name, the first that fits; then JSON:API resources.
 _LIST, _ITEM = ("GET", ""), ("GET", "/{id}")
 BASES = [

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lodemap.operators.closure import composed
 
+#: Kinds of facts that `mounted` reads.
+KINDS = ("route", "group", "function", "module", "import", "mount")
+
 
 def _folder(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")

@@ -10,18 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodemap.functions import identity
+from lodemap.operators.traverse import shared
 
 
 def unique_target(references: DataFrame, candidates: DataFrame) -> DataFrame:
-    """References (src, repo, key) with target: of candidates (key, repo, id) the one in the own repo, else the one anywhere, else null.
+    """References (repo, key and any other columns) with target: of candidates (key, repo, id) the one in the own repo, else the one anywhere, else null.
 
-    Several candidates in the own repo leave a reference open. A null key has no target.
+    Several candidates in the own repo leave a reference open. A null key has no target. There is one answer where the
+    smallest candidate is the largest, so none are collected or sorted.
     """
-    n, first = F.count_distinct("id"), F.min("id")
-    local = candidates.groupBy("repo", "key").agg(n.alias("local"), first.alias("local_first"))
-    every = candidates.groupBy("key").agg(n.alias("all"), first.alias("first"))
-    target = F.when(F.col("local") == 1, F.col("local_first")).when(F.col("local").isNull() & (F.col("all") == 1), F.col("first"))
-    return references.join(local, ["repo", "key"], "left").join(every, "key", "left").select("src", "repo", "key", target.alias("target"))
+    local = candidates.groupBy("repo", "key").agg(F.min("id").alias("local_first"), F.max("id").alias("local_last"), F.lit(True).alias("here"))
+    every = local.groupBy("key").agg(F.min("local_first").alias("first"), F.max("local_last").alias("last"))
+    target = F.when(F.col("local_first") == F.col("local_last"), F.col("local_first")).when(F.col("here").isNull() & (F.col("first") == F.col("last")), F.col("first"))
+    return references.join(local, ["repo", "key"], "left").join(every, "key", "left").select(*references.columns, target.alias("target"))
 
 
 def _function_id(name: str = "function") -> Column:
@@ -122,8 +123,8 @@ def starts(facts: DataFrame, steps: DataFrame) -> DataFrame:
     """
     found = facts.where("kind = 'start' and name is not null").select(
         identity.start_id(F.col("file_id"), F.col("name"), F.col("line")).alias("id"), "repo", F.when(F.col("function").isNotNull(), _function_id()).alias("function_id"), F.col("name").alias("process_key"), "line").dropDuplicates(["id"])
-    targets = unique_target(found.select(F.col("id").alias("src"), "repo", F.col("process_key").alias("key")), processes(steps).select(F.col("process").alias("key"), "repo", "id"))
-    return found.join(targets.select(F.col("src").alias("id"), "target"), "id")
+    there = shared(processes(steps).select(F.col("process").alias("key"), "repo", "id"))  # documents are read once
+    return unique_target(found.withColumn("key", F.col("process_key")), there).drop("key")
 
 
 def process_id() -> Column:
@@ -138,6 +139,7 @@ def processes(steps: DataFrame) -> DataFrame:
 def workflow(facts: DataFrame, steps: DataFrame, flows: DataFrame) -> DataFrame:
     """(src, dst, type, repo): HAS_STEP, NEXT, INVOKES (a delegate's class, by its alias), CALLS (a called process)."""
     step = lambda name: F.concat(process_id(), F.lit("::step:"), name)
+    steps = shared(steps)  # documents are read once
     has = steps.select(process_id().alias("src"), step(F.col("step")).alias("dst"), F.lit("HAS_STEP").alias("type"), "repo")
     nexts = flows.select(step(F.col("source")).alias("src"), step(F.col("target")).alias("dst"), F.lit("NEXT").alias("type"), "repo")
     classes = class_names(facts).select(identity.alias(F.col("name")).alias("key"), "repo", "id")

@@ -17,6 +17,8 @@ from lodemap.operators.traverse import shared
 
 #: Kinds of facts whose expressions are followed, and where the value goes.
 URLS, NAMES = ("request", "perhaps"), ("publish", "consume", "binding", "start", "page")
+#: Kinds of facts that say what names stand for.
+DEFINITIONS = ("define", "constant")
 _REFERENCE = ("ref", "inner", "keyref")
 
 
@@ -34,7 +36,7 @@ def expand(uses: DataFrame, definitions: DataFrame) -> DataFrame:
     """
     via = F.array().cast("array<string>")
     held = lambda terms, path: F.transform(terms, lambda t: F.struct(t["kind"].alias("kind"), t["text"].alias("text"), t["at"].alias("at"), path.alias("via")))
-    known = definitions.select("repo", "key", F.col("at").alias("place"), F.col("terms").alias("meaning")).distinct()
+    known = definitions.select("repo", "key", F.col("at").alias("place"), F.col("terms").alias("meaning"))  # repeated ones go with the rows that they make
     rows = uses.where("terms is not null").select("id", "repo", held(F.col("terms"), via).alias("terms")).distinct()
     has = F.exists("terms", _open)
     done, rows = rows.where(~has), shared(rows.where(has))
@@ -98,12 +100,15 @@ def filled(facts: DataFrame) -> DataFrame:
     known = shared(definitions(facts))
     # What is one text has its value; only the rest is followed.
     single = lambda c: (F.size(c) == 1) & (F.get(c, F.lit(0))["kind"] == "text")
+    followed = F.coalesce(asked & F.col("terms").isNotNull() & ~single("terms") | (F.col("kind") == "binding") & F.col("other").isNotNull(), F.lit(False))
     some = rows.where(asked & F.col("terms").isNotNull() & ~single("terms"))
     found = expand(some.select("id", "repo", "terms"), known).withColumnRenamed("terms", "value")
     others = rows.where("kind = 'binding' and other is not null")
     queues = expand(others.select("id", "repo", F.col("other").alias("terms")), known).select("id", text_of(F.col("terms"), F.lit(False)).alias("queue"))
     symbols = F.col("suffix") == "go"
-    done = rows.join(found, "id", "left").join(queues, "id", "left")
+    # Facts without an open value are not moved.
+    unknown = [F.lit(None).cast(df.schema[c].dataType).alias(c) for df, c in ((found, "value"), (queues, "queue"))]
+    done = rows.where(followed).join(found, "id", "left").join(queues, "id", "left").unionByName(rows.where(~followed).select("*", *unknown))
     whole = F.forall("value", lambda t: t["kind"] == "text")  # a name is known only in full
     url = F.nullif(text_of(F.col("value"), symbols), F.lit(""))
     page = F.when(F.col("kind") == "page", F.concat(F.lit("/"), F.regexp_replace("name", "^/", ""))).otherwise(F.col("name"))

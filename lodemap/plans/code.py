@@ -52,7 +52,7 @@ UNION ALL SELECT repo, 'C'||k||'.java', 'GET', '/size/'||s||x, 'C'||k||'.get(lon
 UNION ALL SELECT repo, 'a'||k||'.py', 'DELETE', '/parts/'||k||'/{param}', 'drop_'||k FROM p WHERE k % 4 = 3""")
 def extracted_routes(spark, d: str) -> DataFrame:
     rows = t.read(spark, d, "part").selectExpr("p_partkey AS k", "p_size AS s")
-    found = mounts.mounted(shared(extract.facts(_by(rows, "k", ROUTES, "r<k % 7>"))))
+    found = mounts.mounted(shared(extract.facts(_by(rows, "k", ROUTES, "r<k % 7>"), mounts.KINDS)))
     return found.where("kind = 'route'").select("repo", "path", "method", "path_form", "handler")
 
 
@@ -71,7 +71,7 @@ UNION ALL SELECT repo, 'c'||k||'/c.go', 'PUT', '/o/'||k, 'a'||c||'.example', 'se
 UNION ALL SELECT repo, 'p'||k||'.py', 'GET', '/v'||(c % 3)||'/orders/'||k, '', 'load' FROM o WHERE k % 4 = 3""")
 def extracted_requests(spark, d: str) -> DataFrame:
     rows = t.read(spark, d, "orders").selectExpr("o_orderkey AS k", "o_custkey AS c")
-    found = values.filled(shared(extract.facts(_by(rows, "k", REQUESTS, "r<k % 5>"))))
+    found = values.filled(shared(extract.facts(_by(rows, "k", REQUESTS, "r<k % 5>"), [*values.URLS, *values.DEFINITIONS])))
     return found.where("kind = 'request'").select("repo", "path", "method", "path_form", "system", "function")
 
 
@@ -111,31 +111,31 @@ def message_channels(spark, d: str) -> DataFrame:
     out = 'class P<k> {\n  static final String TOPIC = "t<k % 40>";\n  void send() {\n    kafkaTemplate.send(topic(), 1);\n  }\n  String topic() { return TOPIC; }\n}\n'
     into = 'class W<k> {\n  @Value("${w.topic:t<k % 45>}")\n  private String topic;\n  String queue = "queue";\n  @KafkaListener(topics = "t<k % 45>")\n  public void on(String x) {}\n  Binding bound() { return BindingBuilder.bind(queue).to(exchange).with("key<k % 6>"); }\n}\n'
     files = _files(customer, "r<n % 5>", "P<k>.java", out).unionByName(_files(supplier, "w<k % 3>", "W<k>.java", into))
-    return relations.channels(shared(values.filled(shared(extract.facts(files))))).select("src", "dst", "type")
+    return relations.channels(shared(values.filled(shared(extract.facts(files, ["publish", "consume", "binding", *values.DEFINITIONS]))))).select("src", "dst", "type")
 
 
-def _models(spark, d: str) -> tuple[DataFrame, DataFrame]:
-    """Processes of suppliers with delegates and called processes, and classes of parts that start them: facts and files."""
+def _models(spark, d: str) -> DataFrame:
+    """Processes of suppliers with delegates and called processes, and classes of parts that start them."""
     supplier, part = t.read(spark, d, "supplier").selectExpr("s_suppkey AS s"), t.read(spark, d, "part").selectExpr("p_partkey AS k")
     model = '‹definitions xmlns:f="urn:f"›‹process id="flow<s>"›‹startEvent id="a"/›‹serviceTask id="b" f:delegateExpression="${worker<s>}"/›‹callActivity id="c" calledElement="flow<s + 1>"/›‹sequenceFlow id="x" sourceRef="a" targetRef="b"/›‹/process›‹/definitions›'
     worker = "class Worker<s> implements JavaDelegate {}\n"
     starter = 'class Start<k> {\n  static final String KEY = "flow<k % 30>";\n  void go() {\n    /* runtime.startProcessInstanceByKey("no"); */\n    runtime.startProcessInstanceByKey(key());\n  }\n  String key() { return KEY; }\n}\n'
-    files = _files(supplier, "m<s % 2>", "f<s>.bpmn", model).unionByName(_files(supplier.where("s % 3 > 0"), "m<s % 2>", "Worker<s>.java", worker)).unionByName(_files(part, "m<k % 4>", "Start<k>.java", starter))
-    return shared(values.filled(shared(extract.facts(files)))), files
+    return _files(supplier, "m<s % 2>", "f<s>.bpmn", model).unionByName(_files(supplier.where("s % 3 > 0"), "m<s % 2>", "Worker<s>.java", worker)).unionByName(_files(part, "m<k % 4>", "Start<k>.java", starter))
 
 
 @query("""WITH s AS (SELECT s_suppkey AS s, 'm'||(s_suppkey % 2) AS repo, 'm'||(s_suppkey % 2)||':f'||s_suppkey||'.bpmn::process:flow'||s_suppkey AS id FROM supplier)
 SELECT id AS src, id||'::step:'||x AS dst, 'HAS_STEP' AS type FROM s, (VALUES ('a'), ('b'), ('c')) t(x) UNION ALL SELECT id||'::step:a', id||'::step:b', 'NEXT' FROM s
 UNION ALL SELECT id||'::step:b', repo||':Worker'||s||'.java::Worker'||s, 'INVOKES' FROM s WHERE s % 3 > 0 UNION ALL SELECT a.id||'::step:c', b.id, 'CALLS' FROM s a JOIN s b ON b.s = a.s + 1""")
 def workflow_links(spark, d: str) -> DataFrame:
-    facts, files = _models(spark, d)
-    return relations.workflow(facts, *extract.workflow(files)).select("src", "dst", "type")
+    files = _models(spark, d)
+    return relations.workflow(shared(extract.facts(files, ["class", "package"])), *extract.workflow(files)).select("src", "dst", "type")
 
 
 @query("""SELECT 'm'||(p_partkey % 4)||':Start'||p_partkey||'.java::process-start:flow'||(p_partkey % 30)||':5' AS id, 'flow'||(p_partkey % 30) AS process_key,
 'm'||(s_suppkey % 2)||':f'||s_suppkey||'.bpmn::process:flow'||s_suppkey AS target FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 30""")
 def workflow_starts(spark, d: str) -> DataFrame:
-    facts, files = _models(spark, d)
+    files = _models(spark, d)
+    facts = values.filled(shared(extract.facts(files, ["start", *values.DEFINITIONS])))
     return relations.starts(facts, extract.workflow(files)[0]).select("id", "process_key", "target")
 
 
@@ -144,7 +144,7 @@ SELECT file||'::action:list:selection:6' AS id, CASE WHEN k % 2 = 0 THEN file EN
 def ui_actions(spark, d: str) -> DataFrame:
     rows = t.read(spark, d, "part").selectExpr("p_partkey AS k", "CASE WHEN p_partkey % 2 = 0 THEN '@SpringView(name = V' || p_partkey || '.NAME)' ELSE '@Component' END AS mark")
     view = '<mark>\nclass V<k> {\n  static final String NAME = "v<k>";\n  void wire() {\n    // drop.addClickListener(e);\n    list.addSelectionListener(e -› {\n      if (e.n() › <k>) {\n        drop.setEnabled(true);\n      } else {\n        drop.setEnabled(false);\n      }\n    });\n  }\n}\n'
-    facts = shared(extract.facts(_files(rows, "v<k % 3>", "V<k>.java", view)))
+    facts = shared(extract.facts(_files(rows, "v<k % 3>", "V<k>.java", view), ["action", "page"]))
     effects = facts.where("kind = 'action'").select(F.concat_ws("::action:", "file_id", F.concat_ws(":", "name", F.lower("method"), F.col("line").cast("string"))).alias("id"), F.array_join("effects", "; ").alias("effects"))
     return relations.actions(facts).select("id", "page_id", "function_id").join(effects, "id")
 
@@ -165,7 +165,7 @@ def mounted_routes(spark, d: str) -> DataFrame:
     rows = t.read(spark, d, "part").where("p_partkey > 0").selectExpr("p_partkey AS k", "2 * p_partkey AS l", "2 * p_partkey + 1 AS m", "CASE WHEN p_partkey % 5 = 0 THEN concat('  b := g.Group(\"/again', p_partkey, '\")\n  l.Mount(b)\n') ELSE '' END AS more")
     source = 'package h<k>\nimport (\n  l "x.example/m/h<l>"\n  "x.example/m/h<m>"\n)\nfunc Mount(g *gin.RouterGroup) {\n  a := g.Group("/n<k>")\n  a.GET("/:id", get)\n  l.Mount(a)\n  h<m>.Mount(a)\n<more>}\n'
     module = _files(rows.where("k = 1"), "r", "go.mod", "module x.example/m\n")
-    found = mounts.mounted(shared(extract.facts(_files(rows, "r", "h<k>/h.go", source).unionByName(module))))
+    found = mounts.mounted(shared(extract.facts(_files(rows, "r", "h<k>/h.go", source).unionByName(module), mounts.KINDS)))
     return found.where("kind = 'route'").select("path", "path_form").distinct()
 
 
@@ -193,7 +193,7 @@ def inherited_routes(spark, d: str) -> DataFrame:
     base = "CASE WHEN p_partkey % 25 > 0 THEN concat(CASE WHEN p_partkey % 2 = 0 THEN 'x.y.' ELSE '' END, 'C', p_partkey - 1) WHEN p_partkey div 25 % 7 = 5 THEN concat('C', p_partkey + 24) WHEN p_partkey div 25 % 3 = 0 THEN 'com.lib.ReadOnlyJpaRestController' WHEN p_partkey div 25 % 3 = 1 THEN 'FilteredJpaRestController' ELSE 'FlowController' END"
     rows = t.read(spark, d, "part").where("p_partkey >= 25").selectExpr("p_partkey AS k", f"{base} AS base", "CASE WHEN p_partkey % 4 = 1 THEN concat('@RestController\n@RequestMapping(\"/c/', p_partkey, '\")\n') ELSE '' END AS marks")
     source = "package x.y;\n<marks>public class C<k>\n    extends <base>‹Item, Long› {\n  // extends FlowController\n}\n"
-    return controllers.inherited_routes(shared(extract.facts(_files(rows, "r", "x/C<k>.java", source)))).select("name", "method", "path_form")
+    return controllers.inherited_routes(shared(extract.facts(_files(rows, "r", "x/C<k>.java", source), controllers.KINDS))).select("name", "method", "path_form")
 
 
 @query("""WITH s AS (SELECT s_suppkey AS s FROM supplier) SELECT 'p'||p_partkey AS page, 'GET' AS method, '/v'||(p_partkey % 50 - p_partkey % 50 % 8)||'/rows/'||p_partkey AS path_form, 'h'||(p_partkey % 50 - p_partkey % 50 % 8)||'.example' AS system
