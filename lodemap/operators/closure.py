@@ -39,18 +39,44 @@ def roots(links: DataFrame) -> DataFrame:
     return found.select("node", F.col("target").alias("root"), "depth").unionByName(lost)
 
 
-def composed(starts: DataFrame, edges: DataFrame) -> DataFrame:
+def _circular(edges: DataFrame) -> DataFrame:
+    """(node) of hashed nodes: all that stand on a cycle of edges (src, dst), and perhaps some between cycles.
+
+    Edges that nothing leads into or out of are taken off until none is left. Nodes are hashes, so few bytes move; two nodes
+    of one hash can only keep edges in.
+    """
+    left, before = shared(edges.select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst")).distinct()), -1
+    while (n := left.count()) and n != before:
+        before = n
+        inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        left = shared(inner.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+    return left.select(F.col("dst").alias("node")).distinct()
+
+
+def composed(starts: DataFrame, edges: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(node, label): the labels of all paths from starts (node, label) along edges (src, dst, label), put one after another; each once.
 
     Semi-naive: a round extends only what the last one found. A path does not come back to a node that it has passed, so
-    cycles end, and a node that is reached in several ways has several labels. Repeated edges count once. Each round is
-    written to the shared folder.
+    cycles end, and a node that is reached in several ways has several labels. Repeated edges count once. Of the nodes passed
+    only those are carried that may lie on a cycle. A round moves its labels once, to their nodes, where they are made
+    distinct and extended, and is written to the shared folder. With `wanted` (node) only labels of these nodes are returned.
     """
     edges = shared(edges.where("src is not null and dst is not null").select("src", "dst", F.coalesce("label", F.lit("")).alias("step")).distinct())
-    fresh = shared(starts.where("node is not null").select("node", F.coalesce("label", F.lit("")).alias("label"), F.array("node").alias("passed")).distinct())
-    found = fresh
+    own = F.array("node")
+    if (circular := _circular(edges)).isEmpty():
+        own, edges = F.array().cast("array<string>"), edges.withColumn("turns", F.lit(False))
+    else:
+        edges = shared(edges.withColumn("node", F.xxhash64("dst")).join(circular.withColumn("turns", F.lit(True)), "node", "left").select("src", "dst", "step", F.coalesce("turns", F.lit(False)).alias("turns")))
+    fresh = shared(starts.where("node is not null").select("node", F.coalesce("label", F.lit("")).alias("label"), own.alias("passed")))
+    parts = []
     while not fresh.isEmpty():
-        steps = fresh.join(edges, fresh["node"] == edges["src"]).where(~F.array_contains("passed", F.col("dst")))
-        fresh = shared(steps.select(F.col("dst").alias("node"), F.concat("label", "step").alias("label"), F.concat("passed", F.array("dst")).alias("passed")).distinct())
-        found = found.unionByName(fresh)
-    return found.select("node", "label").distinct()
+        parts.append(fresh)
+        here = fresh.repartition("node").distinct()
+        steps = here.join(edges, here["node"] == edges["src"]).where(~(F.col("turns") & F.array_contains("passed", F.col("dst"))))
+        passed = F.when(F.col("turns"), F.concat("passed", F.array("dst"))).otherwise(F.col("passed"))
+        fresh = shared(steps.select(F.col("dst").alias("node"), F.concat("label", "step").alias("label"), passed.alias("passed")))
+    found = fresh.select("node", "label")
+    for part in parts:
+        found = found.unionByName(part.select("node", "label"))
+    found = found.repartition("node")
+    return (found if wanted is None else found.join(wanted.select("node").distinct(), "node", "left_semi")).distinct()

@@ -56,11 +56,9 @@ def mounted(facts: DataFrame) -> DataFrame:
 
     edges = mount_edges(facts)
     tops = edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
-    paths = composed(tops.select("node", F.lit("").alias("label")), edges).withColumnRenamed("label", "before")
-    rows = facts.withColumn("folder", _folder(F.col("path")))
-    rows = rows.withColumn("node", F.when((F.col("kind") == "route") & (F.col("suffix") == "go"), _node("repo", "folder", "function", "argument")))
-    done = rows.join(paths, "node", "left")
+    go = F.coalesce((F.col("kind") == "route") & (F.col("suffix") == "go"), F.lit(False))
+    routes = facts.where(go).withColumn("folder", _folder(F.col("path"))).withColumn("node", _node("repo", "folder", "function", "argument"))
+    paths = composed(tops.select("node", F.lit("").alias("label")), edges, routes).withColumnRenamed("label", "before")
     url = F.concat(F.coalesce("before", F.lit("")), "url")
-    go = F.col("node").isNotNull()
-    done = done.withColumn("url", F.when(go & (url == ""), "/").when(go, url).otherwise(F.col("url")))
-    return _addressed(done, F.col("system"))
+    done = routes.join(paths, "node", "left").withColumn("url", F.when(url == "", "/").otherwise(url)).select(*facts.columns)
+    return _addressed(done.unionByName(facts.where(~go)), F.col("system"))  # other facts are not moved

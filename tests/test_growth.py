@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from lodemap.operators import controllers, extract, mounts, relations, values
+from lodemap.operators import closure, controllers, extract, mounts, relations, values
 from lodemap.plans import catalog, code  # noqa: F401  the catalogue comes first
 
 
@@ -48,3 +48,22 @@ def test_one_answer_where_the_smallest_candidate_is_the_largest(spark):
     asked = spark.createDataFrame([("s1", "a", "k"), ("s2", "b", "k"), ("s3", "c", "k"), ("s4", "c", "m"), ("s5", "a", "z"), ("s6", "b", "z"), ("s7", "a", None)], "src string, repo string, key string")
     found = {r.src: r.target for r in relations.unique_target(asked, names).collect()}
     assert found == {"s1": "1", "s2": None, "s3": None, "s4": "4", "s5": None, "s6": "5", "s7": None}
+
+
+def test_composed_carries_no_passed_nodes_without_a_cycle(spark, monkeypatch):
+    rounds, keep = [], closure.shared
+    monkeypatch.setattr(closure, "shared", lambda df: rounds.append(keep(df)) or rounds[-1])
+    edges = [(f"n{i // 2}", f"n{i}", f"/{i}") for i in range(2, 64)] + [("n1", "n2", ""), ("n1", "n3", "/2")]
+    found = closure.composed(spark.createDataFrame([("n1", "")], "node string, label string"), spark.createDataFrame(edges, "src string, dst string, label string"))
+    assert found.where("node = 'n5'").count() == 2 and found.where("node = 'n7'").count() == 2 and found.count() == 63 + 62
+    carried = [r for r in rounds if "passed" in r.columns]
+    assert carried and all(r.where("size(passed) > 0").isEmpty() for r in carried)
+
+
+def test_composed_ends_on_cycles_and_returns_what_is_wanted(spark):
+    edges = [("a", "b", "1"), ("b", "c", "2"), ("c", "b", "3"), ("c", "d", "4"), ("d", "a", "5"), ("d", "e", "6"), ("e", "f", "7")]
+    starts, links = spark.createDataFrame([("a", "")], "node string, label string"), spark.createDataFrame(edges, "src string, dst string, label string")
+    every = {tuple(r) for r in closure.composed(starts, links).collect()}
+    assert every == {("a", ""), ("b", "1"), ("c", "12"), ("d", "124"), ("e", "1246"), ("f", "12467")}
+    wanted = spark.createDataFrame([("c",), ("f",), ("x",), ("f",)], "node string")
+    assert {tuple(r) for r in closure.composed(starts, links, wanted).collect()} == {("c", "12"), ("f", "12467")}
