@@ -16,11 +16,13 @@ def candidate_counts(pairs: DataFrame) -> DataFrame:
 def unique_candidate(pairs: DataFrame) -> DataFrame:
     """(src, target): the one candidate in the own repo; if there is none there, the one anywhere; else null.
 
-    Several candidates in the own repo leave the reference open, whatever is elsewhere. No sets are collected, so
-    a reference with any number of candidates is counted in parts before the shuffle.
+    Several candidates in the own repo leave the reference open, whatever is elsewhere. There is one where the smallest is
+    the largest, so no candidates are told apart: a reference is four values, put together in parts before the shuffle.
     """
-    target = F.when(F.col("local") == 1, F.col("local_first")).when((F.col("local") == 0) & (F.col("all") == 1), F.col("first"))
-    return candidate_counts(pairs).select("src", target.alias("target"))
+    local = F.when(F.col("cand_repo") == F.col("src_repo"), F.col("cand"))
+    ends = pairs.groupBy("src").agg(F.min(local).alias("local_first"), F.max(local).alias("local_last"), F.min("cand").alias("first"), F.max("cand").alias("last"))
+    target = F.when(F.col("local_first") == F.col("local_last"), F.col("local_first")).when(F.col("local_first").isNull() & (F.col("first") == F.col("last")), F.col("first"))
+    return ends.select("src", target.alias("target"))
 
 
 def ambiguous(pairs: DataFrame) -> DataFrame:

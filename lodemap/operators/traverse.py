@@ -15,6 +15,15 @@ from pyspark.sql import functions as F
 BROADCAST_NODES = 100_000
 
 
+#: Rows that a task of a join sorts, so that its memory does not grow with the table.
+TASK_ROWS = 500_000
+
+
+def task_parts(spark, rows: int) -> int:
+    """Partitions of a join over so many rows: the session's number, more where a task would have over `TASK_ROWS`."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 def shared_path(spark, name: str) -> str:
     """A new path in the folder that driver and executors share; a temporary folder only where all is one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

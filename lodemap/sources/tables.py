@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodemap.operators.traverse import task_parts
+
 
 def read(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,12 +40,13 @@ def candidates(spark, sf_dir: str) -> DataFrame:
 
 
 def supplier_pairs(spark, sf_dir: str) -> DataFrame:
-    """(src, cand, src_repo, cand_repo): orders with the suppliers of their lines."""
+    """(src, cand, src_repo, cand_repo): orders with the suppliers of their lines, in parts by src that do not grow with the tables."""
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), "o_custkey")
     customer = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("src_repo"))
     line = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("cand"))
     supplier = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cand"), F.col("s_nationkey").alias("cand_repo"))
-    return line.join(supplier, "cand").join(orders.join(customer, "o_custkey"), "src").select("src", "cand", "src_repo", "cand_repo")
+    n = task_parts(spark, line.count())
+    return line.join(supplier, "cand").repartition(n, "src").join(orders.join(customer, "o_custkey").repartition(n, "src"), "src").select("src", "cand", "src_repo", "cand_repo")
 
 
 def edges(spark, sf_dir: str) -> DataFrame:
