@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemap.operators.traverse import shared
+from lodemap.operators.traverse import shared, task_parts
 
 
 def roots(links: DataFrame) -> DataFrame:
@@ -16,8 +16,9 @@ def roots(links: DataFrame) -> DataFrame:
     has got to, so a chain of n links needs log2(n) rounds. Open nodes of a round that closes none lie in or before a cycle.
     Each round is written to the shared folder. Open nodes that share a target meet its one row, and done ones do not move.
     """
-    links = links.where("node is not null").groupBy("node").agg(F.min("next").alias("next"))
-    heads = links.where("next is not null").select(F.col("next").alias("node")).distinct().join(links.select("node"), "node", "left_anti")
+    links = shared(links.where("node is not null").groupBy("node").agg(F.min("next").alias("next")))
+    n = task_parts(links.sparkSession, links.count())
+    heads = links.where("next is not null").select(F.col("next").alias("node")).repartition(n, "node").distinct().join(links.select("node").repartition(n, "node"), "node", "left_anti")
     zero = F.lit(0).cast("long")
     ends = heads.unionByName(links.where("next is null").select("node")).select("node", F.col("node").alias("root"), zero.alias("depth"))
     state = shared(ends.select("node", F.col("root").alias("target"), "depth", F.lit(True).alias("done")).unionByName(links.where("next is not null").select("node", F.col("next").alias("target"), F.lit(1).cast("long").alias("depth"), F.lit(False).alias("done"))))
@@ -25,7 +26,7 @@ def roots(links: DataFrame) -> DataFrame:
     while (left := open_.count()) and left != before:
         before = left
         there = state.select(F.col("node").alias("target"), F.col("target").alias("further"), F.col("depth").alias("more"), F.col("done").alias("reached"))
-        state_open = shared(open_.join(there, "target").select("node", F.col("further").alias("target"), (F.col("depth") + F.col("more")).alias("depth"), F.col("reached").alias("done")))
+        state_open = shared(open_.repartition(n, "target").join(there.repartition(n, "target"), "target").select("node", F.col("further").alias("target"), (F.col("depth") + F.col("more")).alias("depth"), F.col("reached").alias("done")))
         parts.append(state_open.where("done"))
         open_ = state_open.where("not done")
         state = parts[0]

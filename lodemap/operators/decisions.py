@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodemap.operators.closure import roots
+from lodemap.operators.traverse import shared, task_parts
 
 
 def lineage(steps: DataFrame) -> DataFrame:
@@ -34,10 +35,12 @@ def chains(decisions: DataFrame) -> DataFrame:
     Links may lead anywhere. A decision that several supersede is the fork of several chains; those of a circle, or before
     one, have no root. A superseded id that is no decision itself is a root.
     """
-    rows = decisions.select("id", "supersedes").where("id is not null").groupBy("id").agg(F.min("supersedes").alias("supersedes"))
+    rows = shared(decisions.select("id", "supersedes").where("id is not null").groupBy("id").agg(F.min("supersedes").alias("supersedes")))
+    n = task_parts(rows.sparkSession, rows.count())
     found = roots(rows.select(F.col("id").alias("node"), F.col("supersedes").alias("next"))).withColumnRenamed("node", "id")
-    over = rows.where("supersedes is not null").select(F.col("supersedes").alias("id")).distinct().withColumn("over", F.lit(True))
-    return rows.select("id").join(found, "id").join(over, "id", "left").select("id", "root", "depth", F.col("over").isNull().alias("active"))
+    over = rows.where("supersedes is not null").select(F.col("supersedes").alias("id")).repartition(n, "id").distinct().withColumn("over", F.lit(True))
+    # Every id has its row in found; ids that are only superseded have none here.
+    return rows.select("id").repartition(n, "id").join(found.repartition(n, "id"), "id").join(over, "id", "left").select("id", "root", "depth", F.col("over").isNull().alias("active"))
 
 
 def context(decisions: DataFrame, affects: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ import time
 
 from pyspark.sql import functions as F
 
-from lodemap.operators import closure, controllers, extract, mounts, relations, values
+from lodemap.operators import closure, controllers, decisions, extract, mounts, relations, resolve, traverse, values
 from lodemap.plans import catalog, code  # noqa: F401  the catalogue comes first
+from lodemap.sources import tables
 
 
 def test_long_runs_of_blanks_are_looked_at_once():
@@ -67,3 +68,23 @@ def test_composed_ends_on_cycles_and_returns_what_is_wanted(spark):
     assert every == {("a", ""), ("b", "1"), ("c", "12"), ("d", "124"), ("e", "1246"), ("f", "12467")}
     wanted = spark.createDataFrame([("c",), ("f",), ("x",), ("f",)], "node string")
     assert {tuple(r) for r in closure.composed(starts, links, wanted).collect()} == {("c", "12"), ("f", "12467")}
+
+
+def test_unique_candidates_are_not_told_apart(spark, data, monkeypatch):
+    pairs = spark.createDataFrame([("s", "1", "a", "b"), ("s", "1", "a", "c"), ("t", "1", "a", "a"), ("t", "2", "a", "b"), ("u", "1", "a", "a"), ("u", "2", "a", "a"), ("v", "1", "a", "b"), ("v", "2", "a", "b"), ("w", None, "a", "a"), ("x", "3", None, "a")], "src string, cand string, src_repo string, cand_repo string")
+    found = resolve.unique_candidate(pairs)
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.src: r.target for r in found.collect()} == {"s": "1", "t": "1", "u": None, "v": None, "w": None, "x": "3"}
+    monkeypatch.setattr(traverse, "TASK_ROWS", 500)
+    lines = tables.read(spark, data, "lineitem").count()
+    assert f"{-(-lines // 500)}" in tables.supplier_pairs(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chains_are_joined_in_parts_by_their_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, i - 1 if i % 10 else None) for i in range(1, 60)] + [(100, 101), (101, 100)], "id long, supersedes long")
+    want = sorted(tuple(r) for r in decisions.chains(rows).collect())
+    monkeypatch.setattr(traverse, "TASK_ROWS", 5)
+    found = decisions.chains(rows)
+    assert "RepartitionByExpression [id" in found._jdf.queryExecution().optimizedPlan().toString() and "], 13" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert (9, 0, 9, True) in want and (100, None, None, False) in want
