@@ -106,9 +106,13 @@ class Shift:
 
 def _risk_as_0(x: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
     """Rows, the sum of their logistic loss as 0, and its slope by the weights and the bias."""
-    z = x.astype(np.float64) @ w + b
-    s = _sigmoid(z)
-    return np.concatenate([[len(x), _softplus(z).sum()], s @ x, [s.sum()]])
+    total = np.zeros(x.shape[1] + 3)
+    for at in range(0, len(x), 256):  # no copy of all rows in double precision
+        part = x[at : at + 256].astype(np.float64)
+        z = part @ w + b
+        s = _sigmoid(z)
+        total += np.concatenate([[len(part), _softplus(z).sum()], s @ part, [s.sum()]])
+    return total
 
 
 def _descend(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3, shift: Shift | None = None) -> tuple[np.ndarray, float]:
@@ -148,7 +152,7 @@ class Probe:
     def fitted(cls, p: np.ndarray, u: np.ndarray) -> Probe:
         half = len(p) // 2
         w, b = _descend(p[:half], u, 0.5, steps=150)
-        scores = p[half:].astype(np.float64) @ w + b
+        scores = np.concatenate([p[at : at + 256].astype(np.float64) @ w + b for at in range(half, len(p), 256)])
         cuts = np.quantile(scores, np.linspace(0.0, 0.8, 41))
         return cls(w, b, cuts, (scores[:, None] >= cuts).mean(0))
 
@@ -208,11 +212,11 @@ def fit(positives: DataFrame, unlabelled: DataFrame, train_rows: int = TRAIN_ROW
 
         schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, probe boolean, x binary"
         found = rows.select("doc_id", "probe", "text").mapInPandas(shapes, schema).distinct().orderBy("doc_id", "x").toLocalIterator()
-        flags, parts = [], []
+        flags, held = [], bytearray()  # one buffer: thousands of small ones would stay with the process
         for r in found:  # one partition after another, in order
             flags.append(r["probe"])
-            parts.append(bytes(r["x"]))
-        return np.frombuffer(b"".join(parts), np.float32).reshape(-1, WIDTH), np.array(flags, bool)
+            held += r["x"]
+        return np.frombuffer(held, np.float32).reshape(-1, WIDTH), np.array(flags, bool)
 
     half = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(2)) == 0, F.lit(True)).alias("probe")
     positives, unlabelled = (rows.select("doc_id", "text", half).where("text is not null") for rows in (positives, unlabelled))
