@@ -2,7 +2,8 @@
 
 A use is a row of terms. Extraction has bound each name to a key: a local name to the last definition that every way to
 the use passes and those after it that some ways pass, a field or function to all its definitions or returned values,
-a constant of another class to that class. Here a join replaces the first open reference of every row by the terms of
+a constant of another class to that class. Values by definitions of the own file are found where the file is read
+(`known`); for all others a join replaces the first open reference of every row by the terms of
 its definitions, a row for each, round after round, until none is open. Only uses are followed, so what nobody asks for
 costs nothing. A definition that refers to itself, by whatever way, is a value that is not known.
 """
@@ -96,19 +97,19 @@ def filled(facts: DataFrame) -> DataFrame:
 
     key = F.concat_ws(" ", "repo", "path", F.col("n").cast("string"))
     asked = F.col("kind").isin(*URLS, *NAMES)
-    rows = facts.withColumn("id", key)
-    known = shared(definitions(facts))
-    # What is one text has its value; only the rest is followed.
-    single = lambda c: (F.size(c) == 1) & (F.get(c, F.lit(0))["kind"] == "text")
-    followed = F.coalesce(asked & F.col("terms").isNotNull() & ~single("terms") | (F.col("kind") == "binding") & F.col("other").isNotNull(), F.lit(False))
-    some = rows.where(asked & F.col("terms").isNotNull() & ~single("terms"))
-    found = expand(some.select("id", "repo", "terms"), known).withColumnRenamed("terms", "value")
-    others = rows.where("kind = 'binding' and other is not null")
-    queues = expand(others.select("id", "repo", F.col("other").alias("terms")), known).select("id", text_of(F.col("terms"), F.lit(False)).alias("queue"))
+    # What is one text has its value; only the rest is followed, and by joins only what the task of its file could not follow.
+    single = (F.size("terms") == 1) & (F.get("terms", F.lit(0))["kind"] == "text")
+    followed = F.coalesce(asked & F.col("terms").isNotNull() & ~single, F.lit(False))
+    queued = F.coalesce((F.col("kind") == "binding") & F.col("other").isNotNull(), F.lit(False))
+    joined = followed & F.col("known").isNull() | queued & F.col("other_known").isNull()
     symbols = F.col("suffix") == "go"
-    # Facts without an open value are not moved.
-    unknown = [F.lit(None).cast(df.schema[c].dataType).alias(c) for df, c in ((found, "value"), (queues, "queue"))]
-    done = rows.where(followed).join(found, "id", "left").join(queues, "id", "left").unionByName(rows.where(~followed).select("*", *unknown))
+    done = facts.where(~joined).withColumn("value", F.explode_outer(F.when(followed, F.col("known")))).withColumn("queue", F.explode_outer(F.when(queued, F.col("other_known")))).withColumn("queue", text_of(F.col("queue"), F.lit(False)))
+    rest = shared(facts.where(joined).withColumn("id", key))
+    if not rest.isEmpty():
+        meanings = shared(definitions(facts))
+        found = expand(rest.where(followed).select("id", "repo", "terms"), meanings).withColumnRenamed("terms", "value")
+        queues = expand(rest.where(queued).select("id", "repo", F.col("other").alias("terms")), meanings).select("id", text_of(F.col("terms"), F.lit(False)).alias("queue"))
+        done = done.unionByName(rest.join(found, "id", "left").join(queues, "id", "left").drop("id"))
     whole = F.forall("value", lambda t: t["kind"] == "text")  # a name is known only in full
     url = F.nullif(text_of(F.col("value"), symbols), F.lit(""))
     page = F.when(F.col("kind") == "page", F.concat(F.lit("/"), F.regexp_replace("name", "^/", ""))).otherwise(F.col("name"))

@@ -88,3 +88,21 @@ def test_chains_are_joined_in_parts_by_their_rows(spark, monkeypatch):
     assert "RepartitionByExpression [id" in found._jdf.queryExecution().optimizedPlan().toString() and "], 13" in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(tuple(r) for r in found.collect()) == want
     assert (9, 0, 9, True) in want and (100, None, None, False) in want
+
+
+def test_values_by_definitions_of_the_own_file_are_not_moved(spark):
+    java = 'class K {\n  static final String A = "/a";\n  static final String B = A + "/b";\n}\nclass U {\n  String base = "/u";\n  void go(String id) {\n    String x = base;\n    if (id.isEmpty()) { x = base + "/e"; }\n    rest.getForObject(x + "/" + id, T.class);\n  }\n}\n'
+    own = spark.createDataFrame([("r", "K.java", java)], "repo string, path string, content string")
+    facts = extract.facts(own, [*values.URLS, *values.DEFINITIONS]).cache()
+    found = values.filled(facts)
+    assert sorted(r.path_form for r in found.where("kind = 'request'").collect()) == ["/u/e/{param}", "/u/{param}"]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString() and facts.where("kind = 'define' and key like '%#x%'").isEmpty()
+    other = own.unionByName(spark.createDataFrame([("r", "V.java", 'class V {\n  String z = K.B;\n  void go() { rest.delete(z); rest.delete(K.A); }\n}\n')], own.schema))
+    found = values.filled(extract.facts(other, [*values.URLS, *values.DEFINITIONS]))
+    assert sorted(r.path_form for r in found.where("kind = 'request' and path = 'V.java'").collect()) == ["/a", "/a/b"]
+
+
+def test_a_value_of_many_replacements_is_followed_by_joins():
+    text = "class A {\n  void go() {\n" + "".join(f'    String v{i} = "a";\n    if (x) {{ v{i} = "b"; }}\n' for i in range(9)) + "    rest.delete(" + " + ".join(f"v{i}" for i in range(9)) + ");\n  }\n}\n"
+    found = extract._File("A.java", "java", text, frozenset([*values.URLS, *values.DEFINITIONS])).scan()
+    assert [f.get("known") for f in found if f["kind"] == "request"] == [None] and sum(f["kind"] == "define" for f in found) == 18
