@@ -22,6 +22,8 @@ REFERRED = "part int, file string, repo string, key string, src string"
 LINKS = "part int, file string, repo string, key string, src string, target string, managed_by string"
 KEYS = "part int, file string, key string"
 DERIVED = "derived"
+#: Files of one part of a table, each written by one task.
+CUTS = 8
 
 
 def classified(changes: DataFrame, excluded: list[str] | None = None) -> DataFrame:
@@ -68,14 +70,18 @@ class Links:
         """Replace the given parts of a table (all of it, if None) by rows.
 
         The rows are written aside first, so what is read is never what is being replaced, and a run that was stopped
-        here is repeated with the same rows. A part that is empty now keeps one row without a key.
+        here is repeated with the same rows. A whole table replaces nothing that is read and is written at once. A part
+        that is empty now keeps one row without a key. A part has `CUTS` files, so that its tasks do not grow with the table.
         """
         columns = rows.columns
         if parts is not None:
             nulls = [F.col("part") if c == "part" else F.lit(None).cast("string").alias(c) for c in columns]
             empty = self.spark.createDataFrame([(p,) for p in parts], "part int").join(rows.select("part").distinct(), "part", "left_anti").select(*nulls)
             rows = rows.unionByName(empty)
-        rows = shared(rows.repartition("part"))
+        cut = F.pmod(F.xxhash64(*[c for c in ("file", "key") if c in columns], F.lit(0)), F.lit(CUTS))
+        rows = rows.repartition("part", cut)
+        if parts is not None:
+            rows = shared(rows)
         writer = rows.write.mode("overwrite").partitionBy("part")
         (writer if parts is None else writer.option("partitionOverwriteMode", "dynamic")).parquet(self._path(name))
 
@@ -89,8 +95,9 @@ class Links:
         declared, referred = placed(declared).select("part", "file", "repo", "key", "id").distinct(), placed(referred).select("part", "file", "repo", "key", "src").distinct()
         self._write("declared", declared)
         self._write("referred", referred)
+        declared, referred = self._read("declared", DECLARED), self._read("referred", REFERRED)
         self._write("keys", self._keys(declared, referred))
-        found = self._found(self._read("declared", DECLARED), self._read("referred", REFERRED))
+        found = self._found(declared, referred)
         self._write("links", found if others is None else found.unionByName(placed(others).select(*found.columns)))
 
     def _keys(self, declared: DataFrame, referred: DataFrame) -> DataFrame:
@@ -100,8 +107,8 @@ class Links:
         if self.every:
             rows = referred.join(declared.select("key", F.col("id").alias("target")).where("target is not null").distinct(), "key")
         else:
-            targets = unique_target(referred.select("src", "repo", "key").distinct(), declared.select("key", "repo", "id")).where("target is not null")
-            rows = referred.join(targets, ["src", "repo", "key"])
+            # A reference's answer depends on its repository and key alone, so it is not told apart and met again.
+            rows = unique_target(referred.where("src is not null and repo is not null"), declared.select("key", "repo", "id")).where("target is not null")
         return rows.select("part", "file", "repo", "key", "src", "target", F.lit(DERIVED).alias("managed_by"))
 
     def _parts_of(self, rows: DataFrame, column: str) -> list[int]:

@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from lodemap.operators import closure, controllers, decisions, extract, mounts, relations, resolve, traverse, values
+from lodemap.operators import closure, controllers, decisions, extract, incremental, mounts, relations, resolve, traverse, values
 from lodemap.plans import catalog, code  # noqa: F401  the catalogue comes first
 from lodemap.sources import tables
 
@@ -106,3 +106,16 @@ def test_a_value_of_many_replacements_is_followed_by_joins():
     text = "class A {\n  void go() {\n" + "".join(f'    String v{i} = "a";\n    if (x) {{ v{i} = "b"; }}\n' for i in range(9)) + "    rest.delete(" + " + ".join(f"v{i}" for i in range(9)) + ");\n  }\n}\n"
     found = extract._File("A.java", "java", text, frozenset([*values.URLS, *values.DEFINITIONS])).scan()
     assert [f.get("known") for f in found if f["kind"] == "request"] == [None] and sum(f["kind"] == "define" for f in found) == 18
+
+
+def test_links_move_a_reference_once_and_cut_their_parts(spark, tmp_path):
+    links = incremental.Links(spark, str(tmp_path), parts=2)
+    referred = spark.createDataFrame([(f"f{i}", "a", f"K{i % 7}", f"s{i}") for i in range(400)] + [("n", "a", "K1", None), ("n", None, "K1", "s")], "file string, repo string, key string, src string")
+    declared = spark.createDataFrame([("d1", "a", "K1", "c1"), ("d2", "b", "K2", "c2"), ("d3", "a", "K3", "c3"), ("d4", "a", "K3", "c4")], "file string, repo string, key string, id string")
+    links.build(declared, referred)
+    found = links.links()
+    assert {(r.key, r.target) for r in found.collect()} == {("K1", "c1"), ("K2", "c2")}
+    assert found.count() == sum(i % 7 in (1, 2) for i in range(400))
+    asked = links._read("referred", incremental.REFERRED)
+    plan = links._found(links._read("declared", incremental.DECLARED), asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 3  # references once, declarations for each repository and for all
