@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodemap.llm.common import fold, python_batches, table, with_fields
+from lodemap.llm.common import collected, fold, python_batches, table, with_fields
 
 #: Rows of each kind, P and U, whose features a fit holds at most, in the mean of the seeded draw.
 TRAIN_ROWS = 4_000
@@ -192,6 +192,12 @@ def totals(texts: DataFrame, add: Callable[[np.ndarray], np.ndarray], width: int
     return out
 
 
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows whose features, nearly all of them zero, are compressed, so that few bytes pass through the driver's JVM."""
+    for b in batches:
+        yield pd.DataFrame({"probe": b["probe"], "x": [zlib.compress(x, 1) for x in b["x"]]})
+
+
 def fit(positives: DataFrame, unlabelled: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 11) -> Model | None:
     """A model from two tables (doc_id, text); None where one is empty. Null texts teach nothing.
 
@@ -211,11 +217,12 @@ def fit(positives: DataFrame, unlabelled: DataFrame, train_rows: int = TRAIN_ROW
                 yield pd.DataFrame({"doc_id": b["doc_id"], "probe": b["probe"], "x": [features(t).tobytes() for t in b["text"]]})
 
         schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, probe boolean, x binary"
-        found = rows.select("doc_id", "probe", "text").mapInPandas(shapes, schema).distinct().orderBy("doc_id", "x").toLocalIterator()
+        ordered = rows.select("doc_id", "probe", "text").mapInPandas(shapes, schema).distinct().orderBy("doc_id", "x").select("probe", "x")
         flags, held = [], bytearray()  # one buffer: thousands of small ones would stay with the process
-        for r in found:  # one partition after another, in order
+        for r in ordered.mapInPandas(_packed, "probe boolean, x binary").toLocalIterator():  # one partition after another, in order
             flags.append(r["probe"])
-            held += r["x"]
+            held += zlib.decompress(r["x"])
+        collected(rows.sparkSession)
         return np.frombuffer(held, np.float32).reshape(-1, WIDTH), np.array(flags, bool)
 
     half = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(2)) == 0, F.lit(True)).alias("probe")
