@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodemap.functions import identity
-from lodemap.operators.traverse import shared
 
 
 def unique_target(references: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -123,7 +122,7 @@ def starts(facts: DataFrame, steps: DataFrame) -> DataFrame:
     """
     found = facts.where("kind = 'start' and name is not null").select(
         identity.start_id(F.col("file_id"), F.col("name"), F.col("line")).alias("id"), "repo", F.when(F.col("function").isNotNull(), _function_id()).alias("function_id"), F.col("name").alias("process_key"), "line").dropDuplicates(["id"])
-    there = shared(processes(steps).select(F.col("process").alias("key"), "repo", "id"))  # documents are read once
+    there = processes(steps).select(F.col("process").alias("key"), "repo", "id")
     return unique_target(found.withColumn("key", F.col("process_key")), there).drop("key")
 
 
@@ -139,7 +138,6 @@ def processes(steps: DataFrame) -> DataFrame:
 def workflow(facts: DataFrame, steps: DataFrame, flows: DataFrame) -> DataFrame:
     """(src, dst, type, repo): HAS_STEP, NEXT, INVOKES (a delegate's class, by its alias), CALLS (a called process)."""
     step = lambda name: F.concat(process_id(), F.lit("::step:"), name)
-    steps = shared(steps)  # documents are read once
     has = steps.select(process_id().alias("src"), step(F.col("step")).alias("dst"), F.lit("HAS_STEP").alias("type"), "repo")
     nexts = flows.select(step(F.col("source")).alias("src"), step(F.col("target")).alias("dst"), F.lit("NEXT").alias("type"), "repo")
     classes = class_names(facts).select(identity.alias(F.col("name")).alias("key"), "repo", "id")

@@ -128,7 +128,7 @@ SELECT id AS src, id||'::step:'||x AS dst, 'HAS_STEP' AS type FROM s, (VALUES ('
 UNION ALL SELECT id||'::step:b', repo||':Worker'||s||'.java::Worker'||s, 'INVOKES' FROM s WHERE s % 3 > 0 UNION ALL SELECT a.id||'::step:c', b.id, 'CALLS' FROM s a JOIN s b ON b.s = a.s + 1""")
 def workflow_links(spark, d: str) -> DataFrame:
     files = _models(spark, d)
-    return relations.workflow(shared(extract.facts(files, ["class", "package"])), *extract.workflow(files)).select("src", "dst", "type")
+    return relations.workflow(shared(extract.facts(files, ["class", "package"]).select("repo", "path", "file_id", "kind", "name", "member")), *extract.workflow(files)).select("src", "dst", "type")
 
 
 @query("""SELECT 'm'||(p_partkey % 4)||':Start'||p_partkey||'.java::process-start:flow'||(p_partkey % 30)||':5' AS id, 'flow'||(p_partkey % 30) AS process_key,
