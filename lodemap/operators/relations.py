@@ -6,7 +6,7 @@ each key and repository before they meet the references.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodemap.functions import identity
@@ -108,11 +108,14 @@ def channels(facts: DataFrame) -> DataFrame:
 
 
 def actions(facts: DataFrame) -> DataFrame:
-    """(id, repo, file_id, function_id, page_id, component, event, condition, line) of UI actions; page_id is null where the file is no page."""
-    pages = facts.where("kind = 'page'").select("file_id", F.col("file_id").alias("page_id")).distinct()
-    found = facts.where("kind = 'action'").withColumn("event", F.lower("method"))
+    """(id, repo, file_id, function_id, page_id, component, event, condition, line, effects) of UI actions; page_id is null where the file is no page.
+
+    The facts of a file meet once.
+    """
+    page = F.max(F.when(F.col("kind") == "page", F.col("file_id"))).over(Window.partitionBy("file_id"))
+    found = facts.where("kind in ('action', 'page')").select("kind", "repo", "file_id", "function", "name", F.lower("method").alias("event"), "condition", "line", "effects", page.alias("page_id")).where("kind = 'action'")
     id_ = F.concat("file_id", F.lit("::action:"), "name", F.lit(":"), "event", F.lit(":"), F.col("line").cast("string"))
-    return found.join(pages, "file_id", "left").select(id_.alias("id"), "repo", "file_id", F.when(F.col("function").isNotNull(), _function_id()).alias("function_id"), "page_id", F.col("name").alias("component"), "event", "condition", "line")
+    return found.select(id_.alias("id"), "repo", "file_id", F.when(F.col("function").isNotNull(), _function_id()).alias("function_id"), "page_id", F.col("name").alias("component"), "event", "condition", "line", "effects")
 
 
 def starts(facts: DataFrame, steps: DataFrame) -> DataFrame:

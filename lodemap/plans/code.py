@@ -144,9 +144,8 @@ SELECT file||'::action:list:selection:6' AS id, CASE WHEN k % 2 = 0 THEN file EN
 def ui_actions(spark, d: str) -> DataFrame:
     rows = t.read(spark, d, "part").selectExpr("p_partkey AS k", "CASE WHEN p_partkey % 2 = 0 THEN '@SpringView(name = V' || p_partkey || '.NAME)' ELSE '@Component' END AS mark")
     view = '<mark>\nclass V<k> {\n  static final String NAME = "v<k>";\n  void wire() {\n    // drop.addClickListener(e);\n    list.addSelectionListener(e -› {\n      if (e.n() › <k>) {\n        drop.setEnabled(true);\n      } else {\n        drop.setEnabled(false);\n      }\n    });\n  }\n}\n'
-    facts = shared(extract.facts(_files(rows, "v<k % 3>", "V<k>.java", view), ["action", "page"]))
-    effects = facts.where("kind = 'action'").select(F.concat_ws("::action:", "file_id", F.concat_ws(":", "name", F.lower("method"), F.col("line").cast("string"))).alias("id"), F.array_join("effects", "; ").alias("effects"))
-    return relations.actions(facts).select("id", "page_id", "function_id").join(effects, "id")
+    facts = shared(extract.facts(_files(rows, "v<k % 3>", "V<k>.java", view), ["action", "page"]).select("repo", "file_id", "kind", "method", "name", "function", "condition", "line", "effects"))
+    return relations.actions(facts).select("id", "page_id", "function_id", F.array_join("effects", "; ").alias("effects"))
 
 
 @query("""WITH s AS (SELECT s_suppkey AS s, 'n'||s_nationkey AS repo, 'n'||s_nationkey||':s'||s_suppkey||'.properties' AS file, CASE s_suppkey % 3 WHEN 0 THEN 'mysql' WHEN 1 THEN 'postgresql' ELSE 'mariadb' END AS db FROM supplier),

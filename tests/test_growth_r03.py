@@ -1,6 +1,6 @@
 """Steps whose cost must grow no faster than their input: what is read or moved once."""
 
-from lodemap.operators import extract
+from lodemap.operators import extract, relations
 from lodemap.plans import catalog, code  # noqa: F401  the catalogue comes first
 
 BPMN = """<x:definitions xmlns:x="urn:x"><x:process id="p&amp;q"><x:subProcess><x:userTask id="a" f:delegateExpression="#{one}"/></x:subProcess><x:callActivity id="b" calledElement="other"/>
@@ -20,3 +20,12 @@ def test_a_process_is_parsed_once_for_its_steps_and_flows(spark):
     assert got == [("broken.bpmn20.xml", "w", 0, "s", None, None), ("m.bpmn", "p&q", 0, "a", "one", None), ("m.bpmn", "p&q", 1, "b", None, "other"), ("m.bpmn", "p&q", 2, "g", None, None), ("m.bpmn", "second", 0, "z", None, None)]
     got = sorted(map(str, (tuple(r) for r in flows.select("flow", "source", "target", "condition", "is_default").collect())))
     assert got == ["('f1', 'b', 'g', '${n < 1}', False)", "('f2', 'g', None, None, True)", "(None, 'a', 'b', None, None)"]
+
+
+def test_actions_and_pages_of_a_file_meet_without_a_join(spark):
+    view = '@SpringView("v")\nclass V {\n  void a() {\n    x.addClickListener(e -> { d.setEnabled(true); }); y.addClickListener(e -> { d.setEnabled(false); });\n  }\n}\n'
+    files = spark.createDataFrame([("r", "V.java", view), ("r", "W.java", view.split("\n", 1)[1])], "repo string, path string, content string")
+    found = relations.actions(extract.facts(files, ["action", "page"]))
+    assert "Join" not in _plan(found)
+    assert sorted((r.id, r.page_id, r.effects) for r in found.where("page_id is not null").collect()) == [("r:V.java::action:x:click:4", "r:V.java", ["d.setEnabled(true)"]), ("r:V.java::action:y:click:4", "r:V.java", ["d.setEnabled(false)"])]
+    assert found.where("page_id is null").count() == 2
