@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodemap.functions import urls
 from lodemap.operators.closure import roots
+from lodemap.operators.traverse import shared
 
 #: Kinds of facts that `inherited_routes` reads.
 KINDS = ("class", "package", "import", "extends", "controller")
@@ -29,14 +30,18 @@ def superclasses(facts: DataFrame) -> DataFrame:
 
     A node is the repository and the qualified name. A name without a package is that of an import of the file, else of
     a class of the same package, else it stands for itself, as that of a library. A base controller ends a chain by its
-    name, wherever it is declared.
+    name, wherever it is declared. The facts of a file are put together once, so only the classes of a package are joined.
     """
     java = facts.where("suffix = 'java'")
-    packages = java.where("kind = 'package'").groupBy("repo", "path").agg(F.min("name").alias("package"))
-    classes = java.where("kind = 'class'").select("repo", "path", "name").distinct().join(packages, ["repo", "path"], "left").withColumn("qualified", F.concat_ws(".", "package", "name"))
-    named = java.where("kind = 'import'").groupBy("repo", "path", F.substring_index("name", ".", -1).alias("super")).agg(F.min("name").alias("imported"))
-    extends = java.where("kind = 'extends'").select("repo", "path", "name", F.col("argument").alias("super"), F.col("detail").alias("written")).distinct()
-    rows = classes.join(extends, ["repo", "path", "name"], "left").join(named, ["repo", "path", "super"], "left")
+    kind = lambda kind, *columns: F.collect_set(F.when(F.col("kind") == kind, F.struct(*columns)))
+    last = F.substring_index("name", ".", -1).alias("super")
+    files = java.where("kind in ('package', 'class', 'import', 'extends')").groupBy("repo", "path").agg(
+        F.min(F.when(F.col("kind") == "package", F.col("name"))).alias("package"), kind("class", "name").alias("classes"), kind("import", last, F.col("name").alias("imported")).alias("imports"),
+        kind("extends", "name", F.col("argument").alias("super"), F.col("detail").alias("written")).alias("extends"))
+    classes = files.select("*", F.explode("classes.name").alias("name")).withColumn("qualified", F.concat_ws(".", "package", "name"))
+    own = F.filter("extends", lambda e: e["name"] == F.col("name"))
+    rows = classes.select("repo", "path", "name", "package", "qualified", "imports", F.explode_outer(own).alias("e")).select("*", "e.super", "e.written")
+    rows = rows.withColumn("imported", F.array_min(F.filter("imports", lambda i: i["super"] == F.col("super"))["imported"])).drop("e", "imports")
     beside = classes.select("repo", F.col("qualified").alias("near")).distinct().withColumn("there", F.lit(True))
     rows = rows.withColumn("near", F.concat_ws(".", "package", "super")).join(beside, ["repo", "near"], "left")
     full = F.when(F.col("written").contains("."), F.col("written")).otherwise(F.coalesce("imported", F.when(F.col("there"), F.col("near")), "super"))
@@ -51,7 +56,7 @@ def inherited_routes(facts: DataFrame) -> DataFrame:
 
     A chain of a class that extends itself by whatever way ends nowhere and has no routes.
     """
-    classes = superclasses(facts)
+    classes = shared(superclasses(facts))
     ends = roots(classes.select("node", "next")).where("root like 'base %'").select("node", F.substring("root", 6, 9).cast("int").alias("base"))
     routes = F.element_at(F.array(*[_templates(r) for _, r in BASES]), F.col("base") + 1)
     found = facts.where("kind = 'controller'").select("repo", "path", "name", F.regexp_replace("url", "/$", "").alias("top")).distinct()

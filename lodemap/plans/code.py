@@ -192,7 +192,7 @@ def inherited_routes(spark, d: str) -> DataFrame:
     base = "CASE WHEN p_partkey % 25 > 0 THEN concat(CASE WHEN p_partkey % 2 = 0 THEN 'x.y.' ELSE '' END, 'C', p_partkey - 1) WHEN p_partkey div 25 % 7 = 5 THEN concat('C', p_partkey + 24) WHEN p_partkey div 25 % 3 = 0 THEN 'com.lib.ReadOnlyJpaRestController' WHEN p_partkey div 25 % 3 = 1 THEN 'FilteredJpaRestController' ELSE 'FlowController' END"
     rows = t.read(spark, d, "part").where("p_partkey >= 25").selectExpr("p_partkey AS k", f"{base} AS base", "CASE WHEN p_partkey % 4 = 1 THEN concat('@RestController\n@RequestMapping(\"/c/', p_partkey, '\")\n') ELSE '' END AS marks")
     source = "package x.y;\n<marks>public class C<k>\n    extends <base>‹Item, Long› {\n  // extends FlowController\n}\n"
-    return controllers.inherited_routes(shared(extract.facts(_files(rows, "r", "x/C<k>.java", source), controllers.KINDS))).select("name", "method", "path_form")
+    return controllers.inherited_routes(shared(extract.facts(_files(rows, "r", "x/C<k>.java", source), controllers.KINDS).select("repo", "path", "suffix", "kind", "name", "url", "argument", "detail"))).select("name", "method", "path_form")
 
 
 @query("""WITH s AS (SELECT s_suppkey AS s FROM supplier) SELECT 'p'||p_partkey AS page, 'GET' AS method, '/v'||(p_partkey % 50 - p_partkey % 50 % 8)||'/rows/'||p_partkey AS path_form, 'h'||(p_partkey % 50 - p_partkey % 50 % 8)||'.example' AS system

@@ -1,6 +1,8 @@
 """Steps whose cost must grow no faster than their input: what is read or moved once."""
 
-from lodemap.operators import extract, relations
+from pyspark.sql import functions as F
+
+from lodemap.operators import controllers, extract, relations
 from lodemap.plans import catalog, code  # noqa: F401  the catalogue comes first
 
 BPMN = """<x:definitions xmlns:x="urn:x"><x:process id="p&amp;q"><x:subProcess><x:userTask id="a" f:delegateExpression="#{one}"/></x:subProcess><x:callActivity id="b" calledElement="other"/>
@@ -29,3 +31,12 @@ def test_actions_and_pages_of_a_file_meet_without_a_join(spark):
     assert "Join" not in _plan(found)
     assert sorted((r.id, r.page_id, r.effects) for r in found.where("page_id is not null").collect()) == [("r:V.java::action:x:click:4", "r:V.java", ["d.setEnabled(true)"]), ("r:V.java::action:y:click:4", "r:V.java", ["d.setEnabled(false)"])]
     assert found.where("page_id is null").count() == 2
+
+
+def test_superclasses_put_the_facts_of_a_file_together_once(spark):
+    rows = [("A.java", "package p;\nimport lib.Base;\nimport lib2.Base;\nclass A extends Base {}\nclass B extends A {}\nclass C {}\n"), ("D.java", "package p;\nclass D extends A {}\nclass E extends q.A {}\nclass F extends Gone {}\n"), ("G.java", "class G extends FlowController {}\n")]
+    facts = extract.facts(spark.createDataFrame([("r", *r) for r in rows], "repo string, path string, content string"), controllers.KINDS)
+    found = controllers.superclasses(facts)
+    assert _plan(found).count("Join ") == 1
+    got = {r.name: (r.node, r.next) for r in found.select("name", F.replace("node", F.lit("\x1f"), F.lit("|")).alias("node"), F.replace("next", F.lit("\x1f"), F.lit("|")).alias("next")).collect()}
+    assert got == {"A": ("r|p.A", "r|lib.Base"), "B": ("r|p.B", "r|p.A"), "C": ("r|p.C", None), "D": ("r|p.D", "r|p.A"), "E": ("r|p.E", "r|q.A"), "F": ("r|p.F", "r|Gone"), "G": ("r|G", "base 2")}
