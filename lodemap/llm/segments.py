@@ -55,16 +55,31 @@ class _Numbers(dict):
         return number
 
 
+def flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids one after another, and their lengths."""
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+
+
+def taken(ids: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs `at` of ids that are runs of these lengths, and their lengths."""
+    starts, new = np.cumsum(lengths) - lengths, lengths[at]
+    ends = np.cumsum(new)
+    return ids[np.repeat(starts[at] - ends + new, new) + np.arange(int(new.sum()))], new
+
+
 class SegmentIds:
     """Encodes texts segment by segment; what `encode` returned for a segment is kept, up to `limit` segments.
 
+    `encode` returns a list of ids for each segment, or all ids one after another and how many each has.
+
     A worker then needs about a hundred bytes for each, whatever the table's size. Beyond the limit, or beyond
     LETTERS for each of so many segments, as texts without blanks would have, it begins anew.
     """
 
     LETTERS = 24
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int, added: tuple[str, ...] = ()):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]] | tuple[np.ndarray, np.ndarray]], limit: int, added: tuple[str, ...] = ()):
         self.encode, self.limit = encode, limit
         #: Tokens that a text is cut at before all else, each a segment; of two at one place the longer one.
         self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
@@ -80,15 +95,15 @@ class SegmentIds:
         """Ids of the new segments, put after those of the others."""
         new = self.known.new
         found = self.encode(new)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        ids, lengths = found if isinstance(found, tuple) else flat(found)
         n, at, total = self.learned, int(self.starts[self.learned]), int(lengths.sum())
-        while n + len(found) + 1 > len(self.starts):
+        while n + len(lengths) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
         while at + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.starts[n + 1 : n + 1 + len(found)] = at + np.cumsum(lengths)
-        self.ids[at : at + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-        self.learned += len(found)
+        self.starts[n + 1 : n + 1 + len(lengths)] = at + np.cumsum(lengths)
+        self.ids[at : at + total] = ids
+        self.learned += len(lengths)
         self.letters += sum(map(len, new))
         new.clear()
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodemap.llm.common import partitions, python_batches, scratch, table
-from lodemap.llm.segments import SegmentIds
+from lodemap.llm.segments import SegmentIds, flat, taken
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -30,6 +30,8 @@ BLOCK_IDS = 16_384
 #: A chunk is closed at the first document that brings it to so many ids.
 CHUNK_IDS = 131_072
 PLANES = 4
+#: Segments that the tokenizer gets as one text.
+TOGETHER = 512
 SCHEMA = "segment int, chunk int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, block_ids array<int>, plane_bytes array<int>, payload binary"
 ARROW = pa.schema([("segment", pa.int32()), ("chunk", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())),
                    ("block_ids", pa.list_(pa.int32())), ("plane_bytes", pa.list_(pa.int32())), ("payload", pa.binary())])
@@ -61,6 +63,41 @@ def unpack(blocks: list[int], sizes: list[int], payload: bytes) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _together(tokenizer) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """Ids of segments one after another and how many each has, where many segments are one text for the tokenizer.
+
+    The pattern cuts between a non-blank and a blank, so those that begin with one space and do not end in a blank can stand
+    side by side; how many bytes each id stands for tells where a segment's ids end. A group whose ends are not met exactly,
+    and all other segments, are encoded one by one.
+    """
+    added = {i: len(t.content.encode()) for i, t in tokenizer.get_added_tokens_decoder().items()}
+    sizes = {i: len(t) for t, i in tokenizer.get_vocab().items()} | added  # a letter of a token is a byte
+    size = np.zeros(max(sizes) + 1, np.int64)
+    size[list(sizes)] = list(sizes.values())
+    one_by_one = lambda segments: [e.ids for e in tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
+
+    def encode(segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        beside = [k for k, s in enumerate(segments) if s[0] == " " and len(s) > 1 and not s[1].isspace() and not s[-1].isspace()]
+        groups = [beside[at : at + TOGETHER] for at in range(0, len(beside), TOGETHER)]
+        own = np.fromiter((len(s) if s.isascii() else len(s.encode("utf-8", "surrogatepass")) for s in segments), np.int64, len(segments))
+        parts, lengths, order, sure = [], [], [], np.zeros(len(segments), bool)
+        for group, e in zip(groups, tokenizer.encode_batch_fast(["".join([segments[k] for k in g]) for g in groups], add_special_tokens=False)):
+            ids, places = np.array(e.ids, np.int64), np.array(group)
+            reached, ends = np.cumsum(size[ids]), np.cumsum(own[places])
+            last = np.searchsorted(reached, ends)
+            if len(ids) and last[-1] == len(ids) - 1 and np.array_equal(reached[last], ends):
+                parts.append(ids)
+                lengths.append(np.diff(last, prepend=-1))
+                order.append(places)
+                sure[places] = True
+        alone = np.flatnonzero(~sure)
+        ids, counts = flat(one_by_one([segments[k] for k in alone]))
+        at = np.argsort(np.concatenate([*order, alone]))
+        return taken(np.concatenate([*parts, ids]), np.concatenate([*lengths, counts]), at)
+
+    return encode
+
+
 @lru_cache(maxsize=4)
 def _coder(path: str, added_tokens: bool) -> SegmentIds:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
@@ -71,8 +108,7 @@ def _coder(path: str, added_tokens: bool) -> SegmentIds:
     added = tokenizer.get_added_tokens_decoder().values() if added_tokens else ()
     if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added):
         raise ValueError("an added token that takes blanks or depends on what is beside it")
-    encode = lambda segments: [e.ids for e in tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
-    return SegmentIds(encode, limit=1_200_000, added=tuple(t.content for t in added))
+    return SegmentIds(_together(tokenizer), limit=1_200_000, added=tuple(t.content for t in added))
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, added_tokens: bool = False) -> None:
