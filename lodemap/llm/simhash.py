@@ -339,6 +339,16 @@ HOT_SHINGLES = 100_000
 COUNTED = 4 << 20
 #: Texts with a common shingle that one task meets at once; more are met in pairs of pieces of half as many.
 BUCKET_ROWS = 4096
+#: Of more texts with a common shingle no pairs are returned: their shingles move and are compared in the tasks, which return links alone.
+DENSE_ROWS = 64
+#: Such texts in a task, in pieces that meet first for themselves and then in pairs, and their shingles in each piece.
+PIECE_ROWS = 256
+PAIRED_ROWS = 1024
+PIECE_SHINGLES = 1 << 18
+#: Groups of one smallest text are met as one where it has at most so many times the texts of the largest of them.
+WIDER = 4
+#: Texts of a task that look at all others before one is fixed whose group need not.
+SEEN_FIRST = 16
 
 
 class _WordHashes(dict):
@@ -457,8 +467,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     own. Null ids come after all others; a group of none else has a null `kept`. Texts of equal words are copies, those
     without words as well. Other texts are linked when the Jaccard similarity of their word shingles is `similarity` or
     more. Tries of the word set's fingerprints link most of them; then all texts with a common shingle among their first
-    (`_prefix`) that are not in one group yet are compared, so groups are those of all links. Texts are read whole. An
-    empty table gives no rows. Other columns are ignored.
+    (`_prefix`) that are not in one group yet are compared, so groups are those of all links: in the tasks where many have
+    the shingle (`_dense`), else as pairs. Texts are read whole. An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     python_batches(spark)
@@ -484,6 +494,18 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
         # What the tries did not bring together: every pair of texts of two groups that may be similar, in rounds that
         # compare each text with more and more others, for links join groups and spare the rest of their pairs.
         shared = _shared(points, tables)
+        if not shared.where(F.col("rows") > DENSE_ROWS).isEmpty():
+            members = _members(shared.where(F.col("rows") > DENSE_ROWS), tables)
+            for paired in (False, True):
+                dealt = tables.written(_dense(members, stars, paired, tables), "dense")
+                if dealt.isEmpty():
+                    continue
+                sets = _sets(dealt.select("id").distinct(), points, texts, shingle, tables)
+                dealt = dealt.join(sets, "id").repartition(partitions(spark), "task").sortWithinPartitions("task")
+                links = links.unionByName(tables.written(dealt.mapInPandas(_linked(similarity), "a long, b long"), "similar"))
+                collected(spark)
+                stars = components(links)
+            shared = shared.where(F.col("rows") <= DENSE_ROWS)
         most, more = MOST, True
         while more:
             met = tables.written(_meetings(shared, stars, similarity, most, tables).groupBy("a", "b").agg(F.max("more").alias("more")), "candidates")
@@ -510,13 +532,105 @@ def _small(table: DataFrame) -> DataFrame:
 
 
 def _shared(points: DataFrame, tables: Tables) -> DataFrame:
-    """(h, id, n, pos, rows): the shingles in the prefixes of texts (id, n, prefix) that are in those of others, too, and in how many.
-
-    n and pos cross the exchange as one number.
+    """(h, id, n, pos, rows, leader): the shingles in the prefixes of texts (id, n, prefix) that are in those of others, too, in
+    how many, and the smallest of these. n and pos cross the exchange as one number.
     """
     rows = points.select("id", F.col("n").cast("long").alias("n"), F.posexplode("prefix").alias("pos", "h")).select("h", "id", F.expr("shiftleft(n, 32) | pos").alias("size"))
-    alike = rows.withColumn("rows", F.count("*").over(Window.partitionBy("h"))).where("rows > 1")
-    return tables.written(alike.select("h", "id", F.expr("shiftright(size, 32)").cast("int").alias("n"), F.expr("size & 4294967295").cast("int").alias("pos"), F.col("rows").cast("int").alias("rows")), "shared")
+    alike = rows.withColumn("rows", F.count("*").over(Window.partitionBy("h"))).withColumn("leader", F.min("id").over(Window.partitionBy("h"))).where("rows > 1")
+    return tables.written(alike.select("h", "id", F.expr("shiftright(size, 32)").cast("int").alias("n"), F.expr("size & 4294967295").cast("int").alias("pos"), F.col("rows").cast("int").alias("rows"), "leader"), "shared")
+
+
+def _in_groups(rows: DataFrame, stars: DataFrame) -> DataFrame:
+    """`rows` (id) with their group, `component`."""
+    names = stars.select(F.col("node").alias("id"), "component")
+    return rows.join(_small(names), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _in_pairs(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+    """`rows` (key, id, component) once for each pair of pieces that they meet in: task, side, within.
+
+    `sizes` (key, largest, others, own): the largest group has pieces of its own, which meet the others' pieces alone.
+    """
+    none, large = F.lit(0), F.col("component") == F.col("largest")
+    many = rows.join(sizes, key).withColumn("side", F.when(large, F.col("others") + F.pmod(F.hash("id"), F.col("own"))).otherwise(F.pmod(F.hash("id"), F.col("others"))))
+    many = many.withColumn("other", F.explode(F.sequence(none, F.col("others") + F.when(large, none).otherwise(F.col("own")) - 1)))
+    task = F.xxhash64(key, F.least("side", "other"), F.greatest("side", "other"))
+    return many.withColumn("task", task).withColumn("within", F.col("side") == F.col("other"))
+
+
+def _members(shared: DataFrame, tables: Tables) -> DataFrame:
+    """(key, id, n): the texts of `shared` in buckets, so that all texts of a shingle are in one.
+
+    Near copies have many shingles in common and are the same texts for each; shingles with the same smallest text make one
+    bucket, unless it would be much larger than theirs.
+    """
+    once = tables.written(shared.groupBy("leader", "id").agg(F.max("n").alias("n"), F.max("rows").alias("rows")), "members")
+    wide = once.groupBy("leader").agg(F.count("*").alias("m"), F.max("rows").alias("top")).where(F.col("m") > F.col("top") * WIDER).select("leader")
+    wide = _small(tables.written(wide, "wide"))
+    narrow = once.join(wide, "leader", "left_anti").select(F.col("leader").alias("key"), "id", "n")
+    return tables.written(narrow.union(shared.join(wide, "leader", "left_semi").select(F.col("h").alias("key"), "id", "n")), "members")
+
+
+def _dense(members: DataFrame, stars: DataFrame, paired: bool, tables: Tables) -> DataFrame:
+    """(task, side, within, id, component): the texts of each bucket that has texts of two groups, dealt out to tasks.
+
+    Not `paired`: each text goes to one piece of its bucket, where it meets all others. `paired`: the pieces of buckets that
+    had more than one meet each other; by then most texts of a dense bucket are in its largest group and meet no more.
+    """
+    rows = _in_groups(members, stars)
+    groups = rows.groupBy("key", "component").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    sizes = groups.groupBy("key").agg(F.sum("size").alias("all"), F.sum("n").alias("n"), F.max("size").alias("top"), F.max_by(F.struct("component", "n"), F.struct("size", "component")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
+    pieces = lambda size, n, most: F.ceil(F.greatest(size / most, n / PIECE_SHINGLES)).cast("int")
+    alone = pieces(F.col("all"), F.col("n"), PIECE_ROWS)
+    if not paired:
+        placed = rows.join(_small(tables.written(sizes.select("key", alone.alias("pieces")), "sizes")), "key").withColumn("side", F.pmod(F.hash("id"), F.col("pieces")))
+        return placed.select(F.xxhash64("key", "side").alias("task"), "side", F.lit(True).alias("within"), "id", "component")
+    others = pieces(F.col("all") - F.col("top"), F.col("n") - F.col("most.n"), PAIRED_ROWS).alias("others")
+    own = pieces(F.col("top"), F.col("most.n"), PAIRED_ROWS).alias("own")
+    sizes = sizes.where(alone > 1).select("key", F.col("most.component").alias("largest"), others, own)
+    return _in_pairs(rows, "key", _small(tables.written(sizes, "sizes"))).select("task", "side", "within", "id", "component")
+
+
+def _linked(similarity: float):
+    """mapInPandas function: rows of `_dense` with their shingles `s`, sorted by task; the links of each task as spanning edges."""
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, side, within = (rows[x].to_numpy() for x in ("id", "side", "within"))
+        label = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
+        n = np.array([len(x) // 8 for x in rows["s"]])
+        _, gram, count = np.unique(np.frombuffer(b"".join(rows["s"]), "<u8"), return_inverse=True, return_counts=True)
+        owner, first = np.repeat(np.arange(len(n)), n)[np.argsort(gram, kind="stable")], np.cumsum(count) - count
+        ends, a, b, seed = np.cumsum(n), [], [], None
+        for k, i in enumerate(np.argsort(np.bincount(label)[label], kind="stable").tolist()):
+            # Texts in the group of one fixed text need no look from their side: those outside of it look at them.
+            if k == SEEN_FIRST:
+                seed = np.bincount(label)[label].argmax()
+            if seed is not None and label[i] == label[seed]:
+                continue
+            own = gram[ends[i] - n[i] : ends[i]]
+            own = own[count[own] > 1]
+            size = count[own]
+            at = np.arange(size.sum()) + np.repeat(first[own] - np.cumsum(size) + size, size)
+            both = np.bincount(owner[at], minlength=len(n))
+            near = np.flatnonzero((both / np.maximum(1, n[i] + n - both) >= similarity) & (label != label[i]) & (within[i] | (side != side[i])))
+            for j in near[np.unique(label[near], return_index=True)[1]].tolist():
+                a.append(ids[i])
+                b.append(ids[j])
+                label[label == label[j]] = label[i]
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:  # a task's rows may lie in several batches
+            for _, part in batch.groupby("task", sort=False):
+                if held and held[-1]["task"].iloc[0] != part["task"].iloc[0]:
+                    yield links(pd.concat(held, ignore_index=True))
+                    held = []
+                held.append(part)
+        if held:
+            yield links(pd.concat(held, ignore_index=True))
+
+    return run
 
 
 def _meetings(shared: DataFrame, stars: DataFrame, similarity: float, most: int, tables: Tables) -> DataFrame:
@@ -526,21 +640,15 @@ def _meetings(shared: DataFrame, stars: DataFrame, similarity: float, most: int,
     A shingle's rows are met in one task, or, where they are many, in pairs of pieces. The largest group among them has
     pieces of its own, which meet the others' pieces alone, so copies of one text make tasks in proportion to their number.
     """
-    names = stars.select(F.col("node").alias("id"), "component")
-    rows = shared.join(_small(names), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    one = F.lit(0)
-    dealt = rows.where(F.col("rows") <= BUCKET_ROWS).select(F.col("h").alias("task"), "h", one.alias("side"), F.lit(True).alias("within"), "id", "n", "pos", "component")
+    rows = _in_groups(shared, stars)
+    dealt = rows.where(F.col("rows") <= BUCKET_ROWS).select(F.col("h").alias("task"), "h", F.lit(0).alias("side"), F.lit(True).alias("within"), "id", "n", "pos", "component")
     many = rows.where(F.col("rows") > BUCKET_ROWS)
     if not shared.where(F.col("rows") > BUCKET_ROWS).isEmpty():
         groups = many.groupBy("h", "component").agg(F.count("*").alias("size"))
         sizes = groups.groupBy("h").agg(F.sum("size").alias("all"), F.max("size").alias("top"), F.max_by("component", "size").alias("largest"), F.count("*").alias("groups")).where("groups > 1")
         pieces = lambda x: F.ceil(x * 2 / BUCKET_ROWS).cast("int")
         sizes = _small(tables.written(sizes.select("h", "largest", pieces(F.col("all") - F.col("top")).alias("others"), pieces(F.col("top")).alias("own")), "sizes"))
-        large = F.col("component") == F.col("largest")
-        many = many.join(sizes, "h").withColumn("side", F.when(large, F.col("others") + F.pmod(F.hash("id"), F.col("own"))).otherwise(F.pmod(F.hash("id"), F.col("others"))))
-        many = many.withColumn("other", F.explode(F.sequence(one, F.col("others") + F.when(large, one).otherwise(F.col("own")) - 1)))
-        task = F.xxhash64("h", F.least("side", "other"), F.greatest("side", "other"))
-        dealt = dealt.unionByName(many.select(task.alias("task"), "h", "side", (F.col("side") == F.col("other")).alias("within"), "id", "n", "pos", "component"))
+        dealt = dealt.unionByName(_in_pairs(many, "h", sizes).select("task", "h", "side", "within", "id", "n", "pos", "component"))
     dealt = dealt.repartition(partitions(shared.sparkSession), "task").sortWithinPartitions("task")
     return dealt.mapInPandas(_met(similarity, most), "a long, b long, more boolean")
 
@@ -597,6 +705,20 @@ def _met(similarity: float, most: int):
     return run
 
 
+def _sets(ids: DataFrame, points: DataFrame, texts: DataFrame, shingle: int, tables: Tables) -> DataFrame:
+    """(id, s): the sorted shingles of the texts `ids` (id, each once), which are read again."""
+
+    @F.pandas_udf("binary")
+    def packed(column: pd.Series) -> pd.Series:
+        return pd.Series([_shingles(_HASHES.text(t)[1], shingle).tobytes() for t in column])
+
+    keys = tables.written(points.select("id", "row_key").join(_small(tables.written(ids, "ends")), "id", "left_semi"), "keys")
+    sets = tables.written(texts.join(_small(keys), "row_key").select("id", packed(F.col("text")).alias("s")), "shingles")
+    if sets.count() > keys.count():  # rows equal in id and text are one text
+        sets = tables.written(sets.groupBy("id").agg(F.max("s").alias("s")), "shingles")
+    return sets
+
+
 def _similar(candidates: DataFrame, points: DataFrame, texts: DataFrame, shingle: int, similarity: float, tables: Tables) -> DataFrame:
     """The candidates (a, b) whose texts' shingles have the Jaccard similarity.
 
@@ -611,10 +733,6 @@ def _similar(candidates: DataFrame, points: DataFrame, texts: DataFrame, shingle
     likely = likely.where(F.size(F.array_intersect("p_a", "p_b")) + rest >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6)
     likely = tables.written(likely.select("a", "b"), "likely")
 
-    @F.pandas_udf("binary")
-    def packed(column: pd.Series) -> pd.Series:
-        return pd.Series([_shingles(_HASHES.text(t)[1], shingle).tobytes() for t in column])
-
     @F.pandas_udf("double")
     def jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
         out = []
@@ -624,10 +742,7 @@ def _similar(candidates: DataFrame, points: DataFrame, texts: DataFrame, shingle
             out.append(both / max(1, len(a) + len(b) - both))
         return pd.Series(out)
 
-    keys = tables.written(points.select("id", "row_key").join(_small(tables.written(ends(likely), "ends")), "id", "left_semi"), "keys")
-    sets = tables.written(texts.join(_small(keys), "row_key").select("id", packed(F.col("text")).alias("s")), "shingles")
-    if sets.count() > keys.count():  # rows equal in id and text are one text
-        sets = tables.written(sets.groupBy("id").agg(F.max("s").alias("s")), "shingles")
+    sets = _sets(ends(likely), points, texts, shingle, tables)
     pairs = likely.join(sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a")
     return pairs.where(jaccard("s_a", "s_b") >= similarity).select("a", "b")
 

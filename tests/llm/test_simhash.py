@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -193,3 +194,39 @@ def test_meetings_of_a_large_group_with_others(spark, monkeypatch):
     with Tables(spark) as tables:
         got = {(r.a, r.b) for r in simhash._meetings(shared, stars, 0.8, 1 << 40, tables).collect()}
     assert got == {(a, b) for a in range(40, 60) for b in range(a)}
+
+
+@pytest.mark.parametrize(("piece", "wider"), [(256, 4), (40, 0)])
+def test_a_dense_group_returns_links_and_no_pairs(documents, monkeypatch, piece, wider):
+    """240 texts, each unlike most others, that share most of their shingles: their pairs are met in tasks and do not leave them."""
+    for name, value in (("PIECE_ROWS", piece), ("PAIRED_ROWS", piece), ("WIDER", wider), ("SEEN_FIRST", 4)):
+        monkeypatch.setattr(simhash, name, value, raising=False)
+    rng, base = random.Random(11), [f"v{i}" for i in range(120)]
+    docs = []
+    for i in range(240):
+        words = list(base)
+        for k, at in enumerate(rng.sample(range(5, 115), 2)):
+            words[at] = f"z{i}_{k}"
+        docs.append((i, " ".join(words)))
+    sets = shingled(docs)
+    want = groups(sorted(sets), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    assert 5 < len(set(want.values())) < 235
+    made, meet = [], simhash._meetings
+
+    def counted(*args):
+        made.append(meet(*args).count())
+        return meet(*args)
+
+    monkeypatch.setattr(simhash, "_meetings", counted)
+    assert {r.doc_id: r.kept for r in simhash.similar_groups(documents(docs)).collect()} == want
+    assert sum(made) <= 240
+
+
+def test_links_of_a_task_are_spanning_edges_of_two_groups_each():
+    grams = [np.arange(k, k + 100, dtype=np.uint64).tobytes() for k in (0, 1, 2, 3, 50, 51, 500)]
+    rows = pd.DataFrame({"task": 1, "side": [0, 0, 1, 1, 0, 1, 0], "within": True, "id": range(7), "component": [0, 0, 2, 3, 4, 5, 6], "s": grams})
+    got = pd.concat(simhash._linked(0.8)(iter([rows[:3], rows[3:]])))
+    assert len(got) == 3 and {frozenset(x) & {4, 5} for x in zip(got.a, got.b)} == {frozenset(), frozenset({4, 5})}
+    apart = rows.assign(within=False, side=[0, 0, 0, 1, 0, 0, 1], component=range(7))
+    got = pd.concat(simhash._linked(0.8)(iter([apart])))
+    assert {frozenset(x) for x in zip(got.a, got.b)} == {frozenset({i, 3}) for i in range(3)}
