@@ -4,12 +4,14 @@ A table's hash rotates a unit vector by three rounds of random signs and a fast
 signed axis that lies nearest. A table puts several such hashes together, the more the more rows there are, so that
 buckets stay small. A query probes in each table the buckets nearest to it. How many, is measured: for a bounded
 sample of queries the true neighbours are found in all rows, and the number of probes is that which meets nearly all
-of them. Every row is in the index, with its buckets.
+of them. Every row is in the index, with its buckets. Where too many probes would be needed, a table puts fewer hashes
+together, so its buckets are larger.
 
 Equal vectors are one entry of the index, with as many of their smallest ids as any result can show, so a vector that
 a third of all rows hold is compared once. Entries and probes meet by a join on table and bucket, in which only ids
 move: an entry joins the lists of queries that probe its buckets. Then each entry fetches its vector once, the queries'
-vectors come by broadcast, a bounded block of them at a time, and exact distances rank what has met.
+vectors come by broadcast, a bounded block of them at a time, and exact distances rank what has met. A task holds the
+best of each query and a bounded number of others, however many rows it reads.
 """
 
 from __future__ import annotations
@@ -23,19 +25,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodemap.llm.common import Tables, python_batches, table, written
+from lodemap.llm.common import Tables, collected, python_batches, table, written
 
 TABLES = 16
 SEED = 20
 #: Queries whose true neighbours fix the number of probes, at most, and the share of these neighbours that is to be met.
 SAMPLE_QUERIES = 64
 RECALL = 0.97
-#: Buckets that a query probes in a table at most. Where they would not do, all rows are looked at.
+#: Buckets that a query probes in a table at most. Where they would not do with one hash a table either, all rows are looked at.
 MOST_PROBES = 2_048
 #: Numbers of the queries' vectors that go to the tasks at once.
 BLOCK_NUMBERS = 1 << 22
-#: Distances that a task computes at once.
-PAIRS = 1 << 17
+#: Ids of queries that move to the entries at once, in the mean of the sample; with more, the queries are cut into more blocks.
+BLOCK_MET = 1 << 27
+#: Numbers that a task computes with at once.
+NUMBERS = 1 << 20
+#: Distances that a task holds besides the best of each query.
+HELD = 1 << 18
+#: Rows of a task's result that are put together at once.
+ROWS_OUT = 1 << 16
 #: Queries in one list of a bucket, in the mean.
 LIST = 4_096
 #: A bucket with over this part of all entries of the tables is dealt out to SALTS tasks; there are no more such buckets than this.
@@ -110,12 +118,13 @@ def probes(vectors: np.ndarray, tables: int, count: int, most: int) -> np.ndarra
 def needed(queries: np.ndarray, of: np.ndarray, near: np.ndarray, tables: int, count: int, recall: float) -> int:
     """Probes with which the share `recall` of the pairs (query `of[i]`, vector `near[i]`) meet; more than MOST_PROBES if these do not do."""
     ranks = np.full(len(of), MOST_PROBES + 1)
-    places = probes(queries, tables, count, MOST_PROBES)
-    buckets = codes(near, tables, count)
-    for i, q in enumerate(of.tolist()):
-        hit, at = np.nonzero(places[q] == buckets[i][:, None])
-        if len(hit):
-            ranks[i] = at.min() + 1
+    buckets = codes(near, tables, count) if len(near) else None
+    for low in range(0, len(queries), 16):
+        places = probes(queries[low : low + 16], tables, count, MOST_PROBES)
+        for i in np.flatnonzero((of >= low) & (of < low + 16)).tolist():
+            hit, at = np.nonzero(places[of[i] - low] == buckets[i][:, None])
+            if len(hit):
+                ranks[i] = at.min() + 1
     return int(np.sort(ranks)[max(0, math.ceil(recall * len(ranks)) - 1)]) if len(ranks) else 1
 
 
@@ -129,21 +138,51 @@ def _best(k: int, parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]
     return query[keep], first[order], score[order], ids[order]
 
 
-def _met(batch: pd.DataFrame, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (row of the batch, place of the query), each once, some at a time: those of the column `met`, or all."""
-    if "met" not in batch:
-        step = max(1, PAIRS // len(keys))
-        for low in range(0, len(batch), step):
-            rows = np.arange(low, min(low + step, len(batch)))
-            for at in range(0, len(keys), PAIRS):
-                places = np.arange(at, min(at + PAIRS, len(keys)))
-                yield np.repeat(rows, len(places)), np.tile(places, len(rows))
-        return
-    lists = batch["met"].tolist()
+class _Held:
+    """The k best entries of each query so far, and up to HELD distances that may be among them."""
+
+    def __init__(self, k: int, queries: int):
+        self.k, self.parts, self.size = k, [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object))], 0
+        self.worst = np.full(queries, np.inf)  # no entry beyond this is among a query's best
+
+    def add(self, query: np.ndarray, first: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        keep = score <= self.worst[query]
+        self.parts.append((query[keep], first[keep], score[keep], ids[keep]))
+        self.size += len(self.parts[-1][0])
+        if self.size > HELD:
+            self.best()
+
+    def best(self) -> tuple[np.ndarray, ...]:
+        query, first, score, ids = _best(self.k, self.parts)
+        last = np.flatnonzero(np.arange(len(query)) - np.searchsorted(query, query, "left") == self.k - 1)
+        self.worst[query[last]] = score[last]
+        self.parts, self.size = [(query, first, score, ids)], 0
+        return query, first, score, ids
+
+
+def _met(lists: list, keys: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row of the batch, place of the query) of rows whose lists hold keys of queries, each once, `most` at a time."""
     row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     pairs = np.unique(row * len(keys) + np.searchsorted(keys, np.concatenate(lists)))
-    for at in range(0, len(pairs), PAIRS):
-        yield np.divmod(pairs[at : at + PAIRS], len(keys))
+    for at in range(0, len(pairs), most):
+        yield np.divmod(pairs[at : at + most], len(keys))
+
+
+def _all(rows: np.ndarray, vectors: np.ndarray, worst: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of each row and each query, `most` at a time, without those that surely lie beyond the query's `worst` at that moment."""
+    tall = max(1, min(len(vectors), 4_096))
+    wide = max(1, NUMBERS // tall)
+    for at in range(0, len(vectors), tall):
+        queries = vectors[at : at + tall]
+        of_query = (queries**2).sum(axis=1)
+        for low in range(0, len(rows), wide):
+            part = rows[low : low + wide]
+            sizes = (part**2).sum(axis=1)[:, None] + of_query
+            with np.errstate(invalid="ignore", over="ignore"):
+                beyond = sizes - 2 * (part @ queries.T) > worst[at : at + tall] ** 2 + 1e-9 * sizes  # the product's error is far smaller
+            r, q = np.nonzero(~beyond)
+            for i in range(0, len(r), most):
+                yield r[i : i + most] + low, q[i : i + most] + at
 
 
 def _scan(shared, k: int, count):
@@ -154,7 +193,7 @@ def _scan(shared, k: int, count):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, own, vectors = shared.value
-        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object))]
+        held, most = _Held(k, len(keys)), max(1, NUMBERS // vectors.shape[1])
         for batch in batches:
             if not len(batch):
                 continue
@@ -163,19 +202,18 @@ def _scan(shared, k: int, count):
             ids[:] = batch["ids"].tolist()
             first, second = np.array([x[0] for x in ids]), np.array([x[1] if len(x) > 1 else -1 for x in ids])
             more = np.array([len(x) > 1 for x in ids])
-            for r, q in _met(batch, keys):
+            for r, q in _met(batch["met"].tolist(), keys, most) if "met" in batch else _all(rows, vectors, held.worst, most):
                 mine = first[r] == own[q]
                 r, q, mine = (x[~mine | more[r]] for x in (r, q, mine))
                 if count is not None:
                     count.add(len(r))
                 if len(r):
                     score = np.sqrt(((vectors[q] - rows[r]) ** 2).sum(axis=1))
-                    held.append(_best(k, [(q, np.where(mine, second[r], first[r]), score, ids[r])]))
-            if len(held) > 64:
-                held = [_best(k, held)]
-        query, _, score, ids = _best(k, held)
-        if len(query):
-            yield pd.DataFrame({"query": keys[query], "ids": ids, "score": score})
+                    held.add(q, np.where(mine, second[r], first[r]), score, ids[r])
+        query, _, score, ids = held.best()
+        for at in range(0, len(query), ROWS_OUT):
+            part = slice(at, at + ROWS_OUT)
+            yield pd.DataFrame({"query": keys[query[part]], "ids": ids[part], "score": score[part]})
 
     return run
 
@@ -238,7 +276,7 @@ def nearest(vectors: DataFrame, query: Column, k: int = 10, tables: int = TABLES
     no part; vectors of other lengths are not compared. Rows equal in id and vector count once, equal queries as well. A
     query that finds fewer than k is searched in all rows, so it gets k wherever there are as many. An empty table gives
     no rows. Other columns are ignored. `measured` gets, for each length, rows, entries, hashes a table, probes (None: all
-    rows), and the comparisons of queries with entries that came from the tables.
+    rows), blocks of queries, and the comparisons of queries with entries that came from the tables.
     """
     spark = vectors.sparkSession
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -253,7 +291,6 @@ def nearest(vectors: DataFrame, query: Column, k: int = 10, tables: int = TABLES
             asked = scratch.written(rows.where((F.col("dims") == dims) & F.col("asked")).select("vec_id", "embedding").distinct().withColumn("query", F.monotonically_increasing_id()), "queries")
             plain = scratch.written(entries(own, k + 1).withColumn("entry", F.monotonically_increasing_id()), "entries")
             total = plain.count()
-            count = polytopes(dims, total)
             compared = None if measured is None else spark.sparkContext.accumulator(0)
 
             def searched(queries: DataFrame, block: list, candidates: DataFrame | None, plain=plain, compared=compared) -> DataFrame:
@@ -270,14 +307,23 @@ def nearest(vectors: DataFrame, query: Column, k: int = 10, tables: int = TABLES
             pairs = scratch.written(searched(spark.createDataFrame(sample, asked.schema), sample, None), "true")
             near = pairs.select("query", F.col("vec_id").alias("id")).join(plain.select("embedding", F.explode("ids").alias("id")), "id").select("query", "embedding").collect()
             place = {r["query"]: i for i, r in enumerate(sample)}
-            most = needed(np.array([r["embedding"] for r in sample], np.float64), np.array([place[r["query"]] for r in near], np.int64), np.array([r["embedding"] for r in near], np.float64).reshape(len(near), dims), tables, count, recall)
-            most = most if most <= MOST_PROBES else None
+            pairs = (np.array([r["embedding"] for r in sample], np.float64), np.array([place[r["query"]] for r in near], np.int64), np.array([r["embedding"] for r in near], np.float64).reshape(len(near), dims))
+            most = None
+            for count in range(polytopes(dims, total), 0, -1):
+                if (tried := needed(*pairs, tables, count, recall)) <= MOST_PROBES:
+                    most = tried
+                    break
 
             blocks = max(1, -(-x["queries"] * dims // BLOCK_NUMBERS))
-            lists = max(1, x["queries"] // blocks // LIST)
             if most is not None:
                 postings = scratch.written(plain.select("entry", F.posexplode(_coded(tables, count)("embedding")).alias("t", "bucket")), "postings")
-                hot = scratch.written(postings.groupBy("t", "bucket").count().where(F.col("count") > max(1_000, total * tables // HOT_PARTS)).select("t", "bucket"), "hot")
+                sizes = scratch.written(postings.groupBy("t", "bucket").count(), "sizes")
+                hot = scratch.written(sizes.where(F.col("count") > max(1_000, total * tables // HOT_PARTS)).select("t", "bucket"), "hot")
+                # Queries go in so many blocks that the ids which move at once stay few, by what the sample probes.
+                places = spark.createDataFrame(sample, asked.schema).select("query", "embedding").mapInPandas(_probing(tables, count, most), "t int, bucket long, query long")
+                moved = places.join(sizes, ["t", "bucket"]).agg(F.sum("count")).first()[0] or 0
+                blocks = max(blocks, -(-moved * x["queries"] // (len(sample) * BLOCK_MET)))
+            lists = max(1, x["queries"] // blocks // LIST)
             for b in range(blocks):
                 queries = asked.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)) == b)
                 block = sorted(queries.collect(), key=lambda r: r["query"])
@@ -294,8 +340,10 @@ def nearest(vectors: DataFrame, query: Column, k: int = 10, tables: int = TABLES
                         rest = searched(spark.createDataFrame(short, asked.schema), short, None)
                         found = found.join(full, "query", "left_semi").select("query_id", "rank", "vec_id", "score").unionByName(rest.select("query_id", "rank", "vec_id", "score"))
                 out.append(written(found.select("query_id", "rank", "vec_id", "score"), "nearest"))
+                if blocks > 1:
+                    collected(spark)
             if measured is not None:
-                measured[dims] = {"rows": x["n"], "entries": total, "hashes": count, "probes": most, "compared": compared.value}
+                measured[dims] = {"rows": x["n"], "entries": total, "hashes": count, "probes": most, "blocks": blocks, "compared": compared.value}
     if not out:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return reduce(DataFrame.unionByName, out)
