@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodemap.llm.common import fold, python_batches, table, with_fields, written
@@ -24,6 +25,8 @@ TRAIN_TEXTS = 2_000
 BLOCK_LANGUAGES = 2_000
 #: Languages whose numbers of texts are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_LANGUAGES = 100_000
+#: The share of texts strange to all profiles that one of them is like nevertheless, by chance.
+CHANCE = 0.01
 #: Unit vectors are summed as integers of this scale: the sums do not depend on the order of tasks.
 SCALE = 1 << 20
 SPACE, END = 32, 0
@@ -92,24 +95,47 @@ def _bundle(texts: list[str | None], out: np.ndarray) -> None:
 
 def _units(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Bundles of length one, and which texts have a letter."""
-    lettered = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts], bool)
     vectors = bundles(texts)
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return vectors / np.maximum(norms, 1e-9), lettered
+    return vectors / np.maximum(norms, 1e-9), _with_letter(texts)
 
 
-def fit(rows: DataFrame, train_texts: int = TRAIN_TEXTS, seed: int = 7) -> DataFrame:
+def _with_letter(texts: list[str | None]) -> np.ndarray:
+    return np.array([bool(t) and any(map(str.isalpha, t)) for t in texts], bool)
+
+
+def lettered(text: str = "text") -> Column:
+    """Whether a text has a letter; a null text has none."""
+
+    @F.pandas_udf("boolean")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series(_with_letter(texts.tolist()))
+
+    return found(F.col(text))
+
+
+def chance(languages: int) -> float:
+    """The cosine that a text of trigrams which no profile has exceeds with one of `languages` profiles in CHANCE of all cases.
+
+    Vectors of unlike trigrams are independent signs, so such a cosine is normal with mean 0 and variance 1 / DIMENSIONS.
+    """
+    return -NormalDist().inv_cdf(CHANCE / languages) / DIMENSIONS**0.5
+
+
+def fit(rows: DataFrame, train_texts: int | None = TRAIN_TEXTS, seed: int = 7) -> DataFrame:
     """(lang, vector): the profile of each language in `rows` (doc_id, text, lang), a written table.
 
     Rows without text or lang teach nothing; an empty table gives no profiles. About `train_texts` texts of each
-    language, drawn by a seeded hash of their ids, are encoded; that bounds the work at any size of the table. Texts are
-    encoded whole. Repeated rows count as often as they are drawn. Any number of languages will do. Other columns are ignored.
+    language, drawn by a seeded hash of their ids, are encoded; that bounds the work at any size of the table. With None all
+    are. Texts are encoded whole. Repeated rows count as often as they are drawn. Any number of languages will do. Other columns are ignored.
     """
     rows = rows.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    counts = written(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
-    counts = F.broadcast(counts) if counts.count() <= BROADCAST_LANGUAGES else counts
-    share = F.least(F.lit(1.0), train_texts / F.col("n"))
-    drawn = rows.join(counts, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000)
+    drawn = rows
+    if train_texts is not None:
+        counts = written(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+        counts = F.broadcast(counts) if counts.count() <= BROADCAST_LANGUAGES else counts
+        share = F.least(F.lit(1.0), train_texts / F.col("n"))
+        drawn = rows.join(counts, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000)
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
